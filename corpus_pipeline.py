@@ -1,12 +1,93 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and read again."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and read again.
+
+A stage is called with what the stage before it kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docspark.llm import line_dedup, mixing, near_dedup, packing, quality
+from docspark.llm.common import Scratch, delete, owned, read
+
+#: Near duplicates: words a shingle, similarity in percent.
+SHINGLE, SIMILAR = 5, 80
+_done: list[str] = []
+
+
+def _stage(f: Callable) -> Callable:
+    """Scratch of earlier stages goes when a stage begins: their results have been written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for root in _done:
+            delete(spark, root)
+        _done.clear()
+        with owned() as made:
+            out = f(spark, docs, sf_dir)
+        _done.extend(made)
+        return out
+
+    run.__doc__ = f.__doc__
+    return run
+
+
+@_stage
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, learnt from the labelled rows that are not held out."""
+    return quality.keep_good(spark, docs, read(spark, sf_dir, "labels"))
+
+
+@_stage
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that came before; n_chars follows the text. A document of which nothing is left goes."""
+    out = line_dedup.dedup_lines(spark, docs)
+    gone = (F.col("dedup_lines_stats.n_removed") > 0) & (F.col("dedup_lines_stats.n_removed") == F.col("dedup_lines_stats.n_lines"))
+    out = out.filter(~gone).drop("dedup_lines_stats")
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
+@_stage
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the least doc_id. Rows without a doc_id stay."""
+    kept = near_dedup.link_documents(spark, docs, SHINGLE, SIMILAR).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    # rows that repeat a doc_id with the same text are copies of one document
+    rows = rows.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return rows.unionByName(docs.filter("doc_id IS NULL"))
+
+
+@_stage
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (0 to 2 times)."""
+    plan = mixing.mix(spark, docs)
+    took = plan.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+    rows = docs.join(took, F.col("doc_id").eqNullSafe(F.col("__id")) & (mixing.words(F.col("text")) == F.col("__size")))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).drop("__copy")
+
+
+@_stage
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    return packing.pack(spark, docs, packing.vocabulary())
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("line_dedup", fresh_lines),
+    ("minhash_near_dedup", one_of_each),
+    ("mix_sources", mixed),
+    ("hilbert_packing", packed),
+]
 
-STAGES: list = []
+#: The classifier, the hashing and the packing order have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    out, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        out = scratch.save(stage(spark, out, sf_dir), name)
+    return out

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_owner: list[str] | None = None
+
+
+@contextlib.contextmanager
+def owned() -> Iterator[list[str]]:
+    """Gives the folders of all scratch spaces that are made inside, for whoever knows when they are read no more."""
+    global _owner
+    before, _owner = _owner, []
+    try:
+        yield _owner
+    finally:
+        _owner = before
+
+
 class Scratch:
     """Tables and files of one operator call, under one folder of the shared directory.
 
@@ -31,6 +47,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/docspark/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if _owner is not None:
+            _owner.append(self.root)
 
     def path(self, name: str) -> str:
         self.count += 1

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from docspark.llm import chat_format, exact_dedup, line_dedup, mixing
+from docspark.llm import bm25_search, chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secret_scan, token_store
 from docspark.llm.common import read
 
 
 def queries() -> dict:
     docs = lambda spark, d: read(spark, d, "documents")
     return {
+        "op1_bm25_search": lambda spark, d: bm25_search.query(spark, docs(spark, d)),
+        "op2_token_store": lambda spark, d: token_store.query(spark, docs(spark, d)),
+        "op3_secret_scan": lambda spark, d: secret_scan.query(spark, docs(spark, d)),
+        "op4_near_dedup": lambda spark, d: near_dedup.query(spark, docs(spark, d)),
         "op5_chat_format": lambda spark, d: chat_format.query(spark, read(spark, d, "conversations")),
+        "op6_hilbert_packing": lambda spark, d: packing.query(spark, docs(spark, d)),
         "op7_mix_sources": lambda spark, d: mixing.query(spark, docs(spark, d)),
         "op8_exact_dedup": lambda spark, d: exact_dedup.dedup_exact(spark, docs(spark, d)),
+        "op9_quality": lambda spark, d: quality.query(spark, docs(spark, d), read(spark, d, "labels")),
         "op10_line_dedup": lambda spark, d: line_dedup.query(spark, docs(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_bm25_search": lambda spark, d: bm25_search.query(spark, docs(spark, d)),
+        "op2_token_store": lambda spark, d: token_store.query(spark, docs(spark, d)),
+        "op3_secret_scan": lambda spark, d: secret_scan.query(spark, docs(spark, d)),
+        "op4_near_dedup": lambda spark, d: near_dedup.query(spark, docs(spark, d)),
         "op5_chat_format": chat_format.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
