@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Ligatures and what stands for them; U+FFFE and U+FFFF stand for "fi" in texts of some converters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "￾": "fi", "￿": "fi"}
@@ -37,7 +38,7 @@ def normalize(raw: bytes) -> str:
     return clean(decode(raw))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Column of file contents (binary) to normalised text; null stays null."""
     for s in content:
@@ -53,8 +54,8 @@ def clean_native(text: Column) -> Column:
     return F.regexp_replace(text, "[\\u0000-\\u0008\\u000B\\u000E-\\u001F\\u007F-\\u009F\\u00AD\\uFEFF]", "")
 
 
-#: Folding of letters with diacritics to their base letters, in Latin, Greek and Cyrillic: built from their decompositions.
 def fold(text: str) -> str:
+    """Lower case, and letters of Latin, Greek and Cyrillic without their diacritics."""
     out = []
     for c in unicodedata.normalize("NFD", text.lower()):
         if unicodedata.category(c) == "Mn" and out and out[-1] < "֐":
@@ -64,6 +65,7 @@ def fold(text: str) -> str:
 
 
 def _folds() -> tuple[str, str]:
+    """Precomposed letters and their base letters, from the decompositions."""
     src, dst = "", ""
     for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x500), *range(0x1E00, 0x2000))):
         f = fold(c)
