@@ -28,7 +28,7 @@ from docspark.llm.common import Scratch
 
 ROWS, MISS, SEED = 4, 1e-7, 11
 #: Members of a block in step 3, and representatives' groups in step 2 before they are salted.
-BLOCK, GROUP = 192, 4_096
+BLOCK, GROUP = 512, 4_096
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
