@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.terms import query_phrases, tokens
@@ -34,6 +34,10 @@ def write_index(spark: SparkSession, postings: DataFrame, lengths: DataFrame, pa
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
 
 
+def _shifted(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
 def phrase_matches(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """Rows (phrase, id, tf): how often each phrase occurs in each row that has it."""
     words = [(i, p[0]) for i, p in enumerate(phrases) if len(p) == 1]
@@ -47,7 +51,7 @@ def phrase_matches(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
             continue
         # rows with all words, then positions shifted to where the phrase would begin
         hits = postings.filter(F.col("term").isin(sorted(set(phrase)))).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-        starts = [F.transform(F.coalesce(F.col("at")[w], F.array().cast("array<int>")), lambda p, j=j: p - j) for j, w in enumerate(phrase)]
+        starts = [_shifted(F.coalesce(F.col("at")[w], F.array().cast("array<int>")), j) for j, w in enumerate(phrase)]
         n = F.size(reduce(F.array_intersect, starts))
         parts.append(hits.select(F.lit(i).alias("phrase"), "id", n.alias("tf")).filter("tf > 0"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "phrase int, id long, tf int")
