@@ -84,11 +84,16 @@ def test_half_written_commit_is_not_seen(spark, tmp_path):
     assert live(Store.open(spark, root)) == [0, 1]
 
 
-class Failing(HashEmbedder):
-    def embed(self, texts, query=False):
-        if any("FAILEMBED" in t for t in texts):
-            raise RuntimeError("model gone")
-        return super().embed(texts, query)
+def failing_embedder(dim):
+    """Of a local class, which goes to the workers by value."""
+
+    class Failing(HashEmbedder):
+        def embed(self, texts, query=False):
+            if any("FAILEMBED" in t for t in texts):
+                raise RuntimeError("model gone")
+            return HashEmbedder.embed(self, texts, query)
+
+    return Failing(dim)
 
 
 def test_sync(spark, tmp_path):
@@ -103,7 +108,7 @@ def test_sync(spark, tmp_path):
     (tmp_path / "docs2").mkdir()
     (tmp_path / "docs2" / "z.txt").write_text("Sibling folder.")
     events = []
-    c = Collection.create(spark, f"file://{tmp_path}/c", Failing(8), audit=events.append)
+    c = Collection.create(spark, f"file://{tmp_path}/c", failing_embedder(8), audit=events.append)
     limits = {"target": 200, "most": 300, "overlap": 40, "waits": (0.0, 0.0)}
     s = c.ingest([str(folder)], **limits)
     assert (s.files_seen, s.files_added, s.files_no_text, s.files_failed, s.files_skipped) == (5, 3, 1, 1, 1)
