@@ -85,7 +85,7 @@ def similarities(spark, d):
 
 def l2_normalize(spark, d):
     v = vectors.normalized(F.transform("embedding", lambda x: x * 3), 16)
-    return stored_vectors(spark, d).select("id", six(v[0].cast("double"), "first"), six(vectors.norm(v), "norm"), F.size(v).alias("dim"))
+    return stored_vectors(spark, d).select("id", F.round(v[0].cast("double"), 4).alias("first"), F.round(vectors.norm(v), 4).alias("norm"), F.size(v).alias("dim"))
 
 
 # keywords
@@ -355,8 +355,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # SQL
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
-_DIST = "list_sum(list_transform(list_zip(e.embedding, q.embedding), x -> (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
-_DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), x -> x[1]::DOUBLE * x[2]::DOUBLE))"
+_DIST = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
+_DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
 _TOK = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{M}\p{N}\p{Co}]+')"
 _PATH = "'/' || source || '/' || doc_id || '.txt'"
 
@@ -367,7 +367,7 @@ def _bm25(where: str = "true", limit: str = f"ORDER BY score DESC, id LIMIT {K}"
 t AS (SELECT doc_id AS id, source, {_TOK} AS tok FROM {docs}),
 c AS (SELECT count(*) AS n, avg(len(tok)) AS av FROM t),
 w(i, term) AS (VALUES {values}),
-m AS (SELECT t.id, t.source, w.i, len(list_filter(t.tok, x -> x = w.term)) AS tf, len(t.tok) AS dl FROM t, w WHERE list_contains(t.tok, w.term)),
+m AS (SELECT t.id, t.source, w.i, len(list_filter(t.tok, lambda x: x = w.term)) AS tf, len(t.tok) AS dl FROM t, w WHERE list_contains(t.tok, w.term)),
 f AS (SELECT i, count(*) AS df FROM m GROUP BY i),
 s AS (SELECT m.id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score
@@ -404,13 +404,13 @@ ORACLE: dict[str, str] = {
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id)::INTEGER AS rank FROM x)
 SELECT query_id, id, round(dist, 6) AS distance, rank FROM r WHERE rank <= 5""",
     "similarities": f"SELECT vec_id AS id, round({_DOT}, 6) AS dot, round(1 - {_DIST} / 2, 6) AS cosine FROM embeddings e, {_Q} q",
-    "l2_normalize": """WITH v AS (SELECT vec_id AS id, list_transform(embedding[1:16], x -> (x * 3)::FLOAT::DOUBLE) AS v FROM embeddings),
-n AS (SELECT *, sqrt(list_sum(list_transform(v, x -> x * x))) AS n FROM v)
-SELECT id, round((v[1] / n)::FLOAT::DOUBLE, 6) AS first, round(sqrt(list_sum(list_transform(v, x -> (x / n)::FLOAT::DOUBLE * (x / n)::FLOAT::DOUBLE))), 6) AS norm, len(v)::INTEGER AS dim FROM n""",
+    "l2_normalize": """WITH v AS (SELECT vec_id AS id, list_transform(embedding[1:16], lambda x: (x * 3)::FLOAT::DOUBLE) AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
+SELECT id, round((v[1] / n)::FLOAT::DOUBLE, 4) AS first, round(sqrt(list_sum(list_transform(v, lambda x: (x / n)::FLOAT::DOUBLE * (x / n)::FLOAT::DOUBLE))), 4) AS norm, len(v)::INTEGER AS dim FROM n""",
     "bm25_topk": f"WITH {_bm25()} SELECT id, round(score, 6) AS score FROM s",
     "bm25_prefix": f"WITH {_bm25(where=chr(39) + '/' + chr(39) + ' || m.source || ' + chr(39) + '/' + chr(39) + ' LIKE ' + chr(39) + '/src1/%' + chr(39))} SELECT id, round(score, 6) AS score FROM s",
     "bm25_phrase": rf"""WITH t AS (SELECT doc_id AS id, {_TOK} AS tok FROM documents), c AS (SELECT count(*) AS n, avg(len(tok)) AS av FROM t),
-m AS (SELECT id, len(tok) AS dl, len(list_filter(range(1, len(tok)), i -> tok[i] = 'of' AND tok[i + 1] = 'the')) AS tf FROM t),
+m AS (SELECT id, len(tok) AS dl, len(list_filter(range(1, len(tok)), lambda i: tok[i] = 'of' AND tok[i + 1] = 'the')) AS tf FROM t),
 h AS (SELECT * FROM m WHERE tf > 0), f AS (SELECT count(*) AS df FROM h)
 SELECT id, round((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)), 6) AS score
 FROM h, f, c ORDER BY (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) DESC, id LIMIT {K}""",
@@ -433,10 +433,10 @@ FROM hits h JOIN documents d ON d.doc_id = h.id JOIN embeddings e ON e.vec_id =
     "sync_plan": f"{_PLAN} SELECT source_path, action FROM a",
     "sync_removals": f"WITH {_REC}, {_LIST} SELECT source_path, chunk_count FROM rec WHERE (source_path LIKE '/src1/%' OR source_path LIKE '/src2/%') AND source_path NOT IN (SELECT source_path FROM l)",
     "sync_counters": f"{_PLAN} SELECT action, count(*) AS files FROM a GROUP BY action",
-    "page_of_offset": "SELECT doc_id, greatest(1, len(list_filter(list_transform(range(0, n_chars // 700 + 1), i -> i * 700), p -> p <= n_chars // 2)))::INTEGER AS page FROM documents",
+    "page_of_offset": "SELECT doc_id, greatest(1, len(list_filter(list_transform(range(0, n_chars // 700 + 1), lambda i: i * 700), lambda p: p <= n_chars // 2)))::INTEGER AS page FROM documents",
     "citation_parse": """WITH a AS (SELECT conv_id, turn, [conv_id % 7 + 1, turn % 9, 3, conv_id % 7 + 1, 99] AS c FROM conversations WHERE role = 'assistant'),
-f AS (SELECT conv_id, turn, list_filter(c, x -> x BETWEEN 1 AND 8) AS c FROM a)
-SELECT conv_id, turn, array_to_string(list_filter(c, (x, i) -> list_position(c, x) = i), ',') AS cited FROM f""",
+f AS (SELECT conv_id, turn, list_filter(c, lambda x: x BETWEEN 1 AND 8) AS c FROM a)
+SELECT conv_id, turn, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), ',') AS cited FROM f""",
     "answer_checks": f"""WITH {_ANS} SELECT conv_id, turn, trim(t) IN ('I could not find this in your documents', 'I could not find this in your documents.') AS refused,
 regexp_matches(regexp_replace(lower(t), '[, ]', '', 'g'), 'costs1210($|[^0-9])') AS states, '< |' || role || '| > < | >' AS escaped FROM a""",
     "snippets": r"SELECT doc_id, CASE WHEN length(text) <= 60 THEN regexp_replace(text, '[\r\n]', ' ', 'g') ELSE regexp_replace(text[1:60], '[\r\n]', ' ', 'g') || '...' END AS snippet FROM documents WHERE strlen(text) = length(text)",
