@@ -13,11 +13,13 @@ import os
 import numpy as np
 
 #: Units kept by a worker in each of two generations; when the young one is full it replaces the old one.
-KEEP = 400_000
+KEEP = 500_000
 #: A control character as a boundary between units in one call, for vocabularies that drop white space.
 MARK = "\x01"
 #: What str.split() takes for white space and the vocabularies do not.
 ODD = "\x1c\x1d\x1e\x1f"
+#: White space other than single spaces and line feeds.
+RUNS = ("  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
 
 class UnitEncoder:
@@ -61,15 +63,13 @@ class UnitEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _units(self, text: str) -> list[str] | None:
-        """The keys of a text's units, or None if it has to go whole. With mode "prefix" the first unit is left out:
-        the others stand for a space and the key, or for the key alone if that begins with a line feed."""
-        if any(s in text for s in self.special) or MARK in text:
+        """A text's units, or None if it has to go whole. With mode "prefix" the first unit stands for itself, and each
+        other for a space and itself, or for itself alone if it begins with a line feed."""
+        if MARK in text or any(s in text for s in self.special):
             return None
-        words = text.split()
         if self.mode == "drop":
-            return None if any(c in text for c in ODD) else words
-        n = len(words)
-        if not n or len(text) != sum(map(len, words)) + n - 1 or text.count(" ") + text.count("\n") != n - 1:
+            return None if any(c in text for c in ODD) else text.split()
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in RUNS):
             return None
         return text.replace("\n", " \n").split(" ")
 
@@ -80,57 +80,67 @@ class UnitEncoder:
         firsts: list[bytes] = []
         if self.mode == "prefix":
             firsts = [self._whole(u[0]) if u else b"" for u in units]
-            units = [u and u[1:] for u in units]
-        young = self.young
-        missing = {u for us in units if us for u in us if u not in young}
-        here: dict[str, bytes] = {}
+            for u in units:
+                if u:
+                    del u[0]
+        get = self.young.get
+        found = [us if us is None else list(map(get, us)) for us in units]
+        rows, places, missing = [], [], []
+        for us, f in zip(units, found, strict=True):
+            if f and None in f:
+                own = [k for k, v in enumerate(f) if v is None]
+                rows += [f] * len(own)
+                places += own
+                missing += [us[k] for k in own]
         if missing:
-            if len(young) + len(missing) > KEEP:
-                # units of this batch that the young generation holds go along
-                here = {u: young[u] for us in units if us for u in us if u in young}
-                self.old, self.young = young, here
-            found = {u: self.old[u] for u in missing if u in self.old}
-            self.young.update(found)
-            self._learn([u for u in missing if u not in found])
-        get = self.young.__getitem__
+            new = set(missing)
+            if len(self.young) + len(new) > KEEP:
+                self.old, self.young = self.young, {}
+            old, young = self.old, self.young
+            for u in new:
+                if u in old:
+                    young[u] = old[u]
+            self._learn([u for u in new if u not in young])
+            for f, k, u in zip(rows, places, missing, strict=True):
+                f[k] = young[u]
         out = []
-        for i, us in enumerate(units):
-            if us is None:
+        for i, f in enumerate(found):
+            if f is None:
                 out.append(self._whole(texts[i]))
             else:
-                out.append((firsts[i] if firsts else b"") + b"".join(map(get, us)))
+                out.append((firsts[i] if firsts else b"") + b"".join(f))
         return out
 
     def _learn(self, units: list[str]) -> None:
-        base = {}
-        for u in units:
-            cut = len(u) > 1 and u[-1] in ".," and u[-2].isascii() and u[-2].isalpha()
-            base[u] = u[:-1] if cut else u
-        todo = sorted({b for b in base.values() if b not in self.young})
-        known: dict[str, bytes] = {}
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            if self.mode == "prefix":
-                text = "".join(u if u[0] == "\n" else " " + u for u in part)
-                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-                begin = np.flatnonzero(self.starts[ids])
-                bounds = [*begin.tolist(), len(ids)]
-            else:
-                text = f" {MARK} ".join(part)
-                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-                at_mark = np.flatnonzero(ids == self.mark)
-                ids = np.delete(ids, at_mark)
-                bounds = [0, *(at_mark - np.arange(len(at_mark))).tolist(), len(ids)]
-            if len(bounds) != len(part) + 1:  # cannot be told apart: one by one
-                known.update((u, self._whole(u if self.mode == "drop" or u[0] == "\n" else " " + u)) for u in part)
-                continue
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            known.update((u, raw[bounds[k] * w : bounds[k + 1] * w]) for k, u in enumerate(part))
-        young = self.young
-        young.update(known)
-        for u, b in base.items():
-            v = young[b]
-            young[u] = v if b is u or b == u else v + self.ends[u[-1]]
+        young, ends = self.young, self.ends
+        # a word and its full stop or comma are told apart, so that the word is encoded once
+        cut = [u for u in units if u[-1] in ends and u[-2:-1].isalpha() and u[-2:-1].isascii()]
+        whole = set(units).difference(cut)
+        todo = list(whole.union([u[:-1] for u in cut]).difference(young))
+        for at in range(0, len(todo), 8192):
+            self._encode_units(todo[at : at + 8192])
+        for u in cut:
+            young[u] = young[u[:-1]] + ends[u[-1]]
+
+    def _encode_units(self, part: list[str]) -> None:
+        if self.mode == "prefix":
+            text = "".join([u if u[0] == "\n" else " " + u for u in part])
+        else:
+            text = f" {MARK} ".join(part)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        if self.mode == "prefix":
+            bounds = np.flatnonzero(self.starts[ids]).tolist()
+        else:
+            at = np.flatnonzero(ids == self.mark)
+            ids = np.delete(ids, at)
+            bounds = [0, *(at - np.arange(len(at))).tolist()]
+        if len(bounds) != len(part):  # cannot be told apart: one by one
+            self.young.update((u, self._whole(u if self.mode == "drop" or u[0] == "\n" else " " + u)) for u in part)
+            return
+        raw, w = ids.tobytes(), self.dtype.itemsize
+        at = [b * w for b in bounds]
+        at.append(len(raw))
+        self.young.update(zip(part, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
 
 
 _encoders: dict[str, UnitEncoder] = {}
