@@ -82,14 +82,14 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, length: int = LE
         enc, matrix = encoder(vocabulary), projection()
         end = np.array([end_id], enc.dtype).tobytes()
         mask = np.uint64(2**TIE_BITS - 1)
+        bucket = np.arange(max(enc.vocab.values()) + 1 + end_id, dtype=np.int64) * 40503 % 65521 % BUCKETS
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
                 packed = [p + end for p in enc.encode(b.column(1).to_pylist())]
                 counts = np.zeros((len(packed), BUCKETS))
                 for i, p in enumerate(packed):
-                    ids = np.frombuffer(p, enc.dtype).astype(np.int64)
-                    counts[i] = np.bincount(ids * 40503 % 65521 % BUCKETS, minlength=BUCKETS)
+                    counts[i] = np.bincount(bucket[np.frombuffer(p, enc.dtype)], minlength=BUCKETS)
                 v = np.sqrt(counts)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 v -= v.mean(1, keepdims=True)  # what all documents share is not direction

@@ -18,6 +18,8 @@ KEEP = 500_000
 MARK = "\x01"
 #: What str.split() takes for white space and the vocabularies do not.
 ODD = "\x1c\x1d\x1e\x1f"
+#: Letters whose lower case depends on where they stand, or is more than a letter.
+CONTEXT = "Σİẞΐΰᾈᾘᾨ"
 #: White space other than single spaces and line feeds.
 RUNS = ("  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
@@ -36,6 +38,7 @@ class UnitEncoder:
         self.dtype = np.dtype("<u2") if max(self.vocab.values()) < 2**16 else np.dtype("<u4")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.mode = self._mode(spec)
+        self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         if self.mode == "prefix":
@@ -68,7 +71,13 @@ class UnitEncoder:
         if MARK in text or any(s in text for s in self.special):
             return None
         if self.mode == "drop":
-            return None if any(c in text for c in ODD) else text.split()
+            if any(c in text for c in ODD):
+                return None
+            if self.lowers and not any(c in text for c in CONTEXT):
+                text = text.lower()
+                if any(s in text for s in self.special):
+                    return None
+            return text.split()
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in RUNS):
             return None
         return text.replace("\n", " \n").split(" ")

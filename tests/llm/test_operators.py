@@ -213,7 +213,7 @@ def test_secret_ledger_is_incremental(spark, tmp_path):
     assert {r["doc_id"]: r["findings"] and r["findings"][0]["kind"] for r in out} == {1: "access", 2: "access", 3: "word", 4: None}
 
 
-NASTY = ["", " ", "a", "The  double", "tail ", " head", "line\nbreak,\nand. more\n\nblank", "tab\there \t x", "it's we'll 'sword", "x<|endoftext|>y", "<|startoftext|>", "É́cole é ﬁ", "a b   c", "\x1c odd \x1f", "\x01mark \x01", "日本語 テキスト", "🙂🙂 ok", "end. end, End.,", "İstanbul ΣΑΣ", "12345 6,7", "\r\nwin\r\n"]
+NASTY = ["", " ", "a", "The  double", "tail ", " head", "line\nbreak,\nand. more\n\nblank", "tab\there \t x", "it's we'll 'sword", "x<|endoftext|>y", "<|startoftext|>", "a <|STARTOFTEXT|> b", "x<|EndOfText|>", "É́cole é ﬁ", "a b   c", "\x1c odd \x1f", "\x01mark \x01", "日本語 テキスト", "🙂🙂 ok", "end. end, End.,", "İstanbul ΣΑΣ", "12345 6,7", "\r\nwin\r\n"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
