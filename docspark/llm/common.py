@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,14 +18,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Only a local session may lack it: it gets a temporary one of its own."""
+    global _local
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="docspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if _local is None:
+        _local = tempfile.mkdtemp(prefix="docspark-")
+        atexit.register(shutil.rmtree, _local, ignore_errors=True)
+    return f"file://{_local}"
 
 
+_local: str | None = None
 _owner: list[str] | None = None
 
 
