@@ -62,6 +62,31 @@ class WordEmbedder:
         return np.array([unit(v) for v in out], dtype=np.float32)
 
 
+@dataclass(frozen=True)
+class Prefixed:
+    """An embedder whose queries and documents get different prefixes, and whose vectors may be cut to fewer dimensions."""
+
+    base: Embedder
+    query_prefix: str = ""
+    document_prefix: str = ""
+    dim: int = 0
+
+    def __post_init__(self):
+        if not self.dim:
+            object.__setattr__(self, "dim", self.base.dim)
+        if self.dim > self.base.dim:
+            raise ValueError(f"{self.base.id} has {self.base.dim} dimensions, not {self.dim}")
+
+    @property
+    def id(self) -> str:
+        return self.base.id
+
+    def embed(self, texts: Sequence[str], query: bool = False) -> np.ndarray:
+        prefix = self.query_prefix if query else self.document_prefix
+        out = self.base.embed([prefix + t for t in texts], query)
+        return np.array([unit(v, self.dim) for v in out], dtype=np.float32)
+
+
 def unit(v: np.ndarray, dim: int | None = None) -> np.ndarray:
     """To unit length after cutting to the leading ``dim`` elements; a zero vector stays zero."""
     v = np.asarray(v, dtype=np.float64)[:dim]

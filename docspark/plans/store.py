@@ -202,6 +202,15 @@ class Store:
     def add(self, rows: DataFrame) -> int:
         return self.commit(add=rows)
 
+    def add_vectors(self, vectors: DataFrame) -> int:
+        """Passages without texts from bare vectors (id, embedding), such as a collection of the first format: in an empty
+        collection vector i gets id i."""
+        none = F.lit("")
+        return self.add(vectors.select(
+            F.lit("v1").alias("doc_id"), F.col("id").alias("chunk_index"), none.alias("source_path"), F.lit(0).cast("long").alias("offset"),
+            F.lit(0).cast("long").alias("length"), none.alias("text"), none.alias("content_hash"), F.lit(0).cast("long").alias("page"), "embedding",
+        ))
+
     def delete(self, ids: list[int]) -> None:
         """All or nothing: an id that is not there refuses the whole call."""
         wanted = self.spark.createDataFrame([(int(i),) for i in ids], "id long").distinct()

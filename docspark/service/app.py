@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
+import logging.handlers
 import os
 import threading
 import uuid
 
 from pyspark.sql import SparkSession
 
-from docspark.api import NAME, Collection, check_name
+from docspark.api import NAME, AuditEvent, Collection, check_name
 from docspark.errors import require
 from docspark.functions.embed import Embedder, WordEmbedder
 from docspark.plans.answer import ExtractiveGenerator, Generator
@@ -22,16 +24,27 @@ HTTP_CODES = {
 }
 
 
+#: Fixed value: bytes after which the log is rolled over.
+LOG_BYTES = 4 << 20
+
+
 class App:
     def __init__(self, spark: SparkSession, data_dir: str, embedder: Embedder | None = None, generator: Generator | None = None):
         self.spark, self.data_dir = spark, os.path.abspath(data_dir)
         self.embedder, self.generator = embedder or WordEmbedder(), generator or ExtractiveGenerator()
         os.makedirs(self.data_dir, exist_ok=True)
+        self.log = logging.getLogger(f"docspark.{uuid.uuid4().hex}")  # actions and codes, never texts
+        self.log.addHandler(logging.handlers.RotatingFileHandler(f"{self.data_dir}/docspark.log", maxBytes=LOG_BYTES, backupCount=1))
+        self.log.setLevel(logging.INFO)
+        self.log.propagate = False
         self.jobs, self._readers, self._lock = JobQueue(spark), {}, threading.Lock()
 
     def _root(self, name: str) -> str:
         return f"file://{self.data_dir}/{check_name(name)}"
 
+    def _audit(self, event: AuditEvent) -> None:
+        self.log.info("%s %s %s %d", event.action, event.collection.rpartition("/")[2], event.status, event.count)
+
     def collections(self) -> list[str]:
         return sorted(n for n in os.listdir(self.data_dir) if NAME.fullmatch(n) and os.path.exists(f"{self.data_dir}/{n}/manifest.json"))
 
@@ -39,15 +52,15 @@ class App:
         """A cached read handle at the newest commit."""
         with self._lock:
             if name not in self._readers:
-                self._readers[name] = Collection.open(self.spark, self._root(name), self.embedder)
+                self._readers[name] = Collection.open(self.spark, self._root(name), self.embedder, audit=self._audit)
             self._readers[name].refresh()
             return self._readers[name]
 
     def writer(self, name: str) -> Collection:
         root = self._root(name)
         if name in self.collections():
-            return Collection.open(self.spark, root, self.embedder, writer=True)
-        return Collection.create(self.spark, root, self.embedder)
+            return Collection.open(self.spark, root, self.embedder, writer=True, audit=self._audit)
+        return Collection.create(self.spark, root, self.embedder, audit=self._audit)
 
     def ingest(self, name: str, paths: list[str], **options):
         require(bool(paths), "no paths")

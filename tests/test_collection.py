@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from docspark.api import Collection, check_name, to_json
 from docspark.errors import EngineError
+from docspark.evaluate import Question, ask_all, score, states
 from docspark.functions.answers import NOT_FOUND
-from docspark.functions.embed import HashEmbedder, WordEmbedder, embed_all
+from docspark.functions.embed import HashEmbedder, Prefixed, WordEmbedder, embed_all
 from docspark.plans import answer as A
 from docspark.plans.store import NEW_CHUNKS, Store
 from docspark.sources.extract import REGISTRY
@@ -224,7 +225,24 @@ def test_ask(spark, tmp_path):
             c.ask("x", **bad)
 
 
+def test_evaluation(spark, tmp_path):
+    embedder = WordEmbedder()
+    c = Collection.create(spark, f"file://{tmp_path}/c", embedder)
+    texts = ["The pump bearing is replaced every 5,000 hours.", "The canteen opens at noon."]
+    rows = [(f"/d/{i}.txt", 0, f"/d/{i}.txt", 0, len(t), t, "h", 0, embedder.embed([t])[0].tolist()) for i, t in enumerate(texts)]
+    c.add(spark.createDataFrame(rows, NEW))
+    questions = [Question(1, "how often is the pump bearing replaced", ["5000 hours"], "0.txt"), Question(2, "zzz qqq")]
+    got = score(ask_all(c, questions, least_similarity=0.3), questions)
+    assert {k: v for k, v in got.items() if k != "median_seconds"} == {"answerable": 1, "correct": 1, "cited": 1, "file_recall": 1, "passage_recall": 1, "refused": 1}
+    assert states("It is 1,200 units", "1200") and not states("It is 12000", "1200")
+
+
 def test_embedders():
+    p = Prefixed(HashEmbedder(8), "query: ", "passage: ", 4)
+    assert p.id == "hash" and (p.embed(["a"], query=True) != p.embed(["a"])).any() and p.embed(["a"]).shape == (1, 4)
+    assert np.linalg.norm(p.embed(["a"])) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        Prefixed(HashEmbedder(8), dim=9)
     v = HashEmbedder(8).embed(["a", "b", "a"])
     assert np.allclose(np.linalg.norm(v, axis=1), 1) and (v[0] == v[2]).all() and (v[0] != v[1]).any()
     calls = []
@@ -244,4 +262,7 @@ def test_legacy_vectors(spark, tmp_path):
     (tmp_path / "vectors.bin").write_bytes(m.tobytes())
     got = read_vectors(spark, f"file://{tmp_path}/vectors.bin", 5).orderBy("id").collect()
     assert len(got) == 300 and got[7]["embedding"] == m[7].tolist()
+    store = Store.create(spark, f"file://{tmp_path}/c", "m", 5)
+    assert store.add_vectors(read_vectors(spark, f"file://{tmp_path}/vectors.bin", 5)) == 300
+    assert store.get(42)["embedding"] == m[42].tolist() and store.get(42)["doc_id"] == "v1"
     assert NEW_CHUNKS[0] == "doc_id" and "pdf" not in REGISTRY
