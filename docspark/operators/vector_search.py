@@ -10,11 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.vectors import as_vector, l2_squared
 
 MOST_K = 10_000
-#: Query vectors that go to the executors at once with the batched search, by their number of floats.
-BLOCK_FLOATS = 4_000_000
+#: Queries that a batch is compared with at once.
+QUERY_BLOCK = 256
 
 
 def check_k(k: int) -> None:
@@ -31,7 +30,7 @@ class VectorIndex(Protocol):
 
 
 class ExactIndex:
-    """Every vector is compared; the k best come from a bounded heap in each partition. Filter before, not after."""
+    """Every vector is compared, an Arrow batch at a time; a batch passes on its k best. Filter before, not after."""
 
     name = "exact"
 
@@ -39,11 +38,10 @@ class ExactIndex:
         self.id_col, self.vector_col = id_col, vector_col
 
     def search(self, vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
-        """Rows (id, distance), ascending; fewer than k if there are fewer vectors."""
+        """Rows (id, distance), ascending; fewer than k if there are fewer vectors. Rows without a vector are left out."""
         check_k(k)
-        q = as_vector(query)
-        rows = vectors.select(F.col(self.id_col).alias("id"), l2_squared(F.col(self.vector_col), q).alias("distance"))
-        return rows.orderBy("distance", "id").limit(k)
+        rows = _candidates(vectors, [(0, query)], k, self.id_col, self.vector_col)
+        return rows.select("id", "distance").orderBy("distance", "id").limit(k)
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, allowed: Column | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -53,19 +51,23 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, allowed: Column |
 
 
 def top_k_batched(vectors: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """Rows (query_id, id, distance, rank) for a given list of queries.
-
-    Each Arrow batch is compared with a block of queries at a time by a matrix product; of each batch and query only
-    the candidates for the k best go on, and are measured again by differences, which the product alone would round.
-    """
+    """Rows (query_id, id, distance, rank) for a given list of queries."""
     check_k(k)
     if not queries:
-        spark = vectors.sparkSession
-        return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
+        return vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return _candidates(vectors, queries, k, id_col, vector_col).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _candidates(vectors: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int, id_col: str, vector_col: str) -> DataFrame:
+    """Rows (query_id, id, distance): of each Arrow batch and query those that can be among the k best.
+
+    A batch is compared with a block of queries by one matrix product; what it may not rule out for rounding is measured
+    again by differences.
+    """
     ids = np.array([q for q, _ in queries], dtype=np.int64)
     matrix = np.array([v for _, v in queries], dtype=np.float64)
 
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -73,8 +75,8 @@ def top_k_batched(vectors: DataFrame, queries: list[tuple[int, Sequence[float]]]
             own = b.column(0).to_numpy(zero_copy_only=False)
             m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
             squares = (m * m).sum(1)
-            for at in range(0, len(matrix), 256):
-                q = matrix[at : at + 256]
+            for at in range(0, len(matrix), QUERY_BLOCK):
+                q = matrix[at : at + QUERY_BLOCK]
                 near = squares[None, :] - 2 * (q @ m.T) + (q * q).sum(1)[:, None]
                 if k < b.num_rows:
                     kth = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
@@ -82,9 +84,7 @@ def top_k_batched(vectors: DataFrame, queries: list[tuple[int, Sequence[float]]]
                 else:
                     qi, vi = (x.ravel() for x in np.indices(near.shape))
                 d = ((m[vi] - q[qi]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256][qi]), pa.array(own[vi]), pa.array(d)], ["query_id", "id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + QUERY_BLOCK][qi]), pa.array(own[vi]), pa.array(d)], ["query_id", "id", "distance"])
 
-
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector_col).mapInArrow(compare, "query_id long, id long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector_col).filter(F.col(vector_col).isNotNull())
+    return rows.mapInArrow(compare, "query_id long, id long, distance double")
