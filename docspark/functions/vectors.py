@@ -28,11 +28,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
-def normalized(a: Column, dim: int | None = None) -> Column:
-    """To unit length, after cutting to the leading ``dim`` elements; a zero vector stays zero."""
+def normalized(a: Column, dim: int | None = None, kind: str = "float") -> Column:
+    """To unit length, after cutting to the leading ``dim`` elements; a zero vector stays zero. ``kind``: of the elements."""
     a = F.slice(a, 1, dim) if dim else a
     n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float"))
+    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast(kind))
 
 
 def cosine_from_distance(distance: Column) -> Column:

@@ -84,8 +84,8 @@ def similarities(spark, d):
 
 
 def l2_normalize(spark, d):
-    v = vectors.normalized(F.transform("embedding", lambda x: x * 3), 16)
-    return stored_vectors(spark, d).select("id", F.round(v[0].cast("double"), 4).alias("first"), F.round(vectors.norm(v), 4).alias("norm"), F.size(v).alias("dim"))
+    v = vectors.normalized(F.transform("embedding", lambda x: x.cast("double") * 3), 16, "double")
+    return stored_vectors(spark, d).select("id", six(v[0], "first"), six(vectors.norm(v), "norm"), F.size(v).alias("dim"))
 
 
 # keywords
@@ -404,9 +404,9 @@ ORACLE: dict[str, str] = {
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id)::INTEGER AS rank FROM x)
 SELECT query_id, id, round(dist, 6) AS distance, rank FROM r WHERE rank <= 5""",
     "similarities": f"SELECT vec_id AS id, round({_DOT}, 6) AS dot, round(1 - {_DIST} / 2, 6) AS cosine FROM embeddings e, {_Q} q",
-    "l2_normalize": """WITH v AS (SELECT vec_id AS id, list_transform(embedding[1:16], lambda x: (x * 3)::FLOAT::DOUBLE) AS v FROM embeddings),
+    "l2_normalize": """WITH v AS (SELECT vec_id AS id, list_transform(embedding[1:16], lambda x: x::DOUBLE * 3) AS v FROM embeddings),
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
-SELECT id, round((v[1] / n)::FLOAT::DOUBLE, 4) AS first, round(sqrt(list_sum(list_transform(v, lambda x: (x / n)::FLOAT::DOUBLE * (x / n)::FLOAT::DOUBLE))), 4) AS norm, len(v)::INTEGER AS dim FROM n""",
+SELECT id, round(v[1] / n, 6) AS first, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) AS norm, len(v)::INTEGER AS dim FROM n""",
     "bm25_topk": f"WITH {_bm25()} SELECT id, round(score, 6) AS score FROM s",
     "bm25_prefix": f"WITH {_bm25(where=chr(39) + '/' + chr(39) + ' || m.source || ' + chr(39) + '/' + chr(39) + ' LIKE ' + chr(39) + '/src1/%' + chr(39))} SELECT id, round(score, 6) AS score FROM s",
     "bm25_phrase": rf"""WITH t AS (SELECT doc_id AS id, {_TOK} AS tok FROM documents), c AS (SELECT count(*) AS n, avg(len(tok)) AS av FROM t),
