@@ -1,7 +1,8 @@
 """The engine's queries over the driver's tables, and the SQL that gives the same rows.
 
 ``documents`` stands for passages (path ``/source/doc_id.txt``), ``embeddings`` for their vectors. Hybrid queries pair
-vec_id with doc_id: the two have nothing to do with each other, and the pairing only serves to have both lists.
+vec_id with doc_id: the two have nothing to do with each other, and the pairing only serves to have both lists. Documents
+without a vector stay in the keyword list and its statistics; only the vector list passes them over.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def doc_stats(spark, d):
 
 def _hybrid(spark, d, **more):
     q = Query(vector=vector_of(spark, d), text=TEXT, top_k=K, **more)
-    rows = with_vectors(spark, d).filter("embedding IS NOT NULL")
+    rows = with_vectors(spark, d)
     return sentinels(hybrid_search(rows, q)).select("id", six(F.col("score"), "score"), six(F.col("distance"), "distance"), six(F.col("keyword_score"), "keyword_score"), "vector_rank", "keyword_rank")
 
 
@@ -149,7 +150,7 @@ def prefix_hybrid(spark, d):
 
 def acl_filtered_search(spark, d):
     """An access list of ids; both lists see only its rows, statistics are of all rows."""
-    rows = with_vectors(spark, d).filter("embedding IS NOT NULL")
+    rows = with_vectors(spark, d)
     acl = stored_vectors(spark, d).filter("label < 4").select("id")
     hits = hybrid_search(rows, Query(vector=vector_of(spark, d), text=TEXT, top_k=K), acl=acl)
     return sentinels(hits).select("id", six(F.col("score"), "score"), "vector_rank", "keyword_rank")
@@ -157,7 +158,7 @@ def acl_filtered_search(spark, d):
 
 def hits_with_text(spark, d):
     """Hits joined to their passages: path, base name, similarity and JSON."""
-    rows, v = with_vectors(spark, d).filter("embedding IS NOT NULL"), vector_of(spark, d)
+    rows, v = with_vectors(spark, d), vector_of(spark, d)
     hits = hybrid_search(rows, Query(vector=v, text=TEXT, top_k=K))
     out = with_similarity(hits, rows, v)
     return out.select("id", answers.base_name(F.col("source_path")).alias("name"), six(F.col("similarity"), "similarity"), F.to_json(F.struct("id", "source_path")).alias("json"))
@@ -329,7 +330,7 @@ def overlap_dedupe(spark, d):
 
 def ask_extractive(spark, d):
     """A question answered from the best passages by the generator without a model."""
-    rows = with_vectors(spark, d).filter("embedding IS NOT NULL")
+    rows = with_vectors(spark, d)
     v = vector_of(spark, d)
     hits = with_similarity(hybrid_search(rows, Query(vector=v, text=TEXT, top_k=8)), rows, v).collect()
     own = [A.Passage(r["id"], r["doc_id"], r["source_path"], "", 0, 0, len(r["text"].encode()), r["text"][:800], r["score"], r["similarity"]) for r in hits]
