@@ -55,6 +55,11 @@ def with_vectors(spark: SparkSession, d: str) -> DataFrame:
     return passages(spark, d).join(stored_vectors(spark, d).select("id", "embedding"), "id", "left")
 
 
+def pieces(rows: DataFrame, **limits) -> DataFrame:
+    """The passages of each row's text, with ids of their own: the row's times 2^20, plus the place."""
+    return chunk_documents(rows, **limits).withColumn("id", F.col("id") * (1 << 20) + F.col("chunk_index"))
+
+
 def six(c, name: str):
     return F.round(c, 6).alias(name)
 
@@ -329,11 +334,11 @@ def overlap_dedupe(spark, d):
 
 
 def ask_extractive(spark, d):
-    """A question answered from the best passages by the generator without a model."""
-    rows = with_vectors(spark, d)
-    v = vector_of(spark, d)
-    hits = with_similarity(hybrid_search(rows, Query(vector=v, text=TEXT, top_k=8)), rows, v).collect()
-    own = [A.Passage(r["id"], r["doc_id"], r["source_path"], "", 0, 0, len(r["text"].encode()), r["text"][:800], r["score"], r["similarity"]) for r in hits]
+    """A question answered from the best passages by the generator without a model. A passage has its document's vector."""
+    rows, v = pieces(with_vectors(spark, d)), vector_of(spark, d)
+    hits = with_similarity(hybrid_search(rows, Query(vector=v, text=TEXT, top_k=8)), rows, v)
+    best_first = hits.orderBy(F.desc("score"), F.col("vector_rank").asc_nulls_last(), F.col("keyword_rank").asc_nulls_last()).collect()
+    own = [A.Passage(r["id"], r["doc_id"], r["source_path"], "", r["page"], r["offset"], r["length"], r["text"], r["score"], r["similarity"]) for r in best_first]
 
     def retrieve(s: A.State) -> None:
         s.passages = own

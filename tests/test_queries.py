@@ -45,3 +45,12 @@ def test_documents_without_a_vector_are_searched(spark, tables):
     assert {r["id"] for r in rows} == {0, 1, 2, 3, 4, 20, 21, 22}
     assert {r["id"]: r["keyword_score"] for r in rows if r["keyword_rank"]} == want
     assert {r["id"] for r in Q.hits_with_text(spark, d).collect()} == {0, 1, 2, 3, 4, 20, 21, 22}
+
+
+def test_ask_reads_whole_documents(spark, tables):
+    begin = "Plain filler sentence of the beginning. " * 40
+    told = "The hetion and the ering of an eau are told here."
+    d = tables([(3, begin + told), (4, begin + "Nothing of it."), *((i, f"other {i}") for i in range(5, 12))])
+    got = Q.ask_extractive(spark, d).first()
+    assert got["found"] and got["answer"].startswith(told)
+    assert [i >> 20 for i in got["cited"]] == [3] and got["cited"][0] % (1 << 20) > 0
