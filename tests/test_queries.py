@@ -54,3 +54,14 @@ def test_ask_reads_whole_documents(spark, tables):
     got = Q.ask_extractive(spark, d).first()
     assert got["found"] and got["answer"].startswith(told)
     assert [i >> 20 for i in got["cited"]] == [3] and got["cited"][0] % (1 << 20) > 0
+
+
+def test_snippets_of_all_documents(spark, tables):
+    texts = [(0, "plain " * 20), (1, "é" * 40), (2, "a" + "é" * 40), (3, "कंपन रखरखाव\n" * 5), (4, "a😀" * 20), (5, "é" * 30), (6, ""), (7, None), (8, "x" * 59 + "é")]
+
+    def cut(text):
+        line = re.sub("[\r\n]", " ", text)
+        return line if len(line.encode()) <= 60 else line.encode()[:60].decode(errors="ignore") + "..."
+
+    got = {r["doc_id"]: r["snippet"] for r in Q.snippets(spark, tables(texts)).collect()}
+    assert got == {i: None if text is None else cut(text) for i, text in texts}
