@@ -325,10 +325,10 @@ def embed_documents(spark, d):
 
 
 def overlap_dedupe(spark, d):
-    """Passages of long documents as a ranked list: those that repeat a better one go."""
-    rows = chunk_documents(table(spark, d, "documents").filter("n_chars > 4000").select("doc_id", "text"), target=400, most=600, overlap=80)
-    top = rows.orderBy(F.xxhash64("doc_id", "chunk_index"), "doc_id", "chunk_index").limit(100).collect()
-    s = A.State("", [A.Passage(i, str(r["doc_id"]), str(r["doc_id"]), "", r["page"], r["offset"], r["length"], r["text"], -i, 1.0) for i, r in enumerate(top)])
+    """The best 100 passages of all documents for a query text: those that repeat a better one go. Ids are places in the list."""
+    rows = pieces(passages(spark, d), target=400, most=600, overlap=80)
+    top = rows.join(F.broadcast(keyword_top(rows, TEXT, 100)), "id").orderBy(F.desc("score"), "id").collect()
+    s = A.State(TEXT, [A.Passage(i, r["doc_id"], r["source_path"], "", r["page"], r["offset"], r["length"], r["text"], r["score"], 1.0) for i, r in enumerate(top)])
     A.drop_repeats(s)
     return spark.createDataFrame([(p.id, p.doc_id, p.offset) for p in s.passages], "id long, doc_id string, offset long")
 

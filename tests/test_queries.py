@@ -65,3 +65,11 @@ def test_snippets_of_all_documents(spark, tables):
 
     got = {r["doc_id"]: r["snippet"] for r in Q.snippets(spark, tables(texts)).collect()}
     assert got == {i: None if text is None else cut(text) for i, text in texts}
+
+
+def test_overlap_dedupe_takes_the_best_passages(spark, tables):
+    texts = [(0, "hetion ering eau"), (1, "hetion ering eau"), (2, "hetion hetion hetion"), *((i, f"nothing {i} here") for i in range(3, 12))]
+    got = [(r["doc_id"], r["offset"]) for r in Q.overlap_dedupe(spark, tables(texts)).collect()]
+    scores = bm25(texts, Q.WORDS)
+    order = [i for i in sorted(scores, key=lambda i: (-scores[i], i)) if i != 1]
+    assert got == [(str(i), 0) for i in order]
