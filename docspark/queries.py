@@ -116,7 +116,7 @@ def bm25_phrase(spark, d):
 
 def term_df(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    return rows.groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("doc_id").alias("df")).filter("df >= 5")
+    return rows.groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("doc_id").alias("df"))
 
 
 def doc_stats(spark, d):

@@ -73,3 +73,8 @@ def test_overlap_dedupe_takes_the_best_passages(spark, tables):
     scores = bm25(texts, Q.WORDS)
     order = [i for i in sorted(scores, key=lambda i: (-scores[i], i)) if i != 1]
     assert got == [(str(i), 0) for i in order]
+
+
+def test_term_df_has_rare_terms(spark, tables):
+    got = {r["term"]: (r["tf"], r["df"]) for r in Q.term_df(spark, tables([(0, "rare common common"), (1, "common"), (2, None)])).collect()}
+    assert got == {"rare": (1, 1), "common": (3, 2)}
