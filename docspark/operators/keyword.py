@@ -6,9 +6,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.terms import query_phrases, tokens
@@ -62,6 +63,11 @@ def keyword_scores(postings: DataFrame, lengths: DataFrame, phrases: list[list[s
 
     ``allowed``: ids that may be listed; document frequencies and lengths are of all rows regardless.
     """
+    return _phrase_scores(postings, lengths, phrases, allowed).groupBy("id").agg(F.sum("part").alias("score"))
+
+
+def _phrase_scores(postings: DataFrame, lengths: DataFrame, phrases: list[list[str]], allowed: DataFrame | None = None) -> DataFrame:
+    """Rows (phrase, id, part): what each phrase adds to the score of each row that has it."""
     matches = phrase_matches(postings, phrases)
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("average"))
     df = matches.groupBy("phrase").agg(F.count("*").alias("df"))
@@ -71,10 +77,22 @@ def keyword_scores(postings: DataFrame, lengths: DataFrame, phrases: list[list[s
     weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
     rows = matches.join(F.broadcast(df), "phrase").join(lengths, "id").crossJoin(F.broadcast(corpus))
-    return rows.groupBy("id").agg(F.sum(part).alias("score"))
+    return rows.select("phrase", "id", part.alias("part"))
 
 
 def keyword_top(rows: DataFrame, text: str, k: int, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """The k best rows (id, score) for a query text, straight from a table of texts; equal scores by id."""
     postings, lengths = index_terms(rows, id_col, text_col)
     return keyword_scores(postings, lengths, query_phrases(text), allowed).orderBy(F.desc("score"), "id").limit(k)
+
+
+def keyword_top_batched(rows: DataFrame, queries: list[tuple[int, str]], k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Rows (query_id, id, score, rank): ``keyword_top`` of each of a given list of queries; their phrases are looked up once."""
+    asked = [(q, tuple(p)) for q, text in queries for p in query_phrases(text)]
+    number = {p: i for i, p in enumerate(dict.fromkeys(p for _, p in asked))}
+    times = Counter((q, number[p]) for q, p in asked)
+    wanted = rows.sparkSession.createDataFrame([(q, i, n) for (q, i), n in times.items()], "query_id long, phrase int, times int")
+    parts = _phrase_scores(*index_terms(rows, id_col, text_col), [list(p) for p in number])
+    scores = parts.join(F.broadcast(wanted), "phrase").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)

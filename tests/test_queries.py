@@ -6,6 +6,7 @@ import re
 import pytest
 
 from docspark import queries as Q
+from docspark.operators.keyword import keyword_top, keyword_top_batched
 
 
 @pytest.fixture()
@@ -78,3 +79,22 @@ def test_overlap_dedupe_takes_the_best_passages(spark, tables):
 def test_term_df_has_rare_terms(spark, tables):
     got = {r["term"]: (r["tf"], r["df"]) for r in Q.term_df(spark, tables([(0, "rare common common"), (1, "common"), (2, None)])).collect()}
     assert got == {"rare": (1, 1), "common": (3, 2)}
+
+
+def test_recall_is_of_the_engines_search(spark, tables):
+    """The passage alone, or among 4,000 other words, where ten short texts of its rarest words stand before it; one passage is nowhere."""
+    told = "alpha beta gamma"
+    texts = [(0, f"{told} " + "long " * 4000), *((i, "alpha beta") for i in range(1, 12)), (12, "delta epsilon"), *((i, f"other {i}") for i in range(13, 60))]
+    d = tables(texts)
+    items = [(0, told), (1, "delta epsilon"), (2, "zeta eta")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    place = lambda words, i: sorted((-s, j) for j, s in bm25(texts, words.split()).items()).index((-bm25(texts, words.split())[i], i))
+    assert place(told, 0) >= 10 and place("delta epsilon", 12) == 0
+    assert tuple(Q.recall_at_10(spark, d).first()) == (2, 0.5)
+
+
+def test_batched_keyword_search_is_the_single_one(spark):
+    rows = spark.createDataFrame([(0, "a b c"), (1, "b b x-y"), (2, "x y"), (3, "c c d"), (4, None)], "id long, text string")
+    queries = [(7, "b b"), (8, "x-y c"), (9, "nowhere")]
+    got = [(r["query_id"], r["id"], round(r["score"], 9)) for r in keyword_top_batched(rows, queries, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(q, r["id"], round(r["score"], 9)) for q, text in queries for r in keyword_top(rows, text, 2).collect()]
