@@ -24,10 +24,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_bm25_search": lambda spark, d: bm25_search.query(spark, docs(spark, d)),
-        "op2_token_store": lambda spark, d: token_store.query(spark, docs(spark, d)),
-        "op3_secret_scan": lambda spark, d: secret_scan.query(spark, docs(spark, d)),
-        "op4_near_dedup": lambda spark, d: near_dedup.query(spark, docs(spark, d)),
         "op5_chat_format": chat_format.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,

@@ -20,3 +20,7 @@ def test_library_stands_without_the_llm_subpackage(monkeypatch):
     assert not any(k.startswith("op1") or k == "pipeline" for k in alone.queries())
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_sql_is_text():
+    assert all(isinstance(v, str) for v in entry.oracle_sql().values())
