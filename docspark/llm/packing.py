@@ -5,9 +5,10 @@ a grid; the cell's place on the Hilbert curve is the document's key. Documents a
 end; sequences are consecutive stretches of that line, so that neighbours on the curve share sequences and only the last
 sequence of all is padded.
 
-Ids are encoded once and written. Ranges of the curve come from approximate quantiles of the keys, whose lower bits are a
-hash of the document, so that any number of copies of one text spreads over ranges. Token counts per range, added up
-over a small table, tell each range where it begins; the ranges are then cut independently.
+Ids are encoded once and written. The line is cut into ranges at quantiles of a sample of keys, which only decide how
+evenly the tasks are loaded: order and sequences are the same with any bounds. A key's lower bits are a hash of the
+document, so that any number of copies of one text spreads over ranges. Token counts per range, added up over a small
+table, tell each range where it begins; a range is a task, and ranges are cut independently.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from docspark.llm.tokens import encoder
 LENGTH, END_ID = 2048, 1
 #: Buckets of the hashed vectors, dimensions of the curve, bits a dimension, bits of the hash below the key.
 BUCKETS, DIMS, BITS, TIE_BITS = 1024, 4, 8, 30
-#: Tokens in a range of the curve, and the most ranges (their totals go through the driver).
-RANGE_TOKENS, MOST_RANGES = 2_000_000, 8_192
+#: Tokens in a range of the curve, and the most ranges (their totals go through the driver, 16 bytes each).
+RANGE_TOKENS, MOST_RANGES = 8_000_000, 65_536
+#: Keys looked at for each bound between ranges.
+SAMPLE = 32
 
 
 def projection() -> np.ndarray:
@@ -102,11 +105,15 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, length: int = LE
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("tie"))
     coded = scratch.save(source.mapInArrow(encode, f"doc_id {id_type}, key long, n long, ids binary"), "ids")
-    total = coded.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, min(MOST_RANGES, total // RANGE_TOKENS))
-    quantiles = [i / ranges for i in range(1, ranges)]
-    found = coded.agg(F.percentile_approx("key", F.array(*map(F.lit, quantiles)), 10 * ranges)).first()[0] if quantiles else []
-    bounds = np.unique(np.array(found or [], dtype=np.int64))
+    rows, total = coded.agg(F.count("*"), F.sum("n")).first()
+    ranges = max(1, min(MOST_RANGES, (total or 0) // RANGE_TOKENS))
+    bounds = np.zeros(0, dtype=np.int64)
+    if ranges > 1:
+        share = min(1.0, SAMPLE * ranges / rows)  # by a hash of the key, at most about SAMPLE keys a range
+        looked = coded.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").toArrow()
+        looked = np.sort(looked.column(0).to_numpy())
+        if len(looked):
+            bounds = np.unique(looked[np.arange(1, ranges) * len(looked) // ranges])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(len(bounds) + 1, dtype=np.int64)
@@ -150,7 +157,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, length: int = LE
             yield pa.RecordBatch.from_arrays([pa.array(docs_here, b.column(1).type), *cols, *extra], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
 
     placed = coded.mapInArrow(place, f"range long, doc_id {id_type}, key long, n long, ids binary")
-    line = placed.repartition("range").sortWithinPartitions("range", "key", "doc_id", "n").select("range", "doc_id", "n", "ids")
+    line = placed.repartitionById(len(sizes), F.col("range").cast("int")).sortWithinPartitions("range", "key", "doc_id", "n").select("range", "doc_id", "n", "ids")
     return line.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids)
 
 

@@ -14,9 +14,10 @@ A shard is one file, little-endian throughout:
     payload              ids
 
 The hash is a cascade of bit arrays: a key's slot is the rank of its bit on the first level where it met no other key.
-Fingerprints reject keys that are not in the shard (but for 2**-32 of them, for which the key column is compared).
+Fingerprints reject keys that are not in the shard (but for 2**-32 of them, for which the key column is compared). A
+key is found with a fixed number of short reads: its bit and rank on a level, fingerprint, row, key and ends.
 Files are written under another name and then moved; the manifest, which the writing job returns, names the files that
-count, so that a task that runs twice leaves no trace in the result.
+count, so that a task that runs twice leaves no trace in the result. It also has each shard's least and greatest key.
 """
 
 from __future__ import annotations
@@ -37,7 +38,13 @@ from docspark.llm.tokens import encoder
 SHARD_BYTES = 64 << 20
 NO_KEY = np.iinfo(np.int64).min
 MAGIC, VERSION, GAMMA, LEVELS = int.from_bytes(b"DSTK", "little"), 1, 2.0, 64
-MANIFEST = "part long, seq long, path string, documents long, ids long"
+MANIFEST = "part long, seq long, path string, documents long, ids long, lo long, hi long"
+#: Characters of a text by which rows of one id are dealt to tasks.
+PREFIX = 32
+#: Shards whose key ranges are sent to all tasks (16 bytes each); the ranges of more are joined.
+MOST_RANGES = 1_000_000
+#: Keys asked of a shard from which its index is read whole.
+MANY_KEYS = 256
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -121,48 +128,76 @@ def write_shard(path: str, keys: np.ndarray, counts: np.ndarray, payload: bytes,
 
 
 class Shard:
-    """A shard file open for keyed access."""
+    """A shard file open for keyed access. ``whole``: read at once, else by ranges as they are needed."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: bool = True):
         fs, at = filesystem(path)
-        with fs.open_input_file(at) as f:
-            raw = f.read_buffer()
-        head = np.frombuffer(raw, "<u8", 8).tolist()
+        self.file = fs.open_input_file(at)
+        self.raw = self.file.read_buffer() if whole else None
+        head = np.frombuffer(self._bytes(0, 64), "<u8").tolist()
         if head[0] != MAGIC or head[1] != VERSION:
             raise ValueError(f"not a shard of version {VERSION}: {path}")
-        _, _, width, n, self.ids_total, distinct, words, levels = head
-        pos = 64
-
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal pos
-            out = np.frombuffer(raw, kind, count, pos)
-            pos += out.nbytes
-            return out
-
-        self.keys, self.ends = take("<i8", n), take("<u8", n).astype(np.int64)
-        self.index = PerfectHash(take("<u8", levels), take("<u8", words), take("<u8", words))
-        self.prints, self.places = take("<u4", distinct), take("<u4", distinct)
-        self.ids = take(f"<u{width}", self.ids_total)
+        _, _, self.width, self.rows, self.ids_total, self.distinct, words, levels = head
+        at, self.places = 64, {}
+        for name, kind, count in (
+            ("keys", "<i8", self.rows), ("ends", "<u8", self.rows), ("sizes", "<u8", levels), ("bits", "<u8", words), ("ranks", "<u8", words),
+            ("prints", "<u4", self.distinct), ("firsts", "<u4", self.distinct), ("ids", f"<u{self.width}", self.ids_total),
+        ):
+            self.places[name] = (at, np.dtype(kind), count)
+            at += count * np.dtype(kind).itemsize
+        sizes = self.part("sizes")
+        self.index = PerfectHash(sizes, self.part("bits"), self.part("ranks")) if whole else None
+        self.levels = list(zip(sizes.tolist(), (np.cumsum(sizes) - sizes).tolist(), strict=True))
+
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+    def _bytes(self, at: int, n: int):
+        if self.raw is not None:
+            return self.raw[at : at + n]
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def part(self, name: str, first: int = 0, count: int | None = None) -> np.ndarray:
+        """Entries of one of the file's arrays."""
+        at, kind, total = self.places[name]
+        count = total - first if count is None else min(count, total - first)
+        return np.frombuffer(self._bytes(at + first * kind.itemsize, count * kind.itemsize), kind)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The first row of each key, or -1."""
+        """The first row of each key, or -1; for a shard that was read whole."""
         keys = np.asarray(keys, dtype=np.int64)
-        if not len(self.prints):
+        if not self.distinct:
             return np.full(len(keys), -1, dtype=np.int64)
         slot = self.index.slots(keys)
-        row = self.places[np.maximum(slot, 0)].astype(np.int64)
-        good = (slot >= 0) & (self.prints[np.maximum(slot, 0)] == fingerprints(keys)) & (self.keys[row] == keys)
+        row = self.part("firsts")[np.maximum(slot, 0)].astype(np.int64)
+        good = (slot >= 0) & (self.part("prints")[np.maximum(slot, 0)] == fingerprints(keys)) & (self.part("keys")[row] == keys)
         return np.where(good, row, -1)
 
-    def row(self, at: int) -> np.ndarray:
-        return self.ids[self.ends[at - 1] if at else 0 : self.ends[at]]
+    def find_one(self, key: int) -> int:
+        """The first row of a key, or -1, by short reads."""
+        own = np.array([key], dtype=np.int64)
+        for level, (words, base) in enumerate(self.levels):
+            bit = int(mixed(own, level + 1)[0] % np.uint64(words * 64))
+            word = int(self.part("bits", base + bit // 64, 1)[0])
+            if word >> (bit % 64) & 1:
+                slot = int(self.part("ranks", base + bit // 64, 1)[0]) + (word & ((1 << bit % 64) - 1)).bit_count()
+                if self.part("prints", slot, 1)[0] != fingerprints(own)[0]:
+                    return -1
+                row = int(self.part("firsts", slot, 1)[0])
+                return row if self.part("keys", row, 1)[0] == key else -1
+        return -1
 
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of every row with this key (one, unless a key repeats)."""
-        at = int(self.find(np.array([key]))[0])
+        at = int(self.find(np.array([key]))[0]) if self.raw is not None else self.find_one(key)
         out = []
-        while 0 <= at < len(self.keys) and self.keys[at] == key:
-            out.append(self.row(at))
+        while 0 <= at < self.rows and self.part("keys", at, 1)[0] == key:
+            begin = int(self.part("ends", at - 1, 1)[0]) if at else 0
+            out.append(self.part("ids", begin, int(self.part("ends", at, 1)[0]) - begin))
             at += 1
         return out
 
@@ -172,8 +207,8 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str
     ``base``: the ids of all shards before it.
 
     Every row is written, in ascending (id, text) order with rows without an id first. A null or empty text is its end
-    id alone. Rows that repeat an id follow one another and are found together. An empty table gives no shards. Further
-    columns are ignored.
+    id alone. Rows that repeat an id follow one another and are found together, even where they are dealt to several
+    tasks. An empty table gives no shards. Further columns are ignored.
     """
     path = path.rstrip("/")
 
@@ -185,14 +220,16 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str
         keys: list[int] = []
         counts: list[int] = []
         chunks: list[bytes] = []
-        size = 0
+        size, names = 0, [c.split()[0] for c in MANIFEST.split(", ")]
 
         def close() -> pa.RecordBatch:
             nonlocal seq, size
             to = f"{path}/{part:06d}-{seq:05d}-{uuid.uuid4().hex}.bin"
             n = np.array(counts, dtype=np.int64)
             write_shard(to, np.array(keys, dtype=np.int64), n, b"".join(chunks), enc.dtype.itemsize)
-            row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [to], "documents": [len(n)], "ids": [int(n.sum())]})
+            lo = next((k for k in keys if k != NO_KEY), None)  # ascending, those without a key first
+            values = (part, seq, to, len(n), int(n.sum()), lo, None if lo is None else keys[-1])
+            row = pa.RecordBatch.from_arrays([pa.array([x], pa.string() if isinstance(x, str) else pa.int64()) for x in values], names)
             seq, size = seq + 1, 0
             keys.clear(), counts.clear(), chunks.clear()
             return row
@@ -210,7 +247,9 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    manifest = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(write, MANIFEST)
+    # dealt by the beginnings of texts too: an id or the lack of one that very many rows share is not one task's
+    dealt = rows.repartitionByRange("id", F.substring("text", 1, PREFIX))
+    manifest = dealt.sortWithinPartitions("id", "text").mapInArrow(write, MANIFEST)
     manifest = Scratch(spark, "token-manifest").save(manifest, "manifest")
     # one row a shard
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -223,51 +262,66 @@ def read_store(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(path)
-                keyed = shard.keys != NO_KEY
-                row = np.arange(len(shard.keys))
-                again = np.concatenate([[False], shard.keys[1:] == shard.keys[:-1]])
-                found = np.where(keyed, shard.find(shard.keys), row)
-                if (found < 0).any() or (found[~again] != row[~again]).any():
-                    raise ValueError(f"the index of {path} does not lead to its documents")
-                begin = np.concatenate([[0], shard.ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(shard.row(i).astype("<u4").tobytes()) for i in row.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.keys, mask=~keyed), pa.array(begin + base), pa.array(shard.ends - begin), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    shards = manifest.select("path", "base").repartition(F.col("path"))
+                with Shard(path) as shard:
+                    keys, ends, ids = shard.part("keys"), shard.part("ends").astype(np.int64), shard.part("ids")
+                    keyed = keys != NO_KEY
+                    row = np.arange(len(keys))
+                    again = np.concatenate([[False], keys[1:] == keys[:-1]])
+                    found = np.where(keyed, shard.find(keys), row)
+                    if (found < 0).any() or (found[~again] != row[~again]).any():
+                        raise ValueError(f"the index of {path} does not lead to its documents")
+                    begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                    crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(begin.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys, mask=~keyed), pa.array(begin + base), pa.array(ends - begin), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
+
+    # a shard a task, by number: what a manifest row weighs says nothing of its shard
+    line = manifest.select("path", "base", (F.row_number().over(Window.orderBy("part", "seq")) - 1).alias("n"))
+    shards = line.repartitionById(max(1, manifest.count()), F.col("n")).select("path", "base")
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, ids) of the wanted keys: each shard is asked for the keys of its range only.
+    """Rows (doc_id, ids) of the wanted keys: each shard is asked for the keys of its range only, by short reads.
 
-    Keys that are not in the store give no row; a key that repeats in ``keys`` is looked up once.
+    Keys that are not in the store give no row; a null key gives none; a key that repeats in ``keys`` is looked up once.
     """
-
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                k = Shard(path).keys
-                k = k[k != NO_KEY]
-                if len(k):
-                    yield pa.RecordBatch.from_pydict({"path": [path], "lo": [int(k[0])], "hi": [int(k[-1])]})
+    ranges = manifest.filter("lo IS NOT NULL").select("path", "lo", "hi")
+    wanted = keys.select(F.col(key_col).cast("long").alias("key")).filter("key IS NOT NULL").distinct()
+    shards = ranges.count()
+    if shards <= MOST_RANGES:
+        table = ranges.orderBy("lo", "hi").toArrow()
+        paths, lo, hi = table.column("path").to_pylist(), table.column("lo").to_numpy(), table.column("hi").to_numpy()
+        sent = manifest.sparkSession.sparkContext.broadcast((paths, lo, hi))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            paths, lo, hi = sent.value
+            for b in batches:
+                k = b.column(0).to_numpy()
+                # shards are ranges in order, which share at most the keys at their ends
+                first, last = np.searchsorted(hi, k, "left"), np.searchsorted(lo, k, "right")
+                n = np.maximum(last - first, 0)
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in at.tolist()], pa.string()), pa.array(np.repeat(k, n))], ["path", "key"])
+
+        pairs = wanted.mapInArrow(place, "path string, key long")
+    else:
+        pairs = wanted.join(ranges, F.col("key").between(F.col("lo"), F.col("hi"))).select("path", "key")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, shard = None, None
         for batch in batches:
+            asked: dict[str, list[int]] = {}
             for path, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if path != name:
-                    name, shard = path, Shard(path)
-                for ids in shard.get(key):
-                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], ["doc_id", "ids"])
-
-    ranges = manifest.select("path").mapInArrow(firsts, "path string, lo long, hi long")
-    wanted = keys.select(F.col(key_col).cast("long").alias("key")).distinct()
-    pairs = wanted.join(ranges, F.col("key").between(F.col("lo"), F.col("hi"))).select("path", "key")
-    return pairs.repartition("path").sortWithinPartitions("path", "key").mapInArrow(get, "doc_id long, ids array<long>")
+                asked.setdefault(path, []).append(key)
+            for path, own in asked.items():
+                with Shard(path, whole=len(own) >= MANY_KEYS) as shard:
+                    for key in own:
+                        for ids in shard.get(key):
+                            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return pairs.repartition(min(10_000, max(1, shards)), "path").sortWithinPartitions("path", "key").mapInArrow(get, "doc_id long, ids array<long>")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
@@ -18,8 +19,9 @@ KEEP = 500_000
 MARK = "\x01"
 #: What str.split() takes for white space and the vocabularies do not.
 ODD = "\x1c\x1d\x1e\x1f"
-#: Letters whose lower case depends on where they stand, or is more than a letter.
-CONTEXT = "Σİẞΐΰᾈᾘᾨ"
+#: Latin letters and punctuation that are composed already, and whose lower case is one composed letter that does not
+#: depend on its neighbours: lower-casing them commutes with NFC. All other texts are lower-cased by the library alone.
+PLAIN = re.compile("[\x00-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f\u2010-\u2027\u20ac]*")
 #: White space other than single spaces and line feeds.
 RUNS = ("  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
@@ -73,10 +75,12 @@ class UnitEncoder:
         if self.mode == "drop":
             if any(c in text for c in ODD):
                 return None
-            if self.lowers and not any(c in text for c in CONTEXT):
-                text = text.lower()
-                if any(s in text for s in self.special):
+            if self.lowers:
+                low = text.lower()
+                if any(s in low for s in self.special):
                     return None
+                if text.isascii() or PLAIN.fullmatch(text):
+                    text = low
             return text.split()
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in RUNS):
             return None

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -214,6 +215,18 @@ def test_secret_ledger_is_incremental(spark, tmp_path):
 
 
 NASTY = ["", " ", "a", "The  double", "tail ", " head", "line\nbreak,\nand. more\n\nblank", "tab\there \t x", "it's we'll 'sword", "x<|endoftext|>y", "<|startoftext|>", "a <|STARTOFTEXT|> b", "x<|EndOfText|>", "É́cole é ﬁ", "a b   c", "\x1c odd \x1f", "\x01mark \x01", "日本語 テキスト", "🙂🙂 ok", "end. end, End.,", "İstanbul ΣΑΣ", "12345 6,7", "\r\nwin\r\n"]
+#: Lower-casing and NFC do not commute here: each first letter has no composed form with the mark, its lower case has.
+NASTY += ["a b\u1fb9\u0342\u0345 c", *(f"x {c}{m} y" for c in "\u0389\u038f\u1fba\u1fbb\u1fca\u1fcb\u1ffa\u1ffb" for m in "\u0345"), *(f"x {c}\u0301 y" for c in "\u03aa\u03ab\u1fbc\u1fcc\u1ffc")]
+
+
+def mixed_texts(n):
+    """Words of letters with and without composed forms, combining marks anywhere, control tokens and odd white space."""
+    r = random.Random(5)
+    marks = [chr(c) for c in (*range(0x300, 0x315), 0x323, 0x327, 0x328, 0x342, 0x345, 0x3099, 0x5B0, 0x93C, 0x11A8)]
+    letters = [*"abcDEFxyzXYZ01.,!'-_/|<>", "'s", "'LL", *"\u0130\u03a3\u03c2\u1e9e\u00df\u212b\u00c5\u212a\u023a\u023e\u0181\u00c9\u00e9\u00d1\u0386\u0389\u1fbc\u03aa\u1f88\ufb01\u65e5\u1100\uac00\u304b\U0001f642\u0915\u01c5\u017f\u0416", "<|endoftext|>", "<|STARTOFTEXT|>"]
+    spaces = [" "] * 12 + ["  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "\x85", "\x1c", "\x01", "\u3000", "\u200b"]
+    word = lambda: "".join(r.choice(letters) + (r.choice(marks) if r.random() < 0.25 else "") for _ in range(r.randint(1, 4)))
+    return ["".join(word() + r.choice(spaces) for _ in range(r.randint(0, 6))) for _ in range(n)]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -225,13 +238,29 @@ def test_unit_encoder(name, monkeypatch):
     monkeypatch.setattr(tokens, "KEEP", 150)  # generations turn over
     enc, plain = UnitEncoder(P.path(name)), Tokenizer.from_file(P.path(name))
     assert enc.mode in ("prefix", "drop")
-    texts = NASTY + [t or "" for _, t, *_ in base_rows()]
+    texts = NASTY + [t or "" for _, t, *_ in base_rows()] + mixed_texts(3000)
     for part in (texts, texts[::-1], texts):
         got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(part)]
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in part]
 
 
-def test_token_store(spark, docs, empty):
+def test_token_store_finds_an_id_of_many_rows(spark):
+    """An id and the lack of one that a third of the rows share each, over several tasks and shards."""
+    rows = [(6 if i % 3 == 0 else None if i % 3 == 1 else i, f"{i % 40} text {i}") for i in range(600)]
+    path = Scratch(spark, "test").path("store")
+    manifest = token_store.write_store(spark, spark.createDataFrame(rows, "doc_id long, text string"), path, P.path("byte_bpe_50k.json"), shard_bytes=300)
+    assert manifest.filter("lo <= 6 AND hi >= 6").count() > 3
+    found = token_store.lookup(manifest, spark.createDataFrame([(6,), (8,)], "doc_id long")).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in found} == {6: 200, 8: 1}
+    back = token_store.read_store(manifest).collect()
+    assert Counter(r["doc_id"] for r in back) == Counter(i for i, _ in rows)
+    at = 0
+    for r in sorted(back, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+def test_token_store(spark, docs, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -248,8 +277,17 @@ def test_token_store(spark, docs, empty):
     assert manifest.count() > 3
     assert Counter(map(tuple, token_store.read_store(manifest).collect())) == Counter(want)
     asked = spark.createDataFrame([(7,), (14,), (10_003,), (5,)], "doc_id long")
-    found = Counter((r["doc_id"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in token_store.lookup(manifest, asked).collect())
-    assert found == Counter((i, c) for i, _, _, c in want if i in (7, 14, 10_003))
+    asked = asked.unionByName(spark.createDataFrame([(None,), (7,), (10**15,), (-5,)], "doc_id long"))
+    for many, most in ((1, 10**6), (256, 10**6), (256, 0)):  # whole shards, short reads, ranges joined
+        monkeypatch.setattr(token_store, "MANY_KEYS", many)
+        monkeypatch.setattr(token_store, "MOST_RANGES", most)
+        found = Counter((r["doc_id"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in token_store.lookup(manifest, asked).collect())
+        assert found == Counter((i, c) for i, _, _, c in want if i in (7, 14, 10_003))
+    ranges = manifest.orderBy("part", "seq").select("lo", "hi").collect()
+    assert all(a["hi"] is None or a["hi"] <= b["lo"] for a, b in zip(ranges, ranges[1:], strict=False))
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    whole = token_store.query(spark, every)
+    assert whole.columns == columns and Counter(map(tuple, whole.collect())) == Counter(want)
     assert token_store.read_store(token_store.write_store(spark, empty, path + "-none", P.path("byte_bpe_50k.json"))).count() == 0
 
 
@@ -298,6 +336,10 @@ def test_packing(spark, docs, empty, monkeypatch):
         got[(doc, tuple(ids))] += 1
     assert got == want
     assert packing.pack(spark, empty, packing.vocabulary()).count() == 0
+    whole = packing.query(spark, docs)
+    assert whole.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    rows = whole.collect()
+    assert sum(p["length"] for p in rows) == sum(len(ids) for _, ids in want.elements()) and max(p["length"] for p in rows) <= 2048
 
 
 def test_quality(spark, docs, empty):
