@@ -2,13 +2,14 @@
 
 A table of digests is written once. Misra-Gries counters (``freqItems``) name every digest that may hold more than
 ``support`` of the rows; one pre-aggregated pass counts those candidates exactly. The verified winners, at most
-``1/support`` rows, are broadcast: their rows get their group's figures on the map side and never meet in a task. All
-other groups hold at most ``support`` of the rows and go through one ordinary shuffle.
+``1/support`` rows, are broadcast: their rows get their group's figures on the map side and never meet in a task. The
+other digests are aggregated with partial sums before their shuffle and joined back to their rows; both sides of that
+join are plain rows of written tables, so that partitions that are still too large are split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.common import Scratch, lower_ascii
@@ -41,11 +42,10 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         .filter((F.col("group_size") > 1) & (F.col("group_size") >= least)),
         "winners",
     )
-    group = Window.partitionBy("text_sha256")
     frequent = rows.join(F.broadcast(winners), "text_sha256")
-    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select(
-        "text_sha256", "doc_id", F.max("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size")
-    )
+    others = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    groups = others.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    rest = others.join(scratch.save(groups, "groups"), "text_sha256")
     return frequent.select(rest.columns).unionByName(rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
