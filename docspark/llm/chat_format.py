@@ -6,7 +6,8 @@ A conversation becomes one string. Runs of turns with one role share a block::
 
 Texts and roles are escaped: each backslash is doubled, then one backslash goes after the first character of each
 control string inside the text. A control string therefore never occurs in an escaped text, and as every other run of
-backslashes is even, the lone ones can be taken out again.
+backslashes is even, the lone ones can be taken out again. A line feed in a role, whose line it would end, becomes "|\\|": a
+lone backslash after a character that begins no control string.
 
 The loss mask is run-length encoded, one pair a turn: ``skip`` code points without loss, then ``take`` with it (0 for
 turns of other roles). What follows the last pair is without loss.
@@ -25,6 +26,8 @@ CONTROL = (START, SEP, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]",
 #: Roles whose texts are under the loss mask.
 LOSS_ROLES = ("assistant",)
 CLOSE = END + "\n"
+#: A line feed inside a role.
+BREAK = "|\\|"
 
 
 def escape(text: Column) -> Column:
@@ -38,13 +41,21 @@ def unescape(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, r"(?<!\\)\\(?!\\)", ""), F.lit("\\\\"), F.lit("\\"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit(BREAK))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit(BREAK), F.lit("\n")))
+
+
 def format_chat(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted string, loss_mask array of (skip, take).
 
     Turns are ordered by (turn, role, text), so ties and repeated rows have one order; a null turn sorts first. Null
-    texts and null roles are empty strings. Rows without conv_id form one conversation whose id is null. Further
-    columns are ignored; an empty table gives no rows. A conversation is one output record, so its turns meet in one
-    row, as the record itself must.
+    texts and null roles are empty strings; roles may hold any characters, line feeds too. Rows without conv_id form one
+    conversation whose id is null. Further columns are ignored; an empty table gives no rows. A conversation is one
+    output record, so its turns meet in one row, as the record itself must.
     """
     turn = F.struct(
         F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
@@ -55,7 +66,7 @@ def format_chat(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         opens = (i == 0) | (F.get("turns", i - 1)["role"] != x["role"])
         closes = (i + 1 == F.size("turns")) | (F.get("turns", i + 1)["role"] != x["role"])
         return F.struct(
-            F.when(opens, F.concat(F.lit(START), escape(x["role"]), F.lit("\n"))).otherwise(F.lit(SEP)).alias("head"),
+            F.when(opens, F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n"))).otherwise(F.lit(SEP)).alias("head"),
             escape(x["text"]).alias("body"),
             F.when(closes, F.lit(CLOSE)).otherwise(F.lit("")).alias("tail"),
             x["role"].isin(*LOSS_ROLES).alias("loss"),
@@ -82,7 +93,7 @@ def parse_chat(formatted: DataFrame) -> DataFrame:
     def turns_of(block: Column) -> Column:
         inner = F.substring(block, F.lit(len(START) + 1), F.length(block) - len(START) - len(END))
         line = F.instr(inner, F.lit("\n"))
-        role = unescape(F.substring(inner, F.lit(1), line - 1))
+        role = unescape_role(F.substring(inner, F.lit(1), line - 1))
         texts = F.split(F.substring(inner, line + 1, F.length(inner)), re.escape(SEP), -1)
         return F.transform(texts, lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
@@ -115,6 +126,10 @@ def _sql_escape(x: str) -> str:
     return x
 
 
+def _sql_escape_role(x: str) -> str:
+    return rf"replace({_sql_escape(x)}, chr(10), '{BREAK}')"
+
+
 ORACLE_SQL = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -125,6 +140,6 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length({_sql_escape('text')}) + CASE WHEN joined THEN {len(SEP)} ELSE length({_sql_escape('role')}) + {len(START) + 1 + len(CLOSE)} END)::BIGINT AS formatted_chars
+       sum(length({_sql_escape('text')}) + CASE WHEN joined THEN {len(SEP)} ELSE length({_sql_escape_role('role')}) + {len(START) + 1 + len(CLOSE)} END)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """

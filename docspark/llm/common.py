@@ -84,6 +84,15 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_prefix(*frames: DataFrame) -> str:
+    """A prefix of underscores that no column of the frames begins with, for columns of one's own."""
+    taken = [c for f in frames for c in f.columns]
+    prefix = "__"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())

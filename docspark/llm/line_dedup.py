@@ -1,77 +1,95 @@
 """Line dedup over overlapping windows of three lines.
 
 Every three consecutive lines are hashed; a window seen before (by doc_id, then position) is a later occurrence. The
-line ranges that later occurrences cover are merged per document and cut from its text. Only DataFrame operations.
+line ranges that later occurrences cover are merged per document and cut from its text. One line or two that hold more
+than LONG words are windows too: a passage of that length may stand on fewer than three lines, or in a document that
+has no three. Only DataFrame operations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch
+from docspark.llm.common import WORD, Scratch, free_prefix
 
-#: Lines in a window.
-WIDTH = 3
+#: Lines in a window, and words above which fewer lines are a window of their own.
+WIDTH, LONG = 3, 50
+STATS = "dedup_lines_stats"
+
+
+def stats_column(docs: DataFrame) -> str:
+    """The name of the figures' column: STATS, with underscores after it if ``docs`` has such a column."""
+    name, taken = STATS, {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """The input's rows and columns, with ``text_col`` cleaned, and n_lines, n_removed (long) in ``dedup_lines_stats``.
+    """The input's rows and columns, with ``text_col`` cleaned, and n_lines, n_removed (long) in ``stats_column(docs)``.
 
     Lines are what line feeds separate, compared exactly, empty lines included. Of equal windows the one with the
     smallest (doc_id, position) stays; the others are removed, except for lines that the first one itself covers when
-    both overlap in one document. Documents of fewer than three lines stay as they are, null texts stay null (0
-    lines), and an empty text is one line. A null doc_id sorts first. Rows that repeat a doc_id with the same text are
-    one document and stay alike; with another text the text's hash orders them. Any further columns pass through.
+    both overlap in one document. Documents of fewer than three lines have only the windows of one or two lines with
+    more than LONG words (runs of characters other than ASCII white space). Null texts stay null (0 lines), and an empty
+    text is one line. A null doc_id sorts first. Rows that repeat a doc_id with the same text are one document and stay
+    alike; with another text the text's hash orders them. Any further columns pass through, whatever they are called.
     """
     scratch = scratch or Scratch(spark, "line-dedup")
-    key, tie = F.col("__id"), F.col("__tie")
-    docs = docs.withColumns({"__id": F.col(id_col), "__tie": F.xxhash64(F.col(text_col)), "__lines": F.split(F.col(text_col), "\n", -1)})
+    p = free_prefix(docs)
+    key, tie, lines = F.col(p + "id"), F.col(p + "tie"), F.col(p + "lines")
+    docs_ = docs.withColumns({p + "id": F.col(f"`{id_col}`"), p + "tie": F.xxhash64(f"`{text_col}`"), p + "lines": F.split(F.col(f"`{text_col}`"), "\n", -1)})
     # 128 bits of SHA-256 stand for a window; windows of one row are cut from the list of its lines
-    hashed = lambda i: F.substring(F.unhex(F.sha2(F.array_join(F.slice("__lines", i, F.lit(WIDTH)), "\n"), 256)), 1, 16)
-    windows = scratch.save(
-        docs.filter(F.size("__lines") >= WIDTH)
-        .select("__id", "__tie", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("__lines") - (WIDTH - 1)), hashed)).alias("__at", "__hash")),
-        "windows",
-    )
+    digest = lambda text: F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    joined = lambda i, width: F.array_join(F.slice(lines, i, F.lit(width)), "\n")
+
+    def windows_of(width: int) -> Column:
+        """Structs (at, width, hash) of a row's windows of ``width`` lines; at counts from 0."""
+        starts = F.when(F.size(lines) >= width, F.sequence(F.lit(1), F.size(lines) - (width - 1))).otherwise(F.array().cast("array<int>"))
+        if width < WIDTH:  # more than LONG words have twice as many characters at least
+            starts = F.filter(starts, lambda i: F.when(F.length(joined(i, width)) > 2 * LONG, F.regexp_count(joined(i, width), F.lit(WORD)) > LONG).otherwise(False))
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.lit(width).alias("width"), digest(joined(i, width)).alias("hash")))
+
+    every = F.concat(*(windows_of(w) for w in range(WIDTH, 0, -1)))
+    windows = docs_.filter(F.col(f"`{text_col}`").isNotNull()).select(key.alias("id"), tie.alias("tie"), F.explode(every).alias("w"))
+    windows = scratch.save(windows.select("id", "tie", "w.at", "w.width", "w.hash"), "windows")
     first = scratch.save(
-        windows.groupBy("__hash")
-        .agg(F.min(F.struct("__id", "__tie", "__at")).alias("__first"), F.max(F.struct("__id", "__tie", "__at")).alias("__last"))
-        .filter(F.col("__first") != F.col("__last"))
-        .select("__hash", F.col("__first.__id").alias("__id0"), F.col("__first.__tie").alias("__tie0"), F.col("__first.__at").alias("__at0")),
+        windows.groupBy("hash")
+        .agg(F.min(F.struct("id", "tie", "at")).alias("first"), F.max(F.struct("id", "tie", "at")).alias("last"))
+        .filter(F.col("first") != F.col("last"))
+        .select("hash", F.col("first.id").alias("id0"), F.col("first.tie").alias("tie0"), F.col("first.at").alias("at0")),
         "first",
     )
-    same = key.eqNullSafe(F.col("__id0")) & (tie == F.col("__tie0"))
+    same = F.col("id").eqNullSafe(F.col("id0")) & (F.col("tie") == F.col("tie0"))
     # joined on the hash alone, both sides straight from written tables, so that skewed hashes are split
-    later = windows.join(first, "__hash").filter(~(same & (F.col("__at") == F.col("__at0")))).select(
-        "__id", "__tie",
-        F.when(same, F.greatest(F.col("__at"), F.col("__at0") + WIDTH)).otherwise(F.col("__at")).alias("__lo"),
-        (F.col("__at") + WIDTH).alias("__hi"),
+    later = windows.join(first, "hash").filter(~(same & (F.col("at") == F.col("at0")))).select(
+        "id", "tie",
+        F.when(same, F.greatest(F.col("at"), F.col("at0") + F.col("width"))).otherwise(F.col("at")).alias("lo"),
+        (F.col("at") + F.col("width")).alias("hi"),
     ).distinct()
     # covered ranges [lo, hi) that touch are merged
-    order = Window.partitionBy("__id", "__tie").orderBy("__lo", "__hi")
-    reach = F.max("__hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = later.withColumn("__new", F.when(reach.isNull() | (reach < F.col("__lo")), 1).otherwise(0)).withColumn(
-        "__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    order = Window.partitionBy("id", "tie").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("new", F.when(reach.isNull() | (reach < F.col("lo")), 1).otherwise(0)).withColumn(
+        "island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
     cuts = (
-        islands.groupBy("__id", "__tie", "__island").agg(F.min("__lo").alias("lo"), F.max("__hi").alias("hi"))
-        .groupBy("__id", "__tie").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__cuts"))
-        .withColumnsRenamed({"__id": "__cid", "__tie": "__ctie"})
+        islands.groupBy("id", "tie", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("cuts"))
+        .select(F.col("id").alias(p + "cid"), F.col("tie").alias(p + "ctie"), F.col("cuts").alias(p + "cuts"))
     )
-    joined = docs.join(cuts, key.eqNullSafe(F.col("__cid")) & (tie == F.col("__ctie")), "left")
-    n = F.size("__lines")
-    removed = F.aggregate("__cuts", F.lit(0), lambda a, x: a + x["hi"] - x["lo"])
+    both = docs_.join(cuts, key.eqNullSafe(F.col(p + "cid")) & (tie == F.col(p + "ctie")), "left")
+    n, cut = F.size(lines), F.col(p + "cuts")
+    removed = F.aggregate(cut, F.lit(0), lambda a, x: a + x["hi"] - x["lo"])
     # what stays: before the first cut, and from each cut's end to the next one's start
-    after = F.transform(
-        "__cuts",
-        lambda x, i: F.slice("__lines", x["hi"] + 1, F.coalesce(F.get("__cuts", i + 1)["lo"], n) - x["hi"]),
-    )
-    left = F.concat(F.slice("__lines", F.lit(1), F.get("__cuts", F.lit(0))["lo"]), F.flatten(after))
-    out = {c: F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")}
-    out[text_col] = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    stats = F.struct(F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"))
-    return joined.select(*(v.alias(k) for k, v in out.items()), stats.alias("dedup_lines_stats"))
+    after = F.transform(cut, lambda x, i: F.slice(lines, x["hi"] + 1, F.coalesce(F.get(cut, i + 1)["lo"], n) - x["hi"]))
+    left = F.concat(F.slice(lines, F.lit(1), F.get(cut, F.lit(0))["lo"]), F.flatten(after))
+    text = F.col(f"`{text_col}`")
+    out = {c: F.col(f"`{c}`") for c in docs.columns}
+    out[text_col] = F.when(cut.isNull(), text).otherwise(F.array_join(left, "\n"))
+    stats = F.struct(F.when(text.isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"))
+    return both.select(*(v.alias(k) for k, v in out.items()), stats.alias(stats_column(docs)))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -79,13 +97,14 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "dedup_lines_stats.n_lines", "dedup_lines_stats.n_removed", "text")
 
 
-ORACLE_SQL = """
+ORACLE_SQL = rf"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, unnest(range(0, greatest(len(ls) - 2, 0))) AS p0, ls FROM l),
-h AS (SELECT doc_id, p0, ls[p0 + 1] AS a, ls[p0 + 2] AS b, ls[p0 + 3] AS c FROM w),
+w AS (SELECT doc_id, width, unnest(range(0, greatest(len(ls) - width + 1, 0))) AS p0, ls FROM l, range(1, {WIDTH + 1}) t(width)),
+g AS (SELECT doc_id, p0, width, array_to_string(ls[p0 + 1:p0 + width], chr(10)) AS passage FROM w),
+h AS (SELECT * FROM g WHERE width = {WIDTH} OR len(regexp_extract_all(passage, '{WORD}')) > {LONG}),
 f AS (SELECT *, first_value(doc_id) OVER o AS d0, first_value(p0) OVER o AS f0
-      FROM h WINDOW o AS (PARTITION BY a, b, c ORDER BY doc_id, p0 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-r AS (SELECT doc_id, unnest(range(CASE WHEN doc_id = d0 THEN greatest(p0, f0 + 3) ELSE p0 END, p0 + 3)) AS pos
+      FROM h WINDOW o AS (PARTITION BY width, passage ORDER BY doc_id, p0 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+r AS (SELECT doc_id, unnest(range(CASE WHEN doc_id = d0 THEN greatest(p0, f0 + width) ELSE p0 END, p0 + width)) AS pos
       FROM f WHERE doc_id <> d0 OR p0 <> f0),
 p AS (SELECT DISTINCT doc_id, pos FROM r),
 x AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, ls FROM l),

@@ -62,6 +62,47 @@ def test_exact_dedup(spark, docs, empty):
     assert exact_dedup.dedup_exact(spark, empty).count() == 0
 
 
+def without_repeats(rows):
+    """Texts by (doc_id, text) and lines removed, of rows with distinct (doc_id, text): windows of three lines, and of one or two with over 50 words."""
+    seen, out = {}, {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines, gone = (t or "").split("\n"), set()
+        for width in (1, 2, 3):
+            for k in range(len(lines) - width + 1):
+                w = tuple(lines[k : k + width])
+                if width < 3 and len(SEP.findall("\n".join(w))) <= 50:
+                    continue
+                d0, k0 = seen.setdefault(w, (i, k))
+                if (d0, k0) != (i, k):
+                    gone |= set(range(max(k, k0 + width) if d0 == i else k, k + width))
+        out[(i, t)] = (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    line = lambda n: " ".join(f"w{x}" for x in r.integers(0, 900, n))
+    long, pair, block = line(51), [line(26), line(25)], [line(4) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        lines = [line(int(n)) for n in r.integers(0, 12, r.integers(1, 7))]
+        for k, piece in ((5, [long]), (7, pair), (4, block), (9, ["", "", "", ""]), (11, [line(50)]), (13, pair[:1])):
+            if i % k == 0:
+                at = int(r.integers(0, len(lines) + 1))
+                lines[at:at] = piece
+        rows.append((i, "\n".join(lines)))
+    rows += [(200, long), (201, "\n".join(pair)), (202, "x " * 60), (203, "x " * 60), (204, "\n".join([long] * 4)), (205, ""), (206, None), (None, long)]
+    columns = ["doc_id", "text", "__id", "__lines", "___x", "dedup_lines_stats", "a.b"]
+    frame = spark.createDataFrame([(*x, 1, "m", 2, 3, 4) for x in rows], "doc_id long, text string, __id int, __lines string, ___x int, dedup_lines_stats int, `a.b` int")
+    out = line_dedup.dedup_lines(spark, frame.repartition(5))
+    assert out.columns == [*columns, "dedup_lines_stats_"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == len(rows) and all(tuple(r)[2:7] == (1, "m", 2, 3, 4) for r in got.values())
+    for (i, t), (text, n) in without_repeats(rows).items():
+        assert (got[i]["text"], got[i]["dedup_lines_stats_"]["n_removed"]) == (text, n)
+        assert got[i]["dedup_lines_stats_"]["n_lines"] == (0 if t is None else t.count("\n") + 1)
+
+
 def test_line_dedup(spark, docs, empty):
     out = line_dedup.dedup_lines(spark, docs)
     assert out.columns == [*docs.columns, "dedup_lines_stats"]
@@ -134,6 +175,7 @@ def test_near_dedup_dense_group(spark, monkeypatch):
 
 def test_chat(spark):
     rows = [(1, 2, "user", "second"), (1, 1, "user", "first \\ <|im_start|> <\\|x"), (1, 3, "assistant", "A\nB"), (1, 3, "assistant", "A\nB"), (1, 4, "assistant", None), (2, 0, None, ""), (2, None, "a<|im_end|>", "\\\\"), (None, 1, "assistant", "</s>[INST] ok [/INST]"), (3, 1, "tool", "<<|im_sep|>s>\n\\")]
+    rows += [(4, k, r, "x\ny") for k, r in enumerate(("a\nb", "a\nb", "a", "|\\|", "\n|\\\n\n<", "assistant", "\n"))]
     convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     made = chat_format.format_chat(convs)
     got = {r["conv_id"]: r for r in chat_format.parse_chat(made).collect()}
