@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
@@ -32,31 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _local: str | None = None
-_owner: list[str] | None = None
+_owner: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owner", default=None)
 
 
 @contextlib.contextmanager
 def owned() -> Iterator[list[str]]:
-    """Gives the folders of all scratch spaces that are made inside, for whoever knows when they are read no more."""
-    global _owner
-    before, _owner = _owner, []
+    """Gives the folders of all scratch spaces that this thread makes inside, for whoever knows when they are read no more."""
+    made: list[str] = []
+    before = _owner.set(made)
     try:
-        yield _owner
+        yield made
     finally:
-        _owner = before
+        _owner.reset(before)
 
 
 class Scratch:
     """Tables and files of one operator call, under one folder of the shared directory.
 
-    A written table cuts the lineage, so lost executors cost a read and not a recomputation.
+    A written table cuts the lineage, so lost executors cost a read and not a recomputation. Results are read from it
+    until they have been written or collected; ``owned`` tells the folders to whoever can then ``delete`` them, and
+    ``clear_scratch`` deletes all of an application.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/docspark/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        if _owner is not None:
-            _owner.append(self.root)
+        if (made := _owner.get()) is not None:
+            made.append(self.root)
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -74,8 +77,14 @@ class Scratch:
         for t in tables:
             delete(self.spark, t.scratch_path)
 
-    def clear(self) -> None:
-        delete(self.spark, self.root)
+
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/docspark/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch of this application; no result that is still lazy may be used afterwards."""
+    delete(spark, application_dir(spark))
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -6,15 +6,18 @@ mix takes documents until its words reach the budget. A source that is used up l
 the same as resharing the excess by weight.
 
 Running sums are two-level: sums of hash ranges (or time ranges) are added up in a small table, and windows run inside
-one range only, so that no source, however large, meets in one task.
+one range only, so that no source, however large, meets in one task. The budget ends inside one range of times, which
+alone is sorted for the cut; ``take`` then writes the documents in the order of their times.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import WORD, Scratch
+from docspark.llm.common import WORD, Scratch, free_prefix
 
 #: Weights, repeated over the sources in order of their code points (null last).
 WEIGHTS = (3, 1, 2)
@@ -36,7 +39,7 @@ def source_plan(spark: SparkSession, sizes: DataFrame, weights=WEIGHTS, budget:
     """Per source: rank, weight, source_size, target. ``sizes``: source, source_size (one row a source).
 
     Targets fill up by weight: with sources in the order of cap / weight, those whose cap lies under the level that
-    the others reach stop at the cap.
+    the others reach stop at the cap. The table of sources is taken to be short: its windows run in one task.
     """
     every = Window.partitionBy(F.lit(0))
     rank = F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -52,8 +55,9 @@ def source_plan(spark: SparkSession, sizes: DataFrame, weights=WEIGHTS, budget:
     return s.select("source", "rank", "weight", "source_size", F.coalesce(share, F.col("cap")).alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken, first_time (virtual finish time).
+def mix(spark: SparkSession, docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = SEED, keep: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken, times (of the copies taken), rank
+    (of the source), and the columns ``keep`` (names of none of these).
 
     Size is the number of runs of characters other than ASCII white space; null texts have size 0. Rows with a null
     source are one source, the last. Ties in the shuffle's hash are ordered by (doc_id, size), so repeated rows keep
@@ -62,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, source_col: str = "source", id_col
     """
     scratch = scratch or Scratch(spark, "mixing")
     rows = scratch.save(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *keep)
         .withColumn("h", shuffle_hash(seed)),
         "sizes",
     )
@@ -78,10 +82,10 @@ def mix(spark: SparkSession, docs: DataFrame, source_col: str = "source", id_col
         F.col("b.source").alias("s"), F.col("range").alias("r"), "base", "rank", "weight", "source_size", "target"
     )
     bases = scratch.save(bases, "bases")
-    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     queue = rows.withColumn("run", F.sum("size").over(inside)).join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     queue = queue.select(
-        "doc_id", "source", "size", "h", "rank", "source_size", "target",
+        "doc_id", "source", "size", "h", "rank", "source_size", "target", *keep,
         F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: (F.col("base") + F.col("run") + e * F.col("source_size")) / F.col("weight")).alias("times"),
     )
     queue = scratch.save(queue, "queue")
@@ -109,10 +113,25 @@ def mix(spark: SparkSession, docs: DataFrame, source_col: str = "source", id_col
         got = F.struct(F.lit(final["time"]).alias("time"), F.lit(final["rank"]).alias("rank"), F.lit(final["h"]).alias("h"), F.lit(final["doc_id"]).cast(dict(queue.dtypes)["doc_id"]).alias("doc_id"))
         return (here < cut) | ((here == cut) & (F.struct(t.alias("time"), "rank", "h", "doc_id") <= got))
 
-    copies = F.size(F.filter("times", taken)).cast("long")
-    return queue.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.get("times", F.lit(0)).alias("first_time")
-    )
+    times = F.filter("times", taken)
+    copies = F.size(times).cast("long")
+    return queue.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), times.alias("times"), "rank", *keep)
+
+
+def take(spark: SparkSession, docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **plan) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, range-sorted by virtual finish time; the columns of ``docs``.
+
+    Rows are numbered and the plan comes back to them by number, so that rows that repeat an id, lack one, or are equal
+    are each written as often as planned. Documents of size 0 are taken like others.
+    """
+    scratch = Scratch(spark, "mixing-rows")
+    p = free_prefix(docs)
+    row, time, rank = p + "row", p + "time", p + "rank"
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    made = mix(spark, rows, source_col, id_col, text_col, keep=[row], **plan)
+    copies = made.select(F.col(row).alias(row + "_"), F.explode("times").alias(time), F.col("rank").alias(rank))
+    out = rows.join(copies, F.col(row) == F.col(row + "_")).repartitionByRange(time, rank, row).sortWithinPartitions(time, rank, row)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def plan_total(bases: DataFrame) -> int | None:
