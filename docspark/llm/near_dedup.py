@@ -7,17 +7,20 @@ hashes are evaluated as for a min-hash signature of the same length. Bands of RO
 2. In each bucket every class is compared with one representative (another one in each band). Confirmed links join
    classes into components.
 3. A bucket whose classes are by then one component needs nothing more. In the others, each class outside the
-   representative's component is compared with every class of the bucket, in blocks: exact set intersections of a block
-   pair are counted in one pass over an inverted index, and a pair that is already connected is not reported again.
-
-So no link between bucket members is lost, though pairs that add nothing to the components are never written. The bands
-are chosen so that a pair at the threshold shares no bucket with a probability of MISS at most.
+   representative's component is compared with every class of the bucket whose size allows a link, in blocks: exact set
+   intersections of a block pair are counted in one pass over an inverted index, and a pair that is already connected is
+   not reported again. The components are then joined over these links.
+
+So no link between bucket members is lost, though pairs that add nothing to the components are never written. The
+minimum and the maximum under one permutation depend on each other, the more the smaller the sets: of a union of u
+shingles, i of them shared, both agree with the probability i (i - 1) / (u (u - 1)). A document gets as many bands as
+its size needs for a pair at the threshold to share no bucket with a probability of MISS at most, whatever its union.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,19 @@ ROWS, MISS, SEED = 4, 1e-7, 11
 BLOCK, GROUP = 512, 4_096
 
 
-def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
+def band_table(percent: int, miss: float = MISS) -> np.ndarray:
+    """Bands of ROWS = 4 values for a set of n shingles, by n; for larger sets the last entry.
+
+    A pair meets in the bands that both sets have. Its union is as large as its larger set at least, so what a size
+    needs is the most that any union from there on needs.
+    """
+    u = np.arange(2, 4096)
+    i = -(-percent * u // 100)
+    both = (i * (i - 1) / (u * (u - 1))) ** 2  # two permutations a band
+    need = np.where(i == u, 1, np.ceil(math.log(miss) / np.log1p(-np.minimum(both, 1 - 1e-9)))).astype(int)
+    least = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** 4)) if percent < 100 else 1
+    need = np.maximum.accumulate(np.append(need, least)[::-1])[::-1]
+    return np.concatenate([need[:1], need[:1], need])
 
 
 _words: dict[bytes, int] = {}
@@ -96,9 +110,9 @@ def band_hashes(found: np.ndarray, mul: np.ndarray, add: np.ndarray, bands: int,
     return out
 
 
-def describe(size: int, bands: int, rows: int):
-    """mapInArrow: (doc_id, data) -> doc_id, n_shingles, cls (128 bits of the set's digest), bands, packed words."""
-    mul, add = permutations(-(-bands * rows // 2))
+def describe(size: int, bands: np.ndarray):
+    """mapInArrow: (doc_id, data, ...) -> doc_id, n_shingles, cls (128 bits of the set's digest), bands, packed words, ..."""
+    mul, add = permutations(int(bands.max()) * ROWS // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -111,13 +125,14 @@ def describe(size: int, bands: int, rows: int):
                 n, cls, sig, packed = [], [], [], []
                 for text in b.column(1).to_pylist():
                     s = shingles(text, size)
+                    k = int(bands[min(len(s), len(bands) - 1)])
                     n.append(len(s))
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    sig.append(band_hashes(s, mul, add, bands, rows).view(np.int64) if len(s) else [])
+                    sig.append(band_hashes(s, mul[: k * ROWS // 2], add[: k * ROWS // 2], k, ROWS).view(np.int64) if len(s) else [])
                     packed.append(press.compress(text) if len(s) else b"")
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                    ["doc_id", "n", "cls", "bands", "packed"],
+                    [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(packed, pa.binary()), *b.columns[2:]],
+                    ["doc_id", "n", "cls", "bands", "packed", *b.schema.names[2:]],
                 )
 
     return run
@@ -232,8 +247,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         seen = mark
 
 
-def link_documents(spark: SparkSession, docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text", bands: int | None = None, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def link_documents(spark: SparkSession, docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept, and the columns ``keep``.
 
     A document's set: its distinct ``size``-word shingles after lower-casing A-Z, or all its words as one shingle if it
     has fewer. Two documents are linked if 100 * intersection >= ``percent`` * union; a component is what links reach
@@ -242,11 +257,14 @@ def link_documents(spark: SparkSession, docs: DataFrame, size: int, percent: int
     id belongs to its component like any other but cannot name it; kept is false for it unless no row has an id. An
     empty table gives no rows. Shingles are told apart by 64-bit hashes.
     """
-    bands = bands or bands_for(percent, rows)
     scratch = Scratch(spark, "near-dedup")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    t = scratch.save(source.mapInArrow(describe(size, bands, rows), "doc_id long, n long, cls binary, bands array<long>, packed binary"), "documents")
-    ids = t.select("doc_id", "n", "cls")
+    carried = [f"keep_{k}" for k in range(len(keep))]
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"), *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, carried, strict=True))
+    )
+    more = "".join(f", {k} {dict(docs.dtypes)[c]}" for c, k in zip(keep, carried, strict=True))
+    t = scratch.save(source.mapInArrow(describe(size, band_table(percent)), f"doc_id long, n long, cls binary, bands array<long>, packed binary{more}"), "documents")
+    ids = t.select("doc_id", "n", "cls", *carried)
     # a class is represented by its least (doc_id, bands); equal sets have equal bands
     classes = scratch.save(t.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     member = classes.select("cls", "n", F.posexplode("bands").alias("band", "hash"))
@@ -276,24 +294,33 @@ def link_documents(spark: SparkSession, docs: DataFrame, size: int, percent: int
     # buckets that are not one component yet, and the classes in them that are not their representative's
     labelled = inside.filter("members > 2").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labelled = labelled.join(label.select(F.col("cls").alias("rep"), F.col("label").alias("rep_label")), "rep", "left").withColumn("main", F.col("label") == F.coalesce("rep_label", "rep"))
-    labelled = scratch.save(labelled.select("band", "hash", "cls", "label", "main"), "labelled")
-    sizes = labelled.groupBy("band", "hash").agg(F.count("*").alias("all"), F.count_if(~F.col("main")).alias("strays")).filter("strays > 0")
-    sizes = scratch.save(sizes.select(F.col("band").alias("b"), F.col("hash").alias("h"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("lines")), "stray-buckets")
-    open_ = labelled.join(sizes, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h")))
+    # sets that differ by more than one class of sizes are too unlike in size for a link
+    sized = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
+    labelled = scratch.save(labelled.select("band", "hash", "cls", "label", "main", sized.alias("sized")), "labelled")
+    counts = labelled.groupBy("band", "hash", "sized").agg(F.count("*").alias("all"), F.count_if(~F.col("main")).alias("strays"))
+    near_sizes = F.explode(F.array(F.col("sized") - 1, F.col("sized"), F.col("sized") + 1)).alias("own")
+    counts = counts.select("band", "hash", near_sizes, "all", F.when(F.col("own") == F.col("sized"), F.col("strays")).otherwise(0).alias("strays"))
+    counts = counts.groupBy("band", "hash", "own").agg(F.sum("all").alias("all"), F.sum("strays").alias("strays")).filter("strays > 0")
+    sizes = scratch.save(counts.select("band", "hash", "own", F.ceil(F.col("all") / BLOCK).cast("int").alias("cols"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("lines")), "stray-buckets")
     at = lambda n: F.pmod(F.xxhash64("cls", F.lit(3)), n).cast("int")
-    left = open_.filter(~F.col("main")).select("band", "hash", at("lines").alias("line"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(0).alias("side"), "cls", "label")
-    right = open_.select("band", "hash", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"), at("cols").alias("col"), F.lit(1).alias("side"), "cls", "label")
+    left = labelled.filter(~F.col("main")).withColumn("own", F.col("sized")).join(sizes, ["band", "hash", "own"])
+    left = left.select("band", "hash", "own", at("lines").alias("line"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(0).alias("side"), "cls", "label")
+    right = labelled.select("band", "hash", "cls", "label", near_sizes).join(sizes, ["band", "hash", "own"])
+    right = right.select("band", "hash", "own", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"), at("cols").alias("col"), F.lit(1).alias("side"), "cls", "label")
     blocks = left.unionByName(right).join(texts, "cls")
-    more = blocks.groupBy("band", "hash", "line", "col").applyInArrow(verify_blocks(size, percent), "a binary, b binary")
-    more = scratch.save(more.distinct(), "block-links")
-    label = components(spark, found.union(more), scratch)
+    links = scratch.save(blocks.groupBy("band", "hash", "own", "line", "col").applyInArrow(verify_blocks(size, percent), "a binary, b binary").distinct(), "block-links")
+    # the star components over these links
+    own = lambda side: label.select(F.col("cls").alias(side), F.col("label").alias(f"{side}_label"))
+    links = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    wider = components(spark, links, scratch).select(F.col("cls").alias("label"), F.col("label").alias("wider"))
     final = classes.select("cls", "first").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    final = final.join(wider, "label", "left").select("cls", "first", F.coalesce("wider", "label").alias("label"))
     final = scratch.save(final, "labels")
     least = final.groupBy("label").agg(F.min("first").alias("component_id"))
     named = scratch.save(final.join(least, "label").select("cls", "component_id"), "components")
     out = ids.join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(F.col(k).alias(c) for c, k in zip(keep, carried, strict=True)))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

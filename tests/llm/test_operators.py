@@ -152,6 +152,31 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.link_documents(spark, empty, 3, 85).count() == 0
 
 
+def test_bands_suffice_for_any_pair():
+    """The share of pairs at the threshold that meet in no band, by the exact probability for each size of the union."""
+    for percent in (80, 85):
+        table = near_dedup.band_table(percent)
+        assert (np.diff(table) <= 0).all()
+        for u in [*range(2, 300), 1000, 5000]:
+            i = -(-percent * u // 100)
+            for n in {i, u}:  # the larger of the two sets
+                bands = table[min(n, len(table) - 1)]
+                assert i == u or (1 - (i * (i - 1) / (u * (u - 1))) ** 2) ** bands <= 1.0001e-7
+
+
+def test_band_values_agree_as_often_as_said(spark):
+    r = np.random.default_rng(6)
+    mul, add = near_dedup.permutations(74)
+    for u, i in ((5, 4), (10, 8), (60, 51)):
+        met = 0
+        for _ in range(300):
+            x = r.integers(0, 2**63, u, dtype=np.uint64)
+            a, b = (near_dedup.band_hashes(np.sort(s), mul, add, 37, 4) for s in (x[:i], x))
+            met += (a == b).sum()
+        p = (i * (i - 1) / (u * (u - 1))) ** 2
+        assert abs(met / (300 * 37) - p) < 5 * math.sqrt(p * (1 - p) / (300 * 37)) + 0.01
+
+
 def test_near_dedup_dense_group(spark, monkeypatch):
     """A large group whose members are linked along chains only: strays meet every member, in blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
@@ -215,8 +240,26 @@ def test_mix(spark, docs, empty):
         assert own[0]["source_size"] == sum(r["size"] for r in own) and own[0]["target"] <= 2 * own[0]["source_size"] + 1e-6
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
     again = mixing.mix(spark, docs.repartition(5)).collect()
-    assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
-    assert mixing.mix(spark, empty).count() == 0
+    assert Counter(map(str, again)) == Counter(map(str, rows))
+    assert mixing.mix(spark, empty).count() == 0 == mixing.take(spark, empty).count()
+
+
+def test_taken_words_are_those_of_the_plan(spark):
+    """Ids that repeat with other texts or sources, rows without an id, equal rows, and columns with clashing names."""
+    r = np.random.default_rng(8)
+    rows = [(None if i % 3 == 0 else i // 2 % 40, " ".join(["w"] * int(r.integers(0, 12))), "u" if i % 5 else None, i % 2, 1, 2) for i in range(240)]
+    rows += rows[:30]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, __row int, times int")
+    plan = mixing.mix(spark, frame).collect()
+    out = mixing.take(spark, frame)
+    got = out.collect()
+    assert out.columns == frame.columns
+    want = Counter()
+    for p in plan:
+        want[(p["doc_id"], p["source"], p["size"])] += p["copies"]
+    assert Counter((x["doc_id"], x["source"], len(SEP.findall(x["text"]))) for x in got) == +want
+    given = Counter(rows)
+    assert all(n <= 2 * given[tuple(x)] for x, n in Counter(map(tuple, got)).items())
 
 
 def test_water_level(spark):
