@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docspark.llm import bm25_search, chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secret_scan, token_store
 from docspark.llm.common import Scratch
 from docspark.llm.tokens import UnitEncoder
+from plain import plain_scores, without_repeats
 
 P = pytest.importorskip("public_tokenizers")
 SEP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,23 +63,6 @@ def test_exact_dedup(spark, docs, empty):
     assert exact_dedup.dedup_exact(spark, empty).count() == 0
 
 
-def without_repeats(rows):
-    """Texts by (doc_id, text) and lines removed, of rows with distinct (doc_id, text): windows of three lines, and of one or two with over 50 words."""
-    seen, out = {}, {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines, gone = (t or "").split("\n"), set()
-        for width in (1, 2, 3):
-            for k in range(len(lines) - width + 1):
-                w = tuple(lines[k : k + width])
-                if width < 3 and len(SEP.findall("\n".join(w))) <= 50:
-                    continue
-                d0, k0 = seen.setdefault(w, (i, k))
-                if (d0, k0) != (i, k):
-                    gone |= set(range(max(k, k0 + width) if d0 == i else k, k + width))
-        out[(i, t)] = (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
-    return out
-
-
 def test_line_dedup_against_brute_force(spark):
     r = np.random.default_rng(4)
     line = lambda n: " ".join(f"w{x}" for x in r.integers(0, 900, n))
@@ -440,6 +424,16 @@ def test_quality(spark, docs, empty):
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
     judged = [(r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth and r["doc_id"] > 900]
     assert judged and all(a == b for a, b in judged)
+    # plain class densities, by numpy alone
+    texts = [(r["doc_id"], r["text"]) for r in frame.collect()]
+    known = {i: q for i, q in [*truth.items(), (5, None), (6, 3)] if q in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1}
+    want = plain_scores([t for _, t in texts], [known.get(i) for i, _ in texts])
+    got, brute = defaultdict(list), defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append(r["score"])
+    for (i, _), s in zip(texts, want, strict=True):
+        brute[i].append(s)
+    assert all(sorted(got[i]) == pytest.approx(sorted(brute[i]), rel=1e-4, abs=1e-9) for i in brute)
     # labels of held-out rows change nothing
     flipped = labels.withColumn("quality", F.when(quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert Counter(map(tuple, quality.classify(spark, frame, flipped).collect())) == Counter(map(tuple, rows))
@@ -448,6 +442,8 @@ def test_quality(spark, docs, empty):
     assert quality.classify(spark, empty, labels).count() == 0
     kept = quality.keep_good(spark, docs, labels)
     assert kept.columns == docs.columns and kept.count() <= docs.count()
+    few = quality.fit(spark, frame, labels, most=20)  # a bounded number of labelled rows
+    assert few.means.shape[0] in (0, 2)
 
 
 def test_bm25(spark, docs, empty, monkeypatch):

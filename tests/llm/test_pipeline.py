@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docspark.llm import mixing, packing, quality
+from docspark.llm import mixing, packing
+from plain import plain_scores, without_repeats
 
 P = pytest.importorskip("public_tokenizers")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,31 +55,16 @@ def test_stages(spark, corpus):
     sf_dir, docs, labels = corpus
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-    # quality: the model from sums over labelled rows that are not held out
+    # quality: plain class densities over labelled rows that are not held out
     label = {i: q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
-    x = {i: np.array(quality.statistics(t or ""), dtype=np.float32).astype(float) for i, t, *_ in docs}
-    own = [np.array([x[i] for i in label if label[i] == c]) for c in (0, 1)]
-    model = quality.fit_sums(np.array([len(o) for o in own], float), np.array([o.sum(0) for o in own]), np.array([o.T @ o for o in own]))
-    good = [(i, t) for i, t, *_ in docs if model.scores(x[i][None])[0] >= 0.5]
+    scores = plain_scores([t for _, t, *_ in docs], [label.get(i) for i, *_ in docs])
+    good = [(i, t) for (i, t, *_), s in zip(docs, scores, strict=True) if s >= 0.5]
     a = step(spark, sf_dir, 0, frame)
     assert a.columns == frame.columns and plain(a) == Counter(good)
     assert {i for i, *_ in docs if i < 176} <= {i for i, _ in good} and not any(176 <= i < 256 for i, _ in good)
 
-    # lines: windows of three in document order
-    seen, fresh = {}, []
-    for i, t in sorted(good):
-        lines = (t or "").split("\n")
-        gone = set()
-        for k in range(len(lines) - 2):
-            w = tuple(lines[k : k + 3])
-            if w in seen:
-                d0, k0 = seen[w]
-                gone |= set(range(max(k, k0 + 3) if d0 == i else k, k + 3))
-            else:
-                seen[w] = (i, k)
-        left = [x for k, x in enumerate(lines) if k not in gone]
-        if left or not gone:
-            fresh.append((i, None if t is None else "\n".join(left)))
+    # lines: repeated windows in document order
+    fresh = [(i, left) for (i, t), (left, gone) in without_repeats(good).items() if not gone or gone < (t or "").count("\n") + 1]
     b = step(spark, sf_dir, 1, a)
     assert plain(b) == Counter(fresh) and b.columns == frame.columns
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in b.collect())
