@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch
+from docspark.llm.common import UPPER, WORD, Scratch
 
 ROWS, MISS, SEED = 4, 1e-7, 11
 #: Members of a block in step 3, and representatives' groups in step 2 before they are salted.
@@ -325,3 +325,22 @@ def link_documents(spark: SparkSession, docs: DataFrame, size: int, percent: int
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return link_documents(spark, docs, 3, 85)
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') AS w FROM documents),
+-- shingles of three words; of fewer words, all of them as one
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+g AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT g.b, r.reached FROM r JOIN g ON g.a = r.doc_id),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

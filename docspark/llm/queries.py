@@ -24,6 +24,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_bm25_search": bm25_search.ORACLE_SQL,
+        "op3_secret_scan": secret_scan.ORACLE_SQL,
+        "op4_near_dedup": near_dedup.ORACLE_SQL,
         "op5_chat_format": chat_format.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,

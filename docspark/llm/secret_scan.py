@@ -5,6 +5,9 @@ blob and rule version, empty ones too. A scan lists the blobs of all rows, drops
 one copy of each blob that is left to the scanner with the rules it lacks, appends the findings, and joins the ledger
 back to every row that carries the blob. A blob that ten thousand rows or versions share is scanned once; a changed
 rule is run over all blobs again, alone.
+
+The ledger is a Parquet folder with a subfolder for each rule version, so that a scan reads those of its rules. Two scans
+that append at once may both add a pair; pairs are told apart on reading, and equal pairs have equal findings.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch
+from docspark.llm.common import Scratch, exists
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,11 @@ RULES = (
 #: Kinds beyond the base ones.
 EXTRA = (Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("private key-----",), base=False),)
 LEDGER = "blob binary, version string, kind string, spans array<struct<start:int,stop:int>>"
+#: Unseen blobs up to this many (48 bytes each) are sent to the scan of texts, so that only their texts leave the JVM;
+#: more of them are joined by shuffle, for which texts are packed first.
+BROADCAST_BLOBS = 500_000
+#: Blobs of which a task remembers that it has packed them; copies beyond are packed again and dropped in the join.
+REMEMBERED = 1_000_000
 
 
 def find(text: str, rule: Rule, compiled: re.Pattern | None = None, lowered: str | None = None) -> list[tuple[int, int]]:
@@ -74,7 +82,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, names, packed = [], [], []
         for i, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if (i, b) not in seen:
-                if len(seen) < 1_000_000:
+                if len(seen) < REMEMBERED:
                     seen.add((i, b))
                 ids.append(i), names.append(b), packed.append(press.compress(t))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], schema=schema)
@@ -114,25 +122,28 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, ledger_path: str | None =
     ledger_path = ledger_path or scratch.path("ledger")
     paths = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), blob(F.col(text_col)).alias("blob")), "paths")
     versions = [r.version for r in rules]
-    try:
-        ledger = spark.read.schema(LEDGER).parquet(ledger_path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        ledger = spark.createDataFrame([], LEDGER)
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path) if exists(spark, ledger_path) else spark.createDataFrame([], LEDGER)
     have = ledger.filter(F.col("version").isin(versions)).groupBy("blob").agg(F.collect_set("version").alias("have"))
     one = paths.groupBy("blob").agg(F.min("doc_id").alias("row_id"))
     todo = one.join(have, "blob", "left").withColumn("todo", F.array_except(F.array(*map(F.lit, versions)), F.coalesce("have", F.array().cast("array<string>"))))
     todo = scratch.save(todo.filter(F.size("todo") > 0).select(F.col("blob").alias("b"), F.col("row_id").alias("r"), "todo"), "todo")
     texts = docs.select(F.col(id_col).cast("long").alias("row_id"), blob(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    packed = texts.mapInArrow(_pack, "row_id long, blob binary, packed binary")
-    # by blob and row: other rows with the blob go elsewhere and are dropped there
-    unseen = packed.join(todo, (F.col("blob") == F.col("b")) & F.col("row_id").eqNullSafe(F.col("r")))
-    unseen.select("blob", "packed", "todo").mapInArrow(scanner(rules), LEDGER).dropDuplicates(["blob", "version"]).write.mode("append").parquet(ledger_path)
+    unseen = todo.count()
+    wanted = (F.col("blob") == F.col("b")) & F.col("row_id").eqNullSafe(F.col("r"))
+    if unseen:
+        # by blob and row: other rows with the blob go elsewhere and are dropped there
+        pack = lambda rows: rows.mapInArrow(_pack, "row_id long, blob binary, packed binary")
+        if unseen <= BROADCAST_BLOBS:
+            lost = pack(texts.join(F.broadcast(todo.select("b", "r")), wanted, "left_semi")).join(F.broadcast(todo), wanted)
+        else:
+            lost = pack(texts).join(todo, wanted)
+        found = lost.select("blob", "packed", "todo").mapInArrow(scanner(rules), LEDGER).dropDuplicates(["blob", "version"])
+        found.write.mode("append").partitionBy("version").parquet(ledger_path)
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path) if exists(spark, ledger_path) else ledger
     order = F.coalesce(*(F.when(F.col("kind") == r.kind, i) for i, r in enumerate(rules)))
     base = F.col("kind").isin([r.kind for r in rules if r.base])
     found = (
-        spark.read.schema(LEDGER).parquet(ledger_path).filter(F.col("version").isin(versions) & (F.size("spans") > 0)).dropDuplicates(["blob", "version"])
+        ledger.filter(F.col("version").isin(versions) & (F.size("spans") > 0)).dropDuplicates(["blob", "version"])
         .withColumns({"order": order, "base": base})
         .withColumn("f", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("order").alias("order"), F.col("kind").alias("kind"), s["stop"].alias("stop"), F.col("base").alias("base"))))
         .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("f"))).alias("findings"))
@@ -148,3 +159,29 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     count = lambda kind: F.coalesce(F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long"), F.lit(0)).alias(f"n_{kind}")
     n = [F.when(F.col("findings").isNull(), F.lit(0).cast("long")).otherwise(count(r.kind)).alias(f"n_{r.kind}") for r in RULES]
     return out.select("doc_id", *n, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
+def _sql_spans(rule: Rule) -> str:
+    """Rows (doc_id, kind, start, stop) of a rule, as DuckDB has no positions of matches: matches are put between two marks
+    that no text has, and the pieces' lengths are added up."""
+    pattern = rule.pattern.replace("'", "''")
+    return rf"""
+  SELECT doc_id, '{rule.kind}' AS kind, {[r.kind for r in RULES + EXTRA].index(rule.kind)} AS place, before AS start, before + length(hit) AS stop
+  FROM (SELECT doc_id, split_part(pieces[n], chr(57345), 1) AS hit,
+               list_sum(list_transform(pieces[1:n - 1], lambda x: length(replace(x, chr(57345), ''))))::BIGINT AS before
+        FROM (SELECT doc_id, pieces, unnest(range(2, len(pieces) + 1)) AS n
+              FROM (SELECT doc_id, string_split(regexp_replace(text, '({pattern})', chr(57344) || '\1' || chr(57345), 'g'), chr(57344)) AS pieces FROM d)))
+  WHERE length({f"regexp_extract(hit, '{pattern}', {rule.group})" if rule.group else 'hit'}) >= {rule.least}"""
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({' UNION ALL '.join(map(_sql_spans, RULES + EXTRA))}),
+f AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in RULES)},
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (kind NOT IN ({', '.join(f"'{r.kind}'" for r in EXTRA)})) AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (doc_id)
+"""
