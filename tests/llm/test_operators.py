@@ -469,3 +469,23 @@ def test_bm25(spark, docs, empty, monkeypatch):
         assert [i for i, _ in got[q]] == [i for _, i in want]
     assert 9000 not in got and 9001 not in got
     assert bm25_search.search(spark, empty, queries).count() == 0
+
+
+def test_bm25_skips_blocks():
+    """Two kinds of documents: a query of one kind leaves the other kind's blocks unscored, and finds what all blocks hold."""
+    r = np.random.default_rng(2)
+    kinds = [[f"{c}{i}" for i in range(60)] for c in "ab"]
+    found = [bm25_search.terms(" ".join([f"top{c}"] * 30 + list(r.choice(kinds[c], 40)))) for c in (0, 1) for _ in range(640)]
+    vocab, term = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+    ptr = np.concatenate([[0], np.cumsum([len(t) for t, _ in found])])
+    length = np.array([c.sum() for _, c in found])
+    arrays = {"ids": np.arange(len(found)), "length": length, "vocab": vocab, "ptr": ptr, "term": term.astype(np.int32), "tf": np.concatenate([c for _, c in found]).astype(np.int32)}
+    shard = bm25_search.Shard(arrays, length.mean())
+    weight = bm25_search.idf(np.bincount(term), len(found))
+    queries = [(t, c * weight[np.searchsorted(vocab, t)]) for t, c in (found[5], found[700])]
+    best = [[], []]
+    shard.search(queries, best, 10, [0, 1])
+    assert shard.passed <= shard.scored <= 0.55 * shard.possible
+    for hits, (t, w) in zip(best, queries, strict=True):
+        every = sorted((-shard.exact(d, np.searchsorted(vocab, t), w), d) for d in range(len(found)))
+        assert hits == every[:10]
