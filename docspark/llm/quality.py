@@ -68,7 +68,7 @@ def statistics(text: str) -> list[float]:
         share(digits, letters, 0.0, 5 * SMOOTH),
         share(len(_SYMBOL.findall(text)), letters, 0.0, 5 * SMOOTH),
         share(text.count(".") + text.count(","), n, 0.15),
-        share(sum(k for w, k in counts.items() if not _ALNUM.search(w)), n),
+        share(sum(k for w, k in counts.items() if not (w[0].isalnum() or _ALNUM.search(w))), n),
         share(len(_BANG.findall(text)), n),
         share(len(_ENDS.findall(text)), n),
         share(again, n),
