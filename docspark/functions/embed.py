@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -9,9 +10,8 @@ from typing import Protocol
 
 import numpy as np
 
-#: Texts in a call, tries of a call, and seconds before the second and third.
+#: Texts in a call, and seconds before the second and third try.
 BATCH, WAITS = 16, (0.4, 0.8)
-MASK = 2**64 - 1
 
 
 class Embedder(Protocol):
@@ -31,16 +31,10 @@ class HashEmbedder:
     id: str = "hash"
 
     def embed(self, texts: Sequence[str], query: bool = False) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        out = np.empty((len(texts), self.dim), dtype=np.float32)
         for i, t in enumerate(texts):
-            h = 1469598103934665603  # fixed values: FNV-1a from this basis, then a 64-bit linear congruential step an element
-            for b in t.encode():
-                h = ((h ^ b) * 1099511628211) & MASK
-            v = np.empty(self.dim)
-            for k in range(self.dim):
-                h = (h * 6364136223846793005 + 1442695040888963407) & MASK
-                v[k] = (h >> 11) / 2**53 - 0.5
-            out[i] = unit(v)
+            seed = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=16).digest(), "big")
+            out[i] = unit(np.random.Generator(np.random.PCG64(seed)).standard_normal(self.dim))
         return out
 
 

@@ -19,6 +19,11 @@ def tokens(text: Column, compat: bool = False) -> Column:
     return F.regexp_extract_all(fold_native(text), F.lit(COMPAT if compat else TOKEN), F.lit(0))
 
 
+def count_tokens(text: Column, compat: bool = False) -> Column:
+    """How many tokens a text has. Folding neither joins nor splits tokens that keep their marks."""
+    return F.regexp_count(fold_native(text), F.lit(COMPAT)) if compat else F.regexp_count(text, F.lit(TOKEN))
+
+
 def query_phrases(text: str, compat: bool = False) -> list[list[str]]:
     """A query's words, each a phrase of one token or more. A word that is repeated is repeated here.
 

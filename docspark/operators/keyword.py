@@ -1,7 +1,9 @@
 """Keyword search by BM25 over words and phrases, with statistics of the whole collection.
 
 ``index_terms`` makes the postings table once: (term, id, tf, positions), and the lengths: (id, n_tokens). Written with
-``write_index``, postings are clustered by term, so that a query reads only the row groups of its terms.
+``write_index``, postings are clustered by term, so that a query reads only the row groups of its terms. Without an index
+``query_terms`` takes a query's terms straight from the texts: other tokens are dropped where they are found, so that only
+matches are shuffled.
 """
 
 from __future__ import annotations
@@ -12,20 +14,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.terms import query_phrases, tokens
+from docspark.functions.terms import count_tokens, query_phrases, tokens
 
 #: The parameters of BM25 and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+def _postings(found: DataFrame, *more: str) -> DataFrame:
+    return found.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), *(F.first(c).alias(c) for c in more))
+
+
 def index_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text", compat: bool = False) -> tuple[DataFrame, DataFrame]:
     found = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col), compat).alias("tokens"))
     lengths = found.select("id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"))
-    postings = (
-        found.select("id", F.posexplode("tokens").alias("position", "term"))
-        .groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    )
-    return postings, lengths
+    return _postings(found.select("id", F.posexplode("tokens").alias("position", "term"))), lengths
+
+
+def query_terms(rows: DataFrame, phrases: list[list[str]], id_col: str = "id", text_col: str = "text", compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``index_terms`` for the terms of these phrases alone; the postings have their row's n_tokens too."""
+    wanted = sorted({w for p in phrases for w in p})
+    lengths = rows.select(F.col(id_col).alias("id"), F.coalesce(count_tokens(F.col(text_col), compat), F.lit(0)).alias("n_tokens"))
+    found = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col), compat).alias("tokens"))
+    found = found.select("id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term")).filter(F.col("term").isin(wanted))
+    return _postings(found, "n_tokens"), lengths
 
 
 def write_index(spark: SparkSession, postings: DataFrame, lengths: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -40,21 +51,22 @@ def _shifted(positions: Column, by: int) -> Column:
 
 
 def phrase_matches(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """Rows (phrase, id, tf): how often each phrase occurs in each row that has it."""
+    """Rows (phrase, id, tf), with n_tokens if the postings have it: how often each phrase occurs in each row that has it."""
+    more = [c for c in ("n_tokens",) if c in postings.columns]
     words = [(i, p[0]) for i, p in enumerate(phrases) if len(p) == 1]
     spark, parts = postings.sparkSession, []
     if words:
         wanted = spark.createDataFrame(words, "phrase int, term string")
         hits = postings.filter(F.col("term").isin(sorted({w for _, w in words})))
-        parts.append(hits.join(F.broadcast(wanted), "term").select("phrase", "id", "tf"))
+        parts.append(hits.join(F.broadcast(wanted), "term").select("phrase", "id", "tf", *more))
     for i, phrase in enumerate(phrases):
         if len(phrase) == 1:
             continue
         # rows with all words, then positions shifted to where the phrase would begin
-        hits = postings.filter(F.col("term").isin(sorted(set(phrase)))).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+        hits = postings.filter(F.col("term").isin(sorted(set(phrase)))).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), *(F.first(c).alias(c) for c in more))
         starts = [_shifted(F.coalesce(F.col("at")[w], F.array().cast("array<int>")), j) for j, w in enumerate(phrase)]
         n = F.size(reduce(F.array_intersect, starts))
-        parts.append(hits.select(F.lit(i).alias("phrase"), "id", n.alias("tf")).filter("tf > 0"))
+        parts.append(hits.select(F.lit(i).alias("phrase"), "id", n.alias("tf"), *more).filter("tf > 0"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "phrase int, id long, tf int")
 
 
@@ -76,14 +88,15 @@ def _phrase_scores(postings: DataFrame, lengths: DataFrame, phrases: list[list[s
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
-    rows = matches.join(F.broadcast(df), "phrase").join(lengths, "id").crossJoin(F.broadcast(corpus))
+    sized = matches if "n_tokens" in matches.columns else matches.join(lengths, "id")
+    rows = sized.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(corpus))  # a row a phrase; one row
     return rows.select("phrase", "id", part.alias("part"))
 
 
 def keyword_top(rows: DataFrame, text: str, k: int, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """The k best rows (id, score) for a query text, straight from a table of texts; equal scores by id."""
-    postings, lengths = index_terms(rows, id_col, text_col)
-    return keyword_scores(postings, lengths, query_phrases(text), allowed).orderBy(F.desc("score"), "id").limit(k)
+    phrases = query_phrases(text)
+    return keyword_scores(*query_terms(rows, phrases, id_col, text_col), phrases, allowed).orderBy(F.desc("score"), "id").limit(k)
 
 
 def keyword_top_batched(rows: DataFrame, queries: list[tuple[int, str]], k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -92,7 +105,8 @@ def keyword_top_batched(rows: DataFrame, queries: list[tuple[int, str]], k: int,
     number = {p: i for i, p in enumerate(dict.fromkeys(p for _, p in asked))}
     times = Counter((q, number[p]) for q, p in asked)
     wanted = rows.sparkSession.createDataFrame([(q, i, n) for (q, i), n in times.items()], "query_id long, phrase int, times int")
-    parts = _phrase_scores(*index_terms(rows, id_col, text_col), [list(p) for p in number])
+    phrases = [list(p) for p in number]
+    parts = _phrase_scores(*query_terms(rows, phrases, id_col, text_col), phrases)
     scores = parts.join(F.broadcast(wanted), "phrase").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
