@@ -210,7 +210,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: s
         for b in batches:
             yield b.filter(pa.array(model.scores(vectors(b.column(at).to_pylist())) >= 0.5, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots do not reach Python
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -131,3 +131,97 @@ def test_stages(spark, corpus):
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     assert out.count() > 0 and out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory, corpus):
+    """Ids that repeat with the same or another text, rows without an id, null and very long texts, clashing columns."""
+    r = np.random.default_rng(12)
+    line = lambda n: " ".join(f"k{x}" for x in r.integers(0, 700, n))
+    texts = ["\n".join(line(int(n)) for n in r.integers(5, 30, r.integers(1, 6))) for _ in range(60)]
+    long = " ".join(f"z{x}" for x in r.integers(0, 5000, 60_000))
+    rows = [(i % 40, texts[i % 60], ["a", None, "b"][i % 3]) for i in range(80)]
+    rows += [(3, texts[3], "a")] * 3 + [(None, t, "c") for t in (*texts[:4], texts[0], None, "")] + [(500, long, "a"), (501, long + " tail", "b"), (502, None, None), (503, "", "b"), (504, " ", "b")]
+    rows = [(i, t, "en", s, None if t is None else len(t), f"m{k}", k, k, k, k) for k, (i, t, s) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __text string, __id int, size int, dedup_lines_stats int, `a.b` int"
+    return corpus[0], spark.createDataFrame(rows, schema).repartition(4).cache()
+
+
+def rows_of(frame):
+    return Counter(map(tuple, frame.collect()))
+
+
+def test_stages_on_odd_rows(spark, odd):
+    sf_dir, docs = odd
+    given = rows_of(docs)
+
+    # quality: rows as they are, each by its own text
+    a = corpus_pipeline.good_quality.whole(spark, docs, sf_dir)
+    got = rows_of(a)
+    assert a.columns == docs.columns and not got - given
+    verdict = {}
+    for x, n in given.items():
+        assert got[x] in (0, n) and verdict.setdefault(x[1] or "", got[x] > 0) == (got[x] > 0)
+
+    # lines: nothing but texts and their lengths change, and only rows that lost all lines go
+    b = corpus_pipeline.fresh_lines.whole(spark, docs, sf_dir)
+    assert b.columns == docs.columns
+    kept = {x["__text"]: x for x in b.collect()}
+    for x in docs.collect():
+        y = kept.get(x["__text"])
+        if y is None:
+            assert x["text"]
+            continue
+        assert tuple(x)[5:] == tuple(y)[5:] and (x["doc_id"], x["source"]) == (y["doc_id"], y["source"])
+        left, own = (y["text"] or "").split("\n"), iter((x["text"] or "").split("\n"))
+        assert (y["text"] is None) == (x["text"] is None) and all(any(k == w for w in own) for k in left)
+        assert y["n_chars"] == (None if y["text"] is None else len(y["text"]))
+
+    # near duplicates: rows without an id stay, of rows with one id and text one stays
+    c = corpus_pipeline.one_of_each.whole(spark, docs, sf_dir)
+    got = rows_of(c)
+    assert c.columns == docs.columns and not got - given
+    assert sum(n for x, n in got.items() if x[0] is None) == sum(n for x, n in given.items() if x[0] is None)
+    named = Counter((x[0], x[1]) for x, n in got.items() for _ in range(n) if x[0] is not None)
+    assert max(named.values()) == 1
+    first = {}
+    for i, t in ((x[0], x[1]) for x in given if x[0] is not None):
+        first[t] = min(i, first.get(t, i))
+    # the long texts, which differ in a word, are one group; all others differ or are equal; texts without words stay all
+    long = sorted((t for t in first if t and len(t) > 10_000), key=len)
+    del first[long[1]]
+    assert set(named) == {(i, t) for t, i in first.items()} | {(i, t) for i, t in ((x[0], x[1]) for x in given) if i is not None and not (t or "").strip()}
+
+    # the mix: each source's words near its target, no row more than twice
+    d = corpus_pipeline.mixed.whole(spark, docs, sf_dir)
+    got = rows_of(d)
+    assert d.columns == docs.columns and all(n <= 2 * given[x] for x, n in got.items())
+    size = lambda t: len(WORDS.findall(t or ""))
+    words, plan = Counter(), {}
+    for x, n in got.items():
+        words[x[3]] += n * size(x[1])
+    for p in mixing.mix(spark, docs).collect():
+        plan[p["source"]] = plan.get(p["source"], 0) + p["taken"]
+    assert {s: n for s, n in words.items() if n} == {s: n for s, n in plan.items() if n}
+
+    # packing: every row by itself
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    pieces = corpus_pipeline.packed.whole(spark, docs, sf_dir).collect()
+    assert sum(p["length"] for p in pieces) == sum(n * (len(tokenizer.encode(x[1] or "", add_special_tokens=False).ids) + 1) for x, n in given.items())
+    assert Counter(p["doc_id"] for p in pieces if p["start"] == 0) == Counter(x[0] for x in given.elements())
+
+
+def test_stages_on_an_empty_table(spark, odd):
+    sf_dir, docs = odd
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_two_runs_at_a_time_keep_apart(spark, corpus):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(lambda _: rows_of(corpus_pipeline.run(spark, corpus[0])), range(2))
+    assert one == two and one
