@@ -21,7 +21,7 @@ from docspark.functions.text import clean_native, normalize_text
 from docspark.operators.chunk import chunk_documents
 from docspark.operators.fusion import best, fuse, ranked
 from docspark.operators.keyword import keyword_scores, keyword_top, keyword_top_batched, query_terms
-from docspark.operators.vector_search import top_k, top_k_batched
+from docspark.operators.vector_search import top_k, top_k_joined
 from docspark.plans import answer as A
 from docspark.plans.hybrid import Query, sentinels, with_similarity
 from docspark.plans.hybrid import search as hybrid_search
@@ -78,8 +78,7 @@ def vector_topk_masked(spark, d):
 def vector_topk_batched(spark, d):
     """Every stored vector whose id is divisible by 50 is a query."""
     rows = stored_vectors(spark, d)
-    queries = [(r["id"], r["embedding"]) for r in rows.filter("id % 50 = 0").collect()]
-    return top_k_batched(rows, queries, 5).select("query_id", "id", six(F.col("distance"), "distance"), "rank")
+    return top_k_joined(rows, rows.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), 5).select("query_id", "id", six(F.col("distance"), "distance"), "rank")
 
 
 def similarities(spark, d):
