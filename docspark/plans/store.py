@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.errors import EngineError, require
+from docspark.sources.legacy import read_folder
 
-FORMAT, MOST_DIM = 3, 65_536
+FORMAT, MOST_DIM = 4, 65_536
 CHUNKS = "id long, doc_id string, chunk_index long, source_path string, offset long, length long, text string, content_hash string, page long, embedding array<float>"
 DOCUMENTS = "doc_id string, source_path string, content_hash string, size long, mtime_ns long, title string, chunk_count long, status string, message string"
 NEW_CHUNKS = [c.split()[0] for c in CHUNKS.split(", ") if not c.startswith("id ")]
@@ -36,6 +37,16 @@ class Manifest:
     chunks: list[str] = field(default_factory=list)
     removed: list[str] = field(default_factory=list)
     documents: list[str] = field(default_factory=list)
+    meta: dict[str, str] = field(default_factory=dict)
+
+
+#: What manifests of older formats lack: user_version and removed_count before 3, meta before 4. The defaults stand for it.
+ADDED = {3: ("user_version", "removed_count"), 4: ("meta",)}
+
+
+def largest(documents: DataFrame, k: int) -> DataFrame:
+    """The k documents with most passages, ties by path."""
+    return documents.orderBy(F.desc("chunk_count"), "source_path").limit(k)
 
 
 class Store:
@@ -51,7 +62,8 @@ class Store:
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, embedding_model: str, dim: int) -> Store:
+    def create(cls, spark: SparkSession, root: str, embedding_model: str, dim: int, crypto: object = None) -> Store:
+        require(crypto is None, "encryption of the store is not supported", "UNSUPPORTED")
         require(bool(embedding_model), "a collection needs the name of its embedding model")
         require(1 <= dim <= MOST_DIM, f"dimension out of range: {dim}")
         new = cls(spark, root, writer=True)
@@ -71,8 +83,30 @@ class Store:
         require(embedding_model in (None, m.embedding_model), f"the collection was made with {m.embedding_model}", "MODEL_MISMATCH")
         if writer:
             out._lock()
+            out.migrate()
         return out
 
+    @classmethod
+    def convert(cls, spark: SparkSession, folder: str, root: str, embedding_model: str, tag: bytes | None = None) -> Store:
+        """A collection from a folder of the first format: vector i becomes passage i, without text."""
+        header, vectors = read_folder(spark, folder, tag)
+        out = cls.create(spark, root, embedding_model, header.dim)
+        if header.count:
+            out.add_vectors(vectors)
+        return out
+
+    def migrate(self) -> bool:
+        """Bring an older manifest to FORMAT, with the old one kept beside it; whether there was anything to do."""
+        old = self.manifest.format_version
+        require(self.writer, "the collection is open for reading", "DENIED")
+        if old == FORMAT:
+            return False
+        kept = self._fs.create(self._path(f"manifest-format{old}.json"), True)
+        kept.write(bytearray(json.dumps(self.manifest.__dict__, indent=1).encode()))
+        kept.close()
+        self._swap(replace(self.manifest, format_version=FORMAT, version=self.manifest.version + 1))
+        return True
+
     def _lock(self) -> None:
         try:
             self._fs.create(self._path("write.lock"), False).close()  # refuses to overwrite
@@ -91,7 +125,10 @@ class Store:
             raw = bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
         finally:
             stream.close()
-        new = Manifest(**json.loads(raw))
+        values = json.loads(raw)
+        for fmt, names in ADDED.items():
+            require(values["format_version"] < fmt or set(names) <= values.keys(), "the manifest lacks what its format has", "CORRUPT")
+        new = Manifest(**values)
         old = getattr(self, "manifest", None)
         self.manifest = new
         return old is None or old.version != new.version
@@ -135,8 +172,28 @@ class Store:
         require(row is not None, f"no passage {chunk_id}", "NOT_FOUND")
         return row.asDict()
 
+    def get_vector(self, chunk_id: int) -> list[float]:
+        row = self.chunks().filter(F.col("id") == chunk_id).select("embedding").first()
+        require(row is not None, f"no passage {chunk_id}", "NOT_FOUND")
+        return list(row["embedding"])
+
+    def get_document(self, doc_id: str) -> dict:
+        row = self.documents().filter(F.col("doc_id") == doc_id).first()
+        require(row is not None, f"no document {doc_id}", "NOT_FOUND")
+        return row.asDict()
+
+    def largest_documents(self, k: int) -> DataFrame:
+        return largest(self.documents(), k)
+
+    def get_meta(self, name: str) -> str | None:
+        return self.manifest.meta.get(name)
+
     # writing
 
+    def set_meta(self, name: str, value: str) -> None:
+        require(self.writer, "the collection is open for reading", "DENIED")
+        self._swap(replace(self.manifest, version=self.manifest.version + 1, meta=self.manifest.meta | {name: value}))
+
     def _segment(self, df: DataFrame, kind: str) -> str:
         name = f"{kind}/{self.manifest.version + 1:08d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}")

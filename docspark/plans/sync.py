@@ -1,7 +1,7 @@
 """Keeping a collection in step with folders of files.
 
 The listing is joined with the stored records; files that may have changed are read, extracted, split and embedded in
-parallel, where what fails becomes a row with a status; one commit then carries all changes.
+parallel, where what fails becomes a row with a status; one commit then carries all changes, or a few do.
 """
 
 from __future__ import annotations
@@ -9,17 +9,18 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.errors import EngineError
 from docspark.functions.embed import Embedder, embed_all
 from docspark.operators.chunk import MOST, OVERLAP, TARGET, check_limits, chunk_text
 from docspark.plans.store import DOCUMENTS, Store
-from docspark.sources.extract import REGISTRY, is_supported, safe_extract
+from docspark.sources.extract import MOST_BYTES, REGISTRY, is_supported, safe_extract
 from docspark.sources.listing import list_paths
 
 #: Version of how passages are made and embedded; a collection with another one is embedded anew.
@@ -71,7 +72,14 @@ def _digest(raw: bytes) -> str:
 
 
 def _read(path: str) -> bytes | None:
+    """A file's bytes; a path with a scheme is read from the store that it names."""
     try:
+        if "://" in path or path.startswith("file:"):
+            from pyarrow import fs
+
+            store, at = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(at) as f:
+                return f.read()
         with open(path, "rb") as f:
             return f.read()
     except OSError:
@@ -81,8 +89,10 @@ def _read(path: str) -> bytes | None:
 def make_processor(embedder: Embedder, target: int, most: int, overlap: int, waits):
     registry = dict(REGISTRY)
 
-    def one(path: str, known: bool, may_keep: bool, old_hash: str | None) -> dict:
+    def one(path: str, size: int, known: bool, may_keep: bool, old_hash: str | None) -> dict:
         out = {"action": "", "content_hash": "", "title": "", "message": "", "pieces": []}
+        if size > MOST_BYTES:  # by the listing, before a byte is read
+            return out | {"action": "failed", "message": "the file is too large"}
         raw = _read(path)
         if raw is None:
             return out | {"action": "failed", "message": "cannot read file"}
@@ -112,25 +122,48 @@ def make_processor(embedder: Embedder, target: int, most: int, overlap: int, wai
         for b in batches:
             for at in range(len(b)):
                 r = b.iloc[at]
-                x = one(r["source_path"], bool(r["known"]), bool(r["may_keep"]), r["old_content_hash"])
+                x = one(r["source_path"], int(r["size"]), bool(r["known"]), bool(r["may_keep"]), r["old_content_hash"])
                 yield pd.DataFrame([{"source_path": r["source_path"], "size": r["size"], "mtime_ns": r["mtime_ns"], "known": r["known"], **x}])
 
     return run
 
 
-def sync(spark: SparkSession, store: Store, paths: list[str], embedder: Embedder, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, hidden: bool = False, waits=(0.4, 0.8)) -> SyncStatus:
+def sync(
+    spark: SparkSession, store: Store, paths: list[str], embedder: Embedder, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, hidden: bool = False, waits=(0.4, 0.8),
+    files_a_commit: int | None = None, progress: Callable[[SyncStatus], None] | None = None, cancelled: Callable[[], bool] | None = None,
+) -> SyncStatus:
+    """Bring the store in step with ``paths``; a file that two of them reach is visited once and then counts as unchanged.
+
+    One commit carries all, or about ``files_a_commit`` files each: then ``progress`` gets the counters after each commit,
+    and ``cancelled`` is asked before each; what is committed stays, and the next sync takes up what is left.
+    """
     check_limits(target, most, overlap)
-    listing = list_paths(spark, paths, hidden).filter("NOT skipped").drop("skipped").dropDuplicates(["path"])
+    every = list_paths(spark, paths, hidden).filter("NOT skipped").drop("skipped")
+    visits, listing = every.filter(is_supported(F.col("path"))).count(), every.dropDuplicates(["path"])
     supported = listing.filter(is_supported(F.col("path")))
     documents = store.documents()
     plan = plan_sync(supported, documents, store.manifest.user_version == RECIPE)
     todo = plan.filter("look").select("source_path", "size", "mtime_ns", "known", "may_keep", "old_content_hash")
+    gone = removals(documents, plan, [p for p in paths if os.path.isdir(p)]).select("doc_id")
+    parts = max(1, -(-todo.count() // files_a_commit)) if files_a_commit else 1
+    again = visits - supported.count()
+    out = SyncStatus(files_seen=visits, files_unchanged=plan.filter("NOT look").count() + again, files_skipped=every.count() - visits)
+    run = make_processor(embedder, target, most, overlap, tuple(waits))
+    for part in range(parts):
+        if cancelled and cancelled():
+            raise EngineError("CANCELLED", "the sync was stopped")
+        own = todo if parts == 1 else todo.filter(F.pmod(F.xxhash64("source_path"), F.lit(parts)) == part)
+        out = _commit_part(spark, store, own, documents, gone if part == parts - 1 else None, run, out, RECIPE if part == parts - 1 else None)
+        if progress:
+            progress(out)
+    return out
+
+
+def _commit_part(spark: SparkSession, store: Store, todo: DataFrame, documents: DataFrame, gone: DataFrame | None, run, before: SyncStatus, recipe: int | None) -> SyncStatus:
     stage = f"{store.root}/staging-{uuid.uuid4().hex}"
     many = max(1, spark.sparkContext.defaultParallelism * 4)
-    todo.repartition(many, "source_path").mapInPandas(make_processor(embedder, target, most, overlap, tuple(waits)), RESULT).write.parquet(stage)
+    todo.repartition(many, "source_path").mapInPandas(run, RESULT).write.parquet(stage)
     done = spark.read.parquet(stage)
-
-    gone = removals(documents, plan, [p for p in paths if os.path.isdir(p)]).select("doc_id")
     status = F.when(F.col("action").isin("added", "updated"), "ok").when(F.col("action") == "no_text", "no_text").otherwise("error")
     written = done.filter("action <> 'touched'").select(
         F.col("source_path").alias("doc_id"), "source_path", "content_hash", "size",
@@ -140,18 +173,19 @@ def sync(spark: SparkSession, store: Store, paths: list[str], embedder: Embedder
     touched = done.filter("action = 'touched'").select("source_path", "size", "mtime_ns").join(documents.drop("size", "mtime_ns"), "source_path")
     columns = [c.split()[0] for c in DOCUMENTS.split(", ")]
     records = written.select(columns).unionByName(touched.select(columns))
-    changed = done.filter("action <> 'touched'").select(F.col("source_path").alias("doc_id")).unionByName(gone)
+    changed = done.filter("action <> 'touched'").select(F.col("source_path").alias("doc_id"))
+    changed = changed if gone is None else changed.unionByName(gone)
     old = store.chunks().join(changed, "doc_id", "left_semi").select("id")
     new = done.select("source_path", "content_hash", F.explode("pieces").alias("p")).select(
         F.col("source_path").alias("doc_id"), "source_path", "content_hash", "p.chunk_index", "p.offset", "p.length", "p.page", "p.text", "p.embedding"
     )
     counts = dict(done.groupBy("action").count().collect())
-    unchanged, removed, chunks_removed = plan.filter("NOT look").count(), gone.count(), old.count()
-    added = store.commit(add=new, remove_ids=old if chunks_removed else None, records=records if counts else None, drop_documents=gone if removed else None, user_version=RECIPE)
+    removed, chunks_removed = gone.count() if gone is not None else 0, old.count()
+    added = store.commit(add=new, remove_ids=old if chunks_removed else None, records=records if counts else None, drop_documents=gone if removed else None, user_version=recipe)
     store._fs.delete(store._path(stage.removeprefix(store.root + "/")), True)
-    return SyncStatus(
-        files_seen=supported.count(), files_added=counts.get("added", 0), files_updated=counts.get("updated", 0),
-        files_unchanged=unchanged + counts.get("touched", 0), files_no_text=counts.get("no_text", 0),
-        files_failed=counts.get("failed", 0) + counts.get("retry", 0), files_removed=removed,
-        files_skipped=listing.count() - supported.count(), chunks_added=added, chunks_removed=chunks_removed,
+    return replace(
+        before, files_added=before.files_added + counts.get("added", 0), files_updated=before.files_updated + counts.get("updated", 0),
+        files_unchanged=before.files_unchanged + counts.get("touched", 0), files_no_text=before.files_no_text + counts.get("no_text", 0),
+        files_failed=before.files_failed + counts.get("failed", 0) + counts.get("retry", 0), files_removed=before.files_removed + removed,
+        chunks_added=before.chunks_added + added, chunks_removed=before.chunks_removed + chunks_removed,
     )

@@ -58,6 +58,6 @@ def list_remote(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.split(F.expr(f"substring(path, length('{root.rstrip('/')}') + 2)"), "/")
+    rel = F.split(F.substring(F.col("path"), F.lit(len(root.rstrip("/")) + 2), F.length("path")), "/")
     skipped = F.arrays_overlap(F.slice(rel, 1, F.greatest(F.size(rel) - 1, F.lit(0))), F.array(*map(F.lit, SKIPPED)))
     return files.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), skipped.alias("skipped"))
