@@ -101,7 +101,11 @@ class Collection:
         require(self.embedder is not None, "a text query needs an embedder")
         return self.query(Query(vector=self.embedder.embed([text], query=True)[0].tolist(), text=text, top_k=top_k, **more))
 
-    def ask(self, question: str, model: A.Generator | None = None, top_k: int = 8, budget: int = 1100, least_similarity: float = 0.25, path_prefix: str = "", on_token=None) -> A.Answer:
+    def ask(self, question: str | Sequence[dict], model: A.Generator | None = None, top_k: int = 8, budget: int = 1100, least_similarity: float = 0.25, path_prefix: str = "", on_token=None) -> A.Answer:
+        """``question``: a text, or a list of messages with one of the user alone."""
+        if not isinstance(question, str):
+            require(len(question) == 1 and question[0].get("role") == "user", "one message of the user is answered, no more", "UNSUPPORTED")
+            question = question[0].get("content") or ""
         require(1 <= top_k <= 100, "top_k has to be 1 to 100")
         require(budget >= 64, "the budget has to be 64 or more")
         require(-1 <= least_similarity <= 1, "a similarity is -1 to 1")
@@ -166,6 +170,11 @@ class Collection:
         return self.store.refresh()
 
 
+def problems(documents: DataFrame) -> DataFrame:
+    """Documents that gave no passages: without text, or failed."""
+    return documents.filter(F.col("status") != "ok").select("source_path", "status")
+
+
 def summarize(documents: DataFrame) -> DataFrame:
     return documents.agg(
         F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "no_text").alias("no_text"),

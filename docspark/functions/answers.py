@@ -65,3 +65,17 @@ def states_fact(answer: Column, fact: str) -> Column:
     f = strip(fact)
     pattern = (r"(?<!\d)" if f[:1].isdigit() else "") + re.escape(f) + (r"(?!\d)" if f[-1:].isdigit() else "")
     return F.regexp_replace(F.lower(answer), "[, ]", "").rlike(pattern)
+
+
+#: Questions that open by asking for files or documents, or what became of them.
+_ABOUT = r"(?i)^\s*(what|which|how many|list|show)\b.*\b(documents?|files?|folders?)\b"
+
+
+def is_collection_question(text: str) -> bool:
+    """Whether a question is about the collection itself, which its documents cannot tell."""
+    return re.search(_ABOUT, text) is not None
+
+
+def about_collection(question: Column) -> Column:
+    """``is_collection_question`` as a column."""
+    return question.rlike(_ABOUT)

@@ -58,12 +58,14 @@ class WordEmbedder:
 
 @dataclass(frozen=True)
 class Prefixed:
-    """An embedder whose queries and documents get different prefixes, and whose vectors may be cut to fewer dimensions."""
+    """An embedder whose queries and documents get different prefixes, and whose vectors may be cut to fewer dimensions.
+    Texts longer than ``most_chars`` characters with their prefix are cut there (0: never)."""
 
     base: Embedder
     query_prefix: str = ""
     document_prefix: str = ""
     dim: int = 0
+    most_chars: int = 0
 
     def __post_init__(self):
         if not self.dim:
@@ -77,7 +79,7 @@ class Prefixed:
 
     def embed(self, texts: Sequence[str], query: bool = False) -> np.ndarray:
         prefix = self.query_prefix if query else self.document_prefix
-        out = self.base.embed([prefix + t for t in texts], query)
+        out = self.base.embed([(prefix + t)[: self.most_chars or None] for t in texts], query)
         return np.array([unit(v, self.dim) for v in out], dtype=np.float32)
 
 

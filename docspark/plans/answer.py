@@ -98,6 +98,14 @@ def bytes_over_four(text: str) -> int:
     return -(-len(text.encode()) // 4)
 
 
+def tokens_of(path: str) -> Callable[[str], int]:
+    """A token count by a vocabulary file of the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def fit_budget(budget: int, count: Callable[[str], int] = bytes_over_four) -> Callable[[State], None]:
     """Passages, best first, while the prompt stays within ``budget`` tokens; one that does not fit is passed over."""
 

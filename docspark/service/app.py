@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
 import logging.handlers
 import os
 import threading
+import time
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from docspark.api import NAME, AuditEvent, Collection, check_name
-from docspark.errors import require
+from docspark.errors import EngineError, require
 from docspark.functions.embed import Embedder, WordEmbedder
 from docspark.plans.answer import ExtractiveGenerator, Generator
 from docspark.streaming.jobs import JobQueue
+from docspark.streaming.watch import SECONDS, watch_folders
 
 #: HTTP codes of the statuses.
 HTTP_CODES = {
@@ -24,6 +28,8 @@ HTTP_CODES = {
 }
 
 
+#: Files a commit carries in a sync that reports its progress.
+FILES_A_COMMIT = 2_000
 #: Fixed value: bytes after which the log is rolled over.
 LOG_BYTES = 4 << 20
 
@@ -34,10 +40,14 @@ class App:
         self.embedder, self.generator = embedder or WordEmbedder(), generator or ExtractiveGenerator()
         os.makedirs(self.data_dir, exist_ok=True)
         self.log = logging.getLogger(f"docspark.{uuid.uuid4().hex}")  # actions and codes, never texts
-        self.log.addHandler(logging.handlers.RotatingFileHandler(f"{self.data_dir}/docspark.log", maxBytes=LOG_BYTES, backupCount=1))
+        handler = logging.handlers.RotatingFileHandler(f"{self.data_dir}/docspark.log", maxBytes=LOG_BYTES, backupCount=1)
+        handler.setFormatter(logging.Formatter("%(asctime)sZ %(message)s", "%Y-%m-%dT%H:%M:%S"))
+        handler.formatter.converter = time.gmtime
+        self.log.addHandler(handler)
         self.log.setLevel(logging.INFO)
         self.log.propagate = False
         self.jobs, self._readers, self._lock = JobQueue(spark), {}, threading.Lock()
+        self.watching: StreamingQuery | None = None
 
     def _root(self, name: str) -> str:
         return f"file://{self.data_dir}/{check_name(name)}"
@@ -70,6 +80,56 @@ class App:
         finally:
             c.store.close()
 
+    def ingest_job(self, name: str, paths: list[str]):
+        """A job's work: commits as it goes, reports the counters after each, and stops between two when cancelled."""
+        return lambda job: self.ingest(name, paths, files_a_commit=FILES_A_COMMIT, progress=job.report, cancelled=job.cancelled)
+
+    def about(self, name: str) -> dict:
+        """An answer to questions about a collection itself, which no passage holds."""
+        c = self.reader(name)
+        largest = [r["source_path"] for r in c.store.largest_documents(20).collect()]
+        return {"text": "", "found": True, "about_collection": True, "summary": c.summary(), "documents": largest}
+
+    @contextlib.contextmanager
+    def serving(self):
+        """One server a data folder: its process id stands in a file while it runs; a file of a process that is gone is taken over."""
+        path = f"{self.data_dir}/server.pid"
+        for _ in range(2):
+            try:
+                with open(path, "x", encoding="ascii") as f:
+                    f.write(str(os.getpid()))
+                break
+            except FileExistsError:
+                with open(path, encoding="ascii") as f:
+                    other = f.read().strip()
+                require(not (other.isdigit() and alive(int(other))), f"process {other} serves {self.data_dir}", "BUSY")
+                os.unlink(path)
+        try:
+            yield
+        finally:
+            os.unlink(path)
+
+    def apply_watch(self) -> StreamingQuery | None:
+        """Watch what the settings' ``watch`` block says: collection, folders and, if given, seconds. Without one nothing is watched."""
+        if self.watching is not None:
+            self.watching.stop()
+            self.watching = None
+        block = self.settings().get("watch") or {}
+        name, folders = block.get("collection"), block.get("folders") or []
+        if name and folders:
+            check_name(name)
+
+            def tick(there: list[str]):
+                try:
+                    return self.ingest(name, there)
+                except EngineError as e:
+                    if e.status != "BUSY":
+                        raise
+                    return None
+
+            self.watching = watch_folders(self.spark, tick, folders, block.get("seconds", SECONDS))
+        return self.watching
+
     def settings(self) -> dict:
         path = f"{self.data_dir}/config.json"
         if not os.path.exists(path):
@@ -88,4 +148,16 @@ class App:
             f.flush()
             os.fsync(f.fileno())
         os.replace(tmp, f"{self.data_dir}/config.json")
+        if "watch" in changes:
+            self.apply_watch()
         return new
+
+
+def alive(pid: int) -> bool:
+    try:
+        os.kill(pid, 0)
+    except ProcessLookupError:
+        return False
+    except PermissionError:
+        return True
+    return True

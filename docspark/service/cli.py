@@ -1,4 +1,4 @@
-"""python -m docspark.service.cli COMMAND: ingest, search, ask, info, serve."""
+"""python -m docspark.service.cli COMMAND: ingest, search, ask, info, serve, migrate, convert, model, version."""
 
 from __future__ import annotations
 
@@ -6,19 +6,22 @@ import argparse
 import json
 import sys
 
-from docspark.api import to_json
+from docspark.api import check_name, to_json
 from docspark.errors import EngineError
+from docspark.plans.store import Store
 from docspark.service.app import App
 
-#: Exit codes by status; other errors give 1.
+#: Exit codes by status; other errors give 1, and a run that was interrupted gives 130.
 EXIT_CODES = {"INVALID_ARGUMENT": 2, "NOT_FOUND": 3, "MODEL_MISMATCH": 4, "BUSY": 5}
+STOPPED = 130
+VERSION = "0.2"
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="docspark")
     p.add_argument("--data", default="./collections")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in (("ingest", ["collection", "paths+"]), ("search", ["collection", "query"]), ("ask", ["collection", "query"]), ("info", ["collection"]), ("serve", [])):
+    for name, args in (("ingest", ["collection", "paths+"]), ("search", ["collection", "query"]), ("ask", ["collection", "query"]), ("info", ["collection"]), ("serve", []), ("migrate", ["collection"]), ("convert", ["folder", "collection"]), ("model", []), ("version", [])):
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a.rstrip("+"), **({"nargs": "+"} if a.endswith("+") else {}))
@@ -49,8 +52,24 @@ def run(app: App, args: argparse.Namespace, out=sys.stdout) -> int:
             case "serve":
                 from docspark.service.http import make_server
 
-                make_server(app, args.port, args.token).serve_forever()
+                with app.serving():
+                    app.apply_watch()
+                    make_server(app, args.port, args.token).serve_forever()
+            case "migrate":
+                c = app.writer(args.collection)  # opening for writing brings an older manifest up to date
+                c.store.close()
+                print(json.dumps({"format_version": c.store.manifest.format_version}), file=out)
+            case "convert":
+                store = Store.convert(app.spark, args.folder, f"file://{app.data_dir}/{check_name(args.collection)}", app.embedder.id)
+                store.close()
+                print(json.dumps({"dim": store.manifest.dim, "count": store.manifest.next_id}), file=out)
+            case "model":
+                print(json.dumps({"embedder": app.embedder.id, "dim": app.embedder.dim, "generator": type(app.generator).__name__}), file=out)
+            case "version":
+                print(VERSION, file=out)
         return 0
+    except KeyboardInterrupt:
+        return STOPPED
     except EngineError as e:
         print(f"{e.status}: {e}", file=sys.stderr)
         return EXIT_CODES.get(e.status, 1)

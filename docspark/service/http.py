@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hmac
 import json
-import re
+from collections.abc import Callable, Mapping
 from dataclasses import asdict
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from docspark.api import Collection, RetrievalFilter
 from docspark.errors import EngineError, require
+from docspark.functions.answers import is_collection_question
 from docspark.plans.hybrid import Query
 from docspark.service.app import HTTP_CODES, App
 
@@ -18,7 +20,16 @@ MOST_BODY = 1 << 20
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "[::1]")
 
 
-def make_server(app: App, port: int = 0, token: str | None = None) -> ThreadingHTTPServer:
+#: An auth provider gives the principal of a request's headers, or None to refuse it.
+Auth = Callable[[Mapping[str, str]], object]
+#: A route of one's own gets app, principal and body, and gives code and reply.
+Route = Callable[[App, object, dict], tuple[int, object]]
+
+
+def make_server(app: App, port: int = 0, token: str | None = None, auth: Auth | None = None, routes: dict[tuple[str, str], Route] | None = None, retrieval_filter: RetrievalFilter | None = None) -> ThreadingHTTPServer:
+    """``auth`` comes after host, origin and token; what it gives goes to ``retrieval_filter`` with each search. ``routes``:
+    (method, path) to functions, asked where the server has no route of its own."""
+
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *_):  # document text never goes to a log
             pass
@@ -52,8 +63,18 @@ def make_server(app: App, port: int = 0, token: str | None = None) -> ThreadingH
             if token and self.path != "/health" and not hmac.compare_digest(sent, token):
                 self._reply(401, {"error": "DENIED"})
                 return False
+            self.principal = auth(self.headers) if auth else None
+            if auth and self.principal is None and self.path != "/health":
+                self._reply(401, {"error": "DENIED"})
+                return False
             return True
 
+        def _reader(self, name: str) -> Collection:
+            c = app.reader(name)
+            if retrieval_filter is None:
+                return c
+            return Collection(c.store, c.embedder, retrieval_filter, self.principal, c.audit)
+
         def _serve(self, method: str) -> None:
             if not self._allowed():
                 return
@@ -83,24 +104,29 @@ def make_server(app: App, port: int = 0, token: str | None = None) -> ThreadingH
                 case "POST", ["collections", name, "ingest"]:
                     paths = self._body()["paths"]
                     require(isinstance(paths, list) and all(isinstance(p, str) for p in paths), "paths have to be strings")
-                    self._reply(202, {"job": app.jobs.submit("ingest", lambda: app.ingest(name, paths)).id})
+                    self._reply(202, {"job": app.jobs.submit("ingest", app.ingest_job(name, paths)).id})
                 case "GET", ["jobs"]:
                     self._reply(200, {"jobs": [{"id": j.id, "kind": j.kind, "state": j.state} for j in app.jobs.newest()]})
                 case "GET", ["jobs", number]:
                     job = app.jobs.get(int(number))
                     require(job is not None, "no such job", "NOT_FOUND")
-                    result = asdict(job.result) if job.result is not None else None
-                    self._reply(200, {"id": job.id, "state": job.state, "error": job.error, "result": result})
+                    plain = lambda x: asdict(x) if x is not None else None
+                    self._reply(200, {"id": job.id, "state": job.state, "error": job.error, "progress": plain(job.progress), "result": plain(job.result)})
                 case "DELETE", ["jobs", number]:
                     require(app.jobs.get(int(number)) is not None, "no such job", "NOT_FOUND")
                     app.jobs.cancel(int(number))
                     self._reply(200, {"id": int(number)})
                 case "POST", ["collections", name, "search"]:
-                    self._search(app.reader(name), self._body())
+                    self._search(self._reader(name), self._body())
                 case "POST", ["collections", name, "ask"]:
-                    self._ask(app.reader(name), self._body())
+                    body = self._body()
+                    if is_collection_question(body["question"]) and not body.get("stream"):
+                        self._reply(200, app.about(name))
+                    else:
+                        self._ask(self._reader(name), body)
                 case _:
-                    self._reply(404, {"error": "NOT_FOUND"})
+                    own = (routes or {}).get((method, url.path))
+                    self._reply(*(own(app, self.principal, self._body()) if own else (404, {"error": "NOT_FOUND"})))
 
         def _search(self, c, body: dict) -> None:
             mode, text = body.get("mode", "hybrid"), body["query"]
@@ -150,8 +176,3 @@ def make_server(app: App, port: int = 0, token: str | None = None) -> ThreadingH
             self._serve("DELETE")
 
     return ThreadingHTTPServer(("127.0.0.1", port), Handler)
-
-
-def is_collection_question(text: str) -> bool:
-    """Whether a question is about the collection itself and not about what its documents say."""
-    return bool(re.search(r"\b(how many|which|what|list)\b.*\b(documents?|files?)\b.*\b(have|has|indexed|collection|folder|there)\b", text.lower()))

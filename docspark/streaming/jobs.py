@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import itertools
 import queue
 import threading
@@ -20,18 +21,27 @@ class Job:
     state: str = "queued"
     result: object = None
     error: str = ""
+    progress: object = None
     done: threading.Event = field(default_factory=threading.Event)
 
 
+    def report(self, progress: object) -> None:
+        self.progress = progress
+
+    def cancelled(self) -> bool:
+        return self.state == "cancelled"
+
+
 class JobQueue:
-    """Jobs run under a Spark tag of their own, by which they are cancelled."""
+    """Jobs run under a Spark tag of their own, by which they are cancelled. Work that takes an argument gets its job, to
+    report progress to and to ask whether it is cancelled."""
 
     def __init__(self, spark: SparkSession, keep: int = 20):
         self.spark, self.keep = spark, keep
         self._ids, self._queue, self._jobs = itertools.count(1), queue.Queue(), {}
         threading.Thread(target=self._work, daemon=True).start()
 
-    def submit(self, kind: str, work: Callable[[], object]) -> Job:
+    def submit(self, kind: str, work: Callable[..., object]) -> Job:
         job = Job(next(self._ids), kind)
         self._jobs[job.id] = job
         self._queue.put((job, work))
@@ -64,7 +74,7 @@ class JobQueue:
             job.state = "running"
             self.spark.addTag(f"job-{job.id}")
             try:
-                job.result = work()
+                job.result = work(job) if inspect.signature(work).parameters else work()
                 job.state = "succeeded" if job.state == "running" else job.state
             except Exception as e:
                 job.error = str(e)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from docspark.api import Collection
@@ -23,23 +23,31 @@ MOST_FOLDERS, SECONDS = 16, 60
 def watch(collection: Collection, folders: list[str], seconds: int = SECONDS, on_status: Callable[[SyncStatus], None] | None = None, once: bool = False, checkpoint: str | None = None) -> StreamingQuery:
     """Start watching; ``once`` runs a single pass. A folder that is missing at a tick is passed over, and so is a tick
     that meets the collection busy."""
-    require(0 < len(folders) <= MOST_FOLDERS, f"1 to {MOST_FOLDERS} folders can be watched")
     require(collection.embedder is not None, "watching needs an embedder")
 
-    def tick(_: DataFrame, __: int) -> None:
-        there = [f for f in folders if os.path.isdir(f)]
-        if there:
-            try:
-                status = collection.ingest(there)
-            except EngineError as e:
-                if e.status != "BUSY":
-                    raise
-                return
-            if on_status:
-                on_status(status)
-
-    ticks = collection.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    writer = ticks.writeStream.foreachBatch(tick)
+    def tick(there: list[str]) -> None:
+        try:
+            status = collection.ingest(there)
+        except EngineError as e:
+            if e.status != "BUSY":
+                raise
+            return
+        if on_status:
+            on_status(status)
+
+    return watch_folders(collection.spark, tick, folders, seconds, once, checkpoint)
+
+
+def watch_folders(spark: SparkSession, tick: Callable[[list[str]], object], folders: list[str], seconds: int = SECONDS, once: bool = False, checkpoint: str | None = None) -> StreamingQuery:
+    """``tick`` is called with those of the folders that are there, on every trigger of a stream."""
+    require(0 < len(folders) <= MOST_FOLDERS, f"1 to {MOST_FOLDERS} folders can be watched")
+
+    def batch(_: DataFrame, __: int) -> None:
+        if there := [f for f in folders if os.path.isdir(f)]:
+            tick(there)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(batch)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()

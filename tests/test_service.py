@@ -2,19 +2,24 @@
 
 import io
 import json
+import struct
 import threading
 import urllib.error
 import urllib.request
 
+import pytest
+
+from docspark.errors import EngineError
 from docspark.functions.register import register
 from docspark.service.app import App
 from docspark.service.cli import parser, run
-from docspark.service.http import is_collection_question, make_server
+from docspark.functions.answers import is_collection_question
+from docspark.service.http import make_server
 
 
 def call(base, path, body=None, token="t", method=None, headers=None):
     data = None if body is None else json.dumps(body).encode()
-    request = urllib.request.Request(base + path, data, {"Authorization": f"Bearer {token}", **(headers or {})}, method=method)
+    request = urllib.request.Request(base + path, data, {"Authorization": f"Bearer {token}", "X-Who": "keeper", **(headers or {})}, method=method)
     try:
         with urllib.request.urlopen(request, timeout=120) as r:
             return r.status, r.read().decode()
@@ -24,9 +29,11 @@ def call(base, path, body=None, token="t", method=None, headers=None):
 
 def test_http_and_cli(spark, tmp_path):
     (tmp_path / "files").mkdir()
-    (tmp_path / "files" / "pump.txt").write_text("The pump bearing is replaced every 500 hours.")
+    (tmp_path / "files" / "lamp.txt").write_text("The lamp oil is replaced every 90 nights.")
     app = App(spark, str(tmp_path / "data"))
-    server = make_server(app, token="t")
+    auth = lambda headers: headers.get("X-Who")
+    only = lambda rows, who: rows if who == "keeper" else rows.filter("false")
+    server = make_server(app, token="t", auth=auth, routes={("POST", "/extra"): lambda a, who, body: (201, {"who": who, **body})}, retrieval_filter=only)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     assert call(base, "/health", token="no")[0] == 200 and call(base, "/collections", token="no")[0] == 401
@@ -35,23 +42,49 @@ def test_http_and_cli(spark, tmp_path):
     assert code == 202
     app.jobs.wait(json.loads(out)["job"], 120)
     job = json.loads(call(base, f"/jobs/{json.loads(out)['job']}")[1])
-    assert job["state"] == "succeeded" and job["result"]["files_added"] == 1
+    assert job["state"] == "succeeded" and job["result"]["files_added"] == 1 and job["progress"] == job["result"]
+    assert call(base, "/extra", {"x": 1}) == (201, '{"who": "keeper", "x": 1}')
+    assert json.loads(call(base, "/collections/c1/search", {"query": "lamp", "mode": "keyword"}, headers={"X-Who": "guest"})[1])["hits"] == []
+    about = json.loads(call(base, "/collections/c1/ask", {"question": "How many files are indexed?"})[1])
+    assert about["about_collection"] and about["summary"]["ok"] == 1 and about["documents"][0].endswith("lamp.txt")
     assert json.loads(call(base, "/collections")[1])["collections"][0]["count"] == 1
     assert json.loads(call(base, "/collections/c1/documents")[1])["summary"]["ok"] == 1
-    hits = json.loads(call(base, "/collections/c1/search", {"query": "pump", "mode": "keyword"})[1])["hits"]
-    assert hits[0]["source_path"].endswith("pump.txt") and "distance" not in hits[0] and hits[0]["keyword_score"] > 0
-    answer = json.loads(call(base, "/collections/c1/ask", {"question": "pump bearing replaced"})[1])
+    hits = json.loads(call(base, "/collections/c1/search", {"query": "lamp", "mode": "keyword"})[1])["hits"]
+    assert hits[0]["source_path"].endswith("lamp.txt") and "distance" not in hits[0] and hits[0]["keyword_score"] > 0
+    answer = json.loads(call(base, "/collections/c1/ask", {"question": "lamp oil replaced"})[1])
     assert answer["found"] and answer["citations"][0]["number"] == 1
-    stream = call(base, "/collections/c1/ask", {"question": "pump bearing replaced", "stream": True})[1]
+    stream = call(base, "/collections/c1/ask", {"question": "lamp oil replaced", "stream": True})[1]
     assert "event: token" in stream and "event: answer" in stream
     assert call(base, "/collections/nosuch/search", {"query": "x"})[0] == 404 and call(base, "/collections/c1/search", {"query": "x", "top_k": 0})[0] == 400
     assert call(base, "/settings", {"a": 1})[0] == 200 and json.loads(call(base, "/settings")[1]) == {"a": 1}
     assert call(base, "/collections/c1/search", [1])[0] == 400 and call(base, "/nothing")[0] == 404
     server.shutdown()
     out = io.StringIO()
-    assert run(app, parser().parse_args(["search", "c1", "pump bearing"]), out) == 0 and "pump.txt" in out.getvalue()
+    assert run(app, parser().parse_args(["search", "c1", "lamp oil"]), out) == 0 and "lamp.txt" in out.getvalue()
     assert run(app, parser().parse_args(["info", "nosuch"]), out) == 3
-    assert is_collection_question("How many documents are in this collection?") and not is_collection_question("How often is the pump serviced?")
+    assert run(app, parser().parse_args(["version"]), out) == 0 and run(app, parser().parse_args(["model"]), out) == 0
+    old = tmp_path / "data" / "c1" / "manifest.json"
+    values = {k: v for k, v in json.loads(old.read_text()).items() if k != "meta"} | {"format_version": 3}
+    old.write_text(json.dumps(values))
+    (old.parent / ".manifest.json.crc").unlink(missing_ok=True)
+    assert run(app, parser().parse_args(["migrate", "c1"]), out) == 0 and json.loads(old.read_text())["format_version"] == 4
+    assert json.loads((old.parent / "manifest-format3.json").read_text())["next_id"] == values["next_id"]
+    folder = tmp_path / "first"
+    folder.mkdir()
+    (folder / "header.bin").write_bytes(b"TAG0" + struct.pack("<4I", 2, 2, 256, 3))
+    (folder / "vectors.bin").write_bytes(struct.pack("<768f", *([0.5] * 256 + [0.25] * 256 + [0.0] * 256)))
+    assert run(app, parser().parse_args(["convert", str(folder), "c2"]), out) == 0
+    c2 = app.reader("c2").store
+    assert c2.chunks().count() == 2 and c2.get_vector(1)[:2] == [0.25, 0.25]
+    with app.serving():
+        with pytest.raises(EngineError):
+            with app.serving():
+                pass
+    app.save_settings({"watch": {"collection": "c1", "folders": [str(tmp_path / "files")], "seconds": 1}})
+    assert app.watching is not None and app.watching.isActive
+    app.save_settings({"watch": {}})
+    assert app.watching is None
+    assert is_collection_question("How many documents are in this collection?") and not is_collection_question("How often is the lamp trimmed?")
 
 
 def test_sql_names(spark):
