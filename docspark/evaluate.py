@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docspark.api import Collection
 from docspark.functions.answers import NOT_FOUND
+from docspark.operators.rows import exact_median, numbered
 
 RESULT = "id long, correct boolean, cited boolean, file_recall boolean, passage_recall boolean, refused boolean, seconds double"
 
@@ -62,3 +63,15 @@ def score(results: DataFrame, questions: Sequence[Question]) -> dict:
     out = both.agg(F.count_if("answerable").alias("answerable"), n("correct"), n("cited"), n("file_recall"), n("passage_recall"), F.count_if(F.col("refused") & ~F.col("answerable")).alias("refused")).first().asDict()
     out["median_seconds"] = statistics.median_high([r["seconds"] for r in results.select("seconds").collect()])
     return out
+
+
+def growth(rows: DataFrame, time: str, tie: str, value: str) -> DataFrame:
+    """Medians of ``value`` over the first and the last eighth of the rows in the order of ``time``, and the growth between
+    them in percent. Eighths are those of ntile(8): the first ones have a row more where the number does not divide."""
+    n = rows.count()
+    first, last = n // 8 + (n % 8 > 0), n // 8
+    line = numbered(rows, F.unix_micros(F.col(time).cast("timestamp")), tie)
+    a = exact_median(line.filter(F.col("row") < first), value, tie).withColumnRenamed("median", "first_eighth")
+    b = exact_median(line.filter(F.col("row") >= n - last), value, tie).withColumnRenamed("median", "last_eighth")
+    both = a.crossJoin(F.broadcast(b))  # one row each
+    return both.withColumn("growth", (F.col("last_eighth") - F.col("first_eighth")) / F.col("first_eighth") * 100)

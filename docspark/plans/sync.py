@@ -67,7 +67,7 @@ def removals(documents: DataFrame, seen: DataFrame, folders: list[str]) -> DataF
     return documents.filter(below).join(seen.select("source_path"), "source_path", "left_anti")
 
 
-def _digest(raw: bytes) -> str:
+def content_digest(raw: bytes) -> str:
     return "sha256:" + hashlib.sha256(raw).hexdigest()
 
 
@@ -96,7 +96,7 @@ def make_processor(embedder: Embedder, target: int, most: int, overlap: int, wai
         raw = _read(path)
         if raw is None:
             return out | {"action": "failed", "message": "cannot read file"}
-        digest = _digest(raw)
+        digest = content_digest(raw)
         if may_keep and digest == old_hash:
             return out | {"action": "touched", "content_hash": digest}
         x = safe_extract(raw, path, registry)

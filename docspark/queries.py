@@ -7,25 +7,33 @@ without a vector stay in the keyword list and its statistics; only the vector li
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.api import summarize
+from docspark.api import problems, summarize
+from docspark.evaluate import growth
 from docspark.functions import answers, vectors
 from docspark.functions.embed import HashEmbedder, embed_all
 from docspark.functions.terms import tokens
 from docspark.functions.text import clean_native, normalize_text
-from docspark.operators.chunk import chunk_documents
+from docspark.operators.chunk import chunk_documents, page_of
 from docspark.operators.fusion import best, fuse, ranked
 from docspark.operators.keyword import keyword_scores, keyword_top, keyword_top_batched, query_terms
+from docspark.operators.rows import best_of_equal
 from docspark.operators.vector_search import top_k, top_k_joined
 from docspark.plans import answer as A
 from docspark.plans.hybrid import Query, sentinels, with_similarity
 from docspark.plans.hybrid import search as hybrid_search
-from docspark.plans.sync import plan_sync, removals
+from docspark.plans.store import Store, largest
+from docspark.plans.sync import content_digest, plan_sync, removals
+from docspark.scratch import shared_dir
+from docspark.sources.extract import extract_files
 
 WORDS = ["hetion", "ering", "eau", "hetion"]
 TEXT = " ".join(WORDS)
@@ -171,13 +179,20 @@ def hits_with_text(spark, d):
 def similarity_floor(spark, d):
     q = vectors.as_vector(vector_of(spark, d))
     cosine = vectors.cosine_from_distance(vectors.l2_squared(F.col("embedding"), q))
-    return stored_vectors(spark, d).select("id", cosine.alias("similarity")).filter("similarity >= 0.25").select("id", six(F.col("similarity"), "similarity"))
+    rows = stored_vectors(spark, d).select("id", cosine.alias("similarity"))
+
+    def floor(batches):
+        stage = A.keep_similar(0.25)
+        for b in batches:
+            s = A.State("", [A.Passage(i, "", "", "", 0, 0, 0, "", 0.0, x) for i, x in zip(b["id"], b["similarity"], strict=True)])
+            stage(s)
+            yield pd.DataFrame([(p.id, p.similarity) for p in s.passages], columns=["id", "similarity"])
+
+    return rows.mapInPandas(floor, "id long, similarity double").select("id", six(F.col("similarity"), "similarity"))
 
 
 def passage_exact_dedupe(spark, d):
-    w = Window.partitionBy("text").orderBy(F.desc("n_chars"), "doc_id")
-    rows = table(spark, d, "documents").withColumn("n", F.row_number().over(w)).filter("n = 1")
-    return rows.select("doc_id", "n_chars")
+    return best_of_equal(table(spark, d, "documents"), "text", "-n_chars", "doc_id").select("doc_id", "n_chars")
 
 
 # collections
@@ -201,7 +216,11 @@ def document_listing(spark, d):
 
 
 def problem_documents(spark, d):
-    return records(spark, d).filter("status <> 'ok'").select("source_path", "status")
+    return problems(records(spark, d))
+
+
+def largest_documents(spark, d):
+    return largest(records(spark, d), 20).select("source_path", "chunk_count")
 
 
 def _listing(spark, d):
@@ -235,11 +254,19 @@ def sync_counters(spark, d):
 
 def page_of_offset(spark, d):
     """Pages of 700 bytes; the offset asked for is half of the length."""
-    docs = table(spark, d, "documents")
-    pages = F.transform(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 700).cast("int")), lambda i: i * 700)
-    at = F.floor(F.col("n_chars") / 2).cast("int")
-    page = F.greatest(F.lit(1), F.size(F.filter(pages, lambda p: p <= at)))
-    return docs.select("doc_id", page.alias("page"))
+
+    @F.pandas_udf("int")
+    def page(n_chars: pd.Series) -> pd.Series:
+        return pd.Series([page_of(n // 2, range(0, n + 1, 700)) for n in n_chars])
+
+    return table(spark, d, "documents").select("doc_id", page(F.coalesce("n_chars", F.lit(0))).alias("page"))
+
+
+def collection_questions(spark, d):
+    rows = table(spark, d, "conversations").filter("turn = 0")
+    opening = F.element_at(F.array(*map(F.lit, ("How many", "which ", "Tell me of", " List the"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    thing = F.element_at(F.array(*map(F.lit, ("Files", "documents of today", "profiles", "pumps", "folder"))), (F.col("conv_id") % 5 + 1).cast("int"))
+    return rows.select("conv_id", answers.about_collection(F.concat(opening, F.lit(" old "), thing, F.lit("?"))).alias("about"))
 
 
 def citation_parse(spark, d):
@@ -282,10 +309,8 @@ def recall_at_10(spark, d):
 
 def soak_growth(spark, d):
     """Median value of the first and of the last eighth of the events, and the growth between them in percent."""
-    rows = table(spark, d, "events")
-    part = rows.withColumn("part", F.ntile(8).over(Window.orderBy("ts", "event_id")))
-    both = part.agg(F.median(F.when(F.col("part") == 1, F.col("value"))).alias("a"), F.median(F.when(F.col("part") == 8, F.col("value"))).alias("b"))
-    return both.select(six(F.col("a"), "first_eighth"), six(F.col("b"), "last_eighth"), six((F.col("b") - F.col("a")) / F.col("a") * 100, "growth"))
+    g = growth(table(spark, d, "events"), "ts", "event_id", "value")
+    return g.select(*(six(F.col(c), c) for c in ("first_eighth", "last_eighth", "growth")))
 
 
 def list_union(spark, d):
@@ -296,12 +321,131 @@ def list_union(spark, d):
     return best(both, 10).select("id", six(F.col("score"), "score"), "vector_rank", "keyword_rank")
 
 
-# without SQL
+# files
 
 
 def normalize_files(spark, d):
+    """Texts in four encodings, with line ends, a ligature, a soft hyphen, a form feed, a decomposed letter and a control
+    character after them; Latin-1 only for texts that have it."""
     rows = table(spark, d, "documents")
-    return rows.select("doc_id", normalize_text(F.col("text").cast("binary")).alias("text"))
+    more = F.concat(F.coalesce("text", F.lit("")), F.lit("\r\nn\u0301 \ufb01n\u00ad\f"), F.lit("end\r\x01"))
+    utf16 = lambda mark, kind: F.concat(F.unhex(F.lit(mark)), F.encode(more, kind))
+    kind = F.col("doc_id") % 4
+    narrow = F.coalesce(F.col("text").rlike("^[\\x00-\\x7f\\xa0-\\xff]*$"), F.lit(False))
+    raw = (
+        F.when(kind == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(more, "UTF-8"))).when(kind == 1, utf16("FFFE", "UTF-16LE")).when(kind == 2, utf16("FEFF", "UTF-16BE"))
+        .when(narrow, F.encode(F.concat(F.when(narrow, F.col("text")).otherwise(""), F.lit("\r\u00e9\r\nend")), "ISO-8859-1")).otherwise(F.encode(more, "UTF-8"))
+    )
+    return rows.select("doc_id", normalize_text(raw).alias("text"))
+
+
+def content_hashes(spark, d):
+    @F.pandas_udf("string")
+    def name(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: content_digest(bytes(b)))
+
+    return table(spark, d, "documents").select("doc_id", name(F.coalesce("text", F.lit("")).cast("binary")).alias("content_hash"))
+
+
+def extract_tables(spark, d):
+    """The customers of each nation as a CSV file, with quoted names that hold commas and quotes."""
+    c = table(spark, d, "customer")
+    line = F.concat(F.lit('"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('"""," '), "c_mktsegment", F.lit(' ",'), "c_custkey", F.lit("\n"))
+    files = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("x"))
+    files = files.select("c_nationkey", F.lit("c.csv").alias("path"), F.concat(F.lit("Name,Segment,Key\r\n"), F.array_join("x.line", "")).cast("binary").alias("content"))
+    return extract_files(files).select("c_nationkey", "status", "text")
+
+
+def extract_markups(spark, d):
+    """Each part as a Markdown file with a heading, a table, a list, a link and markup."""
+    p = table(spark, d, "part")
+    text = F.concat(
+        F.lit("# Part *"), "p_name", F.lit("*\n\nBrand | Size\n--- | ---\n"), "p_brand", F.lit(" | "), "p_size", F.lit("\n\n- **"), "p_type", F.lit("**\n- "), "p_name",
+        F.lit("\n\nSee [the "), "p_brand", F.lit("](http://x.example/a)\nand `more`.\n"),
+    )
+    out = extract_files(p.select("p_partkey", F.lit("p.md").alias("path"), text.cast("binary").alias("content")))
+    return out.select("p_partkey", "status", "title", "text")
+
+
+def _office(kind: int, name: str, segment: str) -> tuple[str, bytes]:
+    """A file of one of three formats that says a customer's name and segment."""
+    raw = io.BytesIO()
+    rels = lambda to: f'<R><Relationship Id="r1" Type="x/k" Target="{to}1.xml"/><Relationship Id="r2" Type="x/k" Target="{to}2.xml"/></R>'
+    if kind == 0:
+        p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+        cells = "".join(f"<w:tc>{p(t)}</w:tc>" for t in (name, segment))
+        parts = {"word/document.xml": f"<w:document><w:body>{p(name)}{p('R&amp;D ' + segment)}<w:tbl><w:tr>{cells}</w:tr></w:tbl></w:body></w:document>"}
+    elif kind == 1:
+        slide = lambda t: f"<p:sld><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:sld>"
+        parts = {
+            "ppt/presentation.xml": '<p:presentation><p:sldId id="1" r:id="r2"/><p:sldId id="2" r:id="r1"/></p:presentation>',
+            "ppt/_rels/presentation.xml.rels": rels("slides/s").replace("x/k", "x/slide"), "ppt/slides/s1.xml": slide(segment), "ppt/slides/s2.xml": slide(name),
+        }
+    else:
+        cell = lambda at, t: f'<c r="{at}" t="inlineStr"><is><t>{t}</t></is></c>'
+        rows = f"<row>{cell('A1', 'Name')}{cell('C1', 'Segment')}</row><row>{cell('A2', name)}{cell('C2', segment)}</row>"
+        parts = {
+            "xl/workbook.xml": '<workbook><sheet name="One" r:id="r1"/></workbook>', "xl/_rels/workbook.xml.rels": rels("worksheets/w").replace("x/k", "x/worksheet"),
+            "xl/worksheets/w1.xml": rows,
+        }
+    with zipfile.ZipFile(raw, "w") as z:
+        for n, body in parts.items():
+            z.writestr(n, body)
+    return ("a.docx", "a.pptx", "a.xlsx")[kind], raw.getvalue()
+
+
+def extract_office(spark, d):
+    """Each customer as a document, a presentation or a workbook, by the key."""
+
+    def files(batches):
+        for b in batches:
+            made = [_office(k % 3, n, s) for k, n, s in zip(b["c_custkey"], b["c_name"], b["c_mktsegment"], strict=True)]
+            yield pd.DataFrame({"c_custkey": b["c_custkey"], "path": [p for p, _ in made], "content": [c for _, c in made]})
+
+    made = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").mapInPandas(files, "c_custkey long, path string, content binary")
+    return extract_files(made).select("c_custkey", "status", "text", F.size("pages").alias("pages"))
+
+
+# the store
+
+
+def store_changes(spark, d):
+    """Every document a passage of a new collection: two additions, a removal of passages and one of documents, compaction; what is left."""
+    docs = table(spark, d, "documents").filter("doc_id IS NOT NULL")
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    text = F.coalesce("text", F.lit(""))
+    zero = F.lit(0).cast("long")
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), path.alias("source_path"), zero.alias("chunk_index"), zero.alias("offset"), F.octet_length(text).cast("long").alias("length"), text.alias("text"),
+        F.sha2(text, 256).alias("content_hash"), zero.alias("page"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).cast("array<float>").alias("embedding"), F.col("doc_id").alias("n"),
+    )
+    record = lambda r: r.select("doc_id", "source_path", "content_hash", F.col("length").alias("size"), F.col("n").alias("mtime_ns"), F.lit("").alias("title"), F.lit(1).cast("long").alias("chunk_count"), F.lit("ok").alias("status"), F.lit("").alias("message"))
+    store = Store.create(spark, f"{shared_dir(spark)}/docspark-store-{uuid.uuid4().hex}", "none", 2)
+    for part in (rows.filter("n % 2 = 0"), rows.filter("n % 2 = 1")):
+        store.commit(add=part.drop("n"), records=record(part))
+    store.commit(remove_ids=store.chunks().filter(F.col("doc_id").cast("long") % 5 == 0).select("id"))
+    gone = rows.filter("n % 7 = 3").select("doc_id")
+    store.commit(remove_ids=store.chunks().join(gone, "doc_id", "left_semi").select("id"), drop_documents=gone)
+    store.compact()
+    store.vacuum()
+    store.close()
+    kept = Store.open(spark, store.root)
+    left = kept.chunks().select("id", "doc_id", "length", F.col("embedding")[1].cast("double").alias("second"))
+    return kept.documents().select("doc_id", "source_path").join(left, "doc_id", "left")
+
+
+def answer_budget(spark, d):
+    """Each conversation's turns as ranked passages: repeats go, then as many as a prompt of 700 tokens takes."""
+
+    def stages(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        s = A.State("What was said?", [A.Passage(int(t), f"d{t}", "", f"t{t % 3}", int(t) % 2, 0, 1, x or "", -float(t), 1.0) for t, x in zip(rows["turn"], rows["text"], strict=True)])
+        A.run([("rank", A.rank), ("dedupe", A.drop_repeats), ("budget", A.fit_budget(700))], s)
+        return pd.DataFrame({"conv_id": [key[0]], "kept": [",".join(str(p.id) for p in s.passages)], "prompt_bytes": [len(s.prompt.encode())]})
+
+    return table(spark, d, "conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(stages, "conv_id long, kept string, prompt_bytes long")
+
+
+# without SQL
 
 
 def chunk_all(spark, d):
@@ -347,6 +491,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_topk, vector_topk_masked, vector_topk_batched, similarities, l2_normalize, bm25_topk, bm25_prefix, bm25_phrase, term_df, doc_stats,
         rrf_hybrid, rrf_weighted, vector_only, keyword_only, prefix_hybrid, acl_filtered_search, hits_with_text, similarity_floor,
         passage_exact_dedupe, collection_summary, document_listing, problem_documents, sync_plan, sync_removals, sync_counters, page_of_offset,
+        collection_questions, largest_documents, content_hashes, extract_tables, extract_markups, extract_office, store_changes, answer_budget,
         citation_parse, answer_checks, snippets, clean_text, recall_at_10, soak_growth, list_union, normalize_files, chunk_all, embed_documents,
         overlap_dedupe, ask_extractive,
     )
@@ -456,6 +601,35 @@ SELECT count(*) AS queries, round(avg(hit), 6) AS recall FROM g""",
     "soak_growth": """WITH p AS (SELECT value, ntile(8) OVER (ORDER BY ts, event_id) AS part FROM events),
 m AS (SELECT median(value) FILTER (part = 1) AS a, median(value) FILTER (part = 8) AS b FROM p)
 SELECT round(a, 6) AS first_eighth, round(b, 6) AS last_eighth, round((b - a) / a * 100, 6) AS growth FROM m""",
+    "normalize_files": r"""SELECT doc_id, nfc_normalize(CASE WHEN doc_id % 4 = 3 AND regexp_full_match(coalesce(text, 'Ā'), '[\x00-\x7f\x{a0}-\x{ff}]*')
+  THEN text || chr(10) || 'é' || chr(10) || 'end' ELSE coalesce(text, '') || chr(10) || 'ń fin' || chr(10) || chr(10) || 'end' || chr(10) END) AS text FROM documents""",
+    "content_hashes": "SELECT doc_id, 'sha256:' || sha256(coalesce(text, '')) AS content_hash FROM documents",
+    "collection_questions": """SELECT conv_id, regexp_matches(['How many', 'which ', 'Tell me of', ' List the'][conv_id % 4 + 1] || ' old ' || ['Files', 'documents of today', 'profiles', 'pumps', 'folder'][conv_id % 5 + 1] || '?',
+  '^ *(what|which|how many|list|show)( .* | )(documents?|files?|folders?)[ ?]', 'i') AS about FROM conversations WHERE turn = 0""",
+    "largest_documents": f"WITH {_REC} SELECT source_path, chunk_count FROM rec ORDER BY chunk_count DESC, source_path LIMIT 20",
+    # a header row, and a blank line after every tenth row
+    "extract_tables": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS i FROM customer)
+SELECT c_nationkey, 'ok' AS status, rtrim('Name | Segment | Key' || chr(10) || string_agg('Name: ' || c_name || ', "' || c_mktsegment || '" | Segment: ' || c_mktsegment || ' | Key: ' || c_custkey
+  || CASE WHEN i % 10 = 0 THEN chr(10) ELSE '' END, chr(10) ORDER BY i), chr(10)) AS text FROM r GROUP BY c_nationkey""",
+    "extract_markups": """SELECT p_partkey, 'ok' AS status, 'Part ' || p_name AS title, 'Part ' || p_name || chr(10) || chr(10) || 'Brand | Size' || chr(10) || p_brand || ' | ' || p_size || chr(10) || chr(10)
+  || '- ' || p_type || chr(10) || '- ' || p_name || chr(10) || chr(10) || 'See the ' || p_brand || ' and more.' AS text FROM part""",
+    "extract_office": """SELECT c_custkey, 'ok' AS status, CASE c_custkey % 3 WHEN 0 THEN c_name || chr(10) || chr(10) || 'R&D ' || c_mktsegment || chr(10) || chr(10) || c_name || chr(9) || c_mktsegment
+  WHEN 1 THEN c_name || chr(10) || chr(10) || c_mktsegment ELSE 'Sheet: One' || chr(10) || 'Name | Segment' || chr(10) || 'Name: ' || c_name || ' | Segment: ' || c_mktsegment END AS text,
+  [0, 2, 1][c_custkey % 3 + 1]::INTEGER AS pages FROM customer""",
+    "store_changes": """WITH d AS (SELECT doc_id AS n, '/' || coalesce(source, 'none') || '/' || doc_id || '.txt' AS source_path, strlen(coalesce(text, '')) AS length FROM documents WHERE doc_id IS NOT NULL),
+a AS (SELECT *, row_number() OVER (PARTITION BY n % 2 ORDER BY source_path) - 1 + CASE WHEN n % 2 = 1 THEN (SELECT count(*) FROM d WHERE n % 2 = 0) ELSE 0 END AS id FROM d)
+SELECT n::VARCHAR AS doc_id, source_path, CASE WHEN n % 5 <> 0 THEN id END AS id, CASE WHEN n % 5 <> 0 THEN length END AS length, CASE WHEN n % 5 <> 0 THEN n::DOUBLE END AS second FROM a WHERE n % 7 <> 3""",
+    "answer_budget": f"""WITH RECURSIVE c AS (SELECT *, coalesce(text, '') AS x FROM conversations),
+u AS (SELECT conv_id, x, min(turn) AS turn FROM c GROUP BY conv_id, x),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+        strlen('[S] (t' || turn % 3 || CASE WHEN turn % 2 = 1 THEN ', page 1' ELSE '' END || ')') + 3 + strlen(replace(replace(x, '<|', '< |'), '|>', '| >')) AS size FROM u),
+s(conv_id, i, bytes, n, kept) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, strlen('Passages:') + 2 + strlen('Question: What was said?'), 0, []::BIGINT[] FROM c
+  UNION ALL
+  SELECT s.conv_id, p.i, CASE WHEN fits THEN s.bytes + p.size + strlen((s.n + 1)::VARCHAR) ELSE s.bytes END, CASE WHEN fits THEN s.n + 1 ELSE s.n END, CASE WHEN fits THEN list_append(s.kept, p.turn) ELSE s.kept END
+  FROM s JOIN p ON p.conv_id = s.conv_id AND p.i = s.i + 1,
+       LATERAL (SELECT ceil({len(A.SYSTEM_PROMPT.encode())} / 4.0) + ceil((s.bytes + p.size + strlen((s.n + 1)::VARCHAR)) / 4.0) <= 700 AS fits))
+SELECT conv_id, arg_max(array_to_string(kept, ','), i) AS kept, CASE WHEN arg_max(n, i) > 0 THEN arg_max(bytes, i) ELSE 0 END AS prompt_bytes FROM s GROUP BY conv_id""",
     "list_union": """SELECT * FROM (VALUES (3::BIGINT, round(1 / 64.0 + 1 / 61.0, 6)::DOUBLE, 4, 1), (1, round(1 / 61.0, 6), 1, NULL),
 (2, round(1 / 63.0, 6), 3, NULL), (4, round(1 / 62.0, 6), NULL, 2)) t(id, score, vector_rank, keyword_rank)""",
 }
