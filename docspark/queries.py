@@ -542,7 +542,45 @@ _PLAN = f"""WITH {_REC}, {_LIST}, a AS (SELECT l.source_path, CASE WHEN rec.stat
 _ANS = """a AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 0 THEN ' I could not find this in your documents '
   ELSE text || ' costs 1,2' || turn || '0 <|x|>' END AS t FROM conversations WHERE role = 'assistant')"""
 
+#: White space of the passage splitter.
+_SP = r" \t\n\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _chunks(target: int, most: int, overlap: int) -> str:
+    """CTEs up to c(doc_id, chunk_index, a, b): passages as ranges of characters. Paragraphs, or their sentences, or pieces of
+    sentences, are joined as long as a passage stays within ``target``; then each reaches back into the one before."""
+    return rf"""
+t AS MATERIALIZED (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM t)),
+m AS (SELECT *, sum(length(line) + 1) OVER w - length(line) - 1 AS a, sum(regexp_full_match(line, '[{_SP}]*')::INTEGER) OVER w AS g FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p0 AS (SELECT doc_id, g, min(a) AS a, string_agg(line, chr(10) ORDER BY i) AS x FROM m WHERE NOT regexp_full_match(line, '[{_SP}]*') GROUP BY doc_id, g),
+p AS MATERIALIZED (SELECT doc_id, (a + length(x) - length(regexp_replace(x, '^[{_SP}]+', '')))::BIGINT AS a, regexp_replace(regexp_replace(x, '^[{_SP}]+', ''), '[{_SP}]+$', '') AS x FROM p0),
+-- sentences of long paragraphs
+h AS (SELECT doc_id, a, x, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS i, unnest(list_append(cs[2:], ' ')) AS follows FROM (SELECT *, string_split(x, '') AS cs FROM p WHERE length(x) > {most})),
+e AS (SELECT doc_id, a, x, i FROM h WHERE c = chr(10) OR (contains('.!?।॥。', c) AND regexp_full_match(follows, '[{_SP}]')) UNION SELECT doc_id, a, x, length(x) FROM p WHERE length(x) > {most}),
+s0 AS (SELECT doc_id, a, lag(i, 1, 0) OVER w AS i0, x[lag(i, 1, 0) OVER w + 1:i] AS x FROM e WINDOW w AS (PARTITION BY doc_id, a ORDER BY i)),
+s AS (SELECT doc_id, (a + i0 + length(x) - length(regexp_replace(x, '^[{_SP}]+', '')))::BIGINT AS a, regexp_replace(regexp_replace(x, '^[{_SP}]+', ''), '[{_SP}]+$', '') AS x FROM s0),
+-- pieces of long sentences, cut at the last white space within the limit
+k(doc_id, a, x, rest_a, rest) AS (
+  SELECT doc_id, 0::BIGINT, '', a, x FROM s WHERE length(x) > {most}
+  UNION ALL
+  SELECT doc_id, rest_a, regexp_replace(rest[1:cut], '[{_SP}]+$', ''), rest_a + cut + length(rest[cut + 1:]) - length(regexp_replace(rest[cut + 1:], '^[{_SP}]+', '')), regexp_replace(rest[cut + 1:], '^[{_SP}]+', '')
+  FROM (SELECT *, CASE WHEN length(rest) <= {most} THEN length(rest) WHEN regexp_matches(rest[1:{most + 1}], '[{_SP}]') THEN length(regexp_replace(rest[1:{most + 1}], '[{_SP}][^{_SP}]*$', '')) ELSE {most} END AS cut
+        FROM k WHERE rest <> '')),
+u AS MATERIALIZED (
+  SELECT doc_id, a, a + length(x) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n
+  FROM (SELECT doc_id, a, x FROM p WHERE length(x) <= {most} UNION ALL SELECT doc_id, a, x FROM s WHERE length(x) BETWEEN 1 AND {most} UNION ALL SELECT doc_id, a, x FROM k WHERE x <> '')),
+j(doc_id, n, a, c) AS (
+  SELECT doc_id, n, a, 0 FROM u WHERE n = 1
+  UNION ALL
+  SELECT u.doc_id, u.n, CASE WHEN u.b - j.a > {target} THEN u.a ELSE j.a END, j.c + (u.b - j.a > {target})::INTEGER FROM j JOIN u ON u.doc_id = j.doc_id AND u.n = j.n + 1),
+q AS (SELECT j.doc_id, j.c, min(j.a) AS a, max(u.b) AS b FROM j JOIN u USING (doc_id, n) GROUP BY j.doc_id, j.c),
+o AS (SELECT q.*, text, text[greatest(lag(a) OVER w, lag(b) OVER w - {overlap}) + 1:lag(b) OVER w] AS tail, greatest(lag(a) OVER w, lag(b) OVER w - {overlap}) AS begin_at FROM q JOIN t USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY c)),
+c AS (SELECT doc_id, c AS chunk_index, text, CASE WHEN w < length(tail) AND b - begin_at - w <= {most} THEN begin_at + w ELSE a END AS a, b FROM (SELECT *, length(regexp_extract(tail, '^[^{_SP}]*[{_SP}]*')) AS w FROM o))"""
+
+
 ORACLE: dict[str, str] = {
+    "chunk_all": f"WITH RECURSIVE {_chunks(1000, 1500, 150)} SELECT doc_id, chunk_index::BIGINT AS chunk_index, strlen(text[1:a])::BIGINT AS offset, strlen(text[a + 1:b])::BIGINT AS length, 0::BIGINT AS page, text[a + 1:b] AS text FROM c",
     "vector_topk": f"SELECT vec_id AS id, round({_DIST}, 6) AS distance FROM embeddings e, {_Q} q ORDER BY {_DIST}, vec_id LIMIT {K}",
     "vector_topk_masked": f"SELECT vec_id AS id, round({_DIST}, 6) AS distance FROM embeddings e, {_Q} q WHERE label % 2 = 0 ORDER BY {_DIST}, vec_id LIMIT {K}",
     "vector_topk_batched": f"""WITH x AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DIST} AS dist FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
