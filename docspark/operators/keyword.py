@@ -75,7 +75,12 @@ def keyword_scores(postings: DataFrame, lengths: DataFrame, phrases: list[list[s
 
     ``allowed``: ids that may be listed; document frequencies and lengths are of all rows regardless.
     """
-    return _phrase_scores(postings, lengths, phrases, allowed).groupBy("id").agg(F.sum("part").alias("score"))
+    return _phrase_scores(postings, lengths, phrases, allowed).groupBy("id").agg(_exact_sum(F.col("part")).alias("score"))
+
+
+def _exact_sum(parts: Column) -> Column:
+    """A sum that does not depend on the order of its rows, so that equal texts have equal scores."""
+    return F.sum(parts.cast("decimal(28,18)")).cast("double")
 
 
 def _phrase_scores(postings: DataFrame, lengths: DataFrame, phrases: list[list[str]], allowed: DataFrame | None = None) -> DataFrame:
@@ -107,6 +112,6 @@ def keyword_top_batched(rows: DataFrame, queries: list[tuple[int, str]], k: int,
     wanted = rows.sparkSession.createDataFrame([(q, i, n) for (q, i), n in times.items()], "query_id long, phrase int, times int")
     phrases = [list(p) for p in number]
     parts = _phrase_scores(*query_terms(rows, phrases, id_col, text_col), phrases)
-    scores = parts.join(F.broadcast(wanted), "phrase").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    scores = parts.join(F.broadcast(wanted), "phrase").groupBy("query_id", "id").agg(_exact_sum(F.col("part") * F.col("times")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -580,6 +580,20 @@ c AS (SELECT doc_id, c AS chunk_index, text, CASE WHEN w < length(tail) AND b -
 
 
 ORACLE: dict[str, str] = {
+    "overlap_dedupe": rf"""WITH RECURSIVE {_chunks(400, 600, 80)},
+g AS MATERIALIZED (SELECT doc_id, doc_id * 1048576 + chunk_index AS id, strlen(text[1:a]) AS o, strlen(text[a + 1:b]) AS n, text[a + 1:b] AS text FROM c),
+x AS MATERIALIZED (SELECT id, {_TOK} AS tok FROM g),
+y AS (SELECT count(*) AS n, avg(len(tok)) AS av FROM x),
+v AS (SELECT id, len(tok) AS dl, i, list_count(list_filter(tok, lambda z: z = term)) AS tf FROM x, (VALUES {', '.join(f"({i}, '{w}')" for i, w in enumerate(WORDS))}) w(i, term) WHERE list_contains(tok, term)),
+f AS (SELECT i, count(*) AS df FROM v GROUP BY i),
+z AS (SELECT id, list_sum(list(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) ORDER BY i)) AS score FROM v JOIN f USING (i), y GROUP BY id),
+b AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score DESC, id) - 1 AS i, g.* FROM z JOIN g USING (id) ORDER BY score DESC, id LIMIT 100),
+-- the better passages that each repeats
+r AS MATERIALIZED (SELECT w.i, list(k.i) FILTER (k.i IS NOT NULL) AS better FROM b w LEFT JOIN b k ON k.i < w.i AND (k.text = w.text OR (k.doc_id = w.doc_id AND least(k.n, w.n) > 0
+  AND least(k.o + k.n, w.o + w.n) - greatest(k.o, w.o) > least(k.n, w.n) // 2)) GROUP BY w.i),
+kept(i, own) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL
+  SELECT r.i, CASE WHEN list_has_any(kept.own, coalesce(r.better, [])) THEN kept.own ELSE list_append(kept.own, r.i) END FROM kept JOIN r ON r.i = kept.i + 1)
+SELECT b.i AS id, b.doc_id::VARCHAR AS doc_id, b.o AS offset FROM b WHERE list_contains((SELECT arg_max(own, i) FROM kept), b.i)""",
     "chunk_all": f"WITH RECURSIVE {_chunks(1000, 1500, 150)} SELECT doc_id, chunk_index::BIGINT AS chunk_index, strlen(text[1:a])::BIGINT AS offset, strlen(text[a + 1:b])::BIGINT AS length, 0::BIGINT AS page, text[a + 1:b] AS text FROM c",
     "vector_topk": f"SELECT vec_id AS id, round({_DIST}, 6) AS distance FROM embeddings e, {_Q} q ORDER BY {_DIST}, vec_id LIMIT {K}",
     "vector_topk_masked": f"SELECT vec_id AS id, round({_DIST}, 6) AS distance FROM embeddings e, {_Q} q WHERE label % 2 = 0 ORDER BY {_DIST}, vec_id LIMIT {K}",
