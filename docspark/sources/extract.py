@@ -13,16 +13,18 @@ from docspark.functions.text import normalize
 from docspark.sources.extracted import Extracted, ExtractError
 from docspark.sources.markdown import extract_markdown
 from docspark.sources.office import extract_docx, extract_pptx, extract_xlsx
+from docspark.sources.pdf import extract_pdf
 from docspark.sources.tables import extract_csv
 
 #: Fixed value: the largest file that is read.
 MOST_BYTES = 512 << 20
 Extractor = Callable[[bytes, str], Extracted]
-#: Extensions to extractors. PDF needs a library that is not at hand: ``register`` one under "pdf".
+#: Extensions to extractors; ``register`` replaces or adds some, such as one that also reads scanned pages.
 REGISTRY: dict[str, Extractor] = {
     **dict.fromkeys(("txt", "text"), lambda raw, _: Extracted(normalize(raw))),
     **dict.fromkeys(("md", "markdown", "mdown", "mkd"), lambda raw, _: extract_markdown(raw)),
     **dict.fromkeys(("csv", "tsv"), extract_csv),
+    "pdf": lambda raw, _: extract_pdf(raw),
     "docx": lambda raw, _: extract_docx(raw),
     "pptx": lambda raw, _: extract_pptx(raw),
     "xlsx": lambda raw, _: extract_xlsx(raw),

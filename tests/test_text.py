@@ -3,6 +3,7 @@
 import io
 import random
 import zipfile
+import zlib
 
 import pytest
 
@@ -174,6 +175,52 @@ def test_xlsx():
     assert column_index("C12") == 2 and column_index("BA3") == 52 and unescape("x &#67; &#x44; &lt; & y &none;") == "x C D < & y "
 
 
+def pdf(contents, fonts, extra=(), title="", flate=True, packed=False):
+    """A PDF file of some pages; ``fonts``: bodies of font dictionaries F0, F1, ...; ``extra``: further streams, from object 50 on."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Title (" + title.encode("cp1252") + b") >>"}
+    objects |= {10 + i: f.encode() for i, f in enumerate(fonts)}
+    names = " ".join(f"/F{i} {10 + i} 0 R" for i in range(len(fonts)))
+    kids = " ".join(f"{20 + i} 0 R" for i in range(len(contents)))
+    objects[2] = f"<< /Type /Pages /Kids [{kids}] /Count {len(contents)} /Resources << /Font << {names} >> >> >>".encode()
+    streams = {50 + i: x for i, x in enumerate(extra)}
+    for i, c in enumerate(contents):
+        objects[20 + i] = f"<< /Type /Page /Parent 2 0 R /Contents {30 + i} 0 R >>".encode()
+        streams[30 + i] = c
+    out = b"%PDF-1.5\n"
+    if packed:  # all plain objects inside one stream
+        head, body = b"", b""
+        for n, x in objects.items():
+            head, body = head + b"%d %d " % (n, len(body)), body + x + b" "
+        data = zlib.compress(head + body)
+        out += b"90 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (len(objects), len(head), len(data), data)
+    else:
+        for n, x in objects.items():
+            out += b"%d 0 obj\n%s\nendobj\n" % (n, x)
+    for n, x in streams.items():
+        data = zlib.compress(x) if flate else x
+        out += b"%d 0 obj\n<< /Length %d%s >>\nstream\n%s\nendstream\nendobj\n" % (n, len(data), b" /Filter /FlateDecode" if flate else b"", data)
+    return out + b"trailer\n<< /Root 1 0 R /Info 3 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize(("flate", "packed"), [(True, False), (False, False), (True, True)])
+def test_pdf(flate, packed):
+    plain = "<< /Type /Font /Subtype /Type1 >>"
+    mapped = "<< /Type /Font /Subtype /Type0 /ToUnicode 50 0 R >>"
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0048> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<00660069> <20AC>] endbfrange"
+    one = b"BT /F0 12 Tf 72 700 Td (The lock \\(north\\) opens) Tj 0 -14 Td [(at ) -20 (s) 10 (even) -400 (sharp\\056)] TJ T* (caf\\351) Tj ET"
+    two = b"BT /F1 9 Tf 1 0 0 1 50 600 Tm <000100100011> Tj 1 0 0 1 90 600 Tm <0012> Tj 1 0 0 1 50 580 Tm <00200021> Tj ET"
+    x = extract(pdf([one, b"BT ET", two], [plain, mapped], [cmap], "Lock book", flate, packed), "a.PDF")
+    first, second = "The lock (north) opens\nat seven sharp.\ncafé", "Hab c\nfi€"
+    assert x.title == "Lock book" and x.text == f"{first}\n\n{second}" and x.pages[0] == 0 and x.pages[2] == len(first.encode()) + 2 and len(x.pages) == 3
+
+
+def test_pdf_without_a_text_layer():
+    x = extract(pdf([b"BT (3) Tj ET"], ["<< >>"], title="Scan"), "b.pdf")
+    assert (x.text, x.title) == ("", "Scan")
+    for raw, status in ((b"no pdf", "CORRUPT"), (b"%PDF-1.4\ntrailer << /Encrypt 5 0 R >>", "ENCRYPTED"), (b"%PDF-1.4\n", "CORRUPT")):
+        assert safe_extract(raw, "c.pdf")["status"] == status
+
+
 def test_extract_failures():
     with pytest.raises(ExtractError) as e:
         extract(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1rest", "x.docx")
