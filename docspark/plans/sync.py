@@ -26,7 +26,9 @@ from docspark.sources.listing import list_paths
 #: Version of how passages are made and embedded; a collection with another one is embedded anew.
 RECIPE = 2
 _PIECE = "chunk_index:long,offset:long,length:long,page:long,text:string,embedding:array<float>"
-RESULT = f"source_path string, size long, mtime_ns long, known boolean, action string, content_hash string, title string, message string, pieces array<struct<{_PIECE}>>"
+#: A file's passages go on in rows of at most PIECES; ``part`` counts a file's rows from 0, ``n_pieces`` all of its passages.
+PIECES = 256
+RESULT = f"source_path string, size long, mtime_ns long, known boolean, action string, content_hash string, title string, message string, part int, n_pieces long, pieces array<struct<{_PIECE}>>"
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,10 @@ def make_processor(embedder: Embedder, target: int, most: int, overlap: int, wai
             for at in range(len(b)):
                 r = b.iloc[at]
                 x = one(r["source_path"], int(r["size"]), bool(r["known"]), bool(r["may_keep"]), r["old_content_hash"])
-                yield pd.DataFrame([{"source_path": r["source_path"], "size": r["size"], "mtime_ns": r["mtime_ns"], "known": r["known"], **x}])
+                pieces = x.pop("pieces")
+                for part in range(max(1, -(-len(pieces) // PIECES))):
+                    own = {"part": part, "n_pieces": len(pieces), "pieces": pieces[part * PIECES : (part + 1) * PIECES]}
+                    yield pd.DataFrame([{"source_path": r["source_path"], "size": r["size"], "mtime_ns": r["mtime_ns"], "known": r["known"], **x, **own}])
 
     return run
 
@@ -163,12 +168,13 @@ def _commit_part(spark: SparkSession, store: Store, todo: DataFrame, documents:
     stage = f"{store.root}/staging-{uuid.uuid4().hex}"
     many = max(1, spark.sparkContext.defaultParallelism * 4)
     todo.repartition(many, "source_path").mapInPandas(run, RESULT).write.parquet(stage)
-    done = spark.read.parquet(stage)
+    staged = spark.read.parquet(stage)
+    done = staged.filter("part = 0")  # a row a file
     status = F.when(F.col("action").isin("added", "updated"), "ok").when(F.col("action") == "no_text", "no_text").otherwise("error")
     written = done.filter("action <> 'touched'").select(
         F.col("source_path").alias("doc_id"), "source_path", "content_hash", "size",
         F.when(F.col("action") == "retry", 0).otherwise(F.col("mtime_ns")).cast("long").alias("mtime_ns"), "title",
-        F.size("pieces").cast("long").alias("chunk_count"), status.alias("status"), "message",
+        F.col("n_pieces").alias("chunk_count"), status.alias("status"), "message",
     )
     touched = done.filter("action = 'touched'").select("source_path", "size", "mtime_ns").join(documents.drop("size", "mtime_ns"), "source_path")
     columns = [c.split()[0] for c in DOCUMENTS.split(", ")]
@@ -176,7 +182,7 @@ def _commit_part(spark: SparkSession, store: Store, todo: DataFrame, documents:
     changed = done.filter("action <> 'touched'").select(F.col("source_path").alias("doc_id"))
     changed = changed if gone is None else changed.unionByName(gone)
     old = store.chunks().join(changed, "doc_id", "left_semi").select("id")
-    new = done.select("source_path", "content_hash", F.explode("pieces").alias("p")).select(
+    new = staged.select("source_path", "content_hash", F.explode("pieces").alias("p")).select(
         F.col("source_path").alias("doc_id"), "source_path", "content_hash", "p.chunk_index", "p.offset", "p.length", "p.page", "p.text", "p.embedding"
     )
     counts = dict(done.groupBy("action").count().collect())

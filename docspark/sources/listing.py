@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of software that a walk does not enter, and the deepest level that it does.
@@ -26,7 +27,7 @@ def walk(root: str, hidden: bool = False, depth: int = 0) -> Iterator[tuple[str,
             continue
         path = os.path.join(root, name)
         if os.path.isdir(path):
-            if not os.path.islink(path):
+            if not os.path.islink(path) and depth < MOST_DEPTH:
                 yield from walk(path, hidden, depth + 1)
         elif os.path.exists(path):
             s = os.stat(path)
@@ -39,18 +40,35 @@ def in_skipped(path: str, root: str) -> bool:
 
 
 def list_paths(spark: SparkSession, paths: list[str], hidden: bool = False) -> DataFrame:
-    """A row a file under ``paths`` (files or folders). All paths are looked at first: one that is missing stops everything."""
+    """A row a file under ``paths`` (files or folders). All paths are looked at first: one that is missing stops everything.
+
+    The folders right below the given ones are walked by tasks of their own, so that the driver holds no listing but of
+    these. All executors have to see the folders, as reading the files asks for anyway.
+    """
     for p in paths:
         if not os.path.exists(p):
             raise FileNotFoundError(p)
-    rows = []
+    rows, folders = [], []
     for p in paths:
-        if os.path.isdir(p):
-            rows += [(f, n, t, in_skipped(f, p)) for f, n, t in walk(p, hidden)]
-        else:
+        if not os.path.isdir(p):
             s = os.stat(p)
             rows.append((p, s.st_size, s.st_mtime_ns, False))
-    return spark.createDataFrame(rows, SCHEMA)
+            continue
+        below = [e.name for e in os.scandir(p) if e.is_dir(follow_symlinks=False) and (hidden or not e.name.startswith("."))]
+        folders += [(p, os.path.join(p, n)) for n in below]
+        rows += [(f, n, t, False) for f, n, t in walk(p, hidden, MOST_DEPTH)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for root, folder in zip(b["root"], b["folder"], strict=True):
+                found = [(f, n, t, in_skipped(f, root)) for f, n, t in walk(folder, hidden, 1)]
+                yield pd.DataFrame(found, columns=["path", "size", "mtime_ns", "skipped"])
+
+    own = spark.createDataFrame(rows, SCHEMA)
+    if not folders:
+        return own
+    tasks = spark.createDataFrame(folders, "root string, folder string").repartition(min(len(folders), 10_000), "folder")
+    return own.unionByName(tasks.mapInPandas(run, SCHEMA))
 
 
 def list_remote(spark: SparkSession, root: str) -> DataFrame:
