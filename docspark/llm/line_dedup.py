@@ -38,7 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """
     scratch = scratch or Scratch(spark, "line-dedup")
     p = free_prefix(docs)
-    key, tie, lines = F.col(p + "id"), F.col(p + "tie"), F.col(p + "lines")
+    key, tie, lines, counts = F.col(p + "id"), F.col(p + "tie"), F.col(p + "lines"), F.col(p + "counts")
     docs_ = docs.withColumns({p + "id": F.col(f"`{id_col}`"), p + "tie": F.xxhash64(f"`{text_col}`"), p + "lines": F.split(F.col(f"`{text_col}`"), "\n", -1)})
     # 128 bits of SHA-256 stand for a window; windows of one row are cut from the list of its lines
     digest = lambda text: F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
@@ -47,12 +47,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     def windows_of(width: int) -> Column:
         """Structs (at, width, hash) of a row's windows of ``width`` lines; at counts from 0."""
         starts = F.when(F.size(lines) >= width, F.sequence(F.lit(1), F.size(lines) - (width - 1))).otherwise(F.array().cast("array<int>"))
-        if width < WIDTH:  # more than LONG words have twice as many characters at least
-            starts = F.filter(starts, lambda i: F.when(F.length(joined(i, width)) > 2 * LONG, F.regexp_count(joined(i, width), F.lit(WORD)) > LONG).otherwise(False))
+        if width < WIDTH:
+            starts = F.filter(starts, lambda i: sum((F.get(counts, i - 1 + k) for k in range(1, width)), F.get(counts, i - 1)) > LONG)
         return F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.lit(width).alias("width"), digest(joined(i, width)).alias("hash")))
 
     every = F.concat(*(windows_of(w) for w in range(WIDTH, 0, -1)))
-    windows = docs_.filter(F.col(f"`{text_col}`").isNotNull()).select(key.alias("id"), tie.alias("tie"), F.explode(every).alias("w"))
+    counted = docs_.withColumn(p + "counts", F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))))
+    windows = counted.filter(F.col(f"`{text_col}`").isNotNull()).select(key.alias("id"), tie.alias("tie"), F.explode(every).alias("w"))
     windows = scratch.save(windows.select("id", "tie", "w.at", "w.width", "w.hash"), "windows")
     first = scratch.save(
         windows.groupBy("hash")
