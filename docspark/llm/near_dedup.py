@@ -31,7 +31,7 @@ from docspark.llm.common import UPPER, WORD, Scratch
 
 ROWS, MISS, SEED = 4, 1e-7, 11
 #: Members of a block in step 3, and representatives' groups in step 2 before they are salted.
-BLOCK, GROUP = 512, 512
+BLOCK, GROUP = 512, 128
 
 
 def band_table(percent: int, miss: float = MISS) -> np.ndarray:
