@@ -23,7 +23,7 @@ from docspark.llm.common import WORD, Scratch, free_prefix
 WEIGHTS = (3, 1, 2)
 BUDGET, EPOCHS, SEED = 1.5, 2, 20
 #: Ranges into which each source's queue and the time axis are cut, by the table's rows.
-ROWS_PER_RANGE, MOST_RANGES = 4_096, 4_096
+ROWS_PER_RANGE, MOST_RANGES = 1_024, 32_768
 
 
 def words(text: Column) -> Column:
