@@ -55,7 +55,7 @@ EXTRA = (Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("private key-
 LEDGER = "blob binary, version string, kind string, spans array<struct<start:int,stop:int>>"
 #: Unseen blobs up to this many (48 bytes each) are sent to the scan of texts, so that only their texts leave the JVM;
 #: more of them are joined by shuffle, for which texts are packed first.
-BROADCAST_BLOBS = 500_000
+BROADCAST_BLOBS = 20_000
 #: Blobs of which a task remembers that it has packed them; copies beyond are packed again and dropped in the join.
 REMEMBERED = 1_000_000
 
