@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 RANGES = 1_024
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A table that is stored in fewer pieces than there are cores, dealt out by a key; any other as it is. For plain scans:
+    counting the pieces plans the scan and runs nothing."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def numbered(rows: DataFrame, by: Column, *ties: str, name: str = "row") -> DataFrame:
     """``rows`` with their place, from 0, in the order of a numeric expression without nulls, then of ``ties``.
 
