@@ -2,12 +2,13 @@
 
 ``index_terms`` makes the postings table once: (term, id, tf, positions), and the lengths: (id, n_tokens). Written with
 ``write_index``, postings are clustered by term, so that a query reads only the row groups of its terms. Without an index
-``query_terms`` takes a query's terms straight from the texts: other tokens are dropped where they are found, so that only
-matches are shuffled.
+``text_scores`` counts a query's phrases straight in the texts: one pass for the statistics, one for the scores, and no row
+is shuffled. ``query_terms`` serves many queries at once: tokens other than theirs are dropped where they are found.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import reduce
 
@@ -98,10 +99,39 @@ def _phrase_scores(postings: DataFrame, lengths: DataFrame, phrases: list[list[s
     return rows.select("phrase", "id", part.alias("part"))
 
 
+def _occurrences(found: Column, phrase: list[str]) -> Column:
+    """How often a phrase stands in an array of tokens."""
+    if len(phrase) == 1:
+        return F.size(found) - F.size(F.array_remove(found, phrase[0]))
+    here = lambda i: reduce(lambda a, b: a & b, (F.get(found, i + j) == w for j, w in enumerate(phrase)))
+    starts = F.filter(F.sequence(F.lit(0), F.size(found) - len(phrase)), here)
+    return F.when((F.size(found) >= len(phrase)) & F.array_contains(found, phrase[0]), F.size(starts)).otherwise(0)
+
+
+def text_scores(rows: DataFrame, phrases: list[list[str]], allowed: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``keyword_scores`` straight from a table of texts, for a query's few phrases. Runs the pass for the statistics at once."""
+    times = Counter(map(tuple, phrases))
+    if not times:
+        return rows.sparkSession.createDataFrame([], "id long, score double")
+    counts = [F.coalesce(_occurrences(F.col("tokens"), list(p)), F.lit(0)).alias(f"tf{i}") for i, p in enumerate(times)]
+    # as a generated row, so that the optimizer does not write the tokenizer into each expression that uses its tokens
+    found = rows.select(F.col(id_col).alias("id"), F.explode(F.array(tokens(F.col(text_col)))).alias("tokens"))
+    found = found.select("id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"), *counts)
+    n, average, *dfs = found.agg(F.count("*"), F.avg("n_tokens"), *(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(times)))).first()
+    score, hit = F.lit(0.0), F.lit(False)
+    for i, (k, df) in enumerate(zip(times.values(), dfs, strict=True)):
+        idf = math.log((n - df + 0.5) / (df + 0.5))
+        tf = F.col(f"tf{i}")
+        score = score + k * (idf if idf > 0 else LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / (average or 1.0)))
+        hit = hit | (tf > 0)
+    if allowed is not None:
+        found = found.join(allowed.select("id"), "id", "left_semi")
+    return found.filter(hit).select("id", score.alias("score"))
+
+
 def keyword_top(rows: DataFrame, text: str, k: int, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """The k best rows (id, score) for a query text, straight from a table of texts; equal scores by id."""
-    phrases = query_phrases(text)
-    return keyword_scores(*query_terms(rows, phrases, id_col, text_col), phrases, allowed).orderBy(F.desc("score"), "id").limit(k)
+    return text_scores(rows, query_phrases(text), allowed, id_col, text_col).orderBy(F.desc("score"), "id").limit(k)
 
 
 def keyword_top_batched(rows: DataFrame, queries: list[tuple[int, str]], k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from docspark.errors import require
 from docspark.functions.terms import query_phrases
 from docspark.functions.vectors import cosine_from_distance
 from docspark.operators.fusion import best, fuse, ranked
-from docspark.operators.keyword import keyword_scores, query_terms
+from docspark.operators.keyword import keyword_scores, text_scores
 from docspark.operators.vector_search import MOST_K, ExactIndex, VectorIndex
 
 MODES = ("hybrid", "vector", "keyword")
@@ -56,7 +56,7 @@ def search(rows: DataFrame, q: Query, allowed: Column | None = None, acl: DataFr
     """The q.top_k best rows: id, score, distance, keyword_score, vector_rank, keyword_rank, and similarity.
 
     ``rows``: id, source_path, text, embedding. Filters come before both lists; keyword statistics are of all rows.
-    ``terms``: a written index (postings, lengths), else the query's terms are taken from the texts on the way.
+    ``terms``: a written index (postings, lengths), else the query's phrases are counted in the texts.
     """
     q.check()
     may = allowed_rows(rows, q.path_prefix, allowed, acl)
@@ -69,8 +69,8 @@ def search(rows: DataFrame, q: Query, allowed: Column | None = None, acl: DataFr
         v = spark.createDataFrame([], "id long, distance double, vector_rank int")
     phrases = query_phrases(q.text) if q.text is not None and q.mode != "vector" else []
     if phrases:
-        postings, lengths = terms or query_terms(rows, phrases)
-        scored = keyword_scores(postings, lengths, phrases, may.select("id") if limited else None)
+        ids = may.select("id") if limited else None
+        scored = keyword_scores(*terms, phrases, ids) if terms else text_scores(rows, phrases, ids)
         top = scored.orderBy(F.desc("score"), "id").limit(q.pool).withColumnRenamed("score", "keyword_score")
         k = ranked(top, F.desc("keyword_score"), "id", name="keyword_rank")
     else:

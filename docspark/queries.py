@@ -24,7 +24,7 @@ from docspark.functions.terms import tokens
 from docspark.functions.text import clean_native, normalize_text
 from docspark.operators.chunk import chunk_documents, page_of
 from docspark.operators.fusion import best, fuse, ranked
-from docspark.operators.keyword import keyword_scores, keyword_top, keyword_top_batched, query_terms
+from docspark.operators.keyword import keyword_top, keyword_top_batched, text_scores
 from docspark.operators.rows import best_of_equal, spread
 from docspark.operators.vector_search import top_k, top_k_joined
 from docspark.plans import answer as A
@@ -117,8 +117,7 @@ def bm25_prefix(spark, d):
 
 def bm25_phrase(spark, d):
     """Words that stand together: the quoted form of a word that is several tokens."""
-    phrases = [["of", "the"]]
-    scores = keyword_scores(*query_terms(passages(spark, d), phrases), phrases)
+    scores = text_scores(passages(spark, d), [["of", "the"]])
     return scores.orderBy(F.desc("score"), "id").limit(K).select("id", six(F.col("score"), "score"))
 
 
