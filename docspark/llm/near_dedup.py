@@ -49,13 +49,15 @@ def band_table(percent: int, miss: float = MISS) -> np.ndarray:
     return np.concatenate([need[:1], need[:1], need])
 
 
+#: Words whose hashes a worker keeps, at about 200 bytes each.
+KNOWN_WORDS = 200_000
 _words: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if len(_words) > 1_000_000:
+    if len(_words) > KNOWN_WORDS:
         _words.clear()
     known, out = _words, []
     for w in words:
