@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import bm25_search, chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secret_scan, token_counts, token_store, vector_codes
+from docspark.llm import bm25_search, chat_format, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secret_scan, source_divergence, token_counts, token_store, vector_codes
 from docspark.llm.common import read
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_exact_dedup": lambda spark, d: exact_dedup.dedup_exact(spark, docs(spark, d)),
         "op9_quality": lambda spark, d: quality.query(spark, docs(spark, d), read(spark, d, "labels")),
         "op10_line_dedup": lambda spark, d: line_dedup.query(spark, docs(spark, d)),
+        "op11_source_divergence": lambda spark, d: source_divergence.query(spark, docs(spark, d)),
         "op12_token_counts": lambda spark, d: token_counts.query(spark, docs(spark, d)),
         "op13_vector_codes": lambda spark, d: vector_codes.query(spark, read(spark, d, "embeddings")),
     }
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mix_sources": mixing.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
         "op10_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_source_divergence": source_divergence.ORACLE_SQL,
         "op13_vector_codes": vector_codes.ORACLE_SQL,
     }
