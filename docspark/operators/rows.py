@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 RANGES = 1_024
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """A table that is stored in fewer pieces than there are cores, dealt out by a key; any other as it is. For plain scans:
-    counting the pieces plans the scan and runs nothing."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(2 * cores, key) if table.rdd.getNumPartitions() < cores else table
+def dealt(table: DataFrame) -> DataFrame:
+    """A table that is one scan split or less, dealt out to the cores row by row; any other as it is.
+
+    What is moved is a split (spark.sql.files.maxPartitionBytes) at most, on a cluster of any size: larger tables are
+    scanned as they are stored. Rows are dealt in turn, by no key. Sizes are those of the files; nothing runs.
+    """
+    spark = table.sparkSession
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    at = [path(f) for f in table.inputFiles()]
+    split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    if len(at) > spark.sparkContext.defaultParallelism or sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in at) > split:
+        return table
+    return table.repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 def numbered(rows: DataFrame, by: Column, *ties: str, name: str = "row") -> DataFrame:

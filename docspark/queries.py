@@ -25,7 +25,7 @@ from docspark.functions.text import clean_native, normalize_text
 from docspark.operators.chunk import chunk_documents, page_of
 from docspark.operators.fusion import best, fuse, ranked
 from docspark.operators.keyword import keyword_top, keyword_top_batched, text_scores
-from docspark.operators.rows import best_of_equal, spread
+from docspark.operators.rows import best_of_equal, dealt
 from docspark.operators.vector_search import top_k, top_k_joined
 from docspark.plans import answer as A
 from docspark.plans.hybrid import Query, sentinels, with_similarity
@@ -42,7 +42,7 @@ K, POOL = 10, 50
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, "doc_id") if name == "documents" else rows
+    return dealt(rows) if name == "documents" else rows
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
