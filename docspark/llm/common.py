@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators.rows import spread
+from docspark.operators.rows import dealt
 from docspark.scratch import shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -102,6 +102,6 @@ def lower_ascii(text: Column) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the driver's tables; documents in fewer pieces than there are cores are dealt out first."""
+    """One of the driver's tables; documents of one scan split at most are dealt out to the cores first."""
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(rows, "doc_id") if table == "documents" else rows
+    return dealt(rows) if table == "documents" else rows
