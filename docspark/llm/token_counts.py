@@ -16,7 +16,7 @@ longer than the overlap) are encoded again with overlaps that widen eightfold, t
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,7 +26,9 @@ from docspark.llm.common import Scratch
 from docspark.llm.tokens import UnitEncoder, encoder
 
 #: Characters of a chunk, and of its first overlap; texts of up to LONG characters are not cut.
-LONG, OVERLAP, WIDEN = 32_768, 512, 8
+LONG, OVERLAP, WIDEN = 65_536, 512, 8
+#: Characters of short texts that are encoded at once.
+STEP = 1 << 20
 #: Characters that the pattern looks ahead beyond a word, with some to spare.
 MARGIN = 4
 LIMIT = 512
@@ -83,6 +85,19 @@ class Counter:
         return starts, before, len(ids)
 
 
+def slices(rows: list[int], texts: Sequence[str], most: int = STEP) -> Iterator[list[int]]:
+    """``rows`` in runs whose texts have ``most`` characters together, or one row."""
+    run, n = [], 0
+    for k in rows:
+        if run and n + len(texts[k]) > most:
+            yield run
+            run, n = [], 0
+        run.append(k)
+        n += len(texts[k])
+    if run:
+        yield run
+
+
 _counters: dict[str, Counter] = {}
 
 
@@ -124,17 +139,16 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, id_col: str =
 
         tool, seen = counter(path), TaskContext.get().partitionId() << 36
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            ids, (texts, size) = b.column(0), zip(*((t, len(t.encode("utf-8", "surrogatepass"))) for t in (t or "" for t in b.column(1).to_pylist())), strict=True) if len(b) else ((), ())
             whole = [k for k, t in enumerate(texts) if margin is None or len(t) <= long]
-            counts = tool.count([texts[k] for k in whole])
-            yield batch(b.column(0).take(pa.array(whole, pa.int64())), [size[k] for k in whole], counts, *[[None] * len(whole)] * 4)
+            for part in slices(whole, texts):
+                yield batch(ids.take(pa.array(part, pa.int64())), [size[k] for k in part], tool.count([texts[k] for k in part]), *[[None] * len(part)] * 4)
             for k in sorted({*range(len(texts))}.difference(whole)):
                 t, seen = texts[k], seen + 1
                 starts = list(range(0, len(t), long))
                 for i in range(0, len(starts), BATCH):
                     part = starts[i : i + BATCH]
-                    n, own = len(part), b.column(0).take(pa.array([k if at == 0 else None for at in part], pa.int64()))
+                    n, own = len(part), ids.take(pa.array([k if at == 0 else None for at in part], pa.int64()))
                     yield batch(own, [size[k]] * n, [None] * n, [seen] * n, [at // long for at in part], [len(t)] * n, [t[at : at + long + overlap] for at in part])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
