@@ -89,7 +89,7 @@ class Collection:
     def query(self, q: Query, allowed: Column | None = None) -> list[dict]:
         def work():
             q.check()
-            hits = [r.asDict() for r in sentinels(search(self.store.chunks(), q, allowed, self._seen())).collect()]
+            hits = [r.asDict() for r in sentinels(search(self.store.chunks(), q, allowed, self._seen(), terms=self.store.terms())).collect()]
             return hits, len(hits)
 
         return self._audited("search", work)
@@ -115,7 +115,7 @@ class Collection:
         def retrieve(s: A.State) -> None:
             vector = self.embedder.embed([s.question], query=True)[0].tolist()
             rows = self.store.chunks()
-            hits = search(rows, Query(vector=vector, text=s.question, top_k=top_k, path_prefix=path_prefix), None, self._seen())
+            hits = search(rows, Query(vector=vector, text=s.question, top_k=top_k, path_prefix=path_prefix), None, self._seen(), terms=self.store.terms())
             found = with_similarity(hits, rows, vector).join(self.store.documents().select("doc_id", "title"), "doc_id", "left")
             order = [F.desc("score"), F.col("vector_rank").asc_nulls_last(), F.col("keyword_rank").asc_nulls_last()]
             s.passages = [
@@ -161,7 +161,7 @@ class Collection:
 
     def info(self) -> dict:
         m = self.store.manifest
-        return {"embedding_model": m.embedding_model, "dim": m.dim, "count": self.store.chunks().count()}
+        return {"embedding_model": m.embedding_model, "dim": m.dim, "count": m.count if m.format_version >= 5 else self.store.chunks().count()}
 
     def summary(self) -> dict:
         return summarize(self.store.documents()).first().asDict()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-#: The codes by name.
+#: The codes by name. CONFLICT is this engine's own, of two commits that change the same documents.
 STATUSES = (
     "OK", "INVALID_ARGUMENT", "NOT_FOUND", "ALREADY_EXISTS", "IO", "CORRUPT", "UNSUPPORTED", "BUSY", "DENIED", "TOO_LONG",
-    "TOO_LARGE", "ENCRYPTED", "MODEL_MISMATCH", "CANCELLED", "OUT_OF_MEMORY", "INTERNAL",
+    "TOO_LARGE", "ENCRYPTED", "MODEL_MISMATCH", "CANCELLED", "OUT_OF_MEMORY", "INTERNAL", "CONFLICT",
 )
 
 

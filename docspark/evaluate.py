@@ -44,7 +44,7 @@ def ask_all(c: Collection, questions: Sequence[Question], top_k: int = 10, **opt
         t = time.perf_counter()
         a = c.ask(q.text, top_k=top_k, **options)
         seconds = time.perf_counter() - t
-        hits = [c.store.get(h["id"]) for h in c.query_text(q.text, top_k)]
+        hits = list(c.store.get_many([h["id"] for h in c.query_text(q.text, top_k)]).values())
         answerable = bool(q.source)
         rows.append((
             q.id, answerable and any(states(a.text, f) for f in q.expect), answerable and any(x.source_path.endswith(q.source) for x in a.citations),

@@ -1,34 +1,38 @@
 """Keyword search by BM25 over words and phrases, with statistics of the whole collection.
 
-``index_terms`` makes the postings table once: (term, id, tf, positions), and the lengths: (id, n_tokens). Written with
-``write_index``, postings are clustered by term, so that a query reads only the row groups of its terms. Without an index
-``text_scores`` counts a query's phrases straight in the texts: one pass for the statistics, one for the scores, and no row
-is shuffled. ``query_terms`` serves many queries at once: tokens other than theirs are dropped where they are found.
+``index_terms`` makes postings once: (term, id, tf, positions, n_tokens). A ``KeywordIndex`` over written postings, which are
+sorted by term, reads only the row groups of a query's terms. Without an index ``text_scores`` counts a query's phrases
+straight in the texts: one pass for the statistics, one for the scores, and no row is shuffled. Both use one formula, so
+their scores are equal. ``query_terms`` serves many queries at once: tokens other than theirs are dropped where they are found.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.terms import count_tokens, query_phrases, tokens
 
 #: The parameters of BM25 and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+POSTINGS = "term string, id long, tf int, positions array<int>, n_tokens int"
 
 
 def _postings(found: DataFrame, *more: str) -> DataFrame:
     return found.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), *(F.first(c).alias(c) for c in more))
 
 
-def index_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text", compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    found = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col), compat).alias("tokens"))
-    lengths = found.select("id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"))
-    return _postings(found.select("id", F.posexplode("tokens").alias("position", "term"))), lengths
+def index_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text", compat: bool = False) -> DataFrame:
+    """Postings of all terms of all rows."""
+    # as a generated row, so that the optimizer does not write the tokenizer into each expression that uses its tokens
+    found = rows.select(F.col(id_col).alias("id"), F.explode(F.array(tokens(F.col(text_col), compat))).alias("tokens"))
+    return _postings(found.select("id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term")), "n_tokens").select(*(c.split()[0] for c in POSTINGS.split(", ")))
 
 
 def query_terms(rows: DataFrame, phrases: list[list[str]], id_col: str = "id", text_col: str = "text", compat: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -40,13 +44,6 @@ def query_terms(rows: DataFrame, phrases: list[list[str]], id_col: str = "id", t
     return _postings(found, "n_tokens"), lengths
 
 
-def write_index(spark: SparkSession, postings: DataFrame, lengths: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Write both tables under ``path``: postings range-partitioned and sorted by term."""
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
-
-
 def _shifted(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 
@@ -108,8 +105,19 @@ def _occurrences(found: Column, phrase: list[str]) -> Column:
     return F.when((F.size(found) >= len(phrase)) & F.array_contains(found, phrase[0]), F.size(starts)).otherwise(0)
 
 
+def _scored(found: DataFrame, times: Counter, dfs: Sequence[int], n: int, average: float | None) -> DataFrame:
+    """Rows (id, score) of those that have a phrase; ``found``: id, n_tokens, and tf0, tf1, ... of the phrases in order."""
+    score, hit = F.lit(0.0), F.lit(False)
+    for i, (k, df) in enumerate(zip(times.values(), dfs, strict=True)):
+        idf = math.log((n - df + 0.5) / (df + 0.5))
+        tf = F.col(f"tf{i}")
+        score = score + k * (idf if idf > 0 else LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / (average or 1.0)))
+        hit = hit | (tf > 0)
+    return found.filter(hit).select("id", score.alias("score"))
+
+
 def text_scores(rows: DataFrame, phrases: list[list[str]], allowed: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``keyword_scores`` straight from a table of texts, for a query's few phrases. Runs the pass for the statistics at once."""
+    """Scores straight from a table of texts, for a query's few phrases. Runs the pass for the statistics at once."""
     times = Counter(map(tuple, phrases))
     if not times:
         return rows.sparkSession.createDataFrame([], "id long, score double")
@@ -118,15 +126,46 @@ def text_scores(rows: DataFrame, phrases: list[list[str]], allowed: DataFrame |
     found = rows.select(F.col(id_col).alias("id"), F.explode(F.array(tokens(F.col(text_col)))).alias("tokens"))
     found = found.select("id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"), *counts)
     n, average, *dfs = found.agg(F.count("*"), F.avg("n_tokens"), *(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(times)))).first()
-    score, hit = F.lit(0.0), F.lit(False)
-    for i, (k, df) in enumerate(zip(times.values(), dfs, strict=True)):
-        idf = math.log((n - df + 0.5) / (df + 0.5))
-        tf = F.col(f"tf{i}")
-        score = score + k * (idf if idf > 0 else LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / (average or 1.0)))
-        hit = hit | (tf > 0)
     if allowed is not None:
         found = found.join(allowed.select("id"), "id", "left_semi")
-    return found.filter(hit).select("id", score.alias("score"))
+    return _scored(found, times, dfs, n, average)
+
+
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Postings of all rows of a collection, and how many rows and tokens it has."""
+
+    postings: DataFrame
+    n: int
+    n_tokens: int
+
+    def scores(self, phrases: list[list[str]], allowed: DataFrame | None = None) -> DataFrame:
+        """``text_scores`` of the rows that were indexed: the same rows and numbers, from the postings of the phrases' terms."""
+        times = Counter(map(tuple, phrases))
+        if not times or not self.n:
+            return self.postings.sparkSession.createDataFrame([], "id long, score double")
+        hits = self.postings.filter(F.col("term").isin(sorted({w for p in times for w in p})))
+        counts = []
+        for i, p in enumerate(times):
+            of = lambda w, c: F.max(F.when(F.col("term") == w, F.col(c)))
+            if len(p) == 1:
+                tf = of(p[0], "tf")
+            else:  # positions shifted to where the phrase would begin
+                tf = F.size(reduce(F.array_intersect, [_shifted(F.coalesce(of(w, "positions"), F.array().cast("array<int>")), j) for j, w in enumerate(p)]))
+            counts.append(F.coalesce(tf, F.lit(0)).alias(f"tf{i}"))
+        found = hits.groupBy("id").agg(F.first("n_tokens").alias("n_tokens"), *counts)
+        if all(len(p) == 1 for p in times):
+            by = dict(hits.groupBy("term").count().collect())  # a row a term of the query
+            dfs = [by.get(p[0], 0) for p in times]
+        else:
+            dfs = list(found.agg(*(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(times)))).first())
+        if allowed is not None:
+            found = found.join(allowed.select("id"), "id", "left_semi")
+        return _scored(found, times, dfs, self.n, self.n_tokens / self.n)
+
+    def top(self, text: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """``keyword_top`` of the rows that were indexed."""
+        return self.scores(query_phrases(text), allowed).orderBy(F.desc("score"), "id").limit(k)
 
 
 def keyword_top(rows: DataFrame, text: str, k: int, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:

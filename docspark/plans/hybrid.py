@@ -12,7 +12,7 @@ from docspark.errors import require
 from docspark.functions.terms import query_phrases
 from docspark.functions.vectors import cosine_from_distance
 from docspark.operators.fusion import best, fuse, ranked
-from docspark.operators.keyword import keyword_scores, text_scores
+from docspark.operators.keyword import KeywordIndex, text_scores
 from docspark.operators.vector_search import MOST_K, ExactIndex, VectorIndex
 
 MODES = ("hybrid", "vector", "keyword")
@@ -52,11 +52,11 @@ def allowed_rows(rows: DataFrame, path_prefix: str = "", allowed: Column | None
     return rows if acl is None else rows.join(acl.select("id"), "id", "left_semi")
 
 
-def search(rows: DataFrame, q: Query, allowed: Column | None = None, acl: DataFrame | None = None, index: VectorIndex | None = None, terms: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def search(rows: DataFrame, q: Query, allowed: Column | None = None, acl: DataFrame | None = None, index: VectorIndex | None = None, terms: KeywordIndex | None = None) -> DataFrame:
     """The q.top_k best rows: id, score, distance, keyword_score, vector_rank, keyword_rank, and similarity.
 
     ``rows``: id, source_path, text, embedding. Filters come before both lists; keyword statistics are of all rows.
-    ``terms``: a written index (postings, lengths), else the query's phrases are counted in the texts.
+    ``terms``: the keyword index of these rows, else the query's phrases are counted in the texts.
     """
     q.check()
     may = allowed_rows(rows, q.path_prefix, allowed, acl)
@@ -70,7 +70,7 @@ def search(rows: DataFrame, q: Query, allowed: Column | None = None, acl: DataFr
     phrases = query_phrases(q.text) if q.text is not None and q.mode != "vector" else []
     if phrases:
         ids = may.select("id") if limited else None
-        scored = keyword_scores(*terms, phrases, ids) if terms else text_scores(rows, phrases, ids)
+        scored = terms.scores(phrases, ids) if terms else text_scores(rows, phrases, ids)
         top = scored.orderBy(F.desc("score"), "id").limit(q.pool).withColumnRenamed("score", "keyword_score")
         k = ranked(top, F.desc("keyword_score"), "id", name="keyword_rank")
     else:

@@ -181,13 +181,18 @@ def _commit_part(spark: SparkSession, store: Store, todo: DataFrame, documents:
     records = written.select(columns).unionByName(touched.select(columns))
     changed = done.filter("action <> 'touched'").select(F.col("source_path").alias("doc_id"))
     changed = changed if gone is None else changed.unionByName(gone)
-    old = store.chunks().join(changed, "doc_id", "left_semi").select("id")
     new = staged.select("source_path", "content_hash", F.explode("pieces").alias("p")).select(
         F.col("source_path").alias("doc_id"), "source_path", "content_hash", "p.chunk_index", "p.offset", "p.length", "p.page", "p.text", "p.embedding"
     )
     counts = dict(done.groupBy("action").count().collect())
-    removed, chunks_removed = gone.count() if gone is not None else 0, old.count()
-    added = store.commit(add=new, remove_ids=old if chunks_removed else None, records=records if counts else None, drop_documents=gone if removed else None, user_version=recipe)
+    removed = gone.count() if gone is not None else 0
+
+    def commit() -> tuple[int, int]:
+        old = store.chunks().join(changed, "doc_id", "left_semi").select("id")
+        n = old.count()
+        return store.commit(add=new, remove_ids=old if n else None, records=records if counts else None, drop_documents=gone if removed else None, user_version=recipe), n
+
+    added, chunks_removed = store.again(commit)
     store._fs.delete(store._path(stage.removeprefix(store.root + "/")), True)
     return replace(
         before, files_added=before.files_added + counts.get("added", 0), files_updated=before.files_updated + counts.get("updated", 0),

@@ -20,7 +20,7 @@ from docspark.api import problems, summarize
 from docspark.evaluate import growth
 from docspark.functions import answers, vectors
 from docspark.functions.embed import HashEmbedder, embed_all
-from docspark.functions.terms import tokens
+from docspark.functions.terms import query_phrases, tokens
 from docspark.functions.text import clean_native, normalize_text
 from docspark.operators.chunk import chunk_documents, page_of
 from docspark.operators.fusion import best, fuse, ranked
@@ -409,18 +409,27 @@ def extract_office(spark, d):
 # the store
 
 
-def store_changes(spark, d):
-    """Every document a passage of a new collection: two additions, a removal of passages and one of documents, compaction; what is left."""
+def stored_rows(spark, d) -> DataFrame:
+    """Every document as a passage that a store takes; ``n`` is its number."""
     docs = table(spark, d, "documents").filter("doc_id IS NOT NULL")
     path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     text = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
-    rows = docs.select(
+    return docs.select(
         F.col("doc_id").cast("string").alias("doc_id"), path.alias("source_path"), zero.alias("chunk_index"), zero.alias("offset"), F.octet_length(text).cast("long").alias("length"), text.alias("text"),
         F.sha2(text, 256).alias("content_hash"), zero.alias("page"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).cast("array<float>").alias("embedding"), F.col("doc_id").alias("n"),
     )
+
+
+def new_store(spark, keywords: bool) -> Store:
+    return Store.create(spark, f"{shared_dir(spark)}/docspark-store-{uuid.uuid4().hex}", "none", 2, keywords=keywords)
+
+
+def store_changes(spark, d):
+    """Every document a passage of a new collection: two additions, a removal of passages and one of documents, compaction; what is left."""
+    rows = stored_rows(spark, d)
     record = lambda r: r.select("doc_id", "source_path", "content_hash", F.col("length").alias("size"), F.col("n").alias("mtime_ns"), F.lit("").alias("title"), F.lit(1).cast("long").alias("chunk_count"), F.lit("ok").alias("status"), F.lit("").alias("message"))
-    store = Store.create(spark, f"{shared_dir(spark)}/docspark-store-{uuid.uuid4().hex}", "none", 2)
+    store = new_store(spark, keywords=False)
     for part in (rows.filter("n % 2 = 0"), rows.filter("n % 2 = 1")):
         store.commit(add=part.drop("n"), records=record(part))
     store.commit(remove_ids=store.chunks().filter(F.col("doc_id").cast("long") % 5 == 0).select("id"))
@@ -434,6 +443,27 @@ def store_changes(spark, d):
     return kept.documents().select("doc_id", "source_path").join(left, "doc_id", "left")
 
 
+def bm25_collection(spark, d):
+    """``bm25_topk`` by the keyword index of a new collection of all documents."""
+    store = new_store(spark, keywords=True)
+    store.add(stored_rows(spark, d).drop("n"))
+    names = store.chunks().select("id", "doc_id")
+    scores = store.terms().scores(query_phrases(TEXT)).join(names, "id").withColumn("id", F.col("doc_id").cast("long"))
+    return scores.orderBy(F.desc("score"), "id").limit(K).select("id", six(F.col("score"), "score"))
+
+
+def keyword_index_changes(spark, d):
+    """Scores of all matches by a keyword index that has seen four additions, a removal after two of them, and folds of like segments."""
+    rows, store = stored_rows(spark, d), new_store(spark, keywords=True)
+    for i in range(4):
+        store.add(rows.filter(F.pmod("n", F.lit(4)) == i).drop("n"))
+        if i == 1:
+            store.commit(remove_ids=store.chunks().filter(F.col("doc_id").cast("long") % 5 == 0).select("id"))
+    store.tidy(1 << 40)
+    scores = store.terms().scores(query_phrases(TEXT)).join(store.chunks().select("id", "doc_id"), "id")
+    return scores.select("doc_id", six(F.col("score"), "score"))
+
+
 def answer_budget(spark, d):
     """Each conversation's turns as ranked passages: repeats go, then as many as a prompt of 700 tokens takes."""
 
@@ -491,7 +521,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_topk, vector_topk_masked, vector_topk_batched, similarities, l2_normalize, bm25_topk, bm25_prefix, bm25_phrase, term_df, doc_stats,
         rrf_hybrid, rrf_weighted, vector_only, keyword_only, prefix_hybrid, acl_filtered_search, hits_with_text, similarity_floor,
         passage_exact_dedupe, collection_summary, document_listing, problem_documents, sync_plan, sync_removals, sync_counters, page_of_offset,
-        collection_questions, largest_documents, content_hashes, extract_tables, extract_markups, extract_office, store_changes, answer_budget,
+        collection_questions, largest_documents, content_hashes, extract_tables, extract_markups, extract_office, store_changes, bm25_collection, keyword_index_changes, answer_budget,
         citation_parse, answer_checks, snippets, clean_text, recall_at_10, soak_growth, list_union, normalize_files, chunk_all, embed_documents,
         overlap_dedupe, ask_extractive,
     )
@@ -605,6 +635,8 @@ SELECT query_id, id, round(dist, 6) AS distance, rank FROM r WHERE rank <= 5""",
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
 SELECT id, round(v[1] / n, 6) AS first, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) AS norm, len(v)::INTEGER AS dim FROM n""",
     "bm25_topk": f"WITH {_bm25()} SELECT id, round(score, 6) AS score FROM s",
+    "bm25_collection": f"WITH {_bm25()} SELECT id, round(score, 6) AS score FROM s",
+    "keyword_index_changes": f"WITH {_bm25(limit='', docs='(SELECT * FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 4 > 1)')} SELECT id::VARCHAR AS doc_id, round(score, 6) AS score FROM s",
     "bm25_prefix": f"WITH {_bm25(where=chr(39) + '/' + chr(39) + ' || m.source || ' + chr(39) + '/' + chr(39) + ' LIKE ' + chr(39) + '/src1/%' + chr(39))} SELECT id, round(score, 6) AS score FROM s",
     "bm25_phrase": rf"""WITH t AS (SELECT doc_id AS id, {_TOK} AS tok FROM documents), c AS (SELECT count(*) AS n, avg(len(tok)) AS av FROM t),
 m AS (SELECT id, len(tok) AS dl, len(list_filter(range(1, len(tok)), lambda i: tok[i] = 'of' AND tok[i + 1] = 'the')) AS tf FROM t),

@@ -23,7 +23,7 @@ from docspark.streaming.watch import SECONDS, watch_folders
 
 #: HTTP codes of the statuses.
 HTTP_CODES = {
-    "OK": 200, "INVALID_ARGUMENT": 400, "TOO_LONG": 400, "NOT_FOUND": 404, "ALREADY_EXISTS": 409, "BUSY": 409, "MODEL_MISMATCH": 409, "DENIED": 403,
+    "OK": 200, "INVALID_ARGUMENT": 400, "TOO_LONG": 400, "NOT_FOUND": 404, "ALREADY_EXISTS": 409, "BUSY": 409, "CONFLICT": 409, "MODEL_MISMATCH": 409, "DENIED": 403,
     "UNSUPPORTED": 501, "TOO_LARGE": 413, "CANCELLED": 499,
 }
 
@@ -56,7 +56,7 @@ class App:
         self.log.info("%s %s %s %d", event.action, event.collection.rpartition("/")[2], event.status, event.count)
 
     def collections(self) -> list[str]:
-        return sorted(n for n in os.listdir(self.data_dir) if NAME.fullmatch(n) and os.path.exists(f"{self.data_dir}/{n}/manifest.json"))
+        return sorted(n for n in os.listdir(self.data_dir) if NAME.fullmatch(n) and any(os.path.exists(f"{self.data_dir}/{n}/{m}") for m in ("manifests", "manifest.json")))
 
     def reader(self, name: str) -> Collection:
         """A cached read handle at the newest commit."""

@@ -12,7 +12,7 @@ from docspark.plans.store import Store
 from docspark.service.app import App
 
 #: Exit codes by status; other errors give 1, and a run that was interrupted gives 130.
-EXIT_CODES = {"INVALID_ARGUMENT": 2, "NOT_FOUND": 3, "MODEL_MISMATCH": 4, "BUSY": 5}
+EXIT_CODES = {"INVALID_ARGUMENT": 2, "NOT_FOUND": 3, "MODEL_MISMATCH": 4, "BUSY": 5, "CONFLICT": 5}
 STOPPED = 130
 VERSION = "0.2"
 
@@ -40,8 +40,10 @@ def run(app: App, args: argparse.Namespace, out=sys.stdout) -> int:
                 print(to_json(app.ingest(args.collection, args.paths)), file=out)
             case "search":
                 c = app.reader(args.collection)
-                for h in c.query_text(args.query, args.top_k):
-                    row = c.store.get(h["id"])
+                hits = c.query_text(args.query, args.top_k)
+                rows = c.store.get_many([h["id"] for h in hits])
+                for h in hits:
+                    row = rows[h["id"]]
                     text = row["text"].replace("\n", " ").encode()
                     cut = text[:200].decode("utf-8", "ignore") + ("..." if len(text) > 200 else "")
                     print(json.dumps({"score": h["score"], "path": row["source_path"], "page": row["page"], "snippet": cut}, ensure_ascii=False), file=out)

@@ -133,9 +133,9 @@ def make_server(app: App, port: int = 0, token: str | None = None, auth: Auth |
             vector = c.embedder.embed([text], query=True)[0].tolist()
             q = Query(vector=vector, text=text, mode=mode, top_k=body.get("top_k", 5), path_prefix=body.get("path_prefix", ""))
             hits = c.query(q)
-            out = []
+            rows, out = c.store.get_many([h["id"] for h in hits]), []
             for h in hits:
-                row = c.store.get(h["id"])
+                row = rows[h["id"]]
                 x = {"id": h["id"], "score": h["score"], "source_path": row["source_path"], "page": row["page"], "text": row["text"]}
                 if h["distance"] >= 0:
                     x["distance"] = h["distance"]

@@ -2,6 +2,7 @@
 
 import io
 import json
+import shutil
 import struct
 import threading
 import urllib.error
@@ -12,6 +13,7 @@ import pytest
 from docspark.errors import EngineError
 from docspark.functions.register import register
 from docspark.service.app import App
+from docspark.plans.hybrid import Query
 from docspark.service.cli import parser, run
 from docspark.functions.answers import is_collection_question
 from docspark.service.http import make_server
@@ -63,12 +65,17 @@ def test_http_and_cli(spark, tmp_path):
     assert run(app, parser().parse_args(["search", "c1", "lamp oil"]), out) == 0 and "lamp.txt" in out.getvalue()
     assert run(app, parser().parse_args(["info", "nosuch"]), out) == 3
     assert run(app, parser().parse_args(["version"]), out) == 0 and run(app, parser().parse_args(["model"]), out) == 0
-    old = tmp_path / "data" / "c1" / "manifest.json"
-    values = {k: v for k, v in json.loads(old.read_text()).items() if k != "meta"} | {"format_version": 3}
-    old.write_text(json.dumps(values))
-    (old.parent / ".manifest.json.crc").unlink(missing_ok=True)
-    assert run(app, parser().parse_args(["migrate", "c1"]), out) == 0 and json.loads(old.read_text())["format_version"] == 4
-    assert json.loads((old.parent / "manifest-format3.json").read_text())["next_id"] == values["next_id"]
+    root = tmp_path / "data" / "c1"  # as format 3 had it: one manifest, of names alone
+    newest = sorted(p for p in (root / "manifests").iterdir() if p.name[0].isdigit())[-1]
+    values = json.loads(newest.read_text())
+    values = {k: values[k] for k in ("embedding_model", "dim", "version", "next_id", "user_version", "removed_count")} | {k: [x["name"] for x in values[k]] for k in ("chunks", "removed", "documents")}
+    (root / "manifest.json").write_text(json.dumps(values | {"format_version": 3}))
+    shutil.rmtree(root / "manifests")
+    assert app.reader("c1").info()["count"] == 1
+    assert run(app, parser().parse_args(["migrate", "c1"]), out) == 0 and json.loads(out.getvalue().splitlines()[-1]) == {"format_version": 5}
+    assert json.loads((root / "manifest-format3.json").read_text())["next_id"] == values["next_id"]
+    c1 = app.reader("c1")
+    assert c1.store.manifest.indexed and c1.info()["count"] == 1 and [h["id"] for h in c1.query(Query(text="lamp", mode="keyword"))] == [0]
     folder = tmp_path / "first"
     folder.mkdir()
     (folder / "header.bin").write_bytes(b"TAG0" + struct.pack("<4I", 2, 2, 256, 3))
