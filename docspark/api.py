@@ -16,7 +16,7 @@ from docspark.functions.embed import Embedder
 from docspark.plans import answer as A
 from docspark.plans.hybrid import Query, search, sentinels, with_similarity
 from docspark.plans.store import Store
-from docspark.plans.sync import SyncStatus, sync
+from docspark.plans.sync import SyncStatus, sync, sync_changes
 
 NAME = re.compile(r"[A-Za-z0-9_-]{1,64}")
 
@@ -157,6 +157,17 @@ class Collection:
         finally:
             self._busy.release()
 
+    def apply_changes(self, changes: DataFrame, **options) -> SyncStatus:
+        """Take up changed, new and removed files, as ``sources.changes`` streams them; waits for another change to end."""
+        require(self.embedder is not None, "ingestion needs an embedder")
+        with self._busy:
+            def work():
+                self.store.refresh()
+                out = sync_changes(self.spark, self.store, changes, self.embedder, **options)
+                return out, out.chunks_added
+
+            return self._audited("ingest", work)
+
     # describing
 
     def info(self) -> dict:

@@ -61,12 +61,21 @@ def plan_sync(listing: DataFrame, documents: DataFrame, same_recipe: Column | bo
     return rows.withColumns({"known": known, "look": ~still, "may_keep": known & (F.col("old_status") != "error") & same_recipe})
 
 
-def removals(documents: DataFrame, seen: DataFrame, folders: list[str]) -> DataFrame:
-    """Stored documents below the folders that the listing lacks. A folder's name counts with its slash."""
+def removals(documents: DataFrame, seen: DataFrame, folders: list[str], failed: DataFrame | None = None) -> DataFrame:
+    """Stored documents below the folders that the listing lacks. A folder's name counts with its slash.
+
+    ``failed``: paths that could not be looked at; documents at or below them are not known to be gone.
+    """
     below = F.lit(False)
     for f in folders:
         below = below | F.col("source_path").startswith(f.rstrip("/") + "/")
-    return documents.filter(below).join(seen.select("source_path"), "source_path", "left_anti")
+    gone = documents.filter(below).join(seen.select("source_path"), "source_path", "left_anti")
+    if failed is None:
+        return gone
+    parts = F.split("source_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    unknown = gone.select("source_path", F.explode(above).alias("path")).join(failed.select("path"), "path", "left_semi")
+    return gone.join(unknown.select("source_path"), "source_path", "left_anti")
 
 
 def content_digest(raw: bytes) -> str:
@@ -143,13 +152,14 @@ def sync(
     and ``cancelled`` is asked before each; what is committed stays, and the next sync takes up what is left.
     """
     check_limits(target, most, overlap)
-    every = list_paths(spark, paths, hidden).filter("NOT skipped").drop("skipped")
+    found = list_paths(spark, paths, hidden).filter("NOT skipped").drop("skipped")
+    every, failed = found.filter("NOT failed").drop("failed"), found.filter("failed")
     visits, listing = every.filter(is_supported(F.col("path"))).count(), every.dropDuplicates(["path"])
     supported = listing.filter(is_supported(F.col("path")))
     documents = store.documents()
     plan = plan_sync(supported, documents, store.manifest.user_version == RECIPE)
     todo = plan.filter("look").select("source_path", "size", "mtime_ns", "known", "may_keep", "old_content_hash")
-    gone = removals(documents, plan, [p for p in paths if os.path.isdir(p)]).select("doc_id")
+    gone = removals(documents, plan, [p for p in paths if os.path.isdir(p)], failed).select("doc_id")
     parts = max(1, -(-todo.count() // files_a_commit)) if files_a_commit else 1
     again = visits - supported.count()
     out = SyncStatus(files_seen=visits, files_unchanged=plan.filter("NOT look").count() + again, files_skipped=every.count() - visits)
@@ -164,6 +174,27 @@ def sync(
     return out
 
 
+def sync_changes(spark: SparkSession, store: Store, changes: DataFrame, embedder: Embedder, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, waits=(0.4, 0.8)) -> SyncStatus:
+    """Bring the store in step with what has changed in folders, without listing them: ``path, size, mtime_ns, change, listing``.
+
+    Of several changes of a path the one of the latest listing counts. Documents whose embedding failed are tried again. The
+    same changes a second time change nothing.
+    """
+    check_limits(target, most, overlap)
+    newest = changes.groupBy("path").agg(F.max_by(F.struct("size", "mtime_ns", "change"), "listing").alias("c")).select("path", "c.*")
+    there, documents = newest.filter((F.col("change") != "removed") & is_supported(F.col("path"))).drop("change"), store.documents()
+    failed = documents.filter("status = 'error' AND mtime_ns = 0").select(F.col("source_path").alias("path"), "size", F.lit(0).cast("long").alias("mtime_ns"))
+    same = store.manifest.user_version == RECIPE
+    plan = plan_sync(there.unionByName(failed.join(newest, "path", "left_anti")), documents, same)
+    todo = plan.filter("look").select("source_path", "size", "mtime_ns", "known", "may_keep", "old_content_hash")
+    gone = documents.join(newest.filter("change = 'removed'").select(F.col("path").alias("source_path")), "source_path", "left_semi").select("doc_id")
+    out = SyncStatus(files_seen=there.count(), files_unchanged=plan.filter("NOT look").count(), files_skipped=newest.filter((F.col("change") != "removed") & ~is_supported(F.col("path"))).count())
+    if todo.isEmpty() and gone.isEmpty():
+        return out
+    recipe = RECIPE if same or not store.manifest.documents else None  # an older collection is made anew by a whole sync
+    return _commit_part(spark, store, todo, documents, gone, make_processor(embedder, target, most, overlap, tuple(waits)), out, recipe)
+
+
 def _commit_part(spark: SparkSession, store: Store, todo: DataFrame, documents: DataFrame, gone: DataFrame | None, run, before: SyncStatus, recipe: int | None) -> SyncStatus:
     stage = f"{store.root}/staging-{uuid.uuid4().hex}"
     many = max(1, spark.sparkContext.defaultParallelism * 4)

@@ -19,7 +19,7 @@ from docspark.errors import EngineError, require
 from docspark.functions.embed import Embedder, WordEmbedder
 from docspark.plans.answer import ExtractiveGenerator, Generator
 from docspark.streaming.jobs import JobQueue
-from docspark.streaming.watch import SECONDS, watch_folders
+from docspark.streaming.watch import SECONDS, watch
 
 #: HTTP codes of the statuses.
 HTTP_CODES = {
@@ -117,17 +117,7 @@ class App:
         block = self.settings().get("watch") or {}
         name, folders = block.get("collection"), block.get("folders") or []
         if name and folders:
-            check_name(name)
-
-            def tick(there: list[str]):
-                try:
-                    return self.ingest(name, there)
-                except EngineError as e:
-                    if e.status != "BUSY":
-                        raise
-                    return None
-
-            self.watching = watch_folders(self.spark, tick, folders, block.get("seconds", SECONDS))
+            self.watching = watch(self.writer(name), folders, block.get("seconds", SECONDS))
         return self.watching
 
     def settings(self) -> dict:

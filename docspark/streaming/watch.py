@@ -1,53 +1,48 @@
-"""Watching folders: a stream of ticks, each of which brings the collection in step.
+"""Watching folders: a stream of changed files that the collection takes up batch by batch.
 
-A file source reports neither removals nor edits in place, so each tick lists the folders again, as the sync does; most
-ticks end after the join of listing and records.
+The source's offsets are listings of the folders, kept with the checkpoint, so that nothing is read twice, also not by a
+query that starts again. A batch that is repeated finds its files stored and changes nothing.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from docspark.api import Collection
-from docspark.errors import EngineError, require
+from docspark.errors import require
 from docspark.plans.sync import SyncStatus
+from docspark.sources.changes import FolderChanges
 
-#: Folders that are watched at most, and seconds between ticks.
+#: Folders that are watched at most, and seconds between looks.
 MOST_FOLDERS, SECONDS = 16, 60
 
 
-def watch(collection: Collection, folders: list[str], seconds: int = SECONDS, on_status: Callable[[SyncStatus], None] | None = None, once: bool = False, checkpoint: str | None = None) -> StreamingQuery:
-    """Start watching; ``once`` runs a single pass. A folder that is missing at a tick is passed over, and so is a tick
-    that meets the collection busy."""
+def watch(collection: Collection, folders: list[str], seconds: int = SECONDS, on_status: Callable[[SyncStatus], None] | None = None, once: bool = False, checkpoint: str | None = None, **options) -> StreamingQuery:
+    """Start watching; ``once`` takes up what has changed and ends. A folder that is missing or cannot be listed keeps its
+    documents. ``checkpoint``: by default a folder in the collection, one for these folders."""
     require(collection.embedder is not None, "watching needs an embedder")
 
-    def tick(there: list[str]) -> None:
-        try:
-            status = collection.ingest(there)
-        except EngineError as e:
-            if e.status != "BUSY":
-                raise
-            return
+    def take(changes: DataFrame) -> None:
+        status = collection.apply_changes(changes, **options)
         if on_status:
             on_status(status)
 
-    return watch_folders(collection.spark, tick, folders, seconds, once, checkpoint)
+    return watch_folders(collection.spark, take, folders, checkpoint or checkpoint_in(collection.store.root, folders), seconds, once)
 
 
-def watch_folders(spark: SparkSession, tick: Callable[[list[str]], object], folders: list[str], seconds: int = SECONDS, once: bool = False, checkpoint: str | None = None) -> StreamingQuery:
-    """``tick`` is called with those of the folders that are there, on every trigger of a stream."""
-    require(0 < len(folders) <= MOST_FOLDERS, f"1 to {MOST_FOLDERS} folders can be watched")
+def checkpoint_in(root: str, folders: list[str]) -> str:
+    return f"{root}/watch/{hashlib.sha256(json.dumps(sorted(folders)).encode()).hexdigest()[:16]}"
 
-    def batch(_: DataFrame, __: int) -> None:
-        if there := [f for f in folders if os.path.isdir(f)]:
-            tick(there)
 
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    writer = ticks.writeStream.foreachBatch(batch)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
+def watch_folders(spark: SparkSession, take: Callable[[DataFrame], object], folders: list[str], checkpoint: str, seconds: int = SECONDS, once: bool = False) -> StreamingQuery:
+    """``take`` gets the changed files of each batch."""
+    require(0 < len(folders) <= MOST_FOLDERS, f"1 to {MOST_FOLDERS} folders can be watched")
+    spark.dataSource.register(FolderChanges)
+    changes = spark.readStream.format("folder_changes").option("folders", json.dumps(folders)).option("state", f"{checkpoint}/listings").load()
+    writer = changes.writeStream.foreachBatch(lambda rows, _: take(rows)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
