@@ -8,12 +8,14 @@ import threading
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.errors import EngineError, require
 from docspark.functions.embed import Embedder
 from docspark.plans import answer as A
+from docspark.plans.batch import answer_many
 from docspark.plans.hybrid import Query, search, sentinels, with_similarity
 from docspark.plans.store import Store
 from docspark.plans.sync import SyncStatus, sync, sync_changes
@@ -130,6 +132,21 @@ class Collection:
 
         return self._audited("ask", work)
 
+    def ask_many(self, questions: DataFrame, model: A.Generator | None = None, top_k: int = 8, budget: int = 1100, least_similarity: float = 0.25) -> DataFrame:
+        """``ask`` for a table of questions (query_id, text), in one plan: a row of ``batch.ANSWERS`` each. Null and blank texts
+        find nothing."""
+        require(self.embedder is not None, "a question needs an embedder")
+        require(1 <= top_k <= 100 and budget >= 64 and -1 <= least_similarity <= 1, "top_k, budget or similarity out of range")
+        index, embedder = self.store.terms(), self.embedder
+        require(index is not None, "the collection has no keyword index", "UNSUPPORTED")
+
+        @F.pandas_udf("array<float>")
+        def embed(text: pd.Series) -> pd.Series:
+            return pd.Series(list(embedder.embed(text.tolist(), query=True)))
+
+        asked = questions.select("query_id", "text", F.when(F.trim("text") != "", embed(F.coalesce("text", F.lit("")))).alias("embedding"))
+        return answer_many(self.store.chunks(), asked, index, model, top_k, budget, least_similarity, self._seen())
+
     # changing
 
     def add(self, rows: DataFrame) -> int:

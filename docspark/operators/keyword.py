@@ -44,7 +44,7 @@ def query_terms(rows: DataFrame, phrases: list[list[str]], id_col: str = "id", t
     return _postings(found, "n_tokens"), lengths
 
 
-def _shifted(positions: Column, by: int) -> Column:
+def shifted(positions: Column, by: int | Column) -> Column:
     return F.transform(positions, lambda p: p - by)
 
 
@@ -62,7 +62,7 @@ def phrase_matches(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
             continue
         # rows with all words, then positions shifted to where the phrase would begin
         hits = postings.filter(F.col("term").isin(sorted(set(phrase)))).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), *(F.first(c).alias(c) for c in more))
-        starts = [_shifted(F.coalesce(F.col("at")[w], F.array().cast("array<int>")), j) for j, w in enumerate(phrase)]
+        starts = [shifted(F.coalesce(F.col("at")[w], F.array().cast("array<int>")), j) for j, w in enumerate(phrase)]
         n = F.size(reduce(F.array_intersect, starts))
         parts.append(hits.select(F.lit(i).alias("phrase"), "id", n.alias("tf"), *more).filter("tf > 0"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "phrase int, id long, tf int")
@@ -151,7 +151,7 @@ class KeywordIndex:
             if len(p) == 1:
                 tf = of(p[0], "tf")
             else:  # positions shifted to where the phrase would begin
-                tf = F.size(reduce(F.array_intersect, [_shifted(F.coalesce(of(w, "positions"), F.array().cast("array<int>")), j) for j, w in enumerate(p)]))
+                tf = F.size(reduce(F.array_intersect, [shifted(F.coalesce(of(w, "positions"), F.array().cast("array<int>")), j) for j, w in enumerate(p)]))
             counts.append(F.coalesce(tf, F.lit(0)).alias(f"tf{i}"))
         found = hits.groupBy("id").agg(F.first("n_tokens").alias("n_tokens"), *counts)
         if all(len(p) == 1 for p in times):
@@ -168,6 +168,15 @@ class KeywordIndex:
         return self.scores(query_phrases(text), allowed).orderBy(F.desc("score"), "id").limit(k)
 
 
+def text_index(rows: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> KeywordIndex:
+    """An index of a table of texts with the postings of some terms (term) alone, for one use. Runs the pass for the statistics at once."""
+    found = rows.select(F.col(id_col).alias("id"), F.explode(F.array(tokens(F.col(text_col)))).alias("tokens"))
+    found = found.select("id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"), "tokens")
+    n, n_tokens = found.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    each = found.select("id", "n_tokens", F.posexplode("tokens").alias("position", "term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return KeywordIndex(_postings(each, "n_tokens"), n, n_tokens)
+
+
 def keyword_top(rows: DataFrame, text: str, k: int, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """The k best rows (id, score) for a query text, straight from a table of texts; equal scores by id."""
     return text_scores(rows, query_phrases(text), allowed, id_col, text_col).orderBy(F.desc("score"), "id").limit(k)

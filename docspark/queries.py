@@ -24,10 +24,11 @@ from docspark.functions.terms import query_phrases, tokens
 from docspark.functions.text import clean_native, normalize_text
 from docspark.operators.chunk import chunk_documents, page_of
 from docspark.operators.fusion import best, fuse, ranked
-from docspark.operators.keyword import keyword_top, keyword_top_batched, text_scores
+from docspark.operators.keyword import KeywordIndex, keyword_top, keyword_top_batched, text_index, text_scores
 from docspark.operators.rows import best_of_equal, dealt
 from docspark.operators.vector_search import top_k, top_k_joined
 from docspark.plans import answer as A
+from docspark.plans.batch import answer_many, asked_phrases, search_many
 from docspark.plans.hybrid import Query, sentinels, with_similarity
 from docspark.plans.hybrid import search as hybrid_search
 from docspark.plans.store import Store, largest
@@ -443,6 +444,31 @@ def store_changes(spark, d):
     return kept.documents().select("doc_id", "source_path").join(left, "doc_id", "left")
 
 
+def _asked(spark, d) -> tuple[DataFrame, DataFrame, KeywordIndex]:
+    """Documents, questions and the index for their words: the opening turn of each conversation is a question, with the vector
+    of its number if there is one."""
+    rows = with_vectors(spark, d)
+    opening = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    questions = opening.join(stored_vectors(spark, d).select(F.col("id").alias("query_id"), "embedding"), "query_id", "left")
+    terms = asked_phrases(questions).select(F.explode("words").alias("term"))
+    return rows, questions, text_index(passages(spark, d), terms)
+
+
+def batched_hybrid(spark, d):
+    """The hits of all questions in one plan."""
+    found = search_many(*_asked(spark, d), top_k=8)
+    return found.select("query_id", "place", "id", six(F.col("score"), "score"), six(F.coalesce("keyword_score", F.lit(0.0)), "keyword_score"), "vector_rank", "keyword_rank")
+
+
+def batched_prompts(spark, d):
+    """The passages that each question's prompt of 1,100 tokens takes, of its eight best without those that repeat a better one."""
+    rows, questions, index = _asked(spark, d)
+    zero = F.lit(0).cast("long")
+    whole = rows.withColumns({"offset": zero, "length": F.octet_length("text").cast("long"), "page": zero})
+    out = answer_many(whole, questions, index, least_similarity=-1.0)
+    return out.select("query_id", F.array_join(F.transform("kept", lambda i: i.cast("string")), ",").alias("kept"), "prompt_bytes")
+
+
 def bm25_collection(spark, d):
     """``bm25_topk`` by the keyword index of a new collection of all documents."""
     store = new_store(spark, keywords=True)
@@ -521,7 +547,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vector_topk, vector_topk_masked, vector_topk_batched, similarities, l2_normalize, bm25_topk, bm25_prefix, bm25_phrase, term_df, doc_stats,
         rrf_hybrid, rrf_weighted, vector_only, keyword_only, prefix_hybrid, acl_filtered_search, hits_with_text, similarity_floor,
         passage_exact_dedupe, collection_summary, document_listing, problem_documents, sync_plan, sync_removals, sync_counters, page_of_offset,
-        collection_questions, largest_documents, content_hashes, extract_tables, extract_markups, extract_office, store_changes, bm25_collection, keyword_index_changes, answer_budget,
+        collection_questions, largest_documents, content_hashes, extract_tables, extract_markups, extract_office, store_changes, bm25_collection, keyword_index_changes, batched_hybrid, batched_prompts, answer_budget,
         citation_parse, answer_checks, snippets, clean_text, recall_at_10, soak_growth, list_union, normalize_files, chunk_all, embed_documents,
         overlap_dedupe, ask_extractive,
     )
@@ -561,6 +587,21 @@ u AS (SELECT id, coalesce({wv} / (60 + vr), 0) + coalesce({wk} / (60 + kr), 0) A
 SELECT {columns} FROM u ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST LIMIT {K}"""
 
 
+_ASKED = rf"""
+asked AS (SELECT conv_id AS query_id, coalesce(text, '') AS text FROM conversations WHERE turn = 0),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS vr FROM (
+  SELECT a.query_id, e.vec_id AS id, {_DIST} AS distance FROM asked a JOIN embeddings q ON q.vec_id = a.query_id, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents)) QUALIFY vr <= {POOL}),
+t AS MATERIALIZED (SELECT doc_id AS id, {_TOK} AS tok FROM documents), c AS (SELECT count(*) AS n, avg(len(tok)) AS av FROM t),
+p AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tok) AS term FROM t) GROUP BY ALL),
+f AS MATERIALIZED (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, c GROUP BY term, n),
+w AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOK}) AS term FROM asked) GROUP BY ALL),
+s AS (SELECT query_id, p.id, list_sum(list(times * (CASE WHEN idf > 0 THEN idf ELSE 1e-6 END) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tok) / av))) ORDER BY term)) AS score
+      FROM w JOIN p USING (term) JOIN f USING (term) JOIN t ON t.id = p.id, c GROUP BY query_id, p.id),
+k AS (SELECT query_id, id, score AS ks, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS kr FROM s QUALIFY kr <= {POOL}),
+u AS (SELECT query_id, id, coalesce(1 / (60 + vr), 0) + coalesce(1 / (60 + kr), 0) AS score, ks, vr, kr FROM v FULL JOIN k USING (query_id, id)),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST) AS place FROM u QUALIFY place <= 8)"""
+
+
 _REC = f"""r AS (SELECT {_PATH} AS source_path, n_chars AS size, doc_id * 1000 AS mtime_ns, doc_id,
   CASE WHEN length(trim(text)) = 0 THEN 'no_text' WHEN doc_id % 97 = 0 THEN 'error' ELSE 'ok' END AS status FROM documents),
 rec AS (SELECT *, CASE WHEN status = 'ok' THEN ceil(size / 1000.0)::BIGINT ELSE 0 END AS chunk_count FROM r)"""
@@ -635,6 +676,18 @@ SELECT query_id, id, round(dist, 6) AS distance, rank FROM r WHERE rank <= 5""",
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
 SELECT id, round(v[1] / n, 6) AS first, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) AS norm, len(v)::INTEGER AS dim FROM n""",
     "bm25_topk": f"WITH {_bm25()} SELECT id, round(score, 6) AS score FROM s",
+    "batched_hybrid": f"WITH {_ASKED} SELECT query_id, place::INTEGER AS place, id, round(score, 6) AS score, round(coalesce(ks, 0), 6) AS keyword_score, vr::INTEGER AS vector_rank, kr::INTEGER AS keyword_rank FROM hits",
+    "batched_prompts": f"""WITH RECURSIVE {_ASKED},
+x AS (SELECT h.query_id, h.place, h.id, h.score, d.text FROM hits h JOIN documents d ON d.doc_id = h.id),
+y AS (SELECT query_id, id, text, row_number() OVER (PARTITION BY query_id ORDER BY place) AS i, strlen('[S] (' || id || '.txt)') + 3 + strlen(replace(replace(text, '<|', '< |'), '|>', '| >')) AS size
+  FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY place) = 1)),
+b(query_id, i, bytes, n, kept) AS (
+  SELECT query_id, 0::BIGINT, strlen('Passages:') + 2 + strlen('Question: ' || replace(replace(text, '<|', '< |'), '|>', '| >')), 0, []::BIGINT[] FROM asked
+  UNION ALL
+  SELECT b.query_id, y.i, CASE WHEN fits THEN b.bytes + y.size + strlen((b.n + 1)::VARCHAR) ELSE b.bytes END, CASE WHEN fits THEN b.n + 1 ELSE b.n END, CASE WHEN fits THEN list_append(b.kept, y.id) ELSE b.kept END
+  FROM b JOIN y ON y.query_id = b.query_id AND y.i = b.i + 1,
+       LATERAL (SELECT ceil({len(A.SYSTEM_PROMPT.encode())} / 4.0) + ceil((b.bytes + y.size + strlen((b.n + 1)::VARCHAR)) / 4.0) <= 1100 AS fits))
+SELECT query_id, arg_max(array_to_string(kept, ','), i) AS kept, CASE WHEN arg_max(n, i) > 0 THEN arg_max(bytes, i) ELSE 0 END::BIGINT AS prompt_bytes FROM b GROUP BY query_id""",
     "bm25_collection": f"WITH {_bm25()} SELECT id, round(score, 6) AS score FROM s",
     "keyword_index_changes": f"WITH {_bm25(limit='', docs='(SELECT * FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 4 > 1)')} SELECT id::VARCHAR AS doc_id, round(score, 6) AS score FROM s",
     "bm25_prefix": f"WITH {_bm25(where=chr(39) + '/' + chr(39) + ' || m.source || ' + chr(39) + '/' + chr(39) + ' LIKE ' + chr(39) + '/src1/%' + chr(39))} SELECT id, round(score, 6) AS score FROM s",
