@@ -3,7 +3,7 @@
 ``index_terms`` makes postings once: (term, id, tf, positions, n_tokens). A ``KeywordIndex`` over written postings, which are
 sorted by term, reads only the row groups of a query's terms. Without an index ``text_scores`` counts a query's phrases
 straight in the texts: one pass for the statistics, one for the scores, and no row is shuffled. Both use one formula, so
-their scores are equal. ``query_terms`` serves many queries at once: tokens other than theirs are dropped where they are found.
+their scores are equal. Many queries at once are ``plans.batch``'s; ``text_index`` makes the postings of their terms alone.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions.terms import count_tokens, query_phrases, tokens
+from docspark.functions.terms import query_phrases, tokens
 
 #: The parameters of BM25 and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -35,67 +35,10 @@ def index_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text", com
     return _postings(found.select("id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term")), "n_tokens").select(*(c.split()[0] for c in POSTINGS.split(", ")))
 
 
-def query_terms(rows: DataFrame, phrases: list[list[str]], id_col: str = "id", text_col: str = "text", compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``index_terms`` for the terms of these phrases alone; the postings have their row's n_tokens too."""
-    wanted = sorted({w for p in phrases for w in p})
-    lengths = rows.select(F.col(id_col).alias("id"), F.coalesce(count_tokens(F.col(text_col), compat), F.lit(0)).alias("n_tokens"))
-    found = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col), compat).alias("tokens"))
-    found = found.select("id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("position", "term")).filter(F.col("term").isin(wanted))
-    return _postings(found, "n_tokens"), lengths
-
-
 def shifted(positions: Column, by: int | Column) -> Column:
     return F.transform(positions, lambda p: p - by)
 
 
-def phrase_matches(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """Rows (phrase, id, tf), with n_tokens if the postings have it: how often each phrase occurs in each row that has it."""
-    more = [c for c in ("n_tokens",) if c in postings.columns]
-    words = [(i, p[0]) for i, p in enumerate(phrases) if len(p) == 1]
-    spark, parts = postings.sparkSession, []
-    if words:
-        wanted = spark.createDataFrame(words, "phrase int, term string")
-        hits = postings.filter(F.col("term").isin(sorted({w for _, w in words})))
-        parts.append(hits.join(F.broadcast(wanted), "term").select("phrase", "id", "tf", *more))
-    for i, phrase in enumerate(phrases):
-        if len(phrase) == 1:
-            continue
-        # rows with all words, then positions shifted to where the phrase would begin
-        hits = postings.filter(F.col("term").isin(sorted(set(phrase)))).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), *(F.first(c).alias(c) for c in more))
-        starts = [shifted(F.coalesce(F.col("at")[w], F.array().cast("array<int>")), j) for j, w in enumerate(phrase)]
-        n = F.size(reduce(F.array_intersect, starts))
-        parts.append(hits.select(F.lit(i).alias("phrase"), "id", n.alias("tf"), *more).filter("tf > 0"))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "phrase int, id long, tf int")
-
-
-def keyword_scores(postings: DataFrame, lengths: DataFrame, phrases: list[list[str]], allowed: DataFrame | None = None) -> DataFrame:
-    """Rows (id, score). A row matches if any phrase occurs in it; a repeated phrase counts each time.
-
-    ``allowed``: ids that may be listed; document frequencies and lengths are of all rows regardless.
-    """
-    return _phrase_scores(postings, lengths, phrases, allowed).groupBy("id").agg(_exact_sum(F.col("part")).alias("score"))
-
-
-def _exact_sum(parts: Column) -> Column:
-    """A sum that does not depend on the order of its rows, so that equal texts have equal scores."""
-    return F.sum(parts.cast("decimal(28,18)")).cast("double")
-
-
-def _phrase_scores(postings: DataFrame, lengths: DataFrame, phrases: list[list[str]], allowed: DataFrame | None = None) -> DataFrame:
-    """Rows (phrase, id, part): what each phrase adds to the score of each row that has it."""
-    matches = phrase_matches(postings, phrases)
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("average"))
-    df = matches.groupBy("phrase").agg(F.count("*").alias("df"))
-    if allowed is not None:
-        matches = matches.join(allowed.select("id"), "id", "left_semi")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
-    sized = matches if "n_tokens" in matches.columns else matches.join(lengths, "id")
-    rows = sized.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(corpus))  # a row a phrase; one row
-    return rows.select("phrase", "id", part.alias("part"))
-
-
 def _occurrences(found: Column, phrase: list[str]) -> Column:
     """How often a phrase stands in an array of tokens."""
     if len(phrase) == 1:
@@ -180,16 +123,3 @@ def text_index(rows: DataFrame, terms: DataFrame, id_col: str = "id", text_col:
 def keyword_top(rows: DataFrame, text: str, k: int, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """The k best rows (id, score) for a query text, straight from a table of texts; equal scores by id."""
     return text_scores(rows, query_phrases(text), allowed, id_col, text_col).orderBy(F.desc("score"), "id").limit(k)
-
-
-def keyword_top_batched(rows: DataFrame, queries: list[tuple[int, str]], k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Rows (query_id, id, score, rank): ``keyword_top`` of each of a given list of queries; their phrases are looked up once."""
-    asked = [(q, tuple(p)) for q, text in queries for p in query_phrases(text)]
-    number = {p: i for i, p in enumerate(dict.fromkeys(p for _, p in asked))}
-    times = Counter((q, number[p]) for q, p in asked)
-    wanted = rows.sparkSession.createDataFrame([(q, i, n) for (q, i), n in times.items()], "query_id long, phrase int, times int")
-    phrases = [list(p) for p in number]
-    parts = _phrase_scores(*query_terms(rows, phrases, id_col, text_col), phrases)
-    scores = parts.join(F.broadcast(wanted), "phrase").groupBy("query_id", "id").agg(_exact_sum(F.col("part") * F.col("times")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from docspark.errors import EngineError, require
 from docspark.functions.answers import NOT_FOUND, cited, escape_markup_text
 
@@ -59,6 +62,11 @@ def run(stages: Sequence[Stage], state: State) -> State:
     return state
 
 
+def similar(rows: DataFrame, least: float) -> DataFrame:
+    """Rows with a similarity of ``least`` or more."""
+    return rows.filter(F.col("similarity") >= least)
+
+
 def keep_similar(least: float) -> Callable[[State], None]:
     def stage(s: State) -> None:
         s.passages = [p for p in s.passages if p.similarity >= least]

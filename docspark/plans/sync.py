@@ -78,6 +78,11 @@ def removals(documents: DataFrame, seen: DataFrame, folders: list[str], failed:
     return gone.join(unknown.select("source_path"), "source_path", "left_anti")
 
 
+def content_digest_column(raw: Column) -> Column:
+    """``content_digest`` of a binary column."""
+    return F.concat(F.lit("sha256:"), F.sha2(raw, 256))
+
+
 def content_digest(raw: bytes) -> str:
     return "sha256:" + hashlib.sha256(raw).hexdigest()
 

@@ -17,22 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.api import problems, summarize
-from docspark.evaluate import growth
+from docspark.evaluate import growth, holders
 from docspark.functions import answers, vectors
 from docspark.functions.embed import HashEmbedder, embed_all
 from docspark.functions.terms import query_phrases, tokens
 from docspark.functions.text import clean_native, normalize_text
-from docspark.operators.chunk import chunk_documents, page_of
+from docspark.operators.asof import pages_of
+from docspark.operators.chunk import chunk_documents
 from docspark.operators.fusion import best, fuse, ranked
-from docspark.operators.keyword import KeywordIndex, keyword_top, keyword_top_batched, text_index, text_scores
+from docspark.operators.keyword import KeywordIndex, keyword_top, text_index, text_scores
 from docspark.operators.rows import best_of_equal, dealt
 from docspark.operators.vector_search import top_k, top_k_joined
 from docspark.plans import answer as A
-from docspark.plans.batch import answer_many, asked_phrases, search_many
+from docspark.plans.batch import answer_many, asked_phrases, keyword_lists, search_many
 from docspark.plans.hybrid import Query, sentinels, with_similarity
 from docspark.plans.hybrid import search as hybrid_search
 from docspark.plans.store import Store, largest
-from docspark.plans.sync import content_digest, plan_sync, removals
+from docspark.plans.sync import content_digest_column, plan_sync, removals
 from docspark.scratch import shared_dir
 from docspark.sources.extract import extract_files
 
@@ -70,6 +71,13 @@ def pieces(rows: DataFrame, **limits) -> DataFrame:
     return chunk_documents(rows, **limits).withColumn("id", F.col("id") * (1 << 20) + F.col("chunk_index"))
 
 
+def kept_table(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows that are read several times, written once in the shared folder."""
+    path = f"{shared_dir(spark)}/docspark-table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def six(c, name: str):
     return F.round(c, 6).alias(name)
 
@@ -181,15 +189,7 @@ def similarity_floor(spark, d):
     q = vectors.as_vector(vector_of(spark, d))
     cosine = vectors.cosine_from_distance(vectors.l2_squared(F.col("embedding"), q))
     rows = stored_vectors(spark, d).select("id", cosine.alias("similarity"))
-
-    def floor(batches):
-        stage = A.keep_similar(0.25)
-        for b in batches:
-            s = A.State("", [A.Passage(i, "", "", "", 0, 0, 0, "", 0.0, x) for i, x in zip(b["id"], b["similarity"], strict=True)])
-            stage(s)
-            yield pd.DataFrame([(p.id, p.similarity) for p in s.passages], columns=["id", "similarity"])
-
-    return rows.mapInPandas(floor, "id long, similarity double").select("id", six(F.col("similarity"), "similarity"))
+    return A.similar(rows, 0.25).select("id", six(F.col("similarity"), "similarity"))
 
 
 def passage_exact_dedupe(spark, d):
@@ -255,12 +255,22 @@ def sync_counters(spark, d):
 
 def page_of_offset(spark, d):
     """Pages of 700 bytes; the offset asked for is half of the length."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    starts = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(700))).alias("page_start"))
+    return pages_of(docs.select("doc_id", F.floor(F.col("n") / 2).alias("offset")), starts).select("doc_id", "page")
+
 
-    @F.pandas_udf("int")
-    def page(n_chars: pd.Series) -> pd.Series:
-        return pd.Series([page_of(n // 2, range(0, n + 1, 700)) for n in n_chars])
+def passage_pages(spark, d):
+    """The passages of all documents with their pages of 2,000 bytes, by an as-of join over the offsets."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    starts = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(2000))).alias("page_start"))
+    return pages_of(chunk_documents(docs).select("doc_id", "chunk_index", "offset"), starts)
 
-    return table(spark, d, "documents").select("doc_id", page(F.coalesce("n_chars", F.lit(0))).alias("page"))
+
+def chunk_pages(spark, d):
+    """The passages of texts with pages of 2,000 bytes: a passage ends where a page turns, unless it is short."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.sequence(F.lit(0), F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(2000)).cast("array<long>").alias("starts"))
+    return chunk_documents(docs, pages_col="starts").select("doc_id", "chunk_index", "offset", "length", "page")
 
 
 def collection_questions(spark, d):
@@ -301,10 +311,9 @@ def clean_text(spark, d):
 
 def recall_at_10(spark, d):
     """Texts of the benchmark as queries to the keyword search over all documents: of those that stand in some document, the share for which such a document is among ten."""
-    docs, items = passages(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
-    holders = docs.join(F.broadcast(items), F.contains("text", "asked")).select("query_id", "id")
-    top = keyword_top_batched(docs, [tuple(r) for r in items.collect()], 10).select("query_id", "id", "rank")
-    hits = holders.join(top, ["query_id", "id"], "left").groupBy("query_id").agg(F.max(F.col("rank").isNotNull().cast("int")).alias("hit"))
+    docs, items = passages(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    top = keyword_lists(text_index(docs, asked_phrases(items).select(F.explode("words").alias("term"))), items, 10).select("query_id", "id", "keyword_rank")
+    hits = holders(docs, items).join(top, ["query_id", "id"], "left").groupBy("query_id").agg(F.max(F.col("keyword_rank").isNotNull().cast("int")).alias("hit"))
     return hits.agg(F.count("*").alias("queries"), six(F.avg("hit"), "recall"))
 
 
@@ -341,11 +350,7 @@ def normalize_files(spark, d):
 
 
 def content_hashes(spark, d):
-    @F.pandas_udf("string")
-    def name(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: content_digest(bytes(b)))
-
-    return table(spark, d, "documents").select("doc_id", name(F.coalesce("text", F.lit("")).cast("binary")).alias("content_hash"))
+    return table(spark, d, "documents").select("doc_id", content_digest_column(F.coalesce("text", F.lit("")).cast("binary")).alias("content_hash"))
 
 
 def extract_tables(spark, d):
@@ -520,7 +525,7 @@ def embed_documents(spark, d):
 
 def overlap_dedupe(spark, d):
     """The best 100 passages of all documents for a query text: those that repeat a better one go. Ids are places in the list."""
-    rows = pieces(passages(spark, d), target=400, most=600, overlap=80)
+    rows = kept_table(spark, pieces(passages(spark, d), target=400, most=600, overlap=80))
     top = rows.join(F.broadcast(keyword_top(rows, TEXT, 100)), "id").orderBy(F.desc("score"), "id").collect()
     s = A.State(TEXT, [A.Passage(i, r["doc_id"], r["source_path"], "", r["page"], r["offset"], r["length"], r["text"], r["score"], 1.0) for i, r in enumerate(top)])
     A.drop_repeats(s)
@@ -529,7 +534,7 @@ def overlap_dedupe(spark, d):
 
 def ask_extractive(spark, d):
     """A question answered from the best passages by the generator without a model. A passage has its document's vector."""
-    rows, v = pieces(with_vectors(spark, d)), vector_of(spark, d)
+    rows, v = kept_table(spark, pieces(with_vectors(spark, d))), vector_of(spark, d)
     hits = with_similarity(hybrid_search(rows, Query(vector=v, text=TEXT, top_k=8)), rows, v)
     best_first = hits.orderBy(F.desc("score"), F.col("vector_rank").asc_nulls_last(), F.col("keyword_rank").asc_nulls_last()).collect()
     own = [A.Passage(r["id"], r["doc_id"], r["source_path"], "", r["page"], r["offset"], r["length"], r["text"], r["score"], r["similarity"]) for r in best_first]
@@ -546,7 +551,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         vector_topk, vector_topk_masked, vector_topk_batched, similarities, l2_normalize, bm25_topk, bm25_prefix, bm25_phrase, term_df, doc_stats,
         rrf_hybrid, rrf_weighted, vector_only, keyword_only, prefix_hybrid, acl_filtered_search, hits_with_text, similarity_floor,
-        passage_exact_dedupe, collection_summary, document_listing, problem_documents, sync_plan, sync_removals, sync_counters, page_of_offset,
+        passage_exact_dedupe, collection_summary, document_listing, problem_documents, sync_plan, sync_removals, sync_counters, page_of_offset, passage_pages, chunk_pages,
         collection_questions, largest_documents, content_hashes, extract_tables, extract_markups, extract_office, store_changes, bm25_collection, keyword_index_changes, batched_hybrid, batched_prompts, answer_budget,
         citation_parse, answer_checks, snippets, clean_text, recall_at_10, soak_growth, list_union, normalize_files, chunk_all, embed_documents,
         overlap_dedupe, ask_extractive,
@@ -617,8 +622,8 @@ _ANS = """a AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 0 THEN ' I c
 _SP = r" \t\n\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
-def _chunks(target: int, most: int, overlap: int) -> str:
-    """CTEs up to c(doc_id, chunk_index, a, b): passages as ranges of characters. Paragraphs, or their sentences, or pieces of
+def _chunks(target: int, most: int, overlap: int, page: int = 1 << 40) -> str:
+    """``page``: bytes of a page, at whose turn a passage of a third of the target ends. CTEs up to c(doc_id, chunk_index, a, b): passages as ranges of characters. Paragraphs, or their sentences, or pieces of
     sentences, are joined as long as a passage stays within ``target``; then each reaches back into the one before."""
     return rf"""
 t AS MATERIALIZED (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
@@ -639,12 +644,12 @@ k(doc_id, a, x, rest_a, rest) AS (
   FROM (SELECT *, CASE WHEN length(rest) <= {most} THEN length(rest) WHEN regexp_matches(rest[1:{most + 1}], '[{_SP}]') THEN length(regexp_replace(rest[1:{most + 1}], '[{_SP}][^{_SP}]*$', '')) ELSE {most} END AS cut
         FROM k WHERE rest <> '')),
 u AS MATERIALIZED (
-  SELECT doc_id, a, a + length(x) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n
-  FROM (SELECT doc_id, a, x FROM p WHERE length(x) <= {most} UNION ALL SELECT doc_id, a, x FROM s WHERE length(x) BETWEEN 1 AND {most} UNION ALL SELECT doc_id, a, x FROM k WHERE x <> '')),
-j(doc_id, n, a, c) AS (
-  SELECT doc_id, n, a, 0 FROM u WHERE n = 1
+  SELECT doc_id, a, a + length(x) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n, {"0" if page == 1 << 40 else f"strlen(text[1:a]) // {page}"} AS g
+  FROM (SELECT doc_id, a, x FROM p WHERE length(x) <= {most} UNION ALL SELECT doc_id, a, x FROM s WHERE length(x) BETWEEN 1 AND {most} UNION ALL SELECT doc_id, a, x FROM k WHERE x <> ''){"" if page == 1 << 40 else " JOIN t USING (doc_id)"}),
+j(doc_id, n, a, c, b, g) AS (
+  SELECT doc_id, n, a, 0, b, g FROM u WHERE n = 1
   UNION ALL
-  SELECT u.doc_id, u.n, CASE WHEN u.b - j.a > {target} THEN u.a ELSE j.a END, j.c + (u.b - j.a > {target})::INTEGER FROM j JOIN u ON u.doc_id = j.doc_id AND u.n = j.n + 1),
+  SELECT u.doc_id, u.n, CASE WHEN {(ends := f"(u.b - j.a > {target} OR (u.g <> j.g AND j.b - j.a >= {target // 3}))")} THEN u.a ELSE j.a END, j.c + {ends}::INTEGER, u.b, u.g FROM j JOIN u ON u.doc_id = j.doc_id AND u.n = j.n + 1),
 q AS (SELECT j.doc_id, j.c, min(j.a) AS a, max(u.b) AS b FROM j JOIN u USING (doc_id, n) GROUP BY j.doc_id, j.c),
 o AS (SELECT q.*, text, text[greatest(lag(a) OVER w, lag(b) OVER w - {overlap}) + 1:lag(b) OVER w] AS tail, greatest(lag(a) OVER w, lag(b) OVER w - {overlap}) AS begin_at FROM q JOIN t USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY c)),
 c AS (SELECT doc_id, c AS chunk_index, text, CASE WHEN w < length(tail) AND b - begin_at - w <= {most} THEN begin_at + w ELSE a END AS a, b FROM (SELECT *, length(regexp_extract(tail, '^[^{_SP}]*[{_SP}]*')) AS w FROM o))"""
@@ -666,6 +671,8 @@ kept(i, own) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL
   SELECT r.i, CASE WHEN list_has_any(kept.own, coalesce(r.better, [])) THEN kept.own ELSE list_append(kept.own, r.i) END FROM kept JOIN r ON r.i = kept.i + 1)
 SELECT b.i AS id, b.doc_id::VARCHAR AS doc_id, b.o AS offset FROM b WHERE list_contains((SELECT arg_max(own, i) FROM kept), b.i)""",
     "chunk_all": f"WITH RECURSIVE {_chunks(1000, 1500, 150)} SELECT doc_id, chunk_index::BIGINT AS chunk_index, strlen(text[1:a])::BIGINT AS offset, strlen(text[a + 1:b])::BIGINT AS length, 0::BIGINT AS page, text[a + 1:b] AS text FROM c",
+    "passage_pages": f"WITH RECURSIVE {_chunks(1000, 1500, 150)} SELECT doc_id, chunk_index::BIGINT AS chunk_index, strlen(text[1:a])::BIGINT AS offset, (strlen(text[1:a]) // 2000 + 1)::INTEGER AS page FROM c",
+    "chunk_pages": f"WITH RECURSIVE {_chunks(1000, 1500, 150, 2000)} SELECT doc_id, chunk_index::BIGINT AS chunk_index, strlen(text[1:a])::BIGINT AS offset, strlen(text[a + 1:b])::BIGINT AS length, (strlen(text[1:a]) // 2000 + 1)::BIGINT AS page FROM c",
     "vector_topk": f"SELECT vec_id AS id, round({_DIST}, 6) AS distance FROM embeddings e, {_Q} q ORDER BY {_DIST}, vec_id LIMIT {K}",
     "vector_topk_masked": f"SELECT vec_id AS id, round({_DIST}, 6) AS distance FROM embeddings e, {_Q} q WHERE label % 2 = 0 ORDER BY {_DIST}, vec_id LIMIT {K}",
     "vector_topk_batched": f"""WITH x AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DIST} AS dist FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),

@@ -44,24 +44,23 @@ def is_supported(path: Column) -> Column:
     return extension(path).isin(*REGISTRY)
 
 
-def extract(raw: bytes, path: str) -> Extracted:
+def extract(raw: bytes, path: str, registry: dict[str, Extractor] | None = None) -> Extracted:
     m = re.search(r"\.([^./]+)$", path)
     ext = m[1].lower() if m else ""
-    if ext not in REGISTRY:
+    registry = REGISTRY if registry is None else registry
+    if ext not in registry:
         raise ExtractError("UNSUPPORTED", f"no extractor for .{ext}")
     if len(raw) > MOST_BYTES:
         raise ExtractError("TOO_LARGE", "the file is too large")
-    return REGISTRY[ext](raw, ext)
+    return registry[ext](raw, ext)
 
 
 def safe_extract(raw: bytes | None, path: str, registry: dict[str, Extractor] | None = None) -> dict:
     """A row of SCHEMA; whatever goes wrong in one file becomes its status and never stops a job."""
     try:
-        if registry is not None:
-            REGISTRY.update(registry)
         if raw is None:
             raise ExtractError("UNREADABLE", "cannot read file")
-        x = extract(bytes(raw), path)
+        x = extract(bytes(raw), path, registry)
         return {"status": "ok", "message": "", "text": x.text, "pages": x.pages, "title": x.title}
     except ExtractError as e:
         return {"status": e.status, "message": str(e), "text": "", "pages": [], "title": ""}

@@ -1,12 +1,18 @@
 """The library's queries over small tables of their own, held against plain Python."""
 
 import math
+import random
 import re
 
 import pytest
 
 from docspark import queries as Q
-from docspark.operators.keyword import keyword_top, keyword_top_batched
+from docspark.evaluate import holders
+from docspark.functions.embed import HashEmbedder
+from docspark.operators.asof import as_of, pages_of
+from docspark.operators.chunk import chunk_text, page_of
+from docspark.operators.keyword import keyword_top, text_index
+from docspark.plans.batch import asked_phrases, keyword_lists
 
 
 @pytest.fixture()
@@ -95,6 +101,48 @@ def test_recall_is_of_the_engines_search(spark, tables):
 
 def test_batched_keyword_search_is_the_single_one(spark):
     rows = spark.createDataFrame([(0, "a b c"), (1, "b b x-y"), (2, "x y"), (3, "c c d"), (4, None)], "id long, text string")
-    queries = [(7, "b b"), (8, "x-y c"), (9, "nowhere")]
-    got = [(r["query_id"], r["id"], round(r["score"], 9)) for r in keyword_top_batched(rows, queries, 2).orderBy("query_id", "rank").collect()]
-    assert got == [(q, r["id"], round(r["score"], 9)) for q, text in queries for r in keyword_top(rows, text, 2).collect()]
+    queries = spark.createDataFrame([(7, "b b"), (8, "x-y c"), (9, "nowhere")], "query_id long, text string")
+    index = text_index(rows, asked_phrases(queries).selectExpr("explode(words) AS term"))
+    got = [(r["query_id"], r["id"], round(r["keyword_score"], 9)) for r in keyword_lists(index, queries, 2).orderBy("query_id", "keyword_rank").collect()]
+    assert got == [(q, r["id"], round(r["score"], 9)) for q, text in queries.collect() for r in keyword_top(rows, text, 2).collect()]
+
+
+def test_holders_are_found_whatever_stands_around(spark):
+    texts = ["unalpha beta gamma delta epsilonic", "alpha  beta gamma delta epsilon", "x alpha beta", "alphabet", None, "", "alpha beta gamma delta epsilon twice alpha beta gamma delta epsilon"]
+    asked = [(0, "alpha beta gamma delta epsilon"), (1, "alpha beta"), (2, "alpha"), (3, ""), (4, None), (5, "beta gamma delta epsilon twice")]
+    got = {tuple(r) for r in holders(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(asked, "query_id long, text string")).collect()}
+    assert got == {(q, i) for q, a in asked for i, t in enumerate(texts) if a is not None and t is not None and a in t}
+
+
+def test_embedded_documents(spark, tables):
+    """The vectors of the passages, one by one."""
+    texts = [(0, "One paragraph.\n\n" * 90), (1, "Éa"), (2, ""), (3, None)]
+    got = {(r["doc_id"], r["chunk_index"]): r["embedding"] for r in Q.embed_documents(spark, tables(texts)).collect()}
+    want = {}
+    for i, t in texts:
+        for k, (o, n, _) in enumerate(chunk_text(t or "")):
+            want[i, k] = HashEmbedder(16).embed([(t or "").encode()[o : o + n].decode()])[0].tolist()
+    assert got == want and len(want) > 2
+
+
+def test_as_of(spark):
+    r = random.Random(6)
+    marks = [(r.choice(["a", "b", None]), r.choice([None, *range(0, 4000, 7)]), r.choice([None, 1, 2, 3])) for _ in range(200)]
+    rows = [(r.choice(["a", "b", "c", None]), r.choice([None, *range(-5, 4000)]), i) for i in range(300)]
+    schema = "g string, t long, {} int"
+    found = lambda width: as_of(spark.createDataFrame(rows, schema.format("value")), spark.createDataFrame(marks, schema.format("v")), "g", "t", "v", width)
+
+    def plain(g, t):
+        own = [(m[1], m[2]) for m in marks if g is not None and t is not None and m[0] == g and m[1] is not None and m[1] <= t and m[2] is not None]
+        return max(own)[1] if own else None
+
+    for width in (1 << 20, 50):
+        assert sorted(found(width).collect(), key=lambda x: x["value"]) == [(g, t, i, plain(g, t)) for g, t, i in rows]
+
+
+def test_pages_of(spark):
+    starts = spark.createDataFrame([("a", 0), ("a", 100), ("a", 100), ("a", 250), ("b", 50), ("x", None)], "doc_id string, page_start long")
+    offsets = [("a", 0), ("a", 99), ("a", 100), ("a", 249), ("a", 9999), ("b", 10), ("b", 60), ("c", 5), ("x", 5)]
+    got = {(r["doc_id"], r["offset"]): r["page"] for r in pages_of(spark.createDataFrame(offsets, "doc_id string, offset long"), starts).collect()}
+    by = {"a": [0, 100, 250], "b": [50]}
+    assert got == {(d, o): page_of(o, by.get(d, [])) for d, o in offsets}
