@@ -29,11 +29,11 @@ def check_k(k: int) -> None:
 
 
 class VectorIndex(Protocol):
-    """What a hybrid query needs of an index over vectors."""
+    """What a hybrid query needs of an index over vectors. ``limited``: ``vectors`` are not all that the index was made of."""
 
     name: str
 
-    def search(self, vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame: ...
+    def search(self, vectors: DataFrame, query: Sequence[float], k: int, limited: bool = True) -> DataFrame: ...
 
 
 class ExactIndex:
@@ -44,7 +44,7 @@ class ExactIndex:
     def __init__(self, id_col: str = "id", vector_col: str = "embedding"):
         self.id_col, self.vector_col = id_col, vector_col
 
-    def search(self, vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
+    def search(self, vectors: DataFrame, query: Sequence[float], k: int, limited: bool = True) -> DataFrame:
         """Rows (id, distance), ascending; fewer than k if there are fewer vectors. Rows without a vector are left out."""
         check_k(k)
         rows = _candidates(vectors, [(0, query)], k, self.id_col, self.vector_col)

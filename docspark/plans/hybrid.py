@@ -63,7 +63,7 @@ def search(rows: DataFrame, q: Query, allowed: Column | None = None, acl: DataFr
     limited = bool(q.path_prefix) or allowed is not None or acl is not None
     spark = rows.sparkSession
     if q.mode != "keyword" and q.vector is not None:
-        near = (index or ExactIndex()).search(may, q.vector, q.pool)
+        near = (index or ExactIndex()).search(may, q.vector, q.pool, limited)
         v = ranked(near, "distance", "id", name="vector_rank")
     else:
         v = spark.createDataFrame([], "id long, distance double, vector_rank int")

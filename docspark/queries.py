@@ -26,6 +26,7 @@ from docspark.operators.asof import pages_of
 from docspark.operators.chunk import chunk_documents
 from docspark.operators.fusion import best, fuse, ranked
 from docspark.operators.keyword import KeywordIndex, keyword_top, text_index, text_scores
+from docspark.operators.pivot_index import PivotIndex
 from docspark.operators.rows import best_of_equal, dealt
 from docspark.operators.vector_search import top_k, top_k_joined
 from docspark.plans import answer as A
@@ -89,6 +90,13 @@ def vector_topk(spark, d):
     return top_k(stored_vectors(spark, d), vector_of(spark, d), K).select("id", six(F.col("distance"), "distance"))
 
 
+def vector_topk_pivots(spark, d):
+    """``vector_topk`` by an index of blocks around pivots."""
+    rows = stored_vectors(spark, d)
+    index = PivotIndex.build(spark, rows, f"{shared_dir(spark)}/docspark-pivots-{uuid.uuid4().hex}", a_block=32)
+    return index.search(rows, vector_of(spark, d), K, limited=False).select("id", six(F.col("distance"), "distance"))
+
+
 def vector_topk_masked(spark, d):
     return top_k(stored_vectors(spark, d), vector_of(spark, d), K, F.col("label") % 2 == 0).select("id", six(F.col("distance"), "distance"))
 
@@ -549,7 +557,7 @@ def ask_extractive(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_masked, vector_topk_batched, similarities, l2_normalize, bm25_topk, bm25_prefix, bm25_phrase, term_df, doc_stats,
+        vector_topk, vector_topk_pivots, vector_topk_masked, vector_topk_batched, similarities, l2_normalize, bm25_topk, bm25_prefix, bm25_phrase, term_df, doc_stats,
         rrf_hybrid, rrf_weighted, vector_only, keyword_only, prefix_hybrid, acl_filtered_search, hits_with_text, similarity_floor,
         passage_exact_dedupe, collection_summary, document_listing, problem_documents, sync_plan, sync_removals, sync_counters, page_of_offset, passage_pages, chunk_pages,
         collection_questions, largest_documents, content_hashes, extract_tables, extract_markups, extract_office, store_changes, bm25_collection, keyword_index_changes, batched_hybrid, batched_prompts, answer_budget,
@@ -674,6 +682,7 @@ SELECT b.i AS id, b.doc_id::VARCHAR AS doc_id, b.o AS offset FROM b WHERE list_c
     "passage_pages": f"WITH RECURSIVE {_chunks(1000, 1500, 150)} SELECT doc_id, chunk_index::BIGINT AS chunk_index, strlen(text[1:a])::BIGINT AS offset, (strlen(text[1:a]) // 2000 + 1)::INTEGER AS page FROM c",
     "chunk_pages": f"WITH RECURSIVE {_chunks(1000, 1500, 150, 2000)} SELECT doc_id, chunk_index::BIGINT AS chunk_index, strlen(text[1:a])::BIGINT AS offset, strlen(text[a + 1:b])::BIGINT AS length, (strlen(text[1:a]) // 2000 + 1)::BIGINT AS page FROM c",
     "vector_topk": f"SELECT vec_id AS id, round({_DIST}, 6) AS distance FROM embeddings e, {_Q} q ORDER BY {_DIST}, vec_id LIMIT {K}",
+    "vector_topk_pivots": f"SELECT vec_id AS id, round({_DIST}, 6) AS distance FROM embeddings e, {_Q} q ORDER BY {_DIST}, vec_id LIMIT {K}",
     "vector_topk_masked": f"SELECT vec_id AS id, round({_DIST}, 6) AS distance FROM embeddings e, {_Q} q WHERE label % 2 = 0 ORDER BY {_DIST}, vec_id LIMIT {K}",
     "vector_topk_batched": f"""WITH x AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DIST} AS dist FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id)::INTEGER AS rank FROM x)
