@@ -16,8 +16,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +56,12 @@ RULES = (
 #: Kinds beyond the base ones.
 EXTRA = (Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("private key-----",), base=False),)
 LEDGER = "blob binary, version string, kind string, spans array<struct<start:int,stop:int>>"
-#: Unseen blobs up to this many (48 bytes each) are sent to the scan of texts, so that only their texts leave the JVM;
-#: more of them are joined by shuffle, for which texts are packed first.
+#: Unseen blobs up to this many (48 bytes each) are sent to the scan of texts, so that only their texts leave the JVM.
+#: More of them are joined by shuffle, for which texts are packed; a Bloom filter of bounded size keeps seen ones out.
 BROADCAST_BLOBS = 20_000
+#: Bits of the filter for an unseen blob, and at most (16 MB); hashes. With 16 bits a seen text gets by once in 400 times,
+#: and beyond 8 million unseen blobs more often; what gets by is dropped in the join.
+SIEVE_BITS, MOST_SIEVE_BITS, HASHES = 16, 1 << 27, 4
 #: Blobs of which a task remembers that it has packed them; copies beyond are packed again and dropped in the join.
 REMEMBERED = 1_000_000
 
@@ -73,12 +79,36 @@ def blob(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def places(name: Column, bits: int) -> Column:
+    """A blob's bits in a filter of ``bits``."""
+    return F.array(*(F.pmod(F.xxhash64(name, F.lit(i)), F.lit(bits)) for i in range(HASHES)))
+
+
+def sieve(blobs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of ``n`` blobs (b) as 64-bit words, and its bits: words that are not 0 reach the driver, of bounded number."""
+    bits = min(MOST_SIEVE_BITS, 1 << max(10, (n * SIEVE_BITS - 1).bit_length()))
+    at = blobs.select(F.explode(places(F.col("b"), bits)).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("mask")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return words, bits
+
+
+def passes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows of bits (n, HASHES) are all set."""
+    return ((words[at >> 6] >> (at & 63)) & 1 == 1).all(1)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], words: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    """Packed texts by blob and row, those of ``words`` alone if there is a fourth column of their bits."""
     import zstandard
 
     press, schema = zstandard.ZstdCompressor(level=1), pa.schema([("row_id", pa.int64()), ("blob", pa.binary()), ("packed", pa.binary())])
     seen: set[bytes] = set()  # of this task's rows: a copy in the same part of the table is not sent again
     for batch in batches:
+        if words is not None and len(batch):
+            at = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, HASHES)
+            batch = batch.filter(pa.array(passes(words.value, at)))
         ids, names, packed = [], [], []
         for i, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if (i, b) not in seen:
@@ -132,11 +162,13 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, ledger_path: str | None =
     wanted = (F.col("blob") == F.col("b")) & F.col("row_id").eqNullSafe(F.col("r"))
     if unseen:
         # by blob and row: other rows with the blob go elsewhere and are dropped there
-        pack = lambda rows: rows.mapInArrow(_pack, "row_id long, blob binary, packed binary")
+        kind = "row_id long, blob binary, packed binary"
         if unseen <= BROADCAST_BLOBS:
-            lost = pack(texts.join(F.broadcast(todo.select("b", "r")), wanted, "left_semi")).join(F.broadcast(todo), wanted)
+            lost = texts.join(F.broadcast(todo.select("b", "r")), wanted, "left_semi").mapInArrow(_pack, kind).join(F.broadcast(todo), wanted)
         else:
-            lost = pack(texts).join(todo, wanted)
+            words, bits = sieve(todo, unseen)
+            sent = spark.sparkContext.broadcast(words)
+            lost = texts.withColumn("at", places(F.col("blob"), bits)).mapInArrow(partial(_pack, words=sent), kind).join(todo, wanted)
         found = lost.select("blob", "packed", "todo").mapInArrow(scanner(rules), LEDGER).dropDuplicates(["blob", "version"])
         found.write.mode("append").partitionBy("version").parquet(ledger_path)
     ledger = spark.read.schema(LEDGER).parquet(ledger_path) if exists(spark, ledger_path) else ledger

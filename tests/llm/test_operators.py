@@ -283,6 +283,38 @@ def test_secret_ledger_is_incremental(spark, tmp_path):
     assert {r["doc_id"]: r["findings"] and r["findings"][0]["kind"] for r in out} == {1: "access", 2: "access", 3: "word", 4: None}
 
 
+def test_seen_texts_are_kept_out(spark, tmp_path, monkeypatch):
+    """With more unseen blobs than are broadcast: a second scan packs what is new, and the odd one that the filter lets by."""
+    monkeypatch.setattr(secret_scan, "BROADCAST_BLOBS", 0)
+    ledger, packed, pack = f"file://{tmp_path}/ledger", tmp_path / "packed", secret_scan._pack
+    packed.mkdir()
+
+    def counted(batches, words=None):
+        import os
+        import uuid
+
+        for b in pack(batches, words):
+            os.mkdir(f"{packed}/{len(b)}-{uuid.uuid4().hex}")
+            yield b
+
+    monkeypatch.setattr(secret_scan, "_pack", counted)
+    texts = [f"text {i} token=abcdefgh{i % 7}" for i in range(600)]
+    frame = lambda t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(4)
+
+    def scan(t):
+        out = secret_scan.scan_secrets(spark, frame(t), ledger, secret_scan.RULES).collect()
+        n = sum(int(p.name.split("-")[0]) for p in packed.iterdir())
+        for p in packed.iterdir():
+            p.rmdir()
+        return {r["doc_id"]: r["findings"] for r in out}, n
+
+    first, n = scan(texts)
+    assert n == 600 and all(len(f) == 1 for f in first.values())
+    assert scan(texts) == (first, 0)
+    more, n = scan(texts + [f"new {i} secret=abcdefghij" for i in range(40)])
+    assert 40 <= n < 60 and len(more) == 640 and all(len(f) == 1 for f in more.values())
+
+
 NASTY = ["", " ", "a", "The  double", "tail ", " head", "line\nbreak,\nand. more\n\nblank", "tab\there \t x", "it's we'll 'sword", "x<|endoftext|>y", "<|startoftext|>", "a <|STARTOFTEXT|> b", "x<|EndOfText|>", "É́cole é ﬁ", "a b   c", "\x1c odd \x1f", "\x01mark \x01", "日本語 テキスト", "🙂🙂 ok", "end. end, End.,", "İstanbul ΣΑΣ", "12345 6,7", "\r\nwin\r\n"]
 #: Lower-casing and NFC do not commute here: each first letter has no composed form with the mark, its lower case has.
 NASTY += ["a b\u1fb9\u0342\u0345 c", *(f"x {c}{m} y" for c in "\u0389\u038f\u1fba\u1fbb\u1fca\u1fcb\u1ffa\u1ffb" for m in "\u0345"), *(f"x {c}\u0301 y" for c in "\u03aa\u03ab\u1fbc\u1fcc\u1ffc")]
