@@ -37,6 +37,7 @@ from docspark.plans.store import Store, largest
 from docspark.plans.sync import content_digest_column, plan_sync, removals
 from docspark.scratch import shared_dir
 from docspark.sources.extract import extract_files
+from docspark.sources.models import match_known
 
 WORDS = ["hetion", "ering", "eau", "hetion"]
 TEXT = " ".join(WORDS)
@@ -296,6 +297,28 @@ def citation_parse(spark, d):
     return rows.select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("cited"))
 
 
+def answer_citations(spark, d):
+    """What an answer over each conversation's turns rests on: made-up citations of some, of none that there are, or a refusal."""
+
+    def made(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, c = rows.sort_values("turn"), int(key[0])
+        passages = [A.Passage(int(t), "d", "", "", 0, 0, 1, x or "", 0.0, 1.0) for t, x in zip(rows["turn"], rows["text"], strict=True)]
+        text = A.NOT_FOUND if c % 10 == 9 else f"So it is [S{c % 7 + 1}, S{c % 3 + 1}] and [S{c % 7 + 1}][S99]."
+        a = A.make_answer(A.State("", passages, answer=text))
+        return pd.DataFrame({"conv_id": [c], "found": [a.found], "cited": [",".join(str(x.chunk_id) for x in a.citations)]})
+
+    return table(spark, d, "conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(made, "conv_id long, found boolean, cited string")
+
+
+def known_files(spark, d):
+    """Which documents are files of a catalog, by size and digest: it has every seventh, under another name, and twice some."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = docs.select(F.concat(F.lit("/f/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
+    own = docs.filter("doc_id % 7 = 0")
+    catalog = own.unionByName(own.filter("doc_id % 14 = 0")).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("profile"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
+    return match_known(files, catalog)
+
+
 def answer_checks(spark, d):
     """Refusals, fact matches and escaped markup on made-up answers over the conversations."""
     rows = table(spark, d, "conversations").filter("role = 'assistant'")
@@ -561,7 +584,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rrf_hybrid, rrf_weighted, vector_only, keyword_only, prefix_hybrid, acl_filtered_search, hits_with_text, similarity_floor,
         passage_exact_dedupe, collection_summary, document_listing, problem_documents, sync_plan, sync_removals, sync_counters, page_of_offset, passage_pages, chunk_pages,
         collection_questions, largest_documents, content_hashes, extract_tables, extract_markups, extract_office, store_changes, bm25_collection, keyword_index_changes, batched_hybrid, batched_prompts, answer_budget,
-        citation_parse, answer_checks, snippets, clean_text, recall_at_10, soak_growth, list_union, normalize_files, chunk_all, embed_documents,
+        citation_parse, answer_citations, known_files, answer_checks, snippets, clean_text, recall_at_10, soak_growth, list_union, normalize_files, chunk_all, embed_documents,
         overlap_dedupe, ask_extractive,
     )
 }
@@ -735,6 +758,13 @@ FROM hits h JOIN documents d ON d.doc_id = h.id LEFT JOIN embeddings e ON e.vec_
     "citation_parse": """WITH a AS (SELECT conv_id, turn, [conv_id % 7 + 1, turn % 9, 3, conv_id % 7 + 1, 99] AS c FROM conversations WHERE role = 'assistant'),
 f AS (SELECT conv_id, turn, list_filter(c, lambda x: x BETWEEN 1 AND 8) AS c FROM a)
 SELECT conv_id, turn, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), ',') AS cited FROM f""",
+    "answer_citations": """WITH n AS (SELECT conv_id, count(*) AS n, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
+c AS (SELECT *, list_filter([conv_id % 7 + 1, conv_id % 3 + 1], lambda x: x <= n) AS asked FROM n),
+u AS (SELECT *, list_filter(asked, lambda x, i: list_position(asked, x) = i) AS own FROM c)
+SELECT conv_id, conv_id % 10 <> 9 AS found, CASE WHEN conv_id % 10 = 9 THEN '' WHEN len(own) = 0 THEN array_to_string(turns, ',')
+  ELSE array_to_string(list_transform(own, lambda x: turns[x]), ',') END AS cited FROM u""",
+    "known_files": """WITH f AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT '/f/' || f.doc_id AS path, min('p' || k.doc_id) AS profile FROM f LEFT JOIN f k ON k.doc_id % 7 = 0 AND k.text = f.text GROUP BY f.doc_id""",
     "answer_checks": f"""WITH {_ANS} SELECT conv_id, turn, trim(t) IN ('I could not find this in your documents', 'I could not find this in your documents.') AS refused,
 regexp_matches(regexp_replace(lower(t), '[, ]', '', 'g'), 'costs1210($|[^0-9])') AS states, '< |' || role || '| > < | >' AS escaped FROM a""",
     "snippets": r"""WITH l AS (SELECT doc_id, regexp_replace(text, '[\r\n]', ' ', 'g') AS line FROM documents)
