@@ -1,10 +1,12 @@
-"""python -m docspark.service.cli COMMAND: ingest, search, ask, info, serve, migrate, convert, model, version."""
+"""python -m docspark.service.cli COMMAND: ingest, search, ask, info, serve, gui, migrate, convert, model, version."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import secrets
 import sys
+import webbrowser
 
 from docspark.api import check_name, to_json
 from docspark.errors import EngineError
@@ -21,15 +23,17 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="docspark")
     p.add_argument("--data", default="./collections")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in (("ingest", ["collection", "paths+"]), ("search", ["collection", "query"]), ("ask", ["collection", "query"]), ("info", ["collection"]), ("serve", []), ("migrate", ["collection"]), ("convert", ["folder", "collection"]), ("model", []), ("version", [])):
+    for name, args in (("ingest", ["collection", "paths+"]), ("search", ["collection", "query"]), ("ask", ["collection", "query"]), ("info", ["collection"]), ("serve", []), ("gui", []), ("migrate", ["collection"]), ("convert", ["folder", "collection"]), ("model", []), ("version", [])):
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a.rstrip("+"), **({"nargs": "+"} if a.endswith("+") else {}))
         if name in ("search", "ask"):
             s.add_argument("--top-k", type=int, default=5)
-        if name == "serve":
-            s.add_argument("--port", type=int, default=8080)
+        if name in ("serve", "gui"):
+            s.add_argument("--port", type=int, default=8080 if name == "serve" else 0)
             s.add_argument("--token")
+        if name == "gui":
+            s.add_argument("--no-browser", action="store_true")
     return p
 
 
@@ -57,6 +61,18 @@ def run(app: App, args: argparse.Namespace, out=sys.stdout) -> int:
                 with app.serving():
                     app.apply_watch()
                     make_server(app, args.port, args.token).serve_forever()
+            case "gui":
+                from docspark.service.http import make_server
+
+                token = args.token or secrets.token_urlsafe(24)
+                with app.serving():
+                    app.apply_watch()
+                    server = make_server(app, args.port, token)
+                    address = f"http://127.0.0.1:{server.server_port}/#token={token}"
+                    print(address, file=out, flush=True)
+                    if not args.no_browser:
+                        webbrowser.open(address)
+                    server.serve_forever()
             case "migrate":
                 c = app.writer(args.collection)  # opening for writing brings an older manifest up to date
                 c.store.close()

@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable, Mapping
 from dataclasses import asdict
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 from urllib.parse import parse_qs, urlsplit
 
 from docspark.api import Collection, RetrievalFilter
@@ -17,6 +18,13 @@ from docspark.service.app import HTTP_CODES, App
 
 #: Fixed value: the largest request body.
 MOST_BODY = 1 << 20
+#: Methods of the paths that there are, by their parts; "*" stands for a name or number.
+METHODS = {
+    ("health",): "GET", ("settings",): "GET POST", ("collections",): "GET", ("jobs",): "GET", ("jobs", "*"): "GET DELETE",
+    ("collections", "*", "documents"): "GET", **{("collections", "*", x): "POST" for x in ("ingest", "search", "ask")},
+}
+#: The page for a browser; it holds no data and asks for all with the token of its address.
+PAGE = Path(__file__).with_name("page.html")
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "[::1]")
 
 
@@ -34,10 +42,10 @@ def make_server(app: App, port: int = 0, token: str | None = None, auth: Auth |
         def log_message(self, *_):  # document text never goes to a log
             pass
 
-        def _reply(self, code: int, body: object) -> None:
-            raw = json.dumps(body, ensure_ascii=False).encode()
+        def _reply(self, code: int, body: object, kind: str = "application/json") -> None:
+            raw = body if isinstance(body, bytes) else json.dumps(body, ensure_ascii=False).encode()
             self.send_response(code)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()
             self.wfile.write(raw)
@@ -59,12 +67,16 @@ def make_server(app: App, port: int = 0, token: str | None = None, auth: Auth |
             if host.lower() not in LOCAL_HOSTS or (origin and urlsplit(origin).hostname not in ("localhost", "127.0.0.1", "::1")):
                 self._reply(403, {"error": "DENIED"})
                 return False
+            if self.command == "GET" and urlsplit(self.path).path == "/":
+                self._reply(200, PAGE.read_bytes(), "text/html; charset=utf-8")
+                return False
             sent = (self.headers.get("Authorization") or "").removeprefix("Bearer ")
-            if token and self.path != "/health" and not hmac.compare_digest(sent, token):
+            health = self.path.removeprefix("/v1") == "/health"
+            if token and not health and not hmac.compare_digest(sent, token):
                 self._reply(401, {"error": "DENIED"})
                 return False
             self.principal = auth(self.headers) if auth else None
-            if auth and self.principal is None and self.path != "/health":
+            if auth and self.principal is None and not health:
                 self._reply(401, {"error": "DENIED"})
                 return False
             return True
@@ -87,7 +99,7 @@ def make_server(app: App, port: int = 0, token: str | None = None, auth: Auth |
 
         def _route(self, method: str) -> None:
             url = urlsplit(self.path)
-            parts, args = [p for p in url.path.split("/") if p], parse_qs(url.query)
+            parts, args = [p for p in url.path.removeprefix("/v1/").split("/") if p], parse_qs(url.query)
             match method, parts:
                 case "GET", ["health"]:
                     self._reply(200, {"status": "ok"})
@@ -126,6 +138,10 @@ def make_server(app: App, port: int = 0, token: str | None = None, auth: Auth |
                         self._ask(self._reader(name), body)
                 case _:
                     own = (routes or {}).get((method, url.path))
+                    shape = tuple("*" if i == 1 else p for i, p in enumerate(parts))
+                    if own is None and shape in METHODS:
+                        self._reply(405, {"error": "INVALID_ARGUMENT", "message": f"use {METHODS[shape]}"})
+                        return
                     self._reply(*(own(app, self.principal, self._body()) if own else (404, {"error": "NOT_FOUND"})))
 
         def _search(self, c, body: dict) -> None:

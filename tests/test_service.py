@@ -7,6 +7,7 @@ import struct
 import threading
 import urllib.error
 import urllib.request
+from http.server import ThreadingHTTPServer
 
 import pytest
 
@@ -40,7 +41,11 @@ def test_http_and_cli(spark, tmp_path):
     base = f"http://127.0.0.1:{server.server_port}"
     assert call(base, "/health", token="no")[0] == 200 and call(base, "/collections", token="no")[0] == 401
     assert call(base, "/health", headers={"Host": "evil.example"})[0] == 403 and call(base, "/health", headers={"Origin": "http://evil.example"})[0] == 403
-    code, out = call(base, "/collections/c1/ingest", {"paths": [str(tmp_path / "files")]})
+    code, page = call(base, "/", token="no")
+    assert code == 200 and "<title>docspark</title>" in page and call(base, "/", headers={"Host": "evil.example"})[0] == 403
+    assert call(base, "/v1/health", token="no")[0] == 200 and call(base, "/v1/collections", token="no")[0] == 401
+    assert call(base, "/v1/collections/c1/search")[0] == 405 and call(base, "/jobs", {"x": 1})[0] == 405
+    code, out = call(base, "/v1/collections/c1/ingest", {"paths": [str(tmp_path / "files")]})
     assert code == 202
     app.jobs.wait(json.loads(out)["job"], 120)
     job = json.loads(call(base, f"/jobs/{json.loads(out)['job']}")[1])
@@ -83,6 +88,14 @@ def test_http_and_cli(spark, tmp_path):
     assert run(app, parser().parse_args(["convert", str(folder), "c2"]), out) == 0
     c2 = app.reader("c2").store
     assert c2.chunks().count() == 2 and c2.get_vector(1)[:2] == [0.25, 0.25]
+    said, stop = io.StringIO(), threading.Event()
+    serve = ThreadingHTTPServer.serve_forever
+    ThreadingHTTPServer.serve_forever = lambda server: (stop.set(), server.server_close())
+    try:
+        assert run(app, parser().parse_args(["gui", "--no-browser"]), said) == 0 and stop.is_set()
+    finally:
+        ThreadingHTTPServer.serve_forever = serve
+    assert said.getvalue().startswith("http://127.0.0.1:") and "/#token=" in said.getvalue()
     with app.serving():
         with pytest.raises(EngineError):
             with app.serving():
