@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docspark.api import Collection
 from docspark.functions.answers import NOT_FOUND
 from docspark.functions.terms import tokens
+from docspark.operators.keyword import KeywordIndex
 from docspark.operators.rows import exact_median, numbered
 
 RESULT = "id long, correct boolean, cited boolean, file_recall boolean, passage_recall boolean, refused boolean, seconds double"
@@ -57,25 +58,22 @@ def ask_all(c: Collection, questions: Sequence[Question], top_k: int = 10, **opt
 
 #: Texts up to which they are broadcast.
 MOST_ASKED = 100_000
-#: Words of a question that a text has to have in a row before it is searched for the whole.
-GRAM = 3
 
 
-def holders(rows: DataFrame, asked: DataFrame) -> DataFrame:
+def holders(rows: DataFrame, asked: DataFrame, index: KeywordIndex) -> DataFrame:
     """``query_id, id``: the rows (id, text) that hold each text of ``asked`` (query_id, text), character by character.
 
-    A text's second to fourth token stand in a row wherever it stands, so rows are found by runs of three tokens; texts of
-    fewer than five tokens are looked for in all rows. No run of a row is shuffled if the texts are few.
+    Tokens between a text's first and last stand wherever it stands, so a text is looked for in the rows that have the rarest
+    of them by ``index`` (of the asked texts' terms at least); texts of fewer than three tokens are looked for in all rows.
     """
     own = asked.filter("text IS NOT NULL").select("query_id", F.col("text").alias("asked"), F.explode(F.array(tokens(F.col("text")))).alias("t"))
-    gram = lambda at: F.array_join(F.slice("t", at, F.lit(GRAM)), " ")
-    long = own.filter(F.size("t") >= GRAM + 2).select("query_id", "asked", gram(F.lit(2)).alias("gram"))
-    there = rows.select("id", "text", F.explode(F.array(tokens(F.col("text")))).alias("t")).filter(F.size("t") >= GRAM)
-    runs = there.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - (GRAM - 1)), gram))).alias("gram"))
     near = F.broadcast if asked.count() <= MOST_ASKED else lambda df: df
-    pairs = runs.join(near(long), "gram").select("query_id", "id", "asked")
+    inner = own.filter(F.size("t") >= 3).select("query_id", "asked", F.explode(F.slice("t", F.lit(2), F.size("t") - 2)).alias("term"))
+    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = inner.join(df, "term", "left").groupBy("query_id", "asked").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    pairs = index.postings.select("term", "id").join(near(rarest), "term").select("query_id", "id", "asked")
     found = rows.select("id", "text").join(pairs, "id").filter(F.contains("text", "asked")).select("query_id", "id")
-    short = own.filter(F.size("t") < GRAM + 2).select("query_id", "asked")
+    short = own.filter(F.size("t") < 3).select("query_id", "asked")
     if short.isEmpty():
         return found
     return found.unionByName(rows.select("id", "text").join(near(short), F.contains("text", "asked")).select("query_id", "id"))

@@ -11,6 +11,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -343,8 +344,9 @@ def clean_text(spark, d):
 def recall_at_10(spark, d):
     """Texts of the benchmark as queries to the keyword search over all documents: of those that stand in some document, the share for which such a document is among ten."""
     docs, items = passages(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    top = keyword_lists(text_index(docs, asked_phrases(items).select(F.explode("words").alias("term"))), items, 10).select("query_id", "id", "keyword_rank")
-    hits = holders(docs, items).join(top, ["query_id", "id"], "left").groupBy("query_id").agg(F.max(F.col("keyword_rank").isNotNull().cast("int")).alias("hit"))
+    index = asked_index(spark, docs, items)
+    top = keyword_lists(index, items, 10).select("query_id", "id", "keyword_rank")
+    hits = holders(docs, items, index).join(top, ["query_id", "id"], "left").groupBy("query_id").agg(F.max(F.col("keyword_rank").isNotNull().cast("int")).alias("hit"))
     return hits.agg(F.count("*").alias("queries"), six(F.avg("hit"), "recall"))
 
 
@@ -480,14 +482,19 @@ def store_changes(spark, d):
     return kept.documents().select("doc_id", "source_path").join(left, "doc_id", "left")
 
 
+def asked_index(spark: SparkSession, rows: DataFrame, questions: DataFrame) -> KeywordIndex:
+    """The postings of all words of the questions, written once."""
+    index = text_index(rows, asked_phrases(questions).select(F.explode("words").alias("term")))
+    return replace(index, postings=kept_table(spark, index.postings))
+
+
 def _asked(spark, d) -> tuple[DataFrame, DataFrame, KeywordIndex]:
     """Documents, questions and the index for their words: the opening turn of each conversation is a question, with the vector
     of its number if there is one."""
     rows = with_vectors(spark, d)
     opening = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
     questions = opening.join(stored_vectors(spark, d).select(F.col("id").alias("query_id"), "embedding"), "query_id", "left")
-    terms = asked_phrases(questions).select(F.explode("words").alias("term"))
-    return rows, questions, text_index(passages(spark, d), terms)
+    return rows, questions, asked_index(spark, passages(spark, d), questions)
 
 
 def batched_hybrid(spark, d):

@@ -110,7 +110,9 @@ def test_batched_keyword_search_is_the_single_one(spark):
 def test_holders_are_found_whatever_stands_around(spark):
     texts = ["unalpha beta gamma delta epsilonic", "alpha  beta gamma delta epsilon", "x alpha beta", "alphabet", None, "", "alpha beta gamma delta epsilon twice alpha beta gamma delta epsilon"]
     asked = [(0, "alpha beta gamma delta epsilon"), (1, "alpha beta"), (2, "alpha"), (3, ""), (4, None), (5, "beta gamma delta epsilon twice")]
-    got = {tuple(r) for r in holders(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(asked, "query_id long, text string")).collect()}
+    rows, questions = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    index = text_index(rows, asked_phrases(questions).selectExpr("explode(words) AS term"))
+    got = {tuple(r) for r in holders(rows, questions, index).collect()}
     assert got == {(q, i) for q, a in asked for i, t in enumerate(texts) if a is not None and t is not None and a in t}
 
 
