@@ -14,3 +14,7 @@ def used_partitions(df):
 def test_markup_files_are_made_by_many_tasks(spark):
     """Parts that lie in one row group are dealt out before they are read as files."""
     assert used_partitions(Q.extract_markups(spark, SMALL)) > 4
+
+
+def test_office_files_are_made_by_many_tasks(spark):
+    assert used_partitions(Q.extract_office(spark, SMALL)) > 4
