@@ -52,11 +52,15 @@ def base_name(path: Column) -> Column:
 
 def snippet(text: Column, size: int = 200) -> Column:
     """The first ``size`` bytes on one line without a split character; "..." if there is more."""
-    line = F.regexp_replace(text, "[\r\n]", " ")
-    # of the characters that begin within the first bytes, those that also end there
-    cut = F.filter(F.sequence(F.lit(1), F.least(F.length(line), F.lit(size))), lambda n: F.octet_length(F.substring(line, F.lit(1), n)) <= size)
-    head = F.when(F.length(line) == 0, F.lit("")).otherwise(F.substring(line, F.lit(1), F.coalesce(F.array_max(cut), F.lit(0))))
-    return F.when(F.octet_length(line) <= size, line).otherwise(F.concat(head, F.lit("...")))
+    line = F.translate(F.substring(text, 1, size), "\r\n", "  ")  # as many characters as bytes: the rest of a text is not looked at
+
+    def cut(line: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.length(line)), lambda n: F.octet_length(F.substring(line, F.lit(1), n)) <= size)
+        return F.when(F.octet_length(line) <= size, line).otherwise(F.substring(line, F.lit(1), F.coalesce(F.array_max(ends), F.lit(0))))
+
+    # as an array's element, so that the line is made once and not for each length that is tried
+    head = F.get(F.transform(F.array(line), cut), F.lit(0))
+    return F.when(F.octet_length(text) <= size, head).otherwise(F.concat(head, F.lit("...")))
 
 
 def states_fact(answer: Column, fact: str) -> Column:

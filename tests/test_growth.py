@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docspark import queries as Q
+from docspark.functions import answers
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,3 +19,16 @@ def test_markup_files_are_made_by_many_tasks(spark):
 
 def test_office_files_are_made_by_many_tasks(spark):
     assert used_partitions(Q.extract_office(spark, SMALL)) > 4
+
+
+def test_snippet_looks_at_the_first_characters_only(spark):
+    """The line is cut from the text once, before line ends are replaced; results as in plain Python."""
+    texts = ["", "a\r\nb", "x" * 60, "x" * 61, "é" * 30, "é" * 31, "a" + "é" * 40, "\n" * 70, "日本" * 50, None]
+
+    def plain(t):
+        raw = t.replace("\r", " ").replace("\n", " ").encode()
+        return raw.decode() if len(raw) <= 60 else raw[:60].decode(errors="ignore") + "..."
+
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", answers.snippet(F.col("t"), 60).alias("s"))
+    assert {r["i"]: r["s"] for r in out.collect()} == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+    assert "regexp_replace(t" not in out._jdf.queryExecution().optimizedPlan().toString()
