@@ -1,9 +1,12 @@
 """Steps whose tasks or batches must not grow faster than the tables."""
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from docspark import queries as Q
 from docspark.functions import answers
+from docspark.functions.text import normalize, normalize_text
+from docspark.operators.chunk import chunk_documents, chunk_text
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,3 +35,18 @@ def test_snippet_looks_at_the_first_characters_only(spark):
     out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", answers.snippet(F.col("t"), 60).alias("s"))
     assert {r["i"]: r["s"] for r in out.collect()} == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
     assert "regexp_replace(t" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_python_steps_take_arrow_batches_in_slices(spark):
+    """Nulls and rows on both sides of a slice's end; no step turns a whole batch into Python objects."""
+    arrow = PythonEvalType.SQL_SCALAR_ARROW_UDF
+    texts = [None if i % 7 == 0 else f"line {i}.\r\n\r\nmore ﬁn {i}" for i in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    assert normalize_text.evalType == arrow
+    out = rows.select("i", normalize_text(F.col("t").cast("binary")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in out} == {i: None if t is None else normalize(t.encode()) for i, t in enumerate(texts)}
+    found = chunk_documents(rows.withColumnRenamed("t", "text"), target=10, most=20, overlap=3)
+    want = {(i, k, *c) for i, t in enumerate(texts) for k, c in enumerate(chunk_text(t or "", [], 10, 20, 3))}
+    assert {(r["i"], r["chunk_index"], r["offset"], r["length"], r["page"]) for r in found.collect()} == want
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (found, Q.embed_documents(spark, SMALL))]
+    assert all("ArrowEvalPython" in p and str(PythonEvalType.SQL_SCALAR_PANDAS_UDF) not in p.split("ArrowEvalPython")[1].split("\n")[0] for p in plans)
