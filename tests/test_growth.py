@@ -7,6 +7,7 @@ from docspark import queries as Q
 from docspark.functions import answers
 from docspark.functions.text import normalize, normalize_text
 from docspark.operators.chunk import chunk_documents, chunk_text
+from docspark.operators.keyword import index_terms
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -50,3 +51,14 @@ def test_python_steps_take_arrow_batches_in_slices(spark):
     assert {(r["i"], r["chunk_index"], r["offset"], r["length"], r["page"]) for r in found.collect()} == want
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (found, Q.embed_documents(spark, SMALL))]
     assert all("ArrowEvalPython" in p and str(PythonEvalType.SQL_SCALAR_PANDAS_UDF) not in p.split("ArrowEvalPython")[1].split("\n")[0] for p in plans)
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "b c")] + [(i, f"a x{i} a") for i in range(10, 700)], "id long, text string").coalesce(1)
+    out = index_terms(rows)
+    assert "Exchange" not in out._jdf.queryExecution().sparkPlan().toString() and "Aggregate" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = {(r["term"], r["id"]): (r["tf"], list(r["positions"]), r["n_tokens"]) for r in out.collect()}
+    want = {("a", 1): (2, [0, 2], 3), ("b", 1): (1, [1], 3), ("b", 4): (1, [0], 2), ("c", 4): (1, [1], 2)}
+    for i in range(10, 700):
+        want |= {("a", i): (2, [0, 2], 3), (f"x{i}", i): (1, [1], 3)}
+    assert got == want
