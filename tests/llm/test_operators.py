@@ -521,3 +521,25 @@ def test_bm25_skips_blocks():
     for hits, (t, w) in zip(best, queries, strict=True):
         every = sorted((-shard.exact(d, np.searchsorted(vocab, t), w), d) for d in range(len(found)))
         assert hits == every[:10]
+
+
+def test_bm25_batches_fill(monkeypatch):
+    """Queries that have nothing in common share batches all the same, and few blocks of many queries open many shards."""
+    r = np.random.default_rng(6)
+    found = [bm25_search.terms(" ".join([f"w{int(i)}" for i in r.zipf(1.3, 60) if i < 5000] + [f"top{n}"] * 9)) for n in range(400)]
+    vocab, term = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+    ptr = np.concatenate([[0], np.cumsum([len(t) for t, _ in found])])
+    length = np.array([c.sum() for _, c in found])
+    arrays = {"ids": np.arange(len(found)), "length": length, "vocab": vocab, "ptr": ptr, "term": term.astype(np.int32), "tf": np.concatenate([c for _, c in found]).astype(np.int32)}
+    shard = bm25_search.Shard(arrays, length.mean())
+    weight, sizes, own = bm25_search.idf(np.bincount(term), len(found)), [], shard._batch
+    monkeypatch.setattr(shard, "_batch", lambda q, best, k: (sizes.append(len(q)), own(q, best, k)))
+    queries = [(t, c * weight[np.searchsorted(vocab, t)]) for t, c in found[:256]]
+    best = [[] for _ in queries]
+    shard.search(queries, best, 10, list(range(256)))
+    assert len(sizes) <= 8
+    for hits, (t, w) in zip(best, queries, strict=True):
+        every = sorted((-shard.exact(d, np.searchsorted(vocab, t), w), d) for d in range(len(found)))
+        assert hits == [h for h in every[:10] if h[0] < 0]
+    # with many shards there is a block for each 16,384 queries, and not for each 2,048
+    assert bm25_search.query_blocks(5_130, 32, 18) == 3 and bm25_search.query_blocks(62_000, 200, 36) == 4
