@@ -1,8 +1,8 @@
 """Hybrid search and answers for a table of questions in one plan.
 
 Both lists, the fusion, the texts, the removal of repeats and the budget are partitioned by question or by blocks of rows;
-questions do not pass the driver. Keyword scores come from blocks: a block of rows has its postings by phrase, a block of
-questions its phrases with their weights, and a pair of blocks gives each question's best rows.
+questions are not collected. Keyword scores come from blocks: a block of rows has its postings, a block of questions its
+phrases with their weights, and a pair of blocks gives each question's best rows by ``operators.block_max``.
 """
 
 from __future__ import annotations
@@ -18,15 +18,16 @@ from pyspark.sql import functions as F
 from docspark.errors import EngineError
 from docspark.functions.terms import query_phrases
 from docspark.functions.vectors import cosine_from_distance, dot
+from docspark.operators.block_max import BlockMax
 from docspark.operators.fusion import fuse
 from docspark.operators.keyword import K1, LEAST_IDF, B, KeywordIndex, shifted
 from docspark.operators.vector_search import top_k_joined
 from docspark.plans import answer as A
 from docspark.plans.hybrid import Query
 
-#: Rows and questions of a block; distinct phrases, and hits, up to which they are broadcast.
-ROWS_A_BLOCK, QUESTIONS_A_BLOCK = 4_096, 256
-MOST_PHRASES, MOST_HITS = 200_000, 1_000_000
+#: Rows and questions of a block; distinct phrases, questions' phrases, and hits, up to which they are broadcast.
+ROWS_A_BLOCK, QUESTIONS_A_BLOCK = 32_768, 8_192
+MOST_PHRASES, MOST_ASKED, MOST_HITS = 1_000_000, 10_000_000, 1_000_000
 ANSWERS = "query_id long, found boolean, answer string, kept array<long>, cited array<long>, prompt_bytes long"
 
 
@@ -56,8 +57,9 @@ def phrase_rows(index: KeywordIndex, phrases: DataFrame) -> DataFrame:
     return found.unionByName(parts.select("phrase", "id", "tf", "n_tokens"))
 
 
-def _row_blocks(entries: DataFrame) -> DataFrame:
-    """Blocks of rows from ``id, phrase, part``: ids, and by phrase the rows that have it and what it gives them."""
+def _row_blocks(entries: DataFrame, n: int) -> DataFrame:
+    """Blocks of rows from ``id, phrase, part``, of ``n`` rows at most: ids, the phrases that they have in order, and row by
+    row the phrases' places with what they give the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -65,14 +67,24 @@ def _row_blocks(entries: DataFrame) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
+            held.clear()
             ids, row = np.unique(t.column(0).to_numpy(), return_inverse=True)
             coded = t.column(1).combine_chunks().dictionary_encode()
-            code = coded.indices.to_numpy()
-            order = np.lexsort((row, code))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))])
-            held.clear()
+            names = coded.dictionary.to_pylist()
+            order = sorted(range(len(names)), key=names.__getitem__)
+            place = np.empty(len(names), np.int64)
+            place[order] = np.arange(len(names))
+            term, part = place[coded.indices.to_numpy()], t.column(2).to_numpy()
+            # rows that share their weightiest phrase lie together, so that blocks of them have low bounds
+            size, most = np.bincount(row), np.lexsort((term, -part, row))
+            top = term[most[np.cumsum(size) - size]]
+            line = np.lexsort((size, top))
+            at = np.empty(len(line), np.int64)
+            at[line] = np.arange(len(line))
+            order_in = np.lexsort((term, at[row]))
+            ptr = np.concatenate([[0], np.cumsum(size[line])])
             raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
-            return pa.RecordBatch.from_arrays([raw(ids, "<i8"), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())), raw(ends, "<i4"), raw(row[order], "<i4"), raw(t.column(2).to_numpy()[order], "<f8")], ["ids", "phrases", "ends", "rows", "parts"])
+            return pa.RecordBatch.from_arrays([raw(ids[line], "<i8"), pa.array([[names[i] for i in order]], pa.list_(pa.string())), raw(ptr, "<i8"), raw(term[order_in], "<i4"), raw(part[order_in], "<f8")], ["ids", "phrases", "ptr", "terms", "parts"])
 
         for b in batches:  # sorted by id
             ids = b.column(0).to_numpy()
@@ -91,20 +103,28 @@ def _row_blocks(entries: DataFrame) -> DataFrame:
         if sum(map(len, held)):
             yield block()
 
-    dealt = entries.repartition("id").sortWithinPartitions("id")
-    return dealt.mapInArrow(run, "ids binary, phrases array<string>, ends binary, rows binary, parts binary")
+    # as large as the cores allow, as each block has k best rows of its own; a few less than fit, as hashing does not deal evenly
+    cores = 2 * entries.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(cores, n // 1_024), -(-n // max(1, ROWS_A_BLOCK * 7 // 8)))
+    dealt = entries.repartition(tasks, "id").sortWithinPartitions("id")
+    return dealt.mapInArrow(run, "ids binary, phrases array<string>, ptr binary, terms binary, parts binary")
 
 
 def _question_blocks(asked: DataFrame) -> DataFrame:
-    """Blocks of questions from ``query_id, phrase, weight``: ids, and by phrase in order the question and the weight."""
+    """Blocks of questions from ``query_id, phrase, weight``: ids, the phrases that they have in order, and question by
+    question the phrases' places and weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(own: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([[c[k] for c in own]], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.string(), pa.float64()))], ["query_ids", "asked", "weights"])
+            names = sorted({p for _, p, _ in own})
+            place = {p: i for i, p in enumerate(names)}
+            ids, size = np.unique(np.array([q for q, _, _ in own], np.int64), return_counts=True)
+            raw = lambda x, kind: pa.array([np.asarray(x).astype(kind).tobytes()], pa.binary())
+            return pa.RecordBatch.from_arrays([raw(ids, "<i8"), pa.array([names], pa.list_(pa.string())), raw(np.concatenate([[0], np.cumsum(size)]), "<i8"), raw([place[p] for _, p, _ in own], "<i4"), raw([w for _, _, w in own], "<f8")], ["query_ids", "asked", "q_ptr", "q_terms", "weights"])
 
         held: list[tuple] = []
         seen: set[int] = set()
-        for b in batches:
+        for b in batches:  # sorted by question and phrase
             for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if row[0] not in seen and len(seen) == QUESTIONS_A_BLOCK:
                     yield block(held)
@@ -115,7 +135,28 @@ def _question_blocks(asked: DataFrame) -> DataFrame:
             yield block(held)
 
     dealt = asked.select("query_id", "phrase", "weight").repartition("query_id").sortWithinPartitions("query_id", "phrase")
-    return dealt.mapInArrow(run, "query_ids array<long>, asked array<string>, weights array<double>")
+    return dealt.mapInArrow(run, "query_ids binary, asked array<string>, q_ptr binary, q_terms binary, weights binary")
+
+
+def _best_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """``query_id, id, keyword_score``: each question's k best rows of pairs of blocks."""
+    at, rows, names = None, None, {}
+    for b in batches:
+        for pair in zip(*b.columns, strict=True):
+            ids, own, ptr, term, part, query_ids, asked, q_ptr, q_term, weight = pair
+            if at != (key := ids.as_buffer().to_pybytes()):  # the pairs of a block of rows follow one another
+                at, names = key, {p: i for i, p in enumerate(own.as_py())}
+                rows = BlockMax(*(np.frombuffer(x.as_buffer(), kind) for x, kind in ((ids, "<i8"), (ptr, "<i8"), (term, "<i4"), (part, "<f8"))), len(names))
+            place = np.array([names.get(p, -1) for p in asked.as_py()], np.int64)
+            query_ids, q_ptr, q_term, weight = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((query_ids, "<i8"), (q_ptr, "<i8"), (q_term, "<i4"), (weight, "<f8")))
+            queries = []
+            for lo, hi in zip(q_ptr, q_ptr[1:], strict=False):
+                p = place[q_term[lo:hi]]
+                queries.append((p[p >= 0], weight[lo:hi][p >= 0]))
+            best: list[list[tuple[float, int]]] = [[] for _ in queries]
+            rows.search(queries, best, k)
+            n = [len(hits) for hits in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n), pa.int64()), pa.array([d for hits in best for _, d in hits], pa.int64()), pa.array([-s for hits in best for s, _ in hits], pa.float64())], ["query_id", "id", "keyword_score"])
 
 
 def keyword_lists(index: KeywordIndex, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -133,35 +174,11 @@ def keyword_lists(index: KeywordIndex, questions: DataFrame, k: int, allowed: Da
     if allowed is not None:
         found = found.join(allowed.select("id"), "id", "left_semi")
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / ((index.n_tokens / index.n if index.n else 0) or 1.0)))
-    rows, blocks = _row_blocks(found.select("id", "phrase", part.alias("part"))), _question_blocks(weighed)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, names, ends, at, parts, query_ids, wanted, weights in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                ids, ends, at, parts = np.frombuffer(ids, "<i8"), np.frombuffer(ends, "<i4"), np.frombuffer(at, "<i4"), np.frombuffer(parts, "<f8")
-                place, score, now, out = {p: i for i, p in enumerate(names)}, np.zeros(len(ids)), query_ids[0], []
-
-                def close(q: int, score: np.ndarray = score, ids: np.ndarray = ids, out: list = out) -> None:
-                    hit = np.flatnonzero(score)
-                    if len(hit) > k:
-                        kth = np.partition(score[hit], len(hit) - k)[len(hit) - k]
-                        hit = hit[score[hit] >= kth]
-                    hit = hit[np.lexsort((ids[hit], -score[hit]))][:k]
-                    out.append((np.full(len(hit), q, np.int64), ids[hit], score[hit]))
-                    score[:] = 0
-
-                for q, phrase, w in zip(query_ids, wanted, weights, strict=True):
-                    if q != now:
-                        close(now)
-                        now = q
-                    if (i := place.get(phrase)) is not None:
-                        own = slice(ends[i], ends[i + 1])
-                        score[at[own]] += w * parts[own]
-                close(now)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "id", "keyword_score"])
-
+    rows, blocks = _row_blocks(found.select("id", "phrase", part.alias("part")), index.n), _question_blocks(weighed)
+    if asked.count() <= MOST_ASKED:
+        blocks = F.broadcast(blocks)
     pairs = rows.crossJoin(blocks)  # a pair of blocks
-    lists = pairs.mapInArrow(best, "query_id long, id long, keyword_score double")
+    lists = pairs.mapInArrow(lambda b: _best_rows(b, k), "query_id long, id long, keyword_score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), "id"))
     return lists.withColumn("keyword_rank", rank).filter(F.col("keyword_rank") <= k)
 

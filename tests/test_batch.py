@@ -66,3 +66,18 @@ def test_ask_many_is_ask(spark, tmp_path):
     c.retrieval_filter = lambda frame, who: frame.filter("id = 1")
     assert c.ask_many(spark.createDataFrame(asked[:1], "query_id long, text string"), least_similarity=-1.0).first()["kept"] == [1]
     assert c.ask_many(spark.createDataFrame([], "query_id long, text string")).count() == 0
+
+
+def test_blocks_meet_once(spark, tables):
+    """Blocks of rows are made once, whatever the number of blocks of questions, and no token is shuffled for the postings."""
+    rows, questions, _ = tables
+    terms = spark.createDataFrame([("ash",), ("common",)], "term string")
+    index = text_index(rows, terms)
+    plan = index.postings._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
+    assert "CartesianProduct" not in keyword_lists(index, questions, 6)._jdf.queryExecution().toString()
+    assert sorted(map(tuple, index.postings.filter("id < 2").select("term", "id", "tf", "positions", "n_tokens").collect())) == [
+        (t, r["id"], len(at), at, len(r["text"].replace("-", " ").split()))
+        for t in ("ash", "common") for r in rows.filter("id < 2").orderBy("id").collect()
+        if (at := [i for i, w in enumerate(r["text"].replace("-", " ").lower().split()) if w == t])
+    ]
