@@ -43,7 +43,7 @@ def escape_markup(text: Column) -> Column:
 
 
 def escape_markup_text(text: str) -> str:
-    return re.sub(r"(?<=<)(?=\|)|(?<=\|)(?=>)", " ", text)
+    return text.replace("<|", "< |").replace("|>", "| >")
 
 
 def base_name(path: Column) -> Column:

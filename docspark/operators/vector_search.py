@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators.lists import LISTS, merged_lists, packed_lists
 
 MOST_K = 10_000
 #: Queries that a batch is compared with at once; vectors and queries of a packed block.
@@ -174,9 +175,7 @@ def top_k_joined(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
             for ids, data, n, q_ids, q_data, q_n in zip(*(b.column(i) for i in range(6)), strict=True):
                 best = _Best(np.frombuffer(q_data.as_buffer(), "<f4").reshape(q_n.as_py(), -1).astype(np.float64), k)
                 best.add(np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(data.as_buffer(), "<f4").reshape(n.as_py(), -1))
-                yield best.rows(np.frombuffer(q_ids.as_buffer(), "<i8"))
+                yield packed_lists(np.frombuffer(q_ids.as_buffer(), "<i8"), [(own, distance) for distance, own in best.found])
 
     blocks = vectors if vectors.columns == ["ids", "data", "n"] else pack_vectors(vectors, id_col, vector_col)
-    found = blocks.crossJoin(asked).mapInArrow(compare, "query_id long, id long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return merged_lists(blocks.crossJoin(asked).mapInArrow(compare, LISTS), k).withColumnRenamed("value", "distance")

@@ -2,33 +2,42 @@
 
 Both lists, the fusion, the texts, the removal of repeats and the budget are partitioned by question or by blocks of rows;
 questions are not collected. Keyword scores come from blocks: a block of rows has its postings, a block of questions its
-phrases with their weights, and a pair of blocks gives each question's best rows by ``operators.block_max``.
+phrases with their weights, and a pair of blocks gives each question's best rows by ``operators.block_scores``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.errors import EngineError
-from docspark.functions.terms import query_phrases
+from docspark.functions.terms import query_phrases, tokens
 from docspark.functions.vectors import cosine_from_distance, dot
-from docspark.operators.block_max import BlockMax
+from docspark.operators.block_scores import BlockScores
 from docspark.operators.fusion import fuse
-from docspark.operators.keyword import K1, LEAST_IDF, B, KeywordIndex, shifted
+from docspark.operators.keyword import K1, LEAST_IDF, ROWS, B, KeywordIndex, row_postings, shifted, text_index
+from docspark.operators.lists import LISTS, merged_lists, packed_lists
 from docspark.operators.vector_search import top_k_joined
 from docspark.plans import answer as A
 from docspark.plans.hybrid import Query
+from docspark.scratch import kept_table
 
 #: Rows and questions of a block; distinct phrases, questions' phrases, and hits, up to which they are broadcast.
 ROWS_A_BLOCK, QUESTIONS_A_BLOCK = 32_768, 8_192
+#: Texts whose postings are held at once in a task.
+TEXTS_A_BLOCK = 8_192
 MOST_PHRASES, MOST_ASKED, MOST_HITS = 1_000_000, 10_000_000, 1_000_000
+BLOCKS = "ids binary, phrases array<string>, ptr binary, terms binary, tfs binary, sizes binary"
+EMPTY = pa.schema([("ids", pa.binary()), ("phrases", pa.list_(pa.string())), *((c, pa.binary()) for c in ("ptr", "terms", "tfs", "sizes"))])
 ANSWERS = "query_id long, found boolean, answer string, kept array<long>, cited array<long>, prompt_bytes long"
+ANSWER_TYPES = (pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
 
 
 def asked_phrases(questions: DataFrame) -> DataFrame:
@@ -57,35 +66,40 @@ def phrase_rows(index: KeywordIndex, phrases: DataFrame) -> DataFrame:
     return found.unionByName(parts.select("phrase", "id", "tf", "n_tokens"))
 
 
+def _raw(x: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([np.asarray(x).astype(kind).tobytes()], pa.binary())
+
+
+def _block(t: pa.Table) -> pa.RecordBatch:
+    """A block of rows, of BLOCKS, from its entries (id, phrase, tf, n_tokens)."""
+    ids, row = np.unique(t.column("id").to_numpy(), return_inverse=True)
+    coded = t.column("phrase").combine_chunks()
+    coded = coded if pa.types.is_dictionary(coded.type) else coded.dictionary_encode()
+    up = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(up), np.int64)
+    place[up.to_numpy()] = np.arange(len(up))
+    term = place[coded.indices.to_numpy()]
+    order = np.argsort(row * len(up) + term)
+    size = np.zeros(len(ids), np.int64)
+    size[row] = t.column("n_tokens").to_numpy()
+    ptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))])
+    names = pa.ListArray.from_arrays(pa.array([0, len(up)], pa.int32()), coded.dictionary.take(up))
+    return pa.RecordBatch.from_arrays([_raw(ids, "<i8"), names, _raw(ptr, "<i8"), _raw(term[order], "<i4"), _raw(t.column("tf").to_numpy()[order], "<i4"), _raw(size, "<i4")], ["ids", "phrases", "ptr", "terms", "tfs", "sizes"])
+
+
+def _entries(ids, names, ptr, terms, tfs, sizes) -> pa.Table:
+    """The entries of a block of rows, with coded phrases."""
+    n = np.diff(np.frombuffer(ptr.as_buffer(), "<i8"))
+    coded = pa.DictionaryArray.from_arrays(pa.array(np.frombuffer(terms.as_buffer(), "<i4")), names.values)
+    return pa.table([np.repeat(np.frombuffer(ids.as_buffer(), "<i8"), n), coded, np.frombuffer(tfs.as_buffer(), "<i4"), np.repeat(np.frombuffer(sizes.as_buffer(), "<i4"), n)], ["id", "phrase", "tf", "n_tokens"])
+
+
 def _row_blocks(entries: DataFrame, n: int) -> DataFrame:
-    """Blocks of rows from ``id, phrase, part``, of ``n`` rows at most: ids, the phrases that they have in order, and row by
-    row the phrases' places with what they give the row."""
+    """BLOCKS of rows from ``id, phrase, tf, n_tokens``, of ``n`` rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n, last = 0, None
-
-        def block() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            held.clear()
-            ids, row = np.unique(t.column(0).to_numpy(), return_inverse=True)
-            coded = t.column(1).combine_chunks().dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            order = sorted(range(len(names)), key=names.__getitem__)
-            place = np.empty(len(names), np.int64)
-            place[order] = np.arange(len(names))
-            term, part = place[coded.indices.to_numpy()], t.column(2).to_numpy()
-            # rows that share their weightiest phrase lie together, so that blocks of them have low bounds
-            size, most = np.bincount(row), np.lexsort((term, -part, row))
-            top = term[most[np.cumsum(size) - size]]
-            line = np.lexsort((size, top))
-            at = np.empty(len(line), np.int64)
-            at[line] = np.arange(len(line))
-            order_in = np.lexsort((term, at[row]))
-            ptr = np.concatenate([[0], np.cumsum(size[line])])
-            raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
-            return pa.RecordBatch.from_arrays([raw(ids[line], "<i8"), pa.array([[names[i] for i in order]], pa.list_(pa.string())), raw(ptr, "<i8"), raw(term[order_in], "<i4"), raw(part[order_in], "<f8")], ["ids", "phrases", "ptr", "terms", "parts"])
-
         for b in batches:  # sorted by id
             ids = b.column(0).to_numpy()
             new = np.flatnonzero(np.diff(ids, prepend=ids[0] if last is None else last)) if len(ids) else []
@@ -94,20 +108,115 @@ def _row_blocks(entries: DataFrame, n: int) -> DataFrame:
                 n = 1
             for k in new:
                 if n == ROWS_A_BLOCK:
-                    held.append(b.slice(at, k - at))
-                    yield block()
-                    at, n = k, 0
+                    yield _block(pa.Table.from_batches([*held, b.slice(at, k - at)]))
+                    held, at, n = [], k, 0
                 n += 1
             held.append(b.slice(at))
             last = ids[-1] if len(ids) else last
         if sum(map(len, held)):
-            yield block()
-
-    # as large as the cores allow, as each block has k best rows of its own; a few less than fit, as hashing does not deal evenly
-    cores = 2 * entries.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(cores, n // 1_024), -(-n // max(1, ROWS_A_BLOCK * 7 // 8)))
-    dealt = entries.repartition(tasks, "id").sortWithinPartitions("id")
-    return dealt.mapInArrow(run, "ids binary, phrases array<string>, ptr binary, terms binary, parts binary")
+            yield _block(pa.Table.from_batches(held))
+
+    dealt = entries.select("id", "phrase", "tf", "n_tokens").repartition(_tasks(entries, n), "id").sortWithinPartitions("id")
+    return dealt.mapInArrow(run, BLOCKS)
+
+
+def _tasks(rows: DataFrame, n: int) -> int:
+    """Blocks as large as the cores allow, as each has k best rows of its own; a few less rows than fit, as hashing does not deal evenly."""
+    cores = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(cores, n // 1_024), -(-n // max(1, ROWS_A_BLOCK * 7 // 8)))
+
+
+@dataclass(frozen=True)
+class TextBlocks:
+    """A table of texts for one table of questions: blocks of its rows, written once, in one pass over the texts. What a posting
+    takes is a few bytes of a block; no posting is a row, is joined or shuffled."""
+
+    written: DataFrame
+    n: int
+    n_tokens: int
+
+    @classmethod
+    def of(cls, rows: DataFrame, questions: DataFrame, id_col: str = "id", text_col: str = "text") -> TextBlocks:
+        """``rows``: with distinct ids; phrases of several words are looked for if ``questions`` have them."""
+        found = rows.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("tokens"))
+        phrases = asked_phrases(questions).filter(F.size("words") > 1).select("phrase", "words").dropDuplicates(["phrase"])
+        phrases = kept_table(rows.sparkSession, phrases)
+        if phrases.isEmpty():
+            found = found.withColumn("also", F.lit(None).cast("array<struct<phrase:string,tf:int>>"))
+        else:
+            index = text_index(rows, phrases.select(F.explode("words").alias("term")), id_col, text_col)
+            also = phrase_rows(index, phrases).groupBy("id").agg(F.collect_list(F.struct("phrase", F.col("tf").cast("int").alias("tf"))).alias("also"))
+            found = found.join(also, "id", "left")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.Table] = []
+            n = n_tokens = 0
+
+            def block() -> pa.RecordBatch:
+                made = _block(pa.concat_tables(held).unify_dictionaries()) if sum(map(len, held)) else pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in EMPTY], schema=EMPTY)
+                return pa.RecordBatch.from_arrays([*made.columns, pa.array([n], pa.int64()), pa.array([n_tokens], pa.int64())], [*made.schema.names, "n", "n_tokens"])
+
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(at, ROWS)
+                    sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy().astype(np.int64)
+                    n, n_tokens = n + len(sizes), n_tokens + int(sizes.sum())
+                    for made in row_postings(iter([b.select(["id", "tokens"])])):
+                        held.append(pa.table([made.column("id"), made.column("term").dictionary_encode(), made.column("tf"), made.column("n_tokens")], ["id", "phrase", "tf", "n_tokens"]))
+                    if b.column(2).null_count < b.num_rows:
+                        many = np.repeat(np.arange(len(sizes)), pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy())
+                        phrase, tf = b.column(2).flatten().flatten()
+                        held.append(pa.table([b.column(0).take(pa.array(many)), phrase.dictionary_encode(), tf, pa.array(sizes[many], pa.int32())], ["id", "phrase", "tf", "n_tokens"]))
+                    if n >= TEXTS_A_BLOCK:
+                        yield block()
+                        held, n, n_tokens = [], 0, 0
+            if n:
+                yield block()
+
+        made = kept_table(rows.sparkSession, found.mapInArrow(run, f"{BLOCKS}, n long, n_tokens long"))
+        n, n_tokens = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+        return cls(made.drop("n", "n_tokens").filter("ids IS NOT NULL"), n, n_tokens)
+
+    def counts(self) -> DataFrame:
+        """``phrase, df``: how many rows of a block have a phrase."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for names, terms in zip(*b.columns, strict=True):
+                    df = np.bincount(np.frombuffer(terms.as_buffer(), "<i4"), minlength=len(names))
+                    yield pa.RecordBatch.from_arrays([names.values, pa.array(df, pa.int64())], ["phrase", "df"])
+
+        return self.written.select("phrases", "terms").mapInArrow(run, "phrase string, df long")
+
+    def entries(self) -> DataFrame:
+        """``id, phrase, tf, n_tokens`` of all rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for block in zip(*b.columns, strict=True):
+                    t = _entries(*block)
+                    yield from t.set_column(1, "phrase", pc.cast(t.column("phrase"), pa.string())).to_batches()
+
+        return self.written.mapInArrow(run, "id long, phrase string, tf int, n_tokens int")
+
+    def blocks(self) -> DataFrame:
+        """BLOCKS of rows, the written ones put together to as many as the cores take."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.Table] = []
+            n = 0
+            for b in batches:
+                for block in zip(*b.columns, strict=True):
+                    own = block[0].as_buffer().size // 8
+                    if held and n + own > ROWS_A_BLOCK:
+                        yield _block(pa.concat_tables(held).unify_dictionaries())
+                        held, n = [], 0
+                    held.append(_entries(*block))
+                    n += own
+            if held:
+                yield _block(pa.concat_tables(held).unify_dictionaries())
+
+        return self.written.repartition(_tasks(self.written, self.n)).mapInArrow(run, BLOCKS)
 
 
 def _question_blocks(asked: DataFrame) -> DataFrame:
@@ -115,75 +224,76 @@ def _question_blocks(asked: DataFrame) -> DataFrame:
     question the phrases' places and weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(own: list[tuple]) -> pa.RecordBatch:
-            names = sorted({p for _, p, _ in own})
-            place = {p: i for i, p in enumerate(names)}
-            ids, size = np.unique(np.array([q for q, _, _ in own], np.int64), return_counts=True)
-            raw = lambda x, kind: pa.array([np.asarray(x).astype(kind).tobytes()], pa.binary())
-            return pa.RecordBatch.from_arrays([raw(ids, "<i8"), pa.array([names], pa.list_(pa.string())), raw(np.concatenate([[0], np.cumsum(size)]), "<i8"), raw([place[p] for _, p, _ in own], "<i4"), raw([w for _, _, w in own], "<f8")], ["query_ids", "asked", "q_ptr", "q_terms", "weights"])
-
-        held: list[tuple] = []
-        seen: set[int] = set()
+        def block(own: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(own)
+            ids, size = np.unique(t.column(0).to_numpy(), return_counts=True)
+            coded = t.column(1).combine_chunks().dictionary_encode()
+            names = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+            return pa.RecordBatch.from_arrays([_raw(ids, "<i8"), names, _raw(np.concatenate([[0], np.cumsum(size)]), "<i8"), _raw(coded.indices.to_numpy(), "<i4"), _raw(t.column(2).to_numpy(), "<f8")], ["query_ids", "asked", "q_ptr", "q_terms", "weights"])
+
+        held, n, last = [], 0, None
         for b in batches:  # sorted by question and phrase
-            for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if row[0] not in seen and len(seen) == QUESTIONS_A_BLOCK:
-                    yield block(held)
-                    held, seen = [], set()
-                held.append(row)
-                seen.add(row[0])
-        if held:
+            ids, at = b.column(0).to_numpy(), 0
+            for k in np.flatnonzero(np.diff(ids, prepend=ids[0] - 1 if last is None else last)) if len(ids) else []:
+                if n == QUESTIONS_A_BLOCK:
+                    yield block([*held, b.slice(at, k - at)])
+                    held, at, n = [], k, 0
+                n += 1
+            held.append(b.slice(at))
+            last = ids[-1] if len(ids) else last
+        if sum(map(len, held)):
             yield block(held)
 
     dealt = asked.select("query_id", "phrase", "weight").repartition("query_id").sortWithinPartitions("query_id", "phrase")
     return dealt.mapInArrow(run, "query_ids binary, asked array<string>, q_ptr binary, q_terms binary, weights binary")
 
 
-def _best_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """``query_id, id, keyword_score``: each question's k best rows of pairs of blocks."""
-    at, rows, names = None, None, {}
+def _best_rows(batches: Iterator[pa.RecordBatch], k: int, average: float) -> Iterator[pa.RecordBatch]:
+    """LISTS of each question's k best rows of pairs of blocks; ``average``: tokens a row."""
+    at, rows, names = None, None, None
+    number = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
     for b in batches:
-        for pair in zip(*b.columns, strict=True):
-            ids, own, ptr, term, part, query_ids, asked, q_ptr, q_term, weight = pair
+        for ids, own, ptr, term, tf, size, query_ids, asked, q_ptr, q_term, weight in zip(*b.columns, strict=True):
             if at != (key := ids.as_buffer().to_pybytes()):  # the pairs of a block of rows follow one another
-                at, names = key, {p: i for i, p in enumerate(own.as_py())}
-                rows = BlockMax(*(np.frombuffer(x.as_buffer(), kind) for x, kind in ((ids, "<i8"), (ptr, "<i8"), (term, "<i4"), (part, "<f8"))), len(names))
-            place = np.array([names.get(p, -1) for p in asked.as_py()], np.int64)
-            query_ids, q_ptr, q_term, weight = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((query_ids, "<i8"), (q_ptr, "<i8"), (q_term, "<i4"), (weight, "<f8")))
-            queries = []
-            for lo, hi in zip(q_ptr, q_ptr[1:], strict=False):
-                p = place[q_term[lo:hi]]
-                queries.append((p[p >= 0], weight[lo:hi][p >= 0]))
-            best: list[list[tuple[float, int]]] = [[] for _ in queries]
-            rows.search(queries, best, k)
-            n = [len(hits) for hits in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n), pa.int64()), pa.array([d for hits in best for _, d in hits], pa.int64()), pa.array([-s for hits in best for s, _ in hits], pa.float64())], ["query_id", "id", "keyword_score"])
-
-
-def keyword_lists(index: KeywordIndex, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+                at, names, ptr, tf = key, own.values, number(ptr, "<i8").copy(), number(tf, "<i4")
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.repeat(number(size, "<i4"), np.diff(ptr)) / average))
+                rows = BlockScores(np.frombuffer(key, "<i8"), ptr, number(term, "<i4").copy(), part, len(names))
+            place = pc.fill_null(pc.index_in(asked.values, value_set=names), -1).to_numpy()[number(q_term, "<i4")]
+            q_ptr, weight = number(q_ptr, "<i8"), number(weight, "<f8")
+            found = [rows.best(p[p >= 0], w[p >= 0], k) for p, w in ((place[lo:hi], weight[lo:hi]) for lo, hi in zip(q_ptr, q_ptr[1:], strict=False))]
+            some = [i for i, (d, _) in enumerate(found) if len(d)]
+            yield packed_lists(number(query_ids, "<i8")[some], [found[i] for i in some])
+
+
+def keyword_lists(index: KeywordIndex | TextBlocks, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """``query_id, id, keyword_score, keyword_rank``: the k best rows of each question (query_id, text), ties by id.
 
     Frequencies and lengths are of all rows of the index; only ``allowed`` ids are listed.
     """
-    asked = asked_phrases(questions)
-    phrases = asked.select("phrase", "words").dropDuplicates(["phrase"])
-    found = phrase_rows(index, phrases)
-    df = found.groupBy("phrase").agg(F.count("*").alias("df"))
+    asked = kept_table(questions.sparkSession, asked_phrases(questions))
+    n_asked = asked.count()
+    whole = isinstance(index, TextBlocks)
+    if whole:
+        found = index.entries()
+        phrases = asked.select("phrase").distinct()
+        df = index.counts().join(F.broadcast(phrases) if n_asked <= MOST_ASKED else phrases, "phrase", "left_semi").groupBy("phrase").agg(F.sum("df").alias("df"))
+    else:
+        found = phrase_rows(index, asked.select("phrase", "words").dropDuplicates(["phrase"]))
+        df = found.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("times")
     weighed = asked.join(df, "phrase").select("query_id", "phrase", weight.alias("weight"))
     if allowed is not None:
         found = found.join(allowed.select("id"), "id", "left_semi")
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / ((index.n_tokens / index.n if index.n else 0) or 1.0)))
-    rows, blocks = _row_blocks(found.select("id", "phrase", part.alias("part")), index.n), _question_blocks(weighed)
-    if asked.count() <= MOST_ASKED:
+    rows, blocks = index.blocks() if whole and allowed is None else _row_blocks(found, index.n), _question_blocks(weighed)
+    if n_asked <= MOST_ASKED:
         blocks = F.broadcast(blocks)
-    pairs = rows.crossJoin(blocks)  # a pair of blocks
-    lists = pairs.mapInArrow(lambda b: _best_rows(b, k), "query_id long, id long, keyword_score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), "id"))
-    return lists.withColumn("keyword_rank", rank).filter(F.col("keyword_rank") <= k)
+    average = (index.n_tokens / index.n if index.n else 0) or 1.0
+    lists = rows.crossJoin(blocks).mapInArrow(lambda b: _best_rows(b, k, average), LISTS)  # a pair of blocks
+    return merged_lists(lists, k, descending=True).select("query_id", "id", F.col("value").alias("keyword_score"), F.col("rank").alias("keyword_rank"))
 
 
-def search_many(rows: DataFrame, questions: DataFrame, index: KeywordIndex, top_k: int = 5, vector_weight: float = 1.0, keyword_weight: float = 1.0, allowed: DataFrame | None = None) -> DataFrame:
+def search_many(rows: DataFrame, questions: DataFrame, index: KeywordIndex | TextBlocks, top_k: int = 5, vector_weight: float = 1.0, keyword_weight: float = 1.0, allowed: DataFrame | None = None) -> DataFrame:
     """``query_id, place, id, score, distance, keyword_score, vector_rank, keyword_rank``: what ``hybrid.search`` gives for each
     question (query_id, text, embedding); a null text or vector leaves its list empty. ``index``: of all ``rows``."""
     Query(vector=[0.0], text="", top_k=top_k, vector_weight=vector_weight, keyword_weight=keyword_weight).check()
@@ -197,7 +307,7 @@ def search_many(rows: DataFrame, questions: DataFrame, index: KeywordIndex, top_
     return both.withColumn("place", place).filter(F.col("place") <= top_k)
 
 
-def answer_many(rows: DataFrame, questions: DataFrame, index: KeywordIndex, model: A.Generator | None = None, top_k: int = 8, budget: int = 1100, least_similarity: float = 0.25, allowed: DataFrame | None = None) -> DataFrame:
+def answer_many(rows: DataFrame, questions: DataFrame, index: KeywordIndex | TextBlocks, model: A.Generator | None = None, top_k: int = 8, budget: int = 1100, least_similarity: float = 0.25, allowed: DataFrame | None = None) -> DataFrame:
     """A row a question, of ANSWERS: the stages of an answer over its hits, in tasks. ``kept``: passages of the prompt, best
     first; ``cited``: those that the answer rests on. A question that finds nothing gets that answer, and one that is over
     the budget by itself gets no answer.
@@ -213,21 +323,24 @@ def answer_many(rows: DataFrame, questions: DataFrame, index: KeywordIndex, mode
     cosine = F.coalesce(cosine_from_distance(F.col("distance")), dot(F.col("own"), F.col("embedding")), F.lit(-1.0))
     every = every.select("query_id", "question", "place", "id", "doc_id", "source_path", "offset", "length", "page", F.col("text").alias("passage"), "score", cosine.alias("similarity"))
 
-    def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, own: pa.Table) -> pa.Table:
         def retrieve(s: A.State) -> None:
-            there = own[own["id"].notna()].sort_values("place")
-            s.passages = [A.Passage(int(r.id), r.doc_id, r.source_path, "", int(r.page), int(r.offset), int(r.length), r.passage or "", r.score, r.similarity) for r in there.itertuples()]
+            there = sorted((r for r in own.to_pylist() if r["id"] is not None), key=lambda r: r["place"])
+            s.passages = [A.Passage(r["id"], r["doc_id"], r["source_path"], "", r["page"], r["offset"], r["length"], r["passage"] or "", r["score"], r["similarity"]) for r in there]
+
+        def row(*values) -> pa.Table:
+            return pa.table([pa.array([v], kind) for v, kind in zip((key[0].as_py(), *values), ANSWER_TYPES, strict=True)], [c.split()[0] for c in ANSWERS.split(", ")])
 
         try:
-            s = A.run(A.standard_stages(retrieve, model, least_similarity, budget), A.State(own["question"].iloc[0]))
+            s = A.run(A.standard_stages(retrieve, model, least_similarity, budget), A.State(own.column("question")[0].as_py()))
         except EngineError as e:
             if e.status != "TOO_LONG":
                 raise
-            return pd.DataFrame([(key[0], False, "", [], [], 0)], columns=[c.split()[0] for c in ANSWERS.split(", ")])
+            return row(False, "", [], [], 0)
         made = A.make_answer(s)
-        return pd.DataFrame([(key[0], made.found, made.text, [p.id for p in s.passages], [c.chunk_id for c in made.citations], len(s.prompt.encode()))], columns=[c.split()[0] for c in ANSWERS.split(", ")])
+        return row(made.found, made.text, [p.id for p in s.passages], [c.chunk_id for c in made.citations], len(s.prompt.encode()))
 
-    return every.groupBy("query_id").applyInPandas(one, ANSWERS)  # top_k rows a question
+    return every.groupBy("query_id").applyInArrow(one, ANSWERS)  # top_k rows a question
 
 
-__all__ = ["ANSWERS", "answer_many", "asked_phrases", "keyword_lists", "phrase_rows", "search_many"]
+__all__ = ["ANSWERS", "TextBlocks", "answer_many", "asked_phrases", "keyword_lists", "phrase_rows", "search_many"]

@@ -7,9 +7,11 @@ import pytest
 
 from docspark.api import Collection
 from docspark.functions.embed import WordEmbedder
+from docspark.operators.block_scores import BlockScores
 from docspark.operators.keyword import KeywordIndex, index_terms, text_index
+from docspark.operators.lists import LISTS, merged_lists
 from docspark.plans import batch
-from docspark.plans.batch import asked_phrases, keyword_lists, search_many
+from docspark.plans.batch import TextBlocks, asked_phrases, keyword_lists, search_many
 from docspark.plans.hybrid import Query, search
 
 WORDS = ["ash", "birch", "Cedar", "x-ray", "élan", "fir", "gum", "common", "common"]
@@ -81,3 +83,49 @@ def test_blocks_meet_once(spark, tables):
         for t in ("ash", "common") for r in rows.filter("id < 2").orderBy("id").collect()
         if (at := [i for i, w in enumerate(r["text"].replace("-", " ").lower().split()) if w == t])
     ]
+
+
+@pytest.mark.parametrize("blocks", [(4096, 8192), (7, 3)])
+def test_text_blocks_are_the_index(spark, tables, monkeypatch, blocks):
+    """No posting is a row: the texts' blocks give the lists of the postings, phrases of several words and other rows' ids alike."""
+    monkeypatch.setattr(batch, "ROWS_A_BLOCK", blocks[0])
+    monkeypatch.setattr(batch, "TEXTS_A_BLOCK", blocks[1])
+    rows, questions, _ = tables
+    index = text_index(rows, asked_phrases(questions).selectExpr("explode(words) AS term"))
+    whole = TextBlocks.of(rows, questions)
+    assert (whole.n, whole.n_tokens) == (index.n, index.n_tokens) == (67, sum(len((r["text"] or "").replace("-", " ").split()) for r in rows.collect()))
+    lists = lambda i, asked, k, may=None: sorted(map(tuple, keyword_lists(i, asked, k, may).collect()))
+    for asked in (questions, questions.filter("query_id IN (1, 2, 4, 6)"), questions.limit(0)):
+        assert lists(TextBlocks.of(rows, asked), asked, 6) == lists(index, asked, 6)
+    assert len(lists(whole, questions, 100)) > len(lists(whole, questions, 6)) > 0
+    may = rows.filter("id % 3 = 0").select("id")
+    assert lists(whole, questions, 6, may) == lists(index, questions, 6, may)
+    none = rows.filter("text = '' OR text IS NULL")
+    assert lists(TextBlocks.of(none, questions), questions, 6) == []
+
+
+def test_block_scores_are_plain_sums():
+    g = np.random.default_rng(5)
+    dense = np.where(g.random((300, 40)) < np.linspace(0.01, 0.9, 40), g.integers(1, 4, (300, 40)) / 4, 0)
+    row, term = np.nonzero(dense)
+    rows = BlockScores(np.arange(300) * 7, np.concatenate([[0], np.cumsum((dense > 0).sum(1))]), term, dense[row, term], 40)
+    assert 0 < len(rows.columns) < 40
+    for k in (1, 5, 50, 1000):
+        for _ in range(20):
+            asked = np.sort(g.choice(40, g.integers(0, 9), replace=False))
+            weight = g.integers(1, 3, len(asked)) / 2
+            score = dense[:, asked] @ weight
+            want = sorted((-s, i * 7) for i, s in enumerate(score) if s > 0)[:k]
+            ids, got = rows.best(asked, weight, k)
+            assert list(zip((-got).tolist(), ids.tolist(), strict=True)) == want
+
+
+def test_lists_are_merged_over_batches(spark):
+    """A query's packed lists meet, whatever batches they lie in, and a list of ids is one row while it is shuffled."""
+    lists = [(q, np.array([q + 10 * j, 5], "<i8").tobytes(), np.array([j % 3, 2.0], "<f8").tobytes()) for q in (1, 2, 3) for j in range(4)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = merged_lists(spark.createDataFrame(lists, LISTS).repartition(3), 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [(q, i, v, r) for q in (1, 2, 3) for i, v, r in ((q, 0.0, 1), (q + 10, 1.0, 3), (q + 30, 0.0, 2))]
