@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from docspark.errors import EngineError
 from docspark.functions.terms import query_phrases, tokens
 from docspark.functions.vectors import cosine_from_distance, dot
-from docspark.operators.block_scores import BlockScores
+from docspark.operators.block_scores import BlockScores, in_order
 from docspark.operators.fusion import fuse
 from docspark.operators.keyword import K1, LEAST_IDF, ROWS, B, KeywordIndex, row_postings, shifted, text_index
 from docspark.operators.lists import LISTS, merged_lists, packed_lists
@@ -72,14 +72,17 @@ def _raw(x: np.ndarray, kind: str) -> pa.Array:
 
 def _block(t: pa.Table) -> pa.RecordBatch:
     """A block of rows, of BLOCKS, from its entries (id, phrase, tf, n_tokens)."""
-    ids, row = np.unique(t.column("id").to_numpy(), return_inverse=True)
+    own = t.column("id").to_numpy()  # a row's entries mostly follow one another
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    ids, row = np.unique(own[first], return_inverse=True)
+    row = np.repeat(row, np.diff(np.append(first, len(own))))
     coded = t.column("phrase").combine_chunks()
     coded = coded if pa.types.is_dictionary(coded.type) else coded.dictionary_encode()
     up = pc.sort_indices(coded.dictionary)
     place = np.empty(len(up), np.int64)
     place[up.to_numpy()] = np.arange(len(up))
     term = place[coded.indices.to_numpy()]
-    order = np.argsort(row * len(up) + term)
+    order = in_order(row, len(ids))
     size = np.zeros(len(ids), np.int64)
     size[row] = t.column("n_tokens").to_numpy()
     ptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))])

@@ -7,7 +7,7 @@ import pytest
 
 from docspark.api import Collection
 from docspark.functions.embed import WordEmbedder
-from docspark.operators.block_scores import BlockScores
+from docspark.operators.block_scores import BlockScores, in_order
 from docspark.operators.keyword import KeywordIndex, index_terms, text_index
 from docspark.operators.lists import LISTS, merged_lists
 from docspark.plans import batch
@@ -106,6 +106,8 @@ def test_text_blocks_are_the_index(spark, tables, monkeypatch, blocks):
 
 def test_block_scores_are_plain_sums():
     g = np.random.default_rng(5)
+    x = g.integers(0, 200_000, 1000) // 1000 * 1000
+    assert (in_order(x, 200_000) == np.argsort(x, kind="stable")).all()
     dense = np.where(g.random((300, 40)) < np.linspace(0.01, 0.9, 40), g.integers(1, 4, (300, 40)) / 4, 0)
     row, term = np.nonzero(dense)
     rows = BlockScores(np.arange(300) * 7, np.concatenate([[0], np.cumsum((dense > 0).sum(1))]), term, dense[row, term], 40)
