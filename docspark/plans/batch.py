@@ -32,7 +32,7 @@ from docspark.scratch import kept_table
 #: Rows and questions of a block; distinct phrases, questions' phrases, and hits, up to which they are broadcast.
 ROWS_A_BLOCK, QUESTIONS_A_BLOCK = 32_768, 8_192
 #: Texts whose postings are held at once in a task.
-TEXTS_A_BLOCK = 8_192
+TEXTS_A_BLOCK = 2_048
 MOST_PHRASES, MOST_ASKED, MOST_HITS = 1_000_000, 10_000_000, 1_000_000
 BLOCKS = "ids binary, phrases array<string>, ptr binary, terms binary, tfs binary, sizes binary"
 EMPTY = pa.schema([("ids", pa.binary()), ("phrases", pa.list_(pa.string())), *((c, pa.binary()) for c in ("ptr", "terms", "tfs", "sizes"))])
