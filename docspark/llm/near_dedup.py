@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import UPPER, WORD, Scratch
+from docspark.llm.common import UPPER, WORD, Scratch, turn
 
 ROWS, MISS, SEED = 4, 1e-7, 11
 #: Members of a block in step 3, and representatives' groups in step 2 before they are salted.
@@ -54,6 +54,11 @@ KNOWN_WORDS = 200_000
 _words: dict[bytes, int] = {}
 
 
+def begin() -> None:
+    """The words' hashes are kept until another operator's task begins in this worker."""
+    turn("near_dedup", _words.clear)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
@@ -120,6 +125,7 @@ def describe(size: int, bands: np.ndarray):
         import xxhash
         import zstandard
 
+        begin()
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -146,6 +152,7 @@ class Sets:
     def __init__(self, size: int):
         import zstandard
 
+        begin()
         self.size, self.press = size, zstandard.ZstdDecompressor()
 
     def __call__(self, packed: bytes) -> np.ndarray:

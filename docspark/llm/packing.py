@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch
+from docspark.llm.common import Scratch, turn
 from docspark.llm.tokens import encoder
 
 LENGTH, END_ID = 2048, 1
@@ -116,6 +116,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, length: int = LE
             bounds = np.unique(looked[np.arange(1, ranges) * len(looked) // ranges])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("packing")  # the ids are written: the encoder is needed no more
         out = np.zeros(len(bounds) + 1, dtype=np.int64)
         for b in batches:
             out += np.bincount(np.searchsorted(bounds, b.column(0).to_numpy(), side="right"), b.column(1).to_numpy(), len(out)).astype(np.int64)
@@ -128,11 +129,13 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, length: int = LE
     width = encoder(vocabulary).dtype
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("packing")
         for b in batches:
             at = np.searchsorted(bounds, b.column(1).to_numpy(), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(at), *b.columns], ["range", "doc_id", "key", "n", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("packing")
         current, pos = -1, 0
         kinds = [pa.from_numpy_dtype("int64")] * 6
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch
+from docspark.llm.common import Scratch, turn
 
 #: Weight of the diagonal in a class covariance, and of the pooled variances' diagonal added to it; observations by which
 #: proportions are smoothed. Chosen together by ``cross_validate`` on rows that are not held out.
@@ -154,6 +154,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        turn("quality")
         n, s, o = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for b in batches:
             own = b.column(0).to_numpy(zero_copy_only=False)
@@ -192,6 +193,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     model = fit(spark, docs, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("quality")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(vectors(b.column(1).to_pylist())))], ["doc_id", "score"])
 
@@ -207,6 +209,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: s
     model, at = fit(spark, docs, labels, id_col, text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("quality")
         for b in batches:
             yield b.filter(pa.array(model.scores(vectors(b.column(at).to_pylist())) >= 0.5, pa.bool_()))
 

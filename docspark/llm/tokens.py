@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from docspark.llm.common import turn
+
 #: Units kept by a worker in each of two generations; when the young one is full it replaces the old one.
 KEEP = 500_000
 #: A control character as a boundary between units in one call, for vocabularies that drop white space.
@@ -160,7 +162,8 @@ _encoders: dict[str, UnitEncoder] = {}
 
 
 def encoder(path: str) -> UnitEncoder:
-    """This worker's encoder for a vocabulary file."""
+    """This worker's encoder for a vocabulary file, kept until another operator's task begins."""
+    turn("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
     return _encoders[path]

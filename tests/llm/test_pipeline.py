@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docspark.llm import mixing, packing
+from docspark.llm import mixing, near_dedup, packing, tokens
 from plain import plain_scores, without_repeats
 
 P = pytest.importorskip("public_tokenizers")
@@ -225,3 +225,18 @@ def test_two_runs_at_a_time_keep_apart(spark, corpus):
     with ThreadPoolExecutor(2) as pool:
         one, two = pool.map(lambda _: rows_of(corpus_pipeline.run(spark, corpus[0])), range(2))
     assert one == two and one
+
+
+def test_a_worker_forgets_what_other_operators_kept():
+    near_dedup._words.clear()
+    enc = tokens.encoder(packing.vocabulary())
+    enc.encode(["some words here"])
+    assert enc.young and tokens.encoder(packing.vocabulary()) is enc  # kept between tasks of one operator
+    list(near_dedup.describe(5, near_dedup.band_table(80))(iter([])))
+    assert not tokens._encoders
+    sets = near_dedup.Sets(5)
+    near_dedup.shingles(b"some words here", 5)
+    near_dedup.Sets(5)
+    assert near_dedup._words and sets.size == 5
+    tokens.encoder(packing.vocabulary())
+    assert not near_dedup._words and tokens._encoders
