@@ -22,12 +22,14 @@ def in_order(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class BlockScores:
-    """An inverted index over rows. ``ids``: ascending; ``ptr``: where each row's postings begin; ``term``: their terms;
+    """An inverted index over rows. ``ids``: distinct; ``ptr``: where each row's postings begin; ``term``: their terms;
     ``part``: what a term gives a row, times a query's weight."""
 
     def __init__(self, ids: np.ndarray, ptr: np.ndarray, term: np.ndarray, part: np.ndarray, terms: int):
-        self.ids, n = ids, len(ids)
-        row = np.repeat(np.arange(n), np.diff(ptr))
+        n, up = len(ids), np.argsort(ids)
+        self.ids, place = ids[up], np.empty(n, np.int64)
+        place[up] = np.arange(n)
+        row = np.repeat(place, np.diff(ptr))
         order = in_order(term, terms)
         self.list_row, self.list_part = row[order], part[order]
         df = np.bincount(term, minlength=terms)
@@ -42,8 +44,9 @@ class BlockScores:
             self.columns[t][self.list_row[at]] = self.list_part[at]
         self._product = np.empty(self.padded)
 
-    def best(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows that have one of the terms, which ascend; ties by id."""
+    def best(self, term: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows that have one of the terms, which are added in their order; ties by id. Rows below
+        ``least`` need not be listed."""
         score = np.zeros(self.padded)
         lo, hi = self.list_ptr[term].tolist(), self.list_ptr[term + 1].tolist()
         for t, w, a, b in zip(term.tolist(), weight.tolist(), lo, hi, strict=True):
@@ -52,7 +55,8 @@ class BlockScores:
             else:
                 score[self.list_row[a:b]] += self.list_part[a:b] * w
         groups = score.reshape(GROUP, -1).max(0)
-        least = np.partition(groups, len(groups) - k)[len(groups) - k] if len(groups) > k else 0.0  # k rows reach it
+        if least <= 0 and len(groups) > k:
+            least = np.partition(groups, len(groups) - k)[len(groups) - k]  # k rows reach it
         at = np.flatnonzero(score >= least) if least > 0 else np.flatnonzero(score)
         at = at[np.argsort(-score[at], kind="stable")[:k]]
         return self.ids[at], score[at]

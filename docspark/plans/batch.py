@@ -2,19 +2,21 @@
 
 Both lists, the fusion, the texts, the removal of repeats and the budget are partitioned by question or by blocks of rows;
 questions are not collected. Keyword scores come from blocks: a block of rows has its postings, a block of questions its
-phrases with their weights, and a pair of blocks gives each question's best rows by ``operators.block_scores``.
+phrases with their weights, and a pair of blocks gives each question's best rows by ``operators.block_scores``. Blocks are
+files of the shared folder, and what goes through Spark are their names: a row of megabytes would be copied for each pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.errors import EngineError
@@ -27,15 +29,15 @@ from docspark.operators.lists import LISTS, merged_lists, packed_lists
 from docspark.operators.vector_search import top_k_joined
 from docspark.plans import answer as A
 from docspark.plans.hybrid import Query
-from docspark.scratch import kept_table
+from docspark.scratch import kept_table, shared_dir
 
-#: Rows and questions of a block; distinct phrases, questions' phrases, and hits, up to which they are broadcast.
-ROWS_A_BLOCK, QUESTIONS_A_BLOCK = 32_768, 8_192
+#: Rows and questions of a block, and blocks of rows that a task takes questions through at most.
+ROWS_A_BLOCK, QUESTIONS_A_BLOCK, BLOCKS_A_TASK = 16_384, 8_192, 16
 #: Texts whose postings are held at once in a task.
 TEXTS_A_BLOCK = 2_048
+#: Distinct phrases, questions' phrases, and hits, up to which they are broadcast.
 MOST_PHRASES, MOST_ASKED, MOST_HITS = 1_000_000, 10_000_000, 1_000_000
-BLOCKS = "ids binary, phrases array<string>, ptr binary, terms binary, tfs binary, sizes binary"
-EMPTY = pa.schema([("ids", pa.binary()), ("phrases", pa.list_(pa.string())), *((c, pa.binary()) for c in ("ptr", "terms", "tfs", "sizes"))])
+FILES = "path string, n long, n_tokens long"
 ANSWERS = "query_id long, found boolean, answer string, kept array<long>, cited array<long>, prompt_bytes long"
 ANSWER_TYPES = (pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
 
@@ -70,8 +72,53 @@ def _raw(x: np.ndarray, kind: str) -> pa.Array:
     return pa.array([np.asarray(x).astype(kind).tobytes()], pa.binary())
 
 
+def _folder(df: DataFrame) -> str:
+    return f"{shared_dir(df.sparkSession)}/docspark-blocks-{uuid.uuid4().hex}"
+
+
+def _save(folder: str, block: pa.RecordBatch, n: int, n_tokens: int = 0) -> pa.RecordBatch:
+    """A block's row of FILES, once it is written. A task that runs twice leaves a file that no row names."""
+    from pyarrow import fs
+
+    path = f"{folder}/{uuid.uuid4().hex}.arrow"
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(at) as out, pa.ipc.new_stream(out, block.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as to:
+        to.write_batch(block)
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([n_tokens], pa.int64())], ["path", "n", "n_tokens"])
+
+
+def _load(path: str) -> list[pa.Scalar]:
+    """The values of a written block's only row."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as raw, pa.ipc.open_stream(raw) as found:
+        return [c[0] for c in found.read_next_batch().columns]
+
+
+def _even(files: Sequence[tuple[str, int]], parts: int) -> list[list[str]]:
+    """Files (path, n) put together to at most so many parts of about the same number of rows."""
+    total, before, out = sum(n for _, n in files), 0, [[] for _ in range(parts)]
+    for path, n in files:
+        out[before * parts // total].append(path)
+        before += n
+    return [x for x in out if x]
+
+
+def _each(spark: SparkSession, work: list, run: Callable[[object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` of each piece of work, a task each. Work is a few names of files."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield from run(work[i])
+
+    return spark.range(0, len(work), 1, max(1, len(work))).mapInArrow(task, schema)
+
+
 def _block(t: pa.Table) -> pa.RecordBatch:
-    """A block of rows, of BLOCKS, from its entries (id, phrase, tf, n_tokens)."""
+    """A block of rows from its entries (id, phrase, tf, n_tokens)."""
     own = t.column("id").to_numpy()  # a row's entries mostly follow one another
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     ids, row = np.unique(own[first], return_inverse=True)
@@ -97,8 +144,9 @@ def _entries(ids, names, ptr, terms, tfs, sizes) -> pa.Table:
     return pa.table([np.repeat(np.frombuffer(ids.as_buffer(), "<i8"), n), coded, np.frombuffer(tfs.as_buffer(), "<i4"), np.repeat(np.frombuffer(sizes.as_buffer(), "<i4"), n)], ["id", "phrase", "tf", "n_tokens"])
 
 
-def _row_blocks(entries: DataFrame, n: int) -> DataFrame:
-    """BLOCKS of rows from ``id, phrase, tf, n_tokens``, of ``n`` rows at most."""
+def _row_blocks(entries: DataFrame, n: int) -> list[tuple[str, int]]:
+    """Files (path, rows) of blocks of rows from ``id, phrase, tf, n_tokens``, of ``n`` rows at most."""
+    folder = _folder(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -110,31 +158,31 @@ def _row_blocks(entries: DataFrame, n: int) -> DataFrame:
             if last is None and len(ids):
                 n = 1
             for k in new:
-                if n == ROWS_A_BLOCK:
-                    yield _block(pa.Table.from_batches([*held, b.slice(at, k - at)]))
+                if n == TEXTS_A_BLOCK:
+                    yield _save(folder, _block(pa.Table.from_batches([*held, b.slice(at, k - at)])), n)
                     held, at, n = [], k, 0
                 n += 1
             held.append(b.slice(at))
             last = ids[-1] if len(ids) else last
         if sum(map(len, held)):
-            yield _block(pa.Table.from_batches(held))
+            yield _save(folder, _block(pa.Table.from_batches(held)), n)
 
-    dealt = entries.select("id", "phrase", "tf", "n_tokens").repartition(_tasks(entries, n), "id").sortWithinPartitions("id")
-    return dealt.mapInArrow(run, BLOCKS)
+    dealt = entries.select("id", "phrase", "tf", "n_tokens").repartition(_parts(entries.sparkSession, n), "id").sortWithinPartitions("id")
+    return [(r["path"], r["n"]) for r in dealt.mapInArrow(run, FILES).collect()]
 
 
-def _tasks(rows: DataFrame, n: int) -> int:
-    """Blocks as large as the cores allow, as each has k best rows of its own; a few less rows than fit, as hashing does not deal evenly."""
-    cores = 2 * rows.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(cores, n // 1_024), -(-n // max(1, ROWS_A_BLOCK * 7 // 8)))
+def _parts(spark: SparkSession, n: int) -> int:
+    """Blocks that ``n`` rows make: as large as the cores and a task's memory allow, as each has k best rows of its own."""
+    return max(1, min(2 * spark.sparkContext.defaultParallelism, n // 1_024), -(-n // ROWS_A_BLOCK))
 
 
 @dataclass(frozen=True)
 class TextBlocks:
     """A table of texts for one table of questions: blocks of its rows, written once, in one pass over the texts. What a posting
-    takes is a few bytes of a block; no posting is a row, is joined or shuffled."""
+    takes is a few bytes of a file; no posting is a row, is joined or shuffled. ``files``: (path, rows) of the blocks."""
 
-    written: DataFrame
+    spark: SparkSession
+    files: list[tuple[str, int]]
     n: int
     n_tokens: int
 
@@ -150,14 +198,16 @@ class TextBlocks:
             index = text_index(rows, phrases.select(F.explode("words").alias("term")), id_col, text_col)
             also = phrase_rows(index, phrases).groupBy("id").agg(F.collect_list(F.struct("phrase", F.col("tf").cast("int").alias("tf"))).alias("also"))
             found = found.join(also, "id", "left")
+        folder = _folder(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.Table] = []
             n = n_tokens = 0
 
             def block() -> pa.RecordBatch:
-                made = _block(pa.concat_tables(held).unify_dictionaries()) if sum(map(len, held)) else pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in EMPTY], schema=EMPTY)
-                return pa.RecordBatch.from_arrays([*made.columns, pa.array([n], pa.int64()), pa.array([n_tokens], pa.int64())], [*made.schema.names, "n", "n_tokens"])
+                if sum(map(len, held)):
+                    return _save(folder, _block(pa.concat_tables(held).unify_dictionaries()), n, n_tokens)
+                return pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([n], pa.int64()), pa.array([n_tokens], pa.int64())], ["path", "n", "n_tokens"])
 
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
@@ -176,55 +226,35 @@ class TextBlocks:
             if n:
                 yield block()
 
-        made = kept_table(rows.sparkSession, found.mapInArrow(run, f"{BLOCKS}, n long, n_tokens long"))
-        n, n_tokens = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-        return cls(made.drop("n", "n_tokens").filter("ids IS NOT NULL"), n, n_tokens)
+        made = found.mapInArrow(run, FILES).collect()  # a row for every 2,048 texts
+        return cls(rows.sparkSession, [(r["path"], r["n"]) for r in made if r["path"]], sum(r["n"] for r in made), sum(r["n_tokens"] for r in made))
 
     def counts(self) -> DataFrame:
         """``phrase, df``: how many rows of a block have a phrase."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for names, terms in zip(*b.columns, strict=True):
-                    df = np.bincount(np.frombuffer(terms.as_buffer(), "<i4"), minlength=len(names))
-                    yield pa.RecordBatch.from_arrays([names.values, pa.array(df, pa.int64())], ["phrase", "df"])
+        def run(paths: list[str]) -> Iterator[pa.RecordBatch]:
+            for path in paths:
+                _, names, _, terms, _, _ = _load(path)
+                df = np.bincount(np.frombuffer(terms.as_buffer(), "<i4"), minlength=len(names))
+                yield pa.RecordBatch.from_arrays([names.values, pa.array(df, pa.int64())], ["phrase", "df"])
 
-        return self.written.select("phrases", "terms").mapInArrow(run, "phrase string, df long")
+        return _each(self.spark, _even(self.files, _parts(self.spark, self.n)), run, "phrase string, df long")
 
     def entries(self) -> DataFrame:
         """``id, phrase, tf, n_tokens`` of all rows."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for block in zip(*b.columns, strict=True):
-                    t = _entries(*block)
-                    yield from t.set_column(1, "phrase", pc.cast(t.column("phrase"), pa.string())).to_batches()
+        def run(paths: list[str]) -> Iterator[pa.RecordBatch]:
+            for path in paths:
+                t = _entries(*_load(path))
+                yield from t.set_column(1, "phrase", pc.cast(t.column("phrase"), pa.string())).to_batches()
 
-        return self.written.mapInArrow(run, "id long, phrase string, tf int, n_tokens int")
+        return _each(self.spark, _even(self.files, _parts(self.spark, self.n)), run, "id long, phrase string, tf int, n_tokens int")
 
-    def blocks(self) -> DataFrame:
-        """BLOCKS of rows, the written ones put together to as many as the cores take."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.Table] = []
-            n = 0
-            for b in batches:
-                for block in zip(*b.columns, strict=True):
-                    own = block[0].as_buffer().size // 8
-                    if held and n + own > ROWS_A_BLOCK:
-                        yield _block(pa.concat_tables(held).unify_dictionaries())
-                        held, n = [], 0
-                    held.append(_entries(*block))
-                    n += own
-            if held:
-                yield _block(pa.concat_tables(held).unify_dictionaries())
-
-        return self.written.repartition(_tasks(self.written, self.n)).mapInArrow(run, BLOCKS)
-
-
-def _question_blocks(asked: DataFrame) -> DataFrame:
-    """Blocks of questions from ``query_id, phrase, weight``: ids, the phrases that they have in order, and question by
-    question the phrases' places and weights."""
+def _question_blocks(asked: DataFrame) -> list[tuple[str, int]]:
+    """Files (path, questions) from ``query_id, phrase, weight``: ids, the phrases that they have, and question by question the
+    phrases' places, in the phrases' order, and weights. A block of questions is of a few files."""
+    folder, most = _folder(asked), max(1, QUESTIONS_A_BLOCK // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(own: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -232,13 +262,14 @@ def _question_blocks(asked: DataFrame) -> DataFrame:
             ids, size = np.unique(t.column(0).to_numpy(), return_counts=True)
             coded = t.column(1).combine_chunks().dictionary_encode()
             names = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-            return pa.RecordBatch.from_arrays([_raw(ids, "<i8"), names, _raw(np.concatenate([[0], np.cumsum(size)]), "<i8"), _raw(coded.indices.to_numpy(), "<i4"), _raw(t.column(2).to_numpy(), "<f8")], ["query_ids", "asked", "q_ptr", "q_terms", "weights"])
+            made = pa.RecordBatch.from_arrays([_raw(ids, "<i8"), names, _raw(size, "<i8"), _raw(coded.indices.to_numpy(), "<i4"), _raw(t.column(2).to_numpy(), "<f8")], ["query_ids", "asked", "sizes", "terms", "weights"])
+            return _save(folder, made, len(ids))
 
         held, n, last = [], 0, None
         for b in batches:  # sorted by question and phrase
             ids, at = b.column(0).to_numpy(), 0
             for k in np.flatnonzero(np.diff(ids, prepend=ids[0] - 1 if last is None else last)) if len(ids) else []:
-                if n == QUESTIONS_A_BLOCK:
+                if n == most:
                     yield block([*held, b.slice(at, k - at)])
                     held, at, n = [], k, 0
                 n += 1
@@ -248,24 +279,54 @@ def _question_blocks(asked: DataFrame) -> DataFrame:
             yield block(held)
 
     dealt = asked.select("query_id", "phrase", "weight").repartition("query_id").sortWithinPartitions("query_id", "phrase")
-    return dealt.mapInArrow(run, "query_ids binary, asked array<string>, q_ptr binary, q_terms binary, weights binary")
-
-
-def _best_rows(batches: Iterator[pa.RecordBatch], k: int, average: float) -> Iterator[pa.RecordBatch]:
-    """LISTS of each question's k best rows of pairs of blocks; ``average``: tokens a row."""
-    at, rows, names = None, None, None
-    number = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
-    for b in batches:
-        for ids, own, ptr, term, tf, size, query_ids, asked, q_ptr, q_term, weight in zip(*b.columns, strict=True):
-            if at != (key := ids.as_buffer().to_pybytes()):  # the pairs of a block of rows follow one another
-                at, names, ptr, tf = key, own.values, number(ptr, "<i8").copy(), number(tf, "<i4")
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.repeat(number(size, "<i4"), np.diff(ptr)) / average))
-                rows = BlockScores(np.frombuffer(key, "<i8"), ptr, number(term, "<i4").copy(), part, len(names))
-            place = pc.fill_null(pc.index_in(asked.values, value_set=names), -1).to_numpy()[number(q_term, "<i4")]
-            q_ptr, weight = number(q_ptr, "<i8"), number(weight, "<f8")
-            found = [rows.best(p[p >= 0], w[p >= 0], k) for p, w in ((place[lo:hi], weight[lo:hi]) for lo, hi in zip(q_ptr, q_ptr[1:], strict=False))]
-            some = [i for i, (d, _) in enumerate(found) if len(d)]
-            yield packed_lists(number(query_ids, "<i8")[some], [found[i] for i in some])
+    return [(r["path"], r["n"]) for r in dealt.mapInArrow(run, FILES).collect()]
+
+
+def _number(x: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), kind)
+
+
+def _questions(paths: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of questions: ids, distinct phrases, where each question's begin, their places among the phrases, and weights."""
+    ids, names, sizes, terms, weights = zip(*map(_load, paths), strict=True)
+    coded = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(_number(t, "<i4")), n.values) for t, n in zip(terms, names, strict=True)]).unify_dictionaries().combine_chunks()
+    ptr = np.concatenate([[0], np.cumsum(np.concatenate([_number(x, "<i8") for x in sizes]))])
+    return np.concatenate([_number(x, "<i8") for x in ids]), coded.dictionary, ptr, coded.indices.to_numpy(), np.concatenate([_number(x, "<f8") for x in weights])
+
+
+def _rows(paths: list[str], asked: pa.Array, average: float) -> BlockScores:
+    """A block of rows with the postings of the asked phrases; ``average``: tokens a row."""
+    every, counts, terms, parts = [], [], [], []
+    for path in paths:
+        ids, names, ptr, term, tf, size = _load(path)
+        place = pc.fill_null(pc.index_in(names.values, value_set=asked), -1).to_numpy()[_number(term, "<i4")]
+        hit = place >= 0
+        row = np.repeat(np.arange(len(_number(ids, "<i8")), dtype=np.int32), np.diff(_number(ptr, "<i8")))[hit]
+        tf = _number(tf, "<i4")[hit]
+        parts.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * _number(size, "<i4")[row] / average)))
+        every.append(_number(ids, "<i8")), counts.append(np.bincount(row, minlength=len(every[-1]))), terms.append(place[hit])
+    ptr = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    return BlockScores(np.concatenate(every), ptr, np.concatenate(terms), np.concatenate(parts), len(asked))
+
+
+def _best_rows(blocks: list[list[str]], questions: list[str], k: int, average: float) -> pa.RecordBatch:
+    """LISTS of each question's k best rows of some blocks, one block after the other."""
+    ids, asked, ptr, term, weight = _questions(questions)
+    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+    for paths in blocks:
+        rows = _rows(paths, asked, average)
+        for i, (lo, hi) in enumerate(zip(ptr.tolist(), ptr[1:].tolist(), strict=False)):
+            own, score = best[i]
+            also, more = rows.best(term[lo:hi], weight[lo:hi], k, score[-1] if len(own) == k else 0.0)
+            if len(own) and len(also):
+                also, more = np.concatenate([own, also]), np.concatenate([score, more])
+                order = np.lexsort((also, -more))[:k]
+                also, more = also[order], more[order]
+            if len(also):
+                best[i] = also, more
+        del rows
+    some = [i for i, (own, _) in enumerate(best) if len(own)]
+    return packed_lists(ids[some], [best[i] for i in some])
 
 
 def keyword_lists(index: KeywordIndex | TextBlocks, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -288,11 +349,18 @@ def keyword_lists(index: KeywordIndex | TextBlocks, questions: DataFrame, k: int
     weighed = asked.join(df, "phrase").select("query_id", "phrase", weight.alias("weight"))
     if allowed is not None:
         found = found.join(allowed.select("id"), "id", "left_semi")
-    rows, blocks = index.blocks() if whole and allowed is None else _row_blocks(found, index.n), _question_blocks(weighed)
-    if n_asked <= MOST_ASKED:
-        blocks = F.broadcast(blocks)
+    rows = index.files if whole and allowed is None else _row_blocks(found, index.n)
+    spark, asked = questions.sparkSession, _question_blocks(weighed)
     average = (index.n_tokens / index.n if index.n else 0) or 1.0
-    lists = rows.crossJoin(blocks).mapInArrow(lambda b: _best_rows(b, k, average), LISTS)  # a pair of blocks
+    rows = _even(rows, _parts(spark, sum(n for _, n in rows)))
+    asked = _even(asked, -(-sum(n for _, n in asked) // QUESTIONS_A_BLOCK))
+    chain = max(1, min(BLOCKS_A_TASK, len(rows) * len(asked) // (6 * spark.sparkContext.defaultParallelism)))
+    chains = [rows[at : at + chain] for at in range(0, len(rows), chain)]
+
+    def run(pair: tuple[list[list[str]], list[str]]) -> Iterator[pa.RecordBatch]:
+        yield _best_rows(*pair, k, average)
+
+    lists = _each(spark, [(c, q) for c in chains for q in asked], run, LISTS)
     return merged_lists(lists, k, descending=True).select("query_id", "id", F.col("value").alias("keyword_score"), F.col("rank").alias("keyword_rank"))
 
 

@@ -104,6 +104,25 @@ def test_text_blocks_are_the_index(spark, tables, monkeypatch, blocks):
     assert lists(TextBlocks.of(none, questions), questions, 6) == []
 
 
+def test_blocks_pass_by_name(spark, tables):
+    """A pair of blocks reaches its task as names of files: no postings or phrases go through a join, a shuffle or a broadcast."""
+    rows, questions, _ = tables
+    index = TextBlocks.of(rows, questions)
+    lists = keyword_lists(index, questions, 6)
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Range" in plan
+    assert index.files and all(path.startswith("file:") and 0 < n <= batch.TEXTS_A_BLOCK for path, n in index.files)
+    assert batch._even([("a", 3), ("b", 1), ("c", 1), ("d", 3)], 2) == [["a", "b"], ["c", "d"]]
+    assert batch._even([], 2) == [] and batch._even([("a", 1)], 5) == [["a"]]
+
+
+def test_rows_below_a_score_are_left_out():
+    """Ids of a block need not ascend, ties go by id all the same, and what is listed at the least score is kept."""
+    rows = BlockScores(np.array([9, 2, 5]), np.array([0, 1, 2, 3]), np.array([0, 0, 0]), np.array([1.0, 1.0, 2.0]), 1)
+    best = lambda k, least: [x.tolist() for x in rows.best(np.array([0]), np.array([1.0]), k, least)]
+    assert best(3, 0.0) == [[5, 2, 9], [2.0, 1.0, 1.0]] and best(2, 1.0) == [[5, 2], [2.0, 1.0]] and best(2, 1.5) == [[5], [2.0]]
+
+
 def test_block_scores_are_plain_sums():
     g = np.random.default_rng(5)
     x = g.integers(0, 200_000, 1000) // 1000 * 1000
