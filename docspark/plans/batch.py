@@ -33,7 +33,7 @@ from docspark.scratch import kept_table, shared_dir
 
 #: Rows and questions of a block, and blocks of rows that a task takes questions through at most.
 ROWS_A_BLOCK, QUESTIONS_A_BLOCK, BLOCKS_A_TASK = 16_384, 8_192, 16
-#: Texts whose postings are held at once in a task.
+#: Texts whose postings are held at once in a task, and of a file.
 TEXTS_A_BLOCK = 2_048
 #: Distinct phrases, questions' phrases, and hits, up to which they are broadcast.
 MOST_PHRASES, MOST_ASKED, MOST_HITS = 1_000_000, 10_000_000, 1_000_000
