@@ -543,3 +543,19 @@ def test_bm25_batches_fill(monkeypatch):
         assert hits == [h for h in every[:10] if h[0] < 0]
     # with many shards there is a block for each 16,384 queries, and not for each 2,048
     assert bm25_search.query_blocks(5_130, 32, 18) == 3 and bm25_search.query_blocks(62_000, 200, 36) == 4
+
+
+def test_bm25_a_pair_is_a_task(spark, monkeypatch):
+    """Each pair of a group of shards and a block of queries is a task of its own; by a hash several met in one."""
+    import re
+
+    from docspark.llm import bm25_search
+
+    for name, value in (("SHARD_DOCS", 3), ("QUERY_BLOCK", 4), ("MOST_QUERIES", 4)):
+        monkeypatch.setattr(bm25_search, name, value)
+    docs = spark.createDataFrame([(i, f"w{i % 5} v{i % 3} u") for i in range(12)], "doc_id long, text string").coalesce(1)
+    found = bm25_search.search(spark, docs, docs.selectExpr("doc_id AS query_id", "text"), 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    dealt = re.search(r"Range \(0, (\d+), step=1, splits=Some\((\d+)\)\)", plan)
+    assert dealt and int(dealt[1]) == int(dealt[2]) > 1 and "Window" not in plan
+    assert found.groupBy("query_id").count().filter("count = 3").count() == 12
